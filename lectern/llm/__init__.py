@@ -1,0 +1,8 @@
+"""Operators of a training-data pipeline. Nothing outside this folder (and corpus_pipeline.py) imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel with their code, so workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
