@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytespans, lines, passages, pieces
+from . import bytespans, jaccard, lines, passages, pieces
 from ._common import read
 
 
@@ -27,6 +27,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = passages.remove_repeats(read(spark, sf_dir, "documents"))
     removed = F.when(F.col("removed").isNull(), 0).otherwise(F.size(F.filter("removed", lambda x: x)))
@@ -38,5 +42,5 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op3_line_dedup, op6_substring_dedup, op7_suffix_array)}
-ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op3_line_dedup, op4_ngram_jaccard, op6_substring_dedup, op7_suffix_array)}
+ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE}
