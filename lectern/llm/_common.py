@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
@@ -72,13 +72,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, cap: int) -> DataFrame:
-    """(text, y) of labelled rows outside the held-out fold, at most about cap rows, chosen by a hash of doc_id.
+def training_keys(labels: DataFrame, label: str, cap: int) -> DataFrame:
+    """(doc_id, y) of labelled rows outside the held-out fold: of each label at most cap, the first by a hash of doc_id.
 
-    The cap bounds what reaches the driver. It is a documented parameter of each classifier.
+    cap is a documented parameter of each classifier; it bounds what reaches the driver or is broadcast.
     """
-    lab = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels[label].cast("int").alias("y"))
-    lab = lab.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
-    # a top-cap by hash: each partition keeps cap rows at most, and so does the result
-    keys = lab.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(cap)
-    return columns(docs, "doc_id", "text").join(keys, "doc_id").select("doc_id", "text", "y")
+    lab = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels[label].alias("y"))
+    lab = lab.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return lab.withColumn("place", place).where(F.col("place") <= cap).select("doc_id", "y")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytespans, jaccard, lines, passages, pieces
+from . import bytespans, decontam, jaccard, lines, passages, perplexity, pieces
 from ._common import read
 
 
@@ -42,5 +42,14 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op3_line_dedup, op4_ngram_jaccard, op6_substring_dedup, op7_suffix_array)}
-ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE}
+def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = perplexity.judge(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op3_line_dedup, op4_ngram_jaccard, op6_substring_dedup, op7_suffix_array, op9_perplexity, op10_decontamination)}
+ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE, "op10_decontamination": decontam.ORACLE}
