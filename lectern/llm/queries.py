@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytespans, decontam, jaccard, lines, passages, perplexity, pieces
+from . import bytespans, decontam, jaccard, langid, lines, passages, perplexity, pieces, quality, toxicity
 from ._common import read
 
 
@@ -17,6 +17,10 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode(read(spark, sf_dir, "documents"), piece_model())
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -31,6 +35,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = passages.remove_repeats(read(spark, sf_dir, "documents"))
     removed = F.when(F.col("removed").isNull(), 0).otherwise(F.size(F.filter("removed", lambda x: x)))
@@ -42,6 +50,10 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = perplexity.judge(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
@@ -51,5 +63,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sentencepiece, op3_line_dedup, op4_ngram_jaccard, op6_substring_dedup, op7_suffix_array, op9_perplexity, op10_decontamination)}
+OPERATORS = (
+    op1_toxicity,
+    op2_sentencepiece,
+    op3_line_dedup,
+    op4_ngram_jaccard,
+    op5_language_id,
+    op6_substring_dedup,
+    op7_suffix_array,
+    op8_quality,
+    op9_perplexity,
+    op10_decontamination,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op4_ngram_jaccard": jaccard.ORACLE, "op10_decontamination": decontam.ORACLE}
