@@ -1,7 +1,7 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nystrom landmarks.
 
-The kernel counts common subsequences of three characters, each weighted by decay ** (span in one string + span in the
-other), so an insult still matches with letters between its own or with an ending of its own. With a landmark of m characters a
+The kernel counts common subsequences, of three characters and of a landmark's full length in equal parts, each weighted
+by a decay to the power of its spans in both strings, so an insult still matches with letters between its own or with an ending of its own. With a landmark of m characters a
 string is compared window by window of m + 2, and the best counts: else long strings would gather many faint matches. Strings are a sentence's
 units: its words in lower case without punctuation and with common digit-for-letter swaps undone, and runs of single
 letters written apart, joined. Long units are taken in overlapping pieces, whole.
@@ -85,11 +85,11 @@ def letter_mask(code: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(np.where(code > 0, np.uint32(1) << bit, np.uint32(0)), axis=1)
 
 
-def subsequence_kernel(s: np.ndarray, t: np.ndarray, decay: float) -> np.ndarray:
-    """The kernel of rows of s with rows of t: common subsequences of three characters, weighted by their spans."""
+def subsequence_kernel(s: np.ndarray, t: np.ndarray, decay: float, length: int = 3) -> np.ndarray:
+    """The kernel of rows of s with rows of t: common subsequences of length characters, weighted by their spans."""
     equal = ((s[:, :, None] == t[:, None, :]) & (s[:, :, None] > 0)).astype(np.float32) * np.float32(decay**2)
     here = equal
-    for _ in range(2):
+    for _ in range(length - 1):
         total = np.zeros_like(here)  # of all ends before (i, j), weighted by the distance
         for i in range(1, here.shape[1]):
             total[:, i] = decay * total[:, i - 1] + here[:, i - 1]
@@ -119,8 +119,8 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-
 class Machine:
     """Landmarks, Nystrom map and linear SVM."""
 
-    def __init__(self, landmarks: list[str], decay: float = 0.5, share: float = 0.8) -> None:
-        self.landmarks, self.decay = landmarks, decay
+    def __init__(self, landmarks: list[str], decay: float = 0.5, full_decay: float = 0.85, share: float = 0.8) -> None:
+        self.landmarks, self.decay, self.full_decay = landmarks, decay, full_decay
         self.code = codes(landmarks)
         self.mask = letter_mask(self.code)
         self.need = np.ceil(share * np.bitwise_count(self.mask)).astype(int)
@@ -152,25 +152,32 @@ class Machine:
             value[k : k + 4096] = subsequence_kernel(code[r, :width], self.code[c], self.decay)
         index, place = np.unique(rows, return_inverse=True)
         out = np.zeros((len(index), len(self.landmarks)))
-        out[place, cols] = self._best_window(code, size, rows, cols, value / self.own[cols])
+        out[place, cols] = self._with_full_length(code, size, rows, cols, np.minimum(value / self.own[cols], 1.0))
         return index, out
 
-    def _best_window(self, code: np.ndarray, size: np.ndarray, rows: np.ndarray, cols: np.ndarray, whole: np.ndarray, least: float = 0.5) -> np.ndarray:
-        """Kernel values of the best windows; the whole string's value bounds them and stands where it is small."""
-        reach = (self.code > 0).sum(1)[cols] + 2
-        wide = np.flatnonzero((whole >= least) & (size[rows] > reach))
-        if not len(wide):
-            return whole
-        windows = size[rows[wide]] - reach[wide] + 1
+    def _with_full_length(self, code: np.ndarray, size: np.ndarray, rows: np.ndarray, cols: np.ndarray, whole: np.ndarray, least: float = 0.4) -> np.ndarray:
+        """Kernel values of the best windows, both lengths; the whole string's value bounds them and stands where small."""
+        out = whole / 2
+        strong = np.flatnonzero(whole >= least)
+        if not len(strong):
+            return out
+        long = (self.code > 0).sum(1)[cols]
+        reach = long + 2
+        windows = np.maximum(size[rows[strong]] - reach[strong], 0) + 1
         first = np.cumsum(windows) - windows
-        pair = np.repeat(wide, windows)
-        start = np.arange(len(pair)) - np.repeat(first, windows)
-        at = start[:, None] + np.arange(int(reach.max()))
-        inside = np.arange(at.shape[1]) < reach[pair][:, None]
-        text = np.where(inside, code[rows[pair][:, None], np.minimum(at, code.shape[1] - 1)], 0)
-        value = np.concatenate([subsequence_kernel(text[k : k + 4096], self.code[cols[pair[k : k + 4096]]], self.decay) for k in range(0, len(pair), 4096)])
-        out = whole.copy()
-        out[wide] = np.maximum.reduceat(value / self.own[cols[pair]], first)
+        pair = np.repeat(strong, windows)
+        at = (np.arange(len(pair)) - np.repeat(first, windows))[:, None] + np.arange(int(reach.max()))
+        padded = np.pad(code, ((0, 0), (0, at.shape[1] + LENGTH)))
+        text = np.where(np.arange(at.shape[1]) < reach[pair][:, None], padded[rows[pair][:, None], at], 0)
+        value = np.zeros(len(pair))
+        for m in np.unique(long[pair]):
+            of_m = np.flatnonzero(long[pair] == m)
+            for part in np.array_split(of_m, len(of_m) // 4096 + 1):
+                mark = cols[pair[part]]
+                three = subsequence_kernel(text[part, : m + 2], self.code[mark, :m], self.decay) / self.own[mark]
+                full = subsequence_kernel(text[part, : m + 2], self.code[mark, :m], self.full_decay, int(m)) / self.full_decay ** (2.0 * m)
+                value[part] = (np.minimum(three, 1) + np.minimum(full, 1)) / 2
+        out[strong] = np.maximum.reduceat(value, first)
         return out
 
     def margins(self, units: list[str]) -> np.ndarray:
@@ -180,7 +187,7 @@ class Machine:
             out[k + index] += x @ (self.root @ self.weight)
         return out
 
-    def fit(self, bags: list[np.ndarray], labels: list[int], units: list[str], rounds: int = 4, certain: float = 0.8, inserted: float = 0.3) -> None:
+    def fit(self, bags: list[np.ndarray], labels: list[int], units: list[str], rounds: int = 4, certain: float = 0.8, inserted: float = 0.6) -> None:
         """bags: the units (by index) of each text's sentences. certain: the kernel value of a first witness;
         inserted: the weight of landmarks with a character put in, beside the witnesses' weight of one."""
         index, near = self.features(units)
