@@ -209,9 +209,10 @@ class Machine:
             witness = np.flatnonzero(weight)
             if not len(witness):
                 break
-            cost = np.concatenate((weight[witness] / weight.sum(), extra_cost, np.full(len(hard), 1 / max(1, len(hard)))))
-            sign = np.repeat((1.0, -1.0), (len(witness) + len(extra), len(hard)))
-            self.weight, self.bias = train_svm(np.concatenate((x[witness], extra, x[hard])), sign, cost)
+            # all units far from every landmark are one negative example, at zero
+            cost = np.concatenate((weight[witness] / weight.sum(), extra_cost, np.full(len(hard), 1 / max(1, len(hard))), [0.3]))
+            sign = np.repeat((1.0, -1.0), (len(witness) + len(extra), len(hard) + 1))
+            self.weight, self.bias = train_svm(np.concatenate((x[witness], extra, x[hard], np.zeros((1, x.shape[1])))), sign, cost)
             margin = x @ self.weight + self.bias
         worst, y = np.array([margin[bag].max() if len(bag) else self.bias for bag in bags]), np.array(labels)
         told = (y == 0) | (worst >= 0)  # toxic texts without a witness say nothing about the curve
@@ -222,25 +223,32 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
 
 
-def choose_landmarks(bags: list[set[str]], labels: list[int], most: int = 48, short: int = 4, long: int = 9, support: int = 3, purity: float = 0.9, cover: int = 3) -> list[str]:
+def choose_landmarks(bags: list[np.ndarray], labels: list[int], units: list[str], most: int = 48, short: int = 4, long: int = 9, support: int = 3, purity: float = 0.9, cover: int = 3) -> list[str]:
     """Word beginnings that mark toxic texts, greedily until each text has cover of them or none is in support texts.
 
-    Texts whose three smallest unit hashes agree count as copies of one text, so that its rare words gain no weight.
+    Texts whose six smallest unit hashes agree count as copies of one text, so that its rare words gain no weight.
     """
-    toxic, clean = Counter(), Counter()
-    holds: dict[tuple, set[str]] = {}
+    hashes = np.array([zlib.crc32(u.encode()) for u in units], np.int64)
+    seen: set[tuple] = set()
+    single: dict[int, list[np.ndarray]] = {0: [], 1: []}
     for bag, y in zip(bags, labels, strict=True):
-        sketch = (y, *sorted(zlib.crc32(u.encode()) for u in bag)[:3])
-        if sketch in holds:
-            continue
-        holds[sketch] = heads = {u[:k] for u in bag for k in range(short, min(len(u), long) + 1)}
-        (toxic if y else clean).update(heads)
-    marked = [h for sketch, h in holds.items() if sketch[0]]
-    ratio = max(1, len(holds) - len(marked)) / max(1, len(marked))
-    support = max(support, len(marked) // 40)
-    good = {h for h, n in toxic.items() if n >= support and n * ratio / (n * ratio + clean[h] * 4 + 1e-9) >= purity}
+        sketch = (y, *np.sort(hashes[bag])[:6].tolist())
+        if sketch not in seen:
+            seen.add(sketch)
+            single[y].append(bag)
+    heads = lambda bag: {units[i][:k] for i in bag.tolist() for k in range(short, min(len(units[i]), long) + 1)}
+    support = max(support, len(single[1]) // 40)
+    toxic: Counter[str] = Counter()
+    for bag in single[1]:
+        toxic.update(heads(bag))
+    toxic = Counter({h: n for h, n in toxic.items() if n >= support})
+    clean: Counter[str] = Counter()
+    for bag in single[0]:
+        clean.update(heads(bag) & toxic.keys())
+    ratio = max(1, len(single[0])) / max(1, len(single[1]))
+    good = {h for h, n in toxic.items() if n * ratio / (n * ratio + clean[h] * 4) >= purity}
     found: list[str] = []
-    left = [[h & good, cover] for h in marked]
+    left = [[heads(bag) & good, cover] for bag in single[1]]
     while len(found) < most:
         tally = Counter(h for x, _ in left for h in x)
         most_common = max(tally.values(), default=0)
@@ -258,7 +266,7 @@ def choose_landmarks(bags: list[set[str]], labels: list[int], most: int = 48, sh
     return found
 
 
-def train(docs: DataFrame, labels: DataFrame, cap: int = 2500) -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, cap: int = 2000) -> Machine | None:
     """A machine from labelled rows; cap bounds the texts of each class, and with it what reaches the driver."""
     keys = training_keys(labels.where("toxic IN (0, 1)"), "toxic", cap)
 
@@ -267,21 +275,21 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 2500) -> Machine | None
             rows = []
             for text in batch.column("text").to_pylist():
                 units = {p for s in SENTENCE.split(text or "") for t in tokens_of(s) for p in cut(unit_of(t)) if len(p) > 2}
-                rows.append(sorted(units))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(rows, pa.list_(pa.string()))], ["doc_id", "y", "units"])
-
-    chosen = docs.join(F.broadcast(keys), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, units array<string>")
-    sample = chosen.toPandas().sort_values("doc_id")  # 2 * cap rows
-    labels_, bags = sample["y"].tolist(), [set(x) for x in sample["units"]]
+                rows.append(" ".join(sorted(units)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y").cast(pa.int32()), pa.array(rows, pa.string())], ["doc_id", "y", "units"])
+
+    chosen = docs.join(F.broadcast(keys), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, units string")
+    sample = chosen.toPandas().drop_duplicates("doc_id").sort_values("doc_id")  # 2 * cap rows
+    at: dict[str, int] = {}
+    bags = [np.array([at.setdefault(u, len(at)) for u in row.split()], int) for row in sample["units"]]
+    labels_, units = sample["y"].tolist(), list(at)
     if len(set(labels_)) < 2:
         return None
-    landmarks = choose_landmarks(bags, labels_)
+    landmarks = choose_landmarks(bags, labels_, units)
     if not landmarks:
         return None
     machine = Machine(landmarks)
-    units = sorted(set().union(*bags))
-    at = {u: i for i, u in enumerate(units)}
-    machine.fit([np.array(sorted(at[u] for u in b), int) for b in bags], labels_, units)
+    machine.fit(bags, labels_, units)
     return machine
 
 
@@ -312,7 +320,7 @@ def predict(docs: DataFrame, machine: Machine | None, cached: int = 1_000_000) -
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, cap: int = 2500, threshold: float = 0.7) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, cap: int = 2000, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted): learnt outside the held-out fold, scored for every text."""
     docs = columns(docs, "doc_id", "text")
     out = predict(docs, train(docs, labels, cap))
