@@ -2,22 +2,26 @@
 
 A text's set holds its distinct five-word shingles; texts link when 100 * |A and B| >= 75 * |A or B|. The tokens of a
 set are hashed into groups, and the counts by group are a point: the sum of the smaller coordinate of two points is at
-least their overlap, so a pair (or an R-tree node, by its largest coordinates) whose sum is too small is out. The number
-of groups follows the set's size (about an eighth of it), as a fixed number can't tell long texts apart.
-
-A count-vector tree over a whole corpus separates little in so many dimensions, so it is built within blocks: two linked
-sets share one of the first |A| - ceil(0.75 |A|) + 1 tokens under any fixed order, and each such token is a block. The
-order puts tokens of crowded slots last (counts of all tokens of all texts in a table of fixed size), so common passages
-seldom make a block. It affects the work only, never the result.
-
-  1 sizes, set hashes, points and the slot counts, in one pass over the texts
-  2 tokens: each task keeps one text of each set it meets; members of blocks with more than one text remain
-  3 each member against its block's leader: bound, then exact overlap of the whole sets; components of the links
-  4 blocks that still hold several components: R-tree search for the pairs between components, exact overlap
+least their overlap, so a pair (or an R-tree node, by its largest coordinates) whose sum is too small is out.
+
+A count-vector tree over a whole corpus separates little in so many dimensions, so trees are built within blocks: two
+linked sets share one of the first |A| - ceil(0.75 |A|) + 1 tokens under any fixed order. The order puts tokens of
+crowded slots last (counts of all tokens of all texts in a table of fixed size), so common passages seldom decide. It
+affects the work only, never the result.
+
+  1 sizes, set hashes and the slot counts, in one pass over the texts
+  2 tokens: each task keeps one text of each set it meets; a token's leader is the most central text that has it, and
+    texts gather under leaders, a row for each leader a text shares a token with, whatever the number of tokens
+  3 under each leader: R-tree search over the members' points. Members that come near no other one go; the others fall
+    into clusters, which stand under their smallest doc_id from now on, so that a pair that met under many leaders counts
+    once
+  4 the clusters' texts meet, and the search goes on with the exact overlap of the whole sets. Only pairs between
+    components are looked at, so a group of copies is linked by a tree and not by all its pairs
   5 components of all links; texts with equal sets join theirs through the set's hash (128 bits and the size)
 
-Pairs within a component are never listed, so a group of copies costs a row per member. No partner is dropped: large
-blocks are split by salt in step 3 and by size class in step 4.
+No partner is dropped. Tokens of crowded slots are salted while their leader is found. A leader with more members than
+fit a task is compared with all of them first, in salted parts; those that link are settled, and the others are compared
+with everything in blocks of bounded size.
 
 Defined cases: null, empty or white-space texts have an empty set, link with nothing and are their own component;
 repeated rows have equal sets and so one component; a null doc_id takes no part and has a null component; an empty table
@@ -39,24 +43,34 @@ from ._common import columns, written
 SLOTS = 1 << 18
 _PART = 1 << 12  # slots in a row of partial counts
 LEAF = 32
+GROUPS = 1 << 10  # most coordinates of a stored point
+FILTER_BITS = 1 << 26
 
 
 def slot(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> U(40)).astype(np.int64) % SLOTS
 
 
-def n_groups(n: np.ndarray) -> np.ndarray:
-    """Groups for a set of n tokens: a power of two from 8 to 32,768, near n / 8."""
-    return 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 8)).astype(np.int64), 3, 15)
+def _bounds(owner: np.ndarray, n: int) -> np.ndarray:
+    return np.searchsorted(owner, np.arange(n + 1))
 
 
-def fold(point: np.ndarray, groups: int) -> np.ndarray:
-    """The point in fewer groups."""
-    return point.reshape(-1, len(point) // groups).sum(1) if len(point) > groups else point
+def n_groups(n: int) -> int:
+    """Coordinates of the stored point of n tokens: a power of two from 8 on, about one for each token."""
+    return min(GROUPS, 1 << max(3, int(n - 1).bit_length()))
 
 
-def _bounds(owner: np.ndarray, n: int) -> np.ndarray:
-    return np.searchsorted(owner, np.arange(n + 1))
+def packed(tokens: np.ndarray) -> bytes:
+    """The set's count vector, a byte for each group if counts allow it."""
+    groups = n_groups(len(tokens))
+    count = np.bincount((tokens >> U(20)).astype(np.int64) % groups, minlength=groups)
+    return count.astype(np.uint8 if count.max() < 256 else "<u4").tobytes()
+
+
+def unpacked(point: bytes, n: int, groups: int) -> np.ndarray:
+    """A stored point in fewer groups: residues modulo a smaller power of two add up."""
+    own = n_groups(n)
+    return np.frombuffer(point, np.uint8 if len(point) == own else "<u4").astype(np.uint32).reshape(-1, groups).sum(0)
 
 
 def profile(docs: DataFrame, shingle: int) -> DataFrame:
@@ -64,23 +78,21 @@ def profile(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, slots = Powers(), np.zeros(SLOTS, np.int64)
-        names = ["doc_id", "n", "h1", "h2", "point", "part"]
+        names = ["doc_id", "n", "h1", "h2", "part", "point"]
         for batch in batches:
             for begin, texts in in_chunks(batch.column("text")):
                 owner, tokens = shingle_sets(texts, powers, shingle)
                 slots += np.bincount(slot(tokens), minlength=SLOTS)
                 at = _bounds(owner, len(texts))
-                n = np.diff(at)
                 sums = (np.concatenate(([U(0)], np.cumsum(mix(tokens ^ U(seed))))) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
                 h1, h2 = (x[at[1:]] - x[at[:-1]] for x in sums)
-                groups = n_groups(n)
-                points = [np.minimum(np.bincount((tokens[a:b] >> U(49)).astype(np.int64) * int(g) >> 15, minlength=g), 65535).astype("<u2").tobytes() for a, b, g in zip(at[:-1], at[1:], groups, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(points, pa.binary()), pa.nulls(len(texts), pa.int32())], names)
+                rows = [batch.column("doc_id").slice(begin, len(texts)), pa.array(np.diff(at), pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
+                points = [packed(tokens[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(texts), pa.int32()), pa.array(points, pa.binary())], names)
         used = [k for k in range(0, SLOTS, _PART) if slots[k : k + _PART].any()]
-        none = [pa.nulls(len(used), pa.int64())] * 4
-        yield pa.RecordBatch.from_arrays([*none, pa.array([slots[k : k + _PART].tobytes() for k in used], pa.binary()), pa.array(used, pa.int32())], names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), pa.int64())] * 4, pa.array(used, pa.int32()), pa.array([slots[k : k + _PART].tobytes() for k in used], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, point binary, part int")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, part int, point binary")
 
 
 def slot_counts(table: DataFrame) -> np.ndarray:
@@ -100,8 +112,11 @@ def slot_counts(table: DataFrame) -> np.ndarray:
     return out
 
 
-def block_rows(docs: DataFrame, counts: np.ndarray, shingle: int, percent: int, salt_rows: int, kept_sets: int = 1_000_000) -> DataFrame:
-    """(token, salt, salts, doc_id): the first tokens of each set, one text of each set a task."""
+def token_rows(docs: DataFrame, counts: np.ndarray, shingle: int, percent: int, salt_rows: int, kept_sets: int = 1_000_000) -> DataFrame:
+    """(token, salt, salted, central, doc_id): the first tokens of each set, one text of each set a task.
+
+    central: how crowded the slots of the set's tokens are; the base of a group of edited copies has the most.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +129,9 @@ def block_rows(docs: DataFrame, counts: np.ndarray, shingle: int, percent: int,
                 at = _bounds(owner, len(texts))
                 n = np.diff(at)
                 hashed = mix(tokens)
+                crowd = load[slot(tokens)]
+                weight = np.concatenate(([0.0], np.cumsum(np.log2(np.maximum(crowd, 1)))))
+                central = (1e4 * (weight[at[1:]] - weight[at[:-1]]) / np.maximum(n, 1)).astype(np.int32)
                 fresh = np.zeros(len(texts), bool)
                 for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                     key = (int(n[i]), int(hashed[a:b].sum()), int(tokens[a:b].sum()))
@@ -122,7 +140,6 @@ def block_rows(docs: DataFrame, counts: np.ndarray, shingle: int, percent: int,
                             seen.clear()
                         seen.add(key)
                         fresh[i] = True
-                crowd = load[slot(tokens)]
                 order = np.lexsort((hashed, crowd, owner))
                 rank = np.arange(len(tokens)) - at[owner]
                 prefix = n - -(-percent * n // 100) + 1
@@ -130,9 +147,25 @@ def block_rows(docs: DataFrame, counts: np.ndarray, shingle: int, percent: int,
                 token, doc, crowd = tokens[order][take], owner[take], crowd[order][take]
                 salts = 1 + crowd // salt_rows
                 salt = (mix(ids[begin:][doc].astype(U)) % salts.astype(U)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt, pa.int32()), pa.array(salts > 1), pa.array(ids[begin:][doc])], ["token", "salt", "salted", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt, pa.int32()), pa.array(salts > 1), pa.array(central[doc]), pa.array(ids[begin:][doc])], ["token", "salt", "salted", "central", "doc_id"])
+
+    return docs.mapInArrow(run, "token long, salt int, salted boolean, central int, doc_id long")
 
-    return docs.mapInArrow(run, "token long, salt int, salted boolean, doc_id long")
+
+def under_leaders(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(leader, doc_id), both as roots of their sets: which texts share a token whose leader this is; leaders included."""
+    place = F.struct("central", "doc_id")
+    block = Window.partitionBy("token", "salt")
+    led = rows.withColumn("top", F.max(place).over(block)).withColumn("low", F.min(place).over(block))
+    led = written(led.where("salted OR top <> low").select("token", "salted", "doc_id", "top"), "led")
+    # a salted token's leader is the most central of its parts' leaders, one row a part
+    tops = led.where("salted").groupBy("token").agg(F.max("top").alias("over"))
+    salted = led.where("salted").join(tops, "token").select("doc_id", F.col("over.doc_id").alias("leader"))
+    pairs = led.where("NOT salted").select("doc_id", F.col("top.doc_id").alias("leader")).unionByName(salted).distinct()
+    for c in ("doc_id", "leader"):
+        pairs = pairs.join(roots.select(F.col("doc_id").alias(c), F.col("root").alias("own_root")), c).drop(c).withColumnRenamed("own_root", c)
+    pairs = pairs.where("doc_id <> leader").distinct()
+    return pairs.select("leader", "doc_id").unionByName(pairs.select("leader", F.col("leader").alias("doc_id")).distinct())
 
 
 def enough(overlap, a, b, percent: int):
@@ -140,60 +173,6 @@ def enough(overlap, a, b, percent: int):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def _points(column) -> list[np.ndarray]:
-    return [np.frombuffer(b, "<u2").astype(np.int64) for b in column.to_pylist()]
-
-
-def bounded(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose points allow enough overlap."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, m = (batch.column(c).to_numpy() for c in ("na", "nb"))
-            keep = np.zeros(len(n), bool)
-            for i, (p, q) in enumerate(zip(_points(batch.column("pa")), _points(batch.column("pb")), strict=True)):
-                g = min(len(p), len(q))
-                keep[i] = enough(int(np.minimum(fold(p, g), fold(q, g)).sum()), n[i], m[i], percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
-
-    one = profiles.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    two = profiles.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
-    wide = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return wide.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, members: int = 512) -> DataFrame:
-    """The pairs (a, b) that link, by exact overlap. Texts meet under a; an a with many partners is split by salt."""
-    salts = pairs.groupBy("a").agg((F.floor(F.count(F.lit(1)) / members) + 1).cast("int").alias("salts"))
-    partners = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(True).alias("member"), F.col("b").alias("doc_id"))
-    own = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("a").alias("doc_id"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, lead, mine = Powers(), None, None
-        for batch in batches:
-            a, member, ids = (batch.column(c).to_pylist() for c in ("a", "member", "doc_id"))
-            out: list[tuple[int, int]] = []
-            for begin, texts in in_chunks(batch.column("text")):
-                owner, tokens = shingle_sets(texts, powers, shingle)
-                at = _bounds(owner, len(texts))
-                for i in range(len(texts)):
-                    tokens_i = tokens[at[i] : at[i + 1]]
-                    k = begin + i
-                    if not member[k]:
-                        lead, mine = a[k], tokens_i.copy()
-                    elif lead == a[k] and len(mine) and len(tokens_i):
-                        place = np.minimum(np.searchsorted(mine, tokens_i), len(mine) - 1)
-                        overlap = int((mine[place] == tokens_i).sum())
-                        if enough(overlap, len(mine), len(tokens_i), percent):
-                            out.append((lead, ids[k]))
-            if out:
-                x, y = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-
-    rows = docs.join(partners.unionByName(own), "doc_id").repartition("a", "salt").sortWithinPartitions("a", "salt", "member", "doc_id")
-    return rows.select("a", "member", "doc_id", "text").mapInArrow(run, "a long, b long").distinct()
-
-
 class CountTree:
     """R-tree over count vectors: nodes keep the largest coordinate of each group and the smallest set size."""
 
@@ -212,72 +191,230 @@ class CountTree:
         among = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -2, -1):
             top, least = self.levels[depth] if depth >= 0 else (self.points, self.sizes)
-            among = among[enough(np.minimum(top[among], point).sum(1), size, least[among], percent)]
+            among = among[enough(np.minimum(top[among], point).sum(1, dtype=np.int64), size, least[among], percent)]
             if depth >= 0:
                 among = (among[:, None] * LEAF + np.arange(LEAF)).ravel()
                 among = among[among < (len(self.levels[depth - 1][1]) if depth else len(self.sizes))]
         return self.order[among]
 
 
-def size_class(n):
-    """Classes of sizes a factor 4/3 apart: linked sets are in one class or in neighbouring ones."""
-    return F.floor(F.log(n) / F.lit(float(np.log(4 / 3))) + 1e-9)
+def points_of(tokens: np.ndarray, at: np.ndarray, groups: int) -> np.ndarray:
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    flat = np.bincount(owner * groups + (tokens >> U(20)).astype(np.int64) % groups, minlength=(len(at) - 1) * groups)
+    return flat.reshape(-1, groups).astype(np.uint16 if flat.max(initial=0) < 65536 else np.int64)
+
+
+def spanning_links(tokens: np.ndarray, at: np.ndarray, known: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that span the components of these sets. known: sets with one number are in one component; -1 says nothing."""
+    n = np.diff(at)
+    groups = 1 << int(np.clip(np.ceil(np.log2(max(1, np.median(n)))), 3, 12))
+    points = points_of(tokens, at, groups)
+    tree = CountTree(points, n)
+    token_id = np.unique(tokens, return_inverse=True)[1]
+    mine = np.zeros(token_id.max(initial=0) + 1, bool)
+    label = np.arange(len(n))
+    for k in np.unique(known[known >= 0]):
+        label[known == k] = np.flatnonzero(known == k)[0]
+    out: list[tuple[int, int]] = []
+    waiting = list(np.flatnonzero(n > 0))
+    passed_over: list[int] = []
+    while waiting:
+        main = np.bincount(label).argmax()
+        for i in waiting:
+            if label[i] == main:  # whoever isn't in the main component will look for it
+                passed_over.append(i)
+                continue
+            near = tree.search(points[i], n[i], percent)
+            near = near[(label[near] != label[i]) & (n[near] > 0)]
+            if not len(near):
+                continue
+            size = n[near]
+            flat = np.repeat(at[near] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            own = token_id[at[i] : at[i + 1]]
+            mine[own] = True
+            overlap = np.add.reduceat(mine[token_id[flat]], np.cumsum(size) - size, dtype=np.int64)
+            mine[own] = False
+            for j in near[enough(overlap, n[i], size, percent)].tolist():
+                if label[j] != label[i]:
+                    out.append((int(i), j))
+                    label[label == label[i]] = label[j]
+        # those passed over while another component was the main one still have to look
+        main = np.bincount(label).argmax()
+        waiting, passed_over = [i for i in passed_over if label[i] != main], [i for i in passed_over if label[i] == main]
+    return out
 
 
-def cross_pairs(members: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) between components of one block whose points allow enough overlap.
+def near_clusters(blocks: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """(leader, doc_id, known): the clusters of members whose points come near enough, each under its smallest doc_id.
 
-    members: (token, component, doc_id). Each member is indexed in its own size class and searches that one and the next.
+    Two settled members needn't meet. known: the leader that a settled member links with, else null.
     """
-    wide = members.join(profiles.select("doc_id", "n", "point"), "doc_id").withColumn("class", size_class(F.col("n")))
-    wide = wide.withColumn("class", F.explode(F.array(F.col("class"), F.col("class") + 1))).withColumn("indexed", size_class(F.col("n")) == F.col("class"))
-
-    def block(doc, component, n, points, indexed) -> Iterator[tuple[int, int]]:
-        groups = min(map(len, points))
-        matrix = np.stack([fold(p, groups) for p in points])
-        inside = np.flatnonzero(indexed)
-        tree = CountTree(matrix[inside], n[inside]) if len(inside) > 2 * LEAF else None
-        for i in range(len(doc)):
-            found = inside[tree.search(matrix[i], n[i], percent)] if tree else inside[enough(np.minimum(matrix[inside], matrix[i]).sum(1), n[inside], n[i], percent)]
-            # a pair of one class is found from either side
-            found = found[(component[found] != component[i]) & (~indexed[i] | (doc[found] < doc[i]))]
-            for j in found.tolist():
-                p, q = points[i], points[j]
-                g = min(len(p), len(q))
-                if g == groups or enough(int(np.minimum(fold(p, g), fold(q, g)).sum()), n[i], n[j], percent):
-                    yield (min(doc[i], doc[j]), max(doc[i], doc[j]))
+    keys = ["leader", "kind", "i", "j"]
+
+    def pick(rows: pa.Table) -> list[tuple[int, int, int | None]]:
+        n, settled, doc = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "settled", "doc_id"))
+        groups = min(map(n_groups, n.tolist()))
+        points = np.stack([unpacked(p, k, groups) for p, k in zip(rows.column("point").to_pylist(), n.tolist(), strict=True)])
+        label = np.arange(len(n))
+        if len(n) == 2:
+            if not settled.all() and enough(int(np.minimum(*points).sum()), n[0], n[1], percent):
+                label[:] = 0
+        else:
+            tree = CountTree(points, n)
+            for k in np.flatnonzero(~settled):
+                near = np.unique(label[tree.search(points[k], n[k], percent)])
+                if len(near) > 1:
+                    label[np.isin(label, near)] = near[0]
+        own, place, size = np.unique(label, return_inverse=True, return_counts=True)
+        least = np.full(len(own), np.iinfo(np.int64).max)
+        np.minimum.at(least, place, doc)
+        leader = rows.column("leader")[0].as_py()
+        return [(int(least[c]), int(d), leader if s else None) for d, c, s in zip(doc, place, settled, strict=True) if size[c] > 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
-            table = pa.concat_tables(held).combine_chunks()
-            keys = list(zip(table.column("token").to_pylist(), table.column("class").to_pylist(), strict=True))
-            cut = next((k + 1 for k in range(len(keys) - 2, -1, -1) if keys[k] != keys[-1]), 0)
-            if cut:
-                yield from blocks(table.slice(0, cut), keys[:cut])
-            held = [table.slice(cut)]
+            yield from of_groups(held, False)
         if held:
-            last = pa.concat_tables(held).combine_chunks()
-            yield from blocks(last, list(zip(last.column("token").to_pylist(), last.column("class").to_pylist(), strict=True)))
-
-    def blocks(table: pa.Table, keys: list) -> Iterator[pa.RecordBatch]:
-        doc, component, n, indexed = (table.column(c).to_numpy() for c in ("doc_id", "component", "n", "indexed"))
-        points = _points(table.column("point"))
-        found: set[tuple[int, int]] = set()
-        begin = 0
-        for k in range(1, len(keys) + 1):
-            if k == len(keys) or keys[k] != keys[begin]:
-                s = slice(begin, k)
-                if k - begin > 1 and component[begin:k].min() != component[begin:k].max() and indexed[s].any():
-                    found.update(block(doc[s], component[s], n[s], points[s], indexed[s]))
-                begin = k
-        if found:
-            a, b = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    rows = wide.repartition("token", "class").sortWithinPartitions("token", "class")
-    return rows.select("token", "class", "doc_id", "component", "n", "point", "indexed").mapInArrow(run, "a long, b long").distinct()
+            yield from of_groups(held, True)
+
+    def of_groups(held: list[pa.Table], last: bool) -> Iterator[pa.RecordBatch]:
+        """Picks from the groups that are complete; held keeps the rest."""
+        table = pa.concat_tables(held).combine_chunks()
+        new = np.zeros(len(table), bool)
+        for c in (table.column(k).to_numpy() for k in keys):
+            new[1:] |= c[1:] != c[:-1]
+        edge = [0, *np.flatnonzero(new).tolist(), *([len(table)] if last else [])]
+        picked = [x for a, b in zip(edge[:-1], edge[1:], strict=True) if b - a > 1 for x in pick(table.slice(a, b - a))]
+        held[:] = [table.slice(edge[-1])] if not last else []
+        if picked:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*picked, strict=True)], ["leader", "doc_id", "known"])
+
+    wide = blocks.join(profiles.select("doc_id", "n", "point").dropDuplicates(["doc_id"]), "doc_id").repartition(*keys).sortWithinPartitions(*keys)
+    near = wide.select(*keys, "doc_id", "settled", "n", "point").mapInArrow(run, "leader long, doc_id long, known long")
+    return near.groupBy("leader", "doc_id").agg(F.max("known").alias("known"))
+
+
+def _filter_places(ids: np.ndarray) -> np.ndarray:
+    h = mix(ids.astype(U))
+    return np.stack((h % U(FILTER_BITS), (h >> U(32)) * U(0x9E3779B1) % U(FILTER_BITS))).astype(np.int64)
+
+
+def only_likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most of those whose doc_id isn't among ids: a Bloom filter of fixed size, so that few texts move."""
+    part = FILTER_BITS // 256
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            own[_filter_places(batch.column("doc_id").to_numpy())] = True
+        used = [k for k in range(256) if own[k * part : (k + 1) * part].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([np.packbits(own[k * part : (k + 1) * part]).tobytes() for k in used], pa.binary())], ["part", "bits"])
+
+    def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, b in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) | np.frombuffer(b, np.uint8)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "bits"])
+
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    for row in ids.select("doc_id").mapInArrow(bits, "part int, bits binary").repartition("part").mapInArrow(union, "part int, bits binary").collect():
+        whole[row["part"] * part // 8 : (row["part"] + 1) * part // 8] = np.frombuffer(row["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(whole)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _filter_places(batch.column("doc_id").to_numpy())
+            yield batch.filter(pa.array(((shared.value[at >> 3] << (at & 7)) & 128 > 0).all(0)))
+
+    return docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, text string")
+
+
+def grouped_links(rows: DataFrame, docs: DataFrame, keys: list[str], shingle: int, percent: int, star: bool) -> DataFrame:
+    """(a, b): links within the groups of rows (keys, doc_id, known, lead).
+
+    star: compare the lead with each member and nothing else, without holding the group.
+    """
+
+    def flush(ids: list[int], known: list[int | None], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        place = {d: k for k, d in reversed(list(enumerate(ids)))}  # a repeated row is one member
+        pick = sorted(place.values())
+        ids, sets, component = [ids[k] for k in pick], [sets[k] for k in pick], [known[k] for k in pick]
+        number = {c: k for k, c in enumerate(c for c in dict.fromkeys(component) if c is not None)}
+        at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+        return [(ids[i], ids[j]) for i, j in spanning_links(np.concatenate(sets), at, np.array([number.get(c, -1) for c in component]), percent)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers, current = Powers(), None
+        ids, known, sets = [], [], []
+        for batch in batches:
+            key = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            doc, component, lead = (batch.column(c).to_pylist() for c in ("doc_id", "known", "lead"))
+            out: list[tuple[int, int]] = []
+            for begin, texts in in_chunks(batch.column("text")):
+                owner, tokens = shingle_sets(texts, powers, shingle)
+                at = _bounds(owner, len(texts))
+                for i in range(len(texts)):
+                    k, own = begin + i, tokens[at[i] : at[i + 1]].copy()
+                    if key[k] != current:
+                        if not star and len(ids) > 1:
+                            out += flush(ids, known, sets)
+                        current, ids, known, sets = key[k], [], [], []
+                    if star and ids:
+                        if lead[k] or not len(own) or not len(sets[0]):
+                            continue
+                        found = np.minimum(np.searchsorted(sets[0], own), len(sets[0]) - 1)
+                        if enough(int((sets[0][found] == own).sum()), len(sets[0]), len(own), percent):
+                            out.append((ids[0], doc[k]))
+                        continue
+                    ids.append(doc[k])
+                    known.append(component[k])
+                    sets.append(own)
+            if out:
+                yield _pairs(out)
+        if not star and len(ids) > 1 and (out := flush(ids, known, sets)):
+            yield _pairs(out)
+
+    def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    wide = docs.join(rows, "doc_id").repartition(*keys).sortWithinPartitions(*keys, F.col("lead").desc(), "doc_id")
+    return wide.select(*keys, "doc_id", "known", "lead", "text").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def blocks_of(groups: DataFrame, members: int) -> DataFrame:
+    """(leader, kind, i, j, doc_id, settled, lead): the blocks in which the members of each leader meet.
+
+    Unsettled members meet each other (kind 1) and the settled ones (kind 0), members of each at most.
+    """
+    sizes = groups.groupBy("leader").agg((F.floor(F.sum(F.col("settled").cast("int")) / members) + 1).alias("calm"), (F.floor(F.sum((~F.col("settled")).cast("int")) / members) + 1).alias("loose"), F.max("settled").alias("any_calm"))
+    placed = groups.join(sizes, "leader").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("settled"), F.col("calm")).otherwise(F.col("loose"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"))
+    of_calm = F.transform(upto("loose"), lambda j: cell(0, F.col("own"), j))
+    with_loose = F.transform(upto("loose"), lambda k: cell(1, F.least("own", k), F.greatest("own", k)))
+    with_calm = F.when(F.col("any_calm"), F.transform(upto("calm"), lambda i: cell(0, i, F.col("own")))).otherwise(F.array().cast("array<struct<kind:int,i:bigint,j:bigint>>"))
+    cells = F.when(F.col("settled"), of_calm).otherwise(F.concat(with_loose, with_calm))
+    return placed.select("leader", F.explode(cells).alias("cell"), "doc_id", "settled", (F.col("doc_id") == F.col("leader")).alias("lead")).select("leader", "cell.*", "doc_id", "settled", "lead")
+
+
+def settle_large(groups: DataFrame, docs: DataFrame, shingle: int, percent: int, members: int) -> tuple[DataFrame, DataFrame | None]:
+    """Groups with a settled flag, and the links found: members of large groups that link with their leader."""
+    size = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > members)
+    large = written(groups.join(size, "leader"), "large")
+    if large.isEmpty():
+        return groups.withColumn("settled", F.lit(False)), None
+    parts = F.floor(F.col("n") / 512) + 1
+    rows = large.where("doc_id <> leader").select("leader", F.pmod(F.xxhash64("doc_id"), parts).alias("part"), "doc_id", F.lit(False).alias("lead"))
+    heads = large.where("doc_id = leader").select("leader", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), "doc_id", F.lit(True).alias("lead"))
+    star = grouped_links(rows.unionByName(heads).withColumn("known", F.lit(None).cast("long")), docs, ["leader", "part"], shingle, percent, True)
+    star = written(star, "stars")
+    found = star.select(F.col("a").alias("leader"), F.col("b").alias("doc_id")).unionByName(star.select(F.col("a").alias("leader"), F.col("a").alias("doc_id"))).distinct().withColumn("hit", F.lit(True))
+    return groups.join(found, ["leader", "doc_id"], "left").select("leader", "doc_id", F.coalesce("hit", F.lit(False)).alias("settled")), star
 
 
 def components(links: DataFrame, most: int = 50) -> DataFrame:
@@ -304,8 +441,11 @@ def components(links: DataFrame, most: int = 50) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 
 
-def join(docs: DataFrame, shingle: int = 5, percent: int = 75, salt_rows: int = 20_000) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links of verified star and cross pairs of the text's set)."""
+def join(docs: DataFrame, shingle: int = 5, percent: int = 75, salt_rows: int = 20_000, members: int = 4096) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links): n_links counts the spanning links of the text's set.
+
+    salt_rows: tokens in a slot before its tokens are salted; members: the most that meet in one block.
+    """
     docs = columns(docs, "doc_id", "text")
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     table = written(profile(known, shingle), "profiles")
@@ -316,33 +456,18 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 75, salt_rows: int =
     first = profiles.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("root"))
     roots = written(profiles.where("n > 0").join(first, ["h1", "h2", "n"]).select("doc_id", "root").distinct(), "roots")
 
-    rows = block_rows(known, counts, shingle, percent, salt_rows)
-    block = Window.partitionBy("token", "salt")
-    rows = rows.withColumn("lead", F.min("doc_id").over(block)).withColumn("last", F.max("doc_id").over(block))
-    rows = rows.where("salted OR lead <> last").select("token", "salted", "doc_id", "lead")
-    # from here on a set's root stands for it
-    rename = lambda df, c: df.join(roots.select(F.col("doc_id").alias(c), F.col("root").alias(f"{c}_root")), c).drop(c).withColumnRenamed(f"{c}_root", c)
-    members = written(rename(rename(rows, "doc_id"), "lead").distinct(), "members")
-
-    stars = members.select(F.col("lead").alias("a"), F.col("doc_id").alias("b"))
-    heads = members.where("salted").select("token", "lead").distinct()
-    heads = heads.withColumn("a", F.min("lead").over(Window.partitionBy("token"))).select("a", F.col("lead").alias("b"))
-    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    tried = written(ordered(stars.unionByName(heads)), "tried")
-    reps = profiles.join(roots.where("doc_id = root").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = written(reps, "reps")
-    links = written(verified(written(bounded(tried, reps, percent), "pairs"), known, shingle, percent), "links")
-
-    found = components(links)
-    placed = members.select("token", "doc_id").distinct().join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("token", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    pairs = cross_pairs(placed.join(mixed, "token"), reps, percent).join(tried, ["a", "b"], "left_anti")
-    more = written(verified(written(pairs, "pairs"), known, shingle, percent), "links")
-
-    every = links.unionByName(more)
-    labels = written(components(every), "labels")
-    degree = every.select(F.explode(F.array("a", "b")).alias("root")).groupBy("root").agg(F.count(F.lit(1)).alias("n_links"))
+    groups = written(under_leaders(token_rows(known, counts, shingle, percent, salt_rows), roots), "groups")
+    groups, stars = settle_large(groups, known, shingle, percent, members)
+    near = written(near_clusters(blocks_of(groups, members), profiles, percent), "near")
+    # in a large cluster the members that link with one and the same leader needn't meet each other
+    main = near.groupBy("leader").agg(F.mode("known").alias("main"))
+    clusters = near.join(main, "leader").withColumn("settled", F.coalesce(F.col("known") == F.col("main"), F.lit(False)))
+    met = blocks_of(clusters.select("leader", "doc_id", "settled"), members).join(near, ["leader", "doc_id"])
+    links = grouped_links(met, only_likely(known, near), ["leader", "kind", "i", "j"], shingle, percent, False)
+    links = written(links.unionByName(stars).distinct() if stars else links, "links")
+
+    labels = components(links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("root")).groupBy("root").agg(F.count(F.lit(1)).alias("n_links"))
     per_doc = roots.join(labels.withColumnRenamed("node", "root"), "root", "left").join(degree, "root", "left")
     per_doc = per_doc.select("doc_id", F.coalesce("component", "root").alias("linked"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     sizes = profiles.select("doc_id", "n").distinct()
