@@ -1,0 +1,8 @@
+"""Scholarly-document analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to executors travel with their code, so workers need no installed copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
