@@ -113,7 +113,7 @@ def slot_counts(table: DataFrame) -> np.ndarray:
 
 
 def token_rows(docs: DataFrame, counts: np.ndarray, shingle: int, percent: int, salt_rows: int, kept_sets: int = 1_000_000) -> DataFrame:
-    """(token, salt, salted, central, doc_id): the first tokens of each set, one text of each set a task.
+    """(token, salt, salted, central, n, doc_id): the first tokens of each set, one text of each set a task.
 
     central: how crowded the slots of the set's tokens are; the base of a group of edited copies has the most.
     """
@@ -147,15 +147,22 @@ def token_rows(docs: DataFrame, counts: np.ndarray, shingle: int, percent: int,
                 token, doc, crowd = tokens[order][take], owner[take], crowd[order][take]
                 salts = 1 + crowd // salt_rows
                 salt = (mix(ids[begin:][doc].astype(U)) % salts.astype(U)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt, pa.int32()), pa.array(salts > 1), pa.array(central[doc]), pa.array(ids[begin:][doc])], ["token", "salt", "salted", "central", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt, pa.int32()), pa.array(salts > 1), pa.array(central[doc]), pa.array(n[doc], pa.int32()), pa.array(ids[begin:][doc])], ["token", "salt", "salted", "central", "n", "doc_id"])
 
-    return docs.mapInArrow(run, "token long, salt int, salted boolean, central int, doc_id long")
+    return docs.mapInArrow(run, "token long, salt int, salted boolean, central int, n int, doc_id long")
 
 
-def under_leaders(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """(leader, doc_id), both as roots of their sets: which texts share a token whose leader this is; leaders included."""
+def under_leaders(rows: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """(leader, doc_id), both as roots of their sets: which texts share a token whose leader this is; leaders included.
+
+    Two sets whose sizes are too far apart can't link, so a member of a block stays only if the next smaller or the next
+    larger one is near enough in size; most texts that share a token by chance go with that.
+    """
     place = F.struct("central", "doc_id")
     block = Window.partitionBy("token", "salt")
+    by_size = block.orderBy("n", "doc_id")
+    near = (F.lag("n").over(by_size) * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.lead("n").over(by_size) * percent)
+    rows = rows.withColumn("near", F.col("salted") | near).where("near").drop("near")
     led = rows.withColumn("top", F.max(place).over(block)).withColumn("low", F.min(place).over(block))
     led = written(led.where("salted OR top <> low").select("token", "salted", "doc_id", "top"), "led")
     # a salted token's leader is the most central of its parts' leaders, one row a part
@@ -456,7 +463,7 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 75, salt_rows: int =
     first = profiles.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("root"))
     roots = written(profiles.where("n > 0").join(first, ["h1", "h2", "n"]).select("doc_id", "root").distinct(), "roots")
 
-    groups = written(under_leaders(token_rows(known, counts, shingle, percent, salt_rows), roots), "groups")
+    groups = written(under_leaders(token_rows(known, counts, shingle, percent, salt_rows), roots, percent), "groups")
     groups, stars = settle_large(groups, known, shingle, percent, members)
     near = written(near_clusters(blocks_of(groups, members), profiles, percent), "near")
     # in a large cluster the members that link with one and the same leader needn't meet each other
