@@ -108,3 +108,18 @@ def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, shard_bytes
                 )
 
     return R.runs_by_document(docs, rows, resolved).select("doc_id", "text", "runs").mapInArrow(finish, "doc_id long, n_words long, removed array<boolean>, kept string")
+
+
+ORACLE = r"""
+WITH l AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents),
+p AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM l),
+s AS (SELECT doc_id, i, string_agg(word, ' ') OVER w AS seq, count(*) OVER w AS n FROM p
+      WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+f AS (SELECT seq, min(doc_id) AS first_doc FROM s WHERE n = 13 GROUP BY seq),
+h AS (SELECT s.doc_id, s.i FROM s JOIN f ON s.seq = f.seq WHERE s.n = 13 AND f.first_doc < s.doc_id),
+g AS (SELECT DISTINCT doc_id, i + k AS i FROM h, range(0, 13) AS t(k)),
+m AS (SELECT p.*, g.i IS NOT NULL AS gone FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.i = g.i)
+SELECT l.doc_id, len(l.l)::BIGINT AS n_words, count(*) FILTER (WHERE m.gone)::BIGINT AS n_removed,
+       sha256(coalesce(string_agg(m.word, ' ' ORDER BY m.i) FILTER (WHERE NOT m.gone), '')) AS kept_sha256
+FROM l LEFT JOIN m ON m.doc_id = l.doc_id GROUP BY l.doc_id, len(l.l)
+"""
