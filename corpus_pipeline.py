@@ -40,7 +40,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, jaccard.join(docs).where("component_id <> doc_id"), "left_anti").dropDuplicates(["doc_id"])
+    kept = _only(docs, jaccard.join(docs).where("component_id <> doc_id"), "left_anti")
+    # repeated rows have one doc_id and are one document
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
