@@ -279,10 +279,10 @@ def pagerank_converged(spark, sf_dir):
 
 @query(f"""+ {_RANKS}, a AS (SELECT src AS node_id, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges),
 b AS (SELECT a.node_id, count(DISTINCT node_type)::BIGINT AS types, count(*)::BIGINT AS degree FROM a JOIN nodes o ON o.node_id = a.other GROUP BY a.node_id)
-SELECT b.node_id, b.types, b.degree, round(score * types * (degree / n.n), 12) AS bridge FROM b JOIN s10 ON s10.node_id = b.node_id, n WHERE score * types * (degree / n.n) > 0.00001""")
+SELECT b.node_id, b.types, b.degree, round(score * types * (degree / n.n), 12) AS bridge FROM b JOIN s10 ON s10.node_id = b.node_id, n WHERE score * types * (degree / n.n) > 0.00000001""")
 def bridging_concepts(spark, sf_dir):
     g = fixture.graph(spark, sf_dir)
-    out = A.bridging(g, A.pagerank(g, iterations=10, tolerance=None), cut=0.00001)
+    out = A.bridging(g, A.pagerank(g, iterations=10, tolerance=None), cut=0.00000001)
     return out.select("node_id", "types", "degree", F.round("bridge", 12).alias("bridge"))
 
 
@@ -318,10 +318,10 @@ def all_paths(spark, sf_dir):
 @query(f"""SELECT a.r AS a, b.r AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)), 9) AS similarity
 FROM (SELECT min('p' || p_partkey) AS r, s FROM (SELECT p_partkey, list_sort(list_distinct({SPLIT.format(LOWER.format('p_name'))})) AS s FROM part) GROUP BY s) a
 JOIN (SELECT min('p' || p_partkey) AS r, s FROM (SELECT p_partkey, list_sort(list_distinct({SPLIT.format(LOWER.format('p_name'))})) AS s FROM part) GROUP BY s) b ON a.r < b.r
-WHERE len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)) >= 0.4""", uses_graph=False)
+WHERE len(list_intersect(a.s, b.s)) / len(list_distinct(a.s || b.s)) >= 0.3""", uses_graph=False)
 def similar_nodes(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), F.col("p_name").alias("content"))
-    return A.similar_nodes(parts, 0.4).withColumn("similarity", F.round("similarity", 9))
+    return A.similar_nodes(parts, 0.3).withColumn("similarity", F.round("similarity", 9))
 
 
 @query("SELECT 'o' || l_orderkey AS a, 'p' || l_partkey AS b, round(sum(l_discount), 6) AS strength FROM lineitem GROUP BY 1, 2", uses_graph=False)
@@ -421,7 +421,8 @@ _COSINE = "round(list_cosine_similarity(e.embedding::DOUBLE[], (SELECT embedding
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, object]:
     vectors = table(spark, sf_dir, "embeddings")
-    return vectors, vectors.where("vec_id = 0").select("embedding").scalar()
+    wanted = vectors.where("vec_id = 0").select("embedding").first()["embedding"]
+    return vectors, F.array(*[F.lit(float(x)) for x in wanted])
 
 
 @query(f"SELECT vec_id, {_COSINE} AS score FROM embeddings e ORDER BY score DESC, vec_id LIMIT 5", uses_graph=False)
@@ -540,12 +541,12 @@ def command_class_counts(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id::VARCHAR AS doc_id, unnest(['Section', 'Text', 'Math', 'Text', 'Citation', 'Command', 'Text', 'Reference']) AS type,
-unnest([source, 'Body ' || {_BODY} || ' ', 'x', ' end ', doc_id::VARCHAR, '\\alpha{{a}}', 'b', 'eq']) AS content FROM documents""".replace("{{", "{").replace("}}", "}"), uses_graph=False)
+unnest([source, ' Body ' || {_BODY} || ' ', 'x', ' end ', doc_id::VARCHAR, '\\alpha{{a}}', 'b', 'eq']) AS content FROM documents""".replace("{{", "{").replace("}}", "}"), uses_graph=False)
 def nested_nodes(spark, sf_dir):
     return latex.ast_nodes(fixture.latex(spark, sf_dir)).where("type <> 'Document' AND trim(content) <> ''").select("doc_id", "type", "content")
 
 
-@query(f"SELECT doc_id::VARCHAR AS doc_id, source AS section, 'Body ' || {_BODY} || ' $x$ end b' AS content, doc_id || ',eq' AS refs FROM documents", uses_graph=False)
+@query(f"SELECT doc_id::VARCHAR AS doc_id, source AS section, ' Body ' || {_BODY} || ' $x$ end b' AS content, doc_id || ',eq' AS refs FROM documents", uses_graph=False)
 def section_chunks(spark, sf_dir):
     made = rendering.sections(latex.ast_nodes(fixture.latex(spark, sf_dir)))
     return made.where("section <> ''").select("doc_id", "section", F.rtrim("content").alias("content"), F.array_join("references", ",").alias("refs"))
@@ -573,13 +574,13 @@ def graph_node_ids(spark, sf_dir):
     return rendering.graph_nodes(latex.ast_nodes(fixture.latex(spark, sf_dir), "strict")).select("doc_id", "node_id", "node_type")
 
 
-@query("""SELECT d.source AS doc_id, d.doc_id AS node, coalesce(d.lang, 'none') AS label, l.target FROM documents d
+@query("""SELECT d.source AS doc_id, d.doc_id AS node, coalesce(d.lang, 'none') AS label, coalesce(l.target, -1)::BIGINT AS target FROM documents d
 LEFT JOIN (SELECT source, lang, max_by(doc_id, doc_id) AS target FROM documents WHERE lang <> 'es' GROUP BY source, lang) l ON l.source = d.source AND l.lang = coalesce(d.lang, 'none')""", uses_graph=False)
 def label_resolution(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     labels = docs.where("lang <> 'es'").select(F.col("source").alias("doc_id"), F.col("lang").alias("label"), F.col("doc_id").alias("node_id"), F.col("doc_id").alias("ord"))
     references = docs.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("node"), F.coalesce("lang", F.lit("none")).alias("label"))
-    return syntax.resolve_labels(references, labels).select("doc_id", "node", "label", "target")
+    return syntax.resolve_labels(references, labels).select("doc_id", "node", "label", F.coalesce("target", F.lit(-1).cast("long")).alias("target"))
 
 
 # --- people and entities ----------------------------------------------------------------------------------------------
