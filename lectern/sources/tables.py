@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,9 +24,37 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when Python ends."""
+    path = f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
+
+
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing will read again."""
+    delete(spark, path)
+    if (spark, path) in _SCRATCH:
+        _SCRATCH.remove((spark, path))
+
+
+@atexit.register
+def _release() -> None:
+    for spark, path in _SCRATCH:
+        try:
+            delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone, and with it the way to the folder
+            return
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and outlives a lost executor."""
-    path = f"{shared_dir(df.sparkSession)}/lectern-{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
