@@ -1,19 +1,16 @@
-"""Reading, scratch tables and label access shared by the operators."""
+"""What the operators share: their input columns, the held-out fold, bounded training samples."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
+from ..sources.tables import drop_scratch, scratch_path, written
+from ..sources.tables import table as read
 
+__all__ = ["columns", "drop_scratch", "held_out", "read", "scratch_path", "training_keys", "written"]
 
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+MOST_CLASSES = 1000
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
@@ -22,62 +19,22 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[n].cast(kinds[n]).alias(n) if n in kinds else df[n] for n in names])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lectern-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-@atexit.register
-def _release_at_exit() -> None:
-    for spark, path in _SCRATCH:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone, and with it the way to the folder
-            return
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
-    _SCRATCH.append((spark, path))
-    return path
-
-
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing will read again."""
-    _delete(spark, path)
-    if (spark, path) in _SCRATCH:
-        _SCRATCH.remove((spark, path))
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and outlives a lost executor."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: Column) -> Column:
     """Whether crc32 of the decimal doc_id leaves remainder 1 modulo 3; such rows are never learnt from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def training_keys(labels: DataFrame, label: str, cap: int) -> DataFrame:
-    """(doc_id, y) of labelled rows outside the held-out fold: of each label at most cap, the first by a hash of doc_id.
+    """(doc_id, y) of labelled rows outside the held-out fold: of each label at most cap, by a hash of doc_id.
 
-    cap is a documented parameter of each classifier; it bounds what reaches the driver or is broadcast.
+    cap is a documented parameter of each classifier; it bounds what reaches the driver or is broadcast, as does the
+    limit to the 1,000 commonest labels. A threshold on the hash, set by the label's count, thins the rows before they
+    meet, so that no task sees all rows of a label.
     """
     lab = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels[label].alias("y"))
     lab = lab.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    counts = lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "y").limit(MOST_CLASSES)
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    thinned = lab.join(F.broadcast(counts), "y").where(share * F.col("n") < 2 * cap + 100)
     place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    return lab.withColumn("place", place).where(F.col("place") <= cap).select("doc_id", "y")
+    return thinned.withColumn("place", place).where(F.col("place") <= cap).select("doc_id", "y")
