@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text
 from ..sources.tables import written
 from .graph import Graph, grown
+from .numbering import numbered
 
 
 def _without(graph: Graph, nodes: DataFrame, *types: str) -> DataFrame:
@@ -48,11 +49,8 @@ def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 100, toleran
 def ranked(graph: Graph, digits: int = 12, **options) -> DataFrame:
     """(node_id, score, place): nodes by importance; scores that agree in so many digits are ties, by node_id."""
     scores = pagerank(graph, **options).withColumn("score", F.round("score", digits))
-    counted = scores.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
-    # places from counts of higher scores: the running sum sees distinct scores only
-    above = counted.withColumn("above", F.coalesce(F.sum("n").over(Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("score").orderBy("node_id"))
-    return scores.join(above.select("score", "above"), "score").withColumn("place", F.col("above") + within).select("node_id", "score", "place")
+    placed = numbered(scores, F.col("score").desc(), "node_id")
+    return placed.select("node_id", "score", (F.col("index") + 1).alias("place"))
 
 
 def bridging(graph: Graph, scores: DataFrame, cut: float = 0.5) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from .graph import Graph, grown, methodology_phases, roots
+from .numbering import numbered
 
 DOT_HEAD = ("  rankdir=LR;", '  node [shape=box, style=filled, fontname="Arial"];', "  concentrate=true;", "  compound=true;")
 MAP_HEAD = ("  rankdir=TB;", '  node [shape=box, style=filled, fontname="Arial"];', "  concentrate=true;")
@@ -116,19 +117,9 @@ def subgraph_lines(nodes: DataFrame, name: str) -> DataFrame:
     return _clusters(nodes, F.lit(name), F.lit(name), (), node, 1, True)
 
 
-def _dense(nodes: DataFrame) -> DataFrame:
-    """nodes with index: place by id from 0, numbered range by range, so that no task sees all ids."""
-    ranged = nodes.repartitionByRange("node_id").withColumn("range", F.spark_partition_id())
-    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("size"), F.min("node_id").alias("low"))
-    before = sizes.select("low", F.coalesce(F.sum("size").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("low").over(Window.orderBy("low")).alias("next"))
-    # a row for each range: its number is that of the shuffle's partitions
-    placed = nodes.join(F.broadcast(before), (F.col("node_id") >= F.col("low")) & (F.col("next").isNull() | (F.col("node_id") < F.col("next"))))
-    return placed.withColumn("index", F.col("before") + F.row_number().over(Window.partitionBy("low").orderBy("node_id")) - 1).drop("low", "next", "before")
-
-
 def knowledge_nodes(graph: Graph) -> DataFrame:
     """(index, id, type, content) with the names that exports use."""
-    return _dense(graph.nodes).select("index", F.col("node_id").alias("id"), type_name(F.col("node_type")).alias("type"), "content")
+    return numbered(graph.nodes, "node_id").select("index", F.col("node_id").alias("id"), type_name(F.col("node_type")).alias("type"), "content")
 
 
 def knowledge_edges(graph: Graph, metadata: DataFrame | None = None) -> DataFrame:

@@ -10,7 +10,6 @@ sections is the intended reading: a chunk for each section, with its references,
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa

@@ -199,3 +199,12 @@ def test_environments_sections_and_citations(spark):
     assert ids(T1) == ["1_12_sectionIntro", "2_12_citedoe2001"]
     assert ids("\\author{A, B} \\foo $\\beta$ \\ref{x}") == ["1_12_authorAB", "2_2_author_a", "3_2_author_b", "4_12_foo", "5_13_beta", "6_12_refx", "7_6_x"]
     assert rendering.graph_nodes(nodes, False).where("node_type = 'Citation'").count() == 1
+
+
+def test_extractors(spark):
+    from lectern.functions import text as T
+
+    row = spark.createDataFrame([("\\author{Ann Lee \\and Bo {Ng}} \\affiliation{U {of} A} \\affiliation[x]{B} \\subsection{Deep {er}} \\includegraphics[w=1]{a.png} \\caption{C}",)], "s string")
+    s = F.col("s")
+    got = row.select(T.author_names(s), T.affiliations(s), T.section_name(s), T.graphics_file(s), T.figure_caption(s), T.citation_keys(F.lit(" a, ,b ")), T.without_newlines(F.lit("a\r\nb")), T.year(F.lit("x1999 in 2001,")), T.valid_utf8(F.lit("ok"))).first()
+    assert list(got) == [["Ann Lee", "Bo Ng"], ["U {of", "B"], "Deep {er}", "a.png", "C", ["a", "b"], "ab", "2001", "ok"]
