@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._bytes import SPACE, Block, Powers, in_chunks
 from ._common import columns, held_out, training_keys, written
-from .perplexity import SYMBOLS, statistics
+from .perplexity import statistics
 
 PUNCTUATION = b".,;:?'\"-()"
 
