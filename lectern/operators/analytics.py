@@ -22,14 +22,17 @@ def _without(graph: Graph, nodes: DataFrame, *types: str) -> DataFrame:
 def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, each: int = 5) -> DataFrame:
     """(node_id, score): every edge counts, parallel ones too; what reaches a node without outgoing edges is lost.
 
-    The weighted edges are hashed by source once and read from there in every round. Every few rounds the scores are
-    written to the shared folder; then, and only then, the L1 change is looked at (tolerance None: never).
+    The weighted edges are dealt out by source once and kept, so a round shuffles only the flows, summed by task first; a
+    lost part is read again from the written table. Every few rounds the scores are written to the shared folder; then,
+    and only then, the L1 change is looked at (tolerance None: never).
     """
     n = graph.nodes.count()
+    parts = int(graph.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     degree = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     weighted = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(degree, "src")
     weighted = written(weighted.select("src", "dst", (F.col("k") / F.col("degree")).alias("share")), "shares")
-    ids = written(graph.nodes.select("node_id"), "ids")
+    weighted = weighted.repartition(parts, "src").persist()
+    ids = written(graph.nodes.select("node_id"), "ids").repartition(parts, "node_id").persist()
     scores = ids.withColumn("score", F.lit(1.0 / n if n else 0.0))
     before = scores
     for k in range(1, iterations + 1):
@@ -43,6 +46,8 @@ def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 100, toleran
                 change = scores.join(before.withColumnRenamed("score", "old"), "node_id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
                 if change is not None and change < tolerance:
                     break
+    weighted.unpersist()
+    ids.unpersist()
     return scores
 
 

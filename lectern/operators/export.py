@@ -9,6 +9,7 @@ from ..functions import fixed
 from .graph import Graph, grown, methodology_phases, roots
 from .numbering import numbered
 
+# The settings that the three kinds of DOT files begin with.
 DOT_HEAD = ("  rankdir=LR;", '  node [shape=box, style=filled, fontname="Arial"];', "  concentrate=true;", "  compound=true;")
 MAP_HEAD = ("  rankdir=TB;", '  node [shape=box, style=filled, fontname="Arial"];', "  concentrate=true;")
 FLOW_HEAD = ("  rankdir=LR;", '  node [shape=box, style=filled, fontname="Arial"];')

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..sources.tables import keyed_write
 
+# Sizes, the default title, and the instruction of the chat model.
 CHUNK_BYTES = 40_000
 METADATA_BYTES = 40_960
 DIMENSION = 1536
 TOP_K = 5
 NO_TITLE = "Title not listed."
+INSTRUCTION = "You are an AI assistant helping to answer questions based on the provided context. Use the context to answer the question thoroughly, including any relevant affiliations and references."
 
 
 def split_text(value: Column, most: int = CHUNK_BYTES, strict: bool = False) -> Column:
@@ -194,9 +196,6 @@ def contexts(matches: DataFrame) -> DataFrame:
     return matches.withColumn("context", F.concat_ws("\n", line("### Source: ", m["source_file"], "Unknown Source"), line("Section Title: ", m["section_title"], "No Title"), line("Content: ", m["content"], "No Content"), several("Authors: ", m["authors"]), several("Affiliations: ", m["affiliations"]), several("References: ", m["references"])))
 
 
-INSTRUCTION = "You are an AI assistant helping to answer questions based on the provided context. Use the context to answer the question thoroughly, including any relevant affiliations and references."
-
-
 def prompt(context_rows: DataFrame, question: str, order: list[str]) -> DataFrame:
     """(prompt): the contexts in order, blank lines between, and the question. The matches are few: k an index."""
     together = context_rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "context"))), lambda x: x["context"]), "\n\n").alias("all"))

@@ -344,12 +344,12 @@ def methodology_chain(spark, sf_dir):
     return A.methodology_flow(g, g.of_type("Section"))
 
 
-@query(f"""+ f AS (SELECT DISTINCT src AS claim, src AS node_id, 0 AS depth FROM edges WHERE edge_type IN ({_types(fixed.CLAIM_EDGES)}) AND src LIKE 'n%'
+@query(f"""+ f AS (SELECT DISTINCT src AS claim, src AS node_id, 0 AS depth FROM edges WHERE edge_type IN ({_types(fixed.CLAIM_EDGES)})
 UNION SELECT f.claim, e.dst, f.depth + 1 FROM f JOIN edges e ON e.src = f.node_id AND e.edge_type IN ({_types(fixed.EVIDENCE_EDGES)}) WHERE f.depth < 12)
 SELECT claim, node_id, min(depth)::INT AS depth, pow(0.5, min(depth)) AS strength FROM f GROUP BY claim, node_id HAVING min(depth) > 0""", recursive=True)
 def supporting_nodes(spark, sf_dir):
     g = fixture.graph(spark, sf_dir)
-    claims = g.edges_of(*fixed.CLAIM_EDGES).where("src LIKE 'n%'").select(F.col("src").alias("node_id")).distinct()
+    claims = g.edges_of(*fixed.CLAIM_EDGES).select(F.col("src").alias("node_id")).distinct()
     return A.supporting_nodes(g, claims)
 
 
