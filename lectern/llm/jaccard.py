@@ -260,18 +260,26 @@ def near_clusters(blocks: DataFrame, profiles: DataFrame, percent: int) -> DataF
 
     def pick(rows: pa.Table) -> list[tuple[int, int, int | None]]:
         n, settled, doc = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "settled", "doc_id"))
-        groups = min(map(n_groups, n.tolist()))
-        points = np.stack([unpacked(p, k, groups) for p, k in zip(rows.column("point").to_pylist(), n.tolist(), strict=True)])
+        stored, coarse = rows.column("point").to_pylist(), np.array([n_groups(k) for k in n.tolist()])
         label = np.arange(len(n))
-        if len(n) == 2:
-            if not settled.all() and enough(int(np.minimum(*points).sum()), n[0], n[1], percent):
-                label[:] = 0
-        else:
-            tree = CountTree(points, n)
-            for k in np.flatnonzero(~settled):
-                near = np.unique(label[tree.search(points[k], n[k], percent)])
-                if len(near) > 1:
-                    label[np.isin(label, near)] = near[0]
+        # linked sets have as many groups or twice as many, so each size is searched for among itself and the next
+        for groups in np.unique(coarse).tolist():
+            among = np.flatnonzero((coarse == groups) | (coarse == 2 * groups))
+            if len(among) < 2 or settled[among].all():
+                continue
+            points = np.stack([unpacked(stored[k], n[k], groups) for k in among])
+            tree = CountTree(points, n[among]) if len(among) > 2 else None
+            for k in np.flatnonzero(coarse[among] == groups):
+                if tree:
+                    near = tree.search(points[k], n[among[k]], percent)
+                else:
+                    near = np.flatnonzero(enough(np.minimum(points, points[k]).sum(1, dtype=np.int64), n[among], n[among[k]], percent))
+                near = among[near]
+                if settled[among[k]]:
+                    near = near[~settled[near]]
+                met = np.unique(label[np.append(near, among[k])])
+                if len(met) > 1:
+                    label[np.isin(label, met)] = met[0]
         own, place, size = np.unique(label, return_inverse=True, return_counts=True)
         least = np.full(len(own), np.iinfo(np.int64).max)
         np.minimum.at(least, place, doc)
