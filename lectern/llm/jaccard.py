@@ -404,9 +404,11 @@ def grouped_links(rows: DataFrame, docs: DataFrame, keys: list[str], shingle: in
 def blocks_of(groups: DataFrame, members: int) -> DataFrame:
     """(leader, kind, i, j, doc_id, settled, lead): the blocks in which the members of each leader meet.
 
-    Unsettled members meet each other (kind 1) and the settled ones (kind 0), members of each at most.
+    groups: (leader, doc_id, settled, weight). Unsettled members meet each other (kind 1) and the settled ones (kind 0),
+    of each a weight of about members at most, so that a block of long texts has fewer.
     """
-    sizes = groups.groupBy("leader").agg((F.floor(F.sum(F.col("settled").cast("int")) / members) + 1).alias("calm"), (F.floor(F.sum((~F.col("settled")).cast("int")) / members) + 1).alias("loose"), F.max("settled").alias("any_calm"))
+    parts = lambda of: (F.floor(F.sum(F.when(of, F.col("weight")).otherwise(0.0)) / members) + 1).cast("long")
+    sizes = groups.groupBy("leader").agg(parts(F.col("settled")).alias("calm"), parts(~F.col("settled")).alias("loose"), F.max("settled").alias("any_calm"))
     placed = groups.join(sizes, "leader").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("settled"), F.col("calm")).otherwise(F.col("loose"))))
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     cell = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.cast("long").alias("i"), j.cast("long").alias("j"))
@@ -459,7 +461,8 @@ def components(links: DataFrame, most: int = 50) -> DataFrame:
 def join(docs: DataFrame, shingle: int = 5, percent: int = 75, salt_rows: int = 20_000, members: int = 4096) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): n_links counts the spanning links of the text's set.
 
-    salt_rows: tokens in a slot before its tokens are salted; members: the most that meet in one block.
+    salt_rows: tokens in a slot before its tokens are salted; members: the most that meet in one block, a long
+    text counting once for each thousand shingles.
     """
     docs = columns(docs, "doc_id", "text")
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -473,11 +476,12 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 75, salt_rows: int =
 
     groups = written(under_leaders(token_rows(known, counts, shingle, percent, salt_rows), roots, percent), "groups")
     groups, stars = settle_large(groups, known, shingle, percent, members)
-    near = written(near_clusters(blocks_of(groups, members), profiles, percent), "near")
+    near = written(near_clusters(blocks_of(groups.withColumn("weight", F.lit(1.0)), members), profiles, percent), "near")
     # in a large cluster the members that link with one and the same leader needn't meet each other
     main = near.groupBy("leader").agg(F.mode("known").alias("main"))
     clusters = near.join(main, "leader").withColumn("settled", F.coalesce(F.col("known") == F.col("main"), F.lit(False)))
-    met = blocks_of(clusters.select("leader", "doc_id", "settled"), members).join(near, ["leader", "doc_id"])
+    weight = profiles.groupBy("doc_id").agg(F.greatest(F.lit(1.0), F.max("n") / 1000).alias("weight"))
+    met = blocks_of(clusters.select("leader", "doc_id", "settled").join(weight, "doc_id"), members).join(near, ["leader", "doc_id"])
     links = grouped_links(met, only_likely(known, near), ["leader", "kind", "i", "j"], shingle, percent, False)
     links = written(links.unionByName(stars).distinct() if stars else links, "links")
 
