@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
+_SCRATCH: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,24 +32,25 @@ def delete(spark: SparkSession, path: str) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; what is written there goes when Python ends."""
     path = f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
-    _SCRATCH.append((spark, path))
+    _SCRATCH.append(path)
     return path
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that nothing will read again."""
     delete(spark, path)
-    if (spark, path) in _SCRATCH:
-        _SCRATCH.remove((spark, path))
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
 
 
 @atexit.register
 def _release() -> None:
-    for spark, path in _SCRATCH:
-        try:
+    spark = SparkSession.getActiveSession() if _SCRATCH else None
+    try:
+        for path in _SCRATCH if spark else ():
             delete(spark, path)
-        except Exception:  # noqa: BLE001 - the session may be gone, and with it the way to the folder
-            return
+    except Exception:  # noqa: BLE001 - the session may be gone, and with it the way to the folder
+        return
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
