@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import BYTE_CODE, Block, Powers, U, in_chunks, mix, prefix_hashes, sliding_min, span
+from ._common import written
 
 SEGMENT = "g long, c long, doc_id long, start int, n int, anchor int, settled boolean"
 _POSITION = U(31)  # bits that a position takes beside the truncated hash; fixed, so that ties fall alike everywhere
@@ -190,7 +191,7 @@ def pieces(docs: DataFrame, judged_rows: DataFrame, units: Callable, width: int,
 
 
 def by_key(rows: DataFrame, work: Callable, schema: str, limit: int) -> DataFrame:
-    """work(pandas-free column dict) on runs of whole keys, of about limit bytes of pieces each."""
+    """work(Arrow table) on runs of whole keys, of about limit bytes of pieces each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -213,6 +214,36 @@ def by_key(rows: DataFrame, work: Callable, schema: str, limit: int) -> DataFram
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
+def resolved(found: DataFrame, work: Callable, cut: Callable, later_in_document: bool, schema: str, limit: int, hot_rows: int) -> DataFrame:
+    """Windows of the pieces that start earlier elsewhere: work() on whole keys, or hashes where a key has too many rows.
+
+    work holds the pieces of a key together. Keys of more than hot_rows pieces are cut into windows (cut(piece, n)) and
+    these compared by 128-bit hashes, which Spark sums up by task first and may split; no group is ever held.
+    """
+    rows = written(found, "pieces")
+    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows).select("key")
+    if hot.isEmpty():
+        return by_key(rows, work, schema, limit)
+    hot = written(hot, "hot")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            digests = [xxhash.xxh128_digest(w) for p, k in zip(batch.column("piece").to_pylist(), n.tolist(), strict=True) for w in cut(p, k)]
+            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = np.repeat(batch.column("start").to_numpy(), n) + step
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.repeat(batch.column("doc_id").to_numpy(), n)), pa.array(start, pa.int32())], ["digest", "doc_id", "start"])
+
+    windows = written(rows.join(hot, "key", "left_semi").select("doc_id", "start", "n", "piece").mapInArrow(run, "digest binary, doc_id long, start int"), "windows")
+    place = F.struct("doc_id", "start")
+    first = windows.groupBy("digest").agg(F.min(place).alias("first"))
+    later = place > F.col("first") if later_in_document else F.col("doc_id") > F.col("first.doc_id")
+    removed = windows.join(first, "digest").where(later).select("doc_id", "start", F.lit(1).alias("n"))
+    return by_key(rows.join(hot, "key", "left_anti"), work, schema, limit).unionByName(removed)
+
+
 def runs_by_document(docs: DataFrame, judged_rows: DataFrame, resolved: DataFrame) -> DataFrame:
     """Every document with its runs of repeated windows (start, n); null where it has none."""
     found = judged_rows.where("whole").select("doc_id", "start", "n").unionByName(resolved)

@@ -73,11 +73,16 @@ def repeated(table: pa.Table, depth: int) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first], pa.int32()), pa.array(start[last] - start[first] + 1, pa.int32())], ["doc_id", "start", "n"])
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 100, gram: int = 32, shard_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, n_bytes, spans array of removed (start, end) runs of bytes, kept binary)."""
+def remove_repeats(docs: DataFrame, threshold: int = 100, gram: int = 32, shard_bytes: int = 8 << 20, hot_rows: int = 100_000) -> DataFrame:
+    """(doc_id, n_bytes, spans array of removed (start, end) runs of bytes, kept binary).
+
+    shard_bytes: bytes that are sorted at once; hot_rows: pieces of one content beyond which windows go by hashes.
+    """
     docs = columns(docs, "doc_id", "text")
     rows = written(R.judged(R.segments(docs, R.byte_units, threshold, gram, True), True), "bytespans")
-    resolved = R.by_key(R.pieces(docs, rows, R.byte_units, threshold, gram), lambda t: repeated(t, threshold), RUN, shard_bytes)
+    cut = lambda piece, n: [piece[j : j + threshold] for j in range(n)]
+    ragged = R.pieces(docs, rows, R.byte_units, threshold, gram)
+    resolved = R.resolved(ragged, lambda t: repeated(t, threshold), cut, True, RUN, shard_bytes, hot_rows)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])

@@ -78,12 +78,20 @@ def _steps(counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, shard_bytes: int = 8 << 20) -> DataFrame:
-    """(doc_id, n_words, removed array<boolean> or null where nothing goes, kept string)."""
+def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, shard_bytes: int = 8 << 20, hot_rows: int = 100_000) -> DataFrame:
+    """(doc_id, n_words, removed array<boolean> or null where nothing goes, kept string).
+
+    shard_bytes: texts in an automaton's shard; hot_rows: pieces of one content beyond which windows go by hashes.
+    """
     docs = columns(docs, "doc_id", "text")
     rows = written(R.judged(R.segments(docs, R.word_units, window, gram, False), False), "passages")
     ragged = R.pieces(docs, rows, _word_pieces, window, gram)
-    resolved = R.by_key(ragged, lambda t: locate(t, window), RUN, shard_bytes)
+
+    def cut(piece: bytes, n: int) -> list[bytes]:
+        words = piece.split(b" ")
+        return [b" ".join(words[j : j + window]) for j in range(n)]
+
+    resolved = R.resolved(ragged, lambda t: locate(t, window), cut, False, RUN, shard_bytes, hot_rows)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

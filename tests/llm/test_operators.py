@@ -64,8 +64,8 @@ def mark(flags, at, n):
     flags[at : at + n] = [True] * n
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_passages_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 10**6), (2, 1), (3, 2)])
+def test_passages_against_brute_force(spark, seed, hot):
     rows = corpus(seed)
     docs = {i: WORD.findall(t) for i, t in distinct_docs(rows).items()}
     first = {}
@@ -79,7 +79,7 @@ def test_passages_against_brute_force(spark, seed):
             if first[tuple(w[k : k + 13])] < i:
                 mark(gone, k, 13)
         want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
-    out = passages.remove_repeats(table(spark, rows), shard_bytes=400)
+    out = passages.remove_repeats(table(spark, rows), shard_bytes=400, hot_rows=hot)
     n, got = by_doc(out.select("doc_id", "n_words", F.expr("coalesce(size(filter(removed, x -> x)), 0)").alias("n"), "kept"))
     got = {i: (a, max(b, 0), c) for i, (a, b, c) in got.items()}
     assert n == len(rows)
@@ -87,8 +87,8 @@ def test_passages_against_brute_force(spark, seed):
     assert got == want
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_bytespans_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 10**6), (2, 1), (3, 2)])
+def test_bytespans_against_brute_force(spark, seed, hot):
     rows = corpus(seed)
     docs = {i: t.encode() for i, t in distinct_docs(rows).items()}
     seen, want = set(), {}
@@ -101,7 +101,7 @@ def test_bytespans_against_brute_force(spark, seed):
             seen.add(t[k : k + 100])
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         want[i] = (len(t), sum(gone), spans, bytes(b for b, g in zip(t, gone) if not g))
-    out = bytespans.remove_repeats(table(spark, rows), shard_bytes=1000)
+    out = bytespans.remove_repeats(table(spark, rows), shard_bytes=1000, hot_rows=hot)
     n, got = by_doc(out.select("doc_id", "n_bytes", F.expr("n_bytes - length(kept)").alias("n"), F.size("spans"), "kept"))
     assert n == len(rows)
     assert got.pop(None)[1] == 0
