@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
@@ -99,18 +99,37 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:total], x[width - have : width - have + total])
 
 
-def texts_of(column) -> list[bytes]:
-    """An Arrow string column as bytes; null reads as empty."""
+def in_chunks(column, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """(index of the first row, texts) for bounded pieces of an Arrow text column; null reads as empty."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
-    return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
+    data = column.cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(data), 0).to_pylist()
+    for a, b in chunks(sizes, limit):
+        yield a, [t or b"" for t in data.slice(a, b - a).to_pylist()]
 
 
-def in_chunks(column, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
-    """(index of the first row, texts) for bounded pieces of an Arrow text column."""
-    texts = texts_of(column)
-    for a, b in chunks([len(t) for t in texts], limit):
-        yield a, texts[a:b]
+def tidy(run: Callable) -> Callable:
+    """run, and afterwards give back the memory that a reused Python worker would hold on to."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library
+
+    return wrapped
 
 
 def shingle_sets(texts: list[bytes], powers: Powers, k: int = 5) -> tuple[np.ndarray, np.ndarray]:

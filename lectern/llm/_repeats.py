@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import BYTE_CODE, Block, Powers, U, in_chunks, mix, prefix_hashes, sliding_min, span
+from ._bytes import BYTE_CODE, U, Block, Powers, in_chunks, mix, prefix_hashes, sliding_min, span, tidy
 from ._common import written
 
 SEGMENT = "g long, c long, doc_id long, start int, n int, anchor int, settled boolean"
@@ -116,7 +116,7 @@ def segments(docs: DataFrame, units: Callable, width: int, gram: int, later_in_d
         if rows:
             yield _settle([np.concatenate(x) for x in zip(*held, strict=True)], later_in_document)
 
-    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(run, SEGMENT)
+    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(tidy(run), SEGMENT)
 
 
 def judged(segment: DataFrame, later_in_document: bool) -> DataFrame:
@@ -187,7 +187,7 @@ def pieces(docs: DataFrame, judged_rows: DataFrame, units: Callable, width: int,
                     piece = [data[x:y] for x, y in zip(u.low[first].tolist(), ends.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[begin:][own]), pa.array(first - u.first[own], pa.int32()), pa.array(count, pa.int32()), pa.array(piece, pa.binary())], ["key", "doc_id", "start", "n", "piece"])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "seg").mapInArrow(run, "key long, doc_id long, start int, n int, piece binary")
+    return docs.join(wanted, "doc_id").select("doc_id", "text", "seg").mapInArrow(tidy(run), "key long, doc_id long, start int, n int, piece binary")
 
 
 def by_key(rows: DataFrame, work: Callable, schema: str, limit: int) -> DataFrame:
@@ -211,7 +211,7 @@ def by_key(rows: DataFrame, work: Callable, schema: str, limit: int) -> DataFram
         if held:
             yield from work(pa.concat_tables(held).combine_chunks())
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), schema)
 
 
 def resolved(found: DataFrame, work: Callable, cut: Callable, later_in_document: bool, schema: str, limit: int, hot_rows: int) -> DataFrame:
@@ -236,7 +236,7 @@ def resolved(found: DataFrame, work: Callable, cut: Callable, later_in_document:
             start = np.repeat(batch.column("start").to_numpy(), n) + step
             yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.repeat(batch.column("doc_id").to_numpy(), n)), pa.array(start, pa.int32())], ["digest", "doc_id", "start"])
 
-    windows = written(rows.join(hot, "key", "left_semi").select("doc_id", "start", "n", "piece").mapInArrow(run, "digest binary, doc_id long, start int"), "windows")
+    windows = written(rows.join(hot, "key", "left_semi").select("doc_id", "start", "n", "piece").mapInArrow(tidy(run), "digest binary, doc_id long, start int"), "windows")
     place = F.struct("doc_id", "start")
     first = windows.groupBy("digest").agg(F.min(place).alias("first"))
     later = place > F.col("first") if later_in_document else F.col("doc_id") > F.col("first.doc_id")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _repeats as R
-from ._bytes import Block, in_chunks
+from ._bytes import Block, in_chunks, tidy
 from ._common import columns, written
 from .passages import RUN, _steps
 
@@ -102,4 +102,4 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, gram: int = 32, shard_
                     ["doc_id", "n_bytes", "spans", "kept"],
                 )
 
-    return R.runs_by_document(docs, rows, resolved).select("doc_id", "text", "runs").mapInArrow(finish, "doc_id long, n_bytes long, spans array<struct<start: int, end: int>>, kept binary")
+    return R.runs_by_document(docs, rows, resolved).select("doc_id", "text", "runs").mapInArrow(tidy(finish), "doc_id long, n_bytes long, spans array<struct<start: int, end: int>>, kept binary")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import Powers, in_chunks, mix, shingle_sets
+from ._bytes import Powers, in_chunks, mix, shingle_sets, tidy
 from ._common import columns
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -105,7 +105,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent:
                         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
-        return docs.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long, containment double")
+        return docs.mapInArrow(tidy(run), "doc_id long, item_id long, n_item long, n_shared long, containment double")
 
     return reduce(DataFrame.unionByName, map(scan, range(blocks)))
 

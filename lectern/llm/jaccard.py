@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import Powers, U, in_chunks, mix, shingle_sets
+from ._bytes import U, Powers, in_chunks, mix, shingle_sets, tidy
 from ._common import columns, written
 
 SLOTS = 1 << 18
@@ -92,7 +92,7 @@ def profile(docs: DataFrame, shingle: int) -> DataFrame:
         used = [k for k in range(0, SLOTS, _PART) if slots[k : k + _PART].any()]
         yield pa.RecordBatch.from_arrays([*[pa.nulls(len(used), pa.int64())] * 4, pa.array(used, pa.int32()), pa.array([slots[k : k + _PART].tobytes() for k in used], pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, part int, point binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, h1 long, h2 long, part int, point binary")
 
 
 def slot_counts(table: DataFrame) -> np.ndarray:
@@ -107,7 +107,7 @@ def slot_counts(table: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "point"])
 
     out = np.zeros(SLOTS, np.int64)
-    for row in table.where("part IS NOT NULL").select("part", "point").repartition("part").mapInArrow(run, "part int, point binary").collect():
+    for row in table.where("part IS NOT NULL").select("part", "point").repartition("part").mapInArrow(tidy(run), "part int, point binary").collect():
         out[row["part"] : row["part"] + _PART] = np.frombuffer(row["point"], np.int64)
     return out
 
@@ -149,7 +149,7 @@ def token_rows(docs: DataFrame, counts: np.ndarray, shingle: int, percent: int,
                 salt = (mix(ids[begin:][doc].astype(U)) % salts.astype(U)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt, pa.int32()), pa.array(salts > 1), pa.array(central[doc]), pa.array(n[doc], pa.int32()), pa.array(ids[begin:][doc])], ["token", "salt", "salted", "central", "n", "doc_id"])
 
-    return docs.mapInArrow(run, "token long, salt int, salted boolean, central int, n int, doc_id long")
+    return docs.mapInArrow(tidy(run), "token long, salt int, salted boolean, central int, n int, doc_id long")
 
 
 def under_leaders(rows: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
@@ -307,7 +307,7 @@ def near_clusters(blocks: DataFrame, profiles: DataFrame, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*picked, strict=True)], ["leader", "doc_id", "known"])
 
     wide = blocks.join(profiles.select("doc_id", "n", "point").dropDuplicates(["doc_id"]), "doc_id").repartition(*keys).sortWithinPartitions(*keys)
-    near = wide.select(*keys, "doc_id", "settled", "n", "point").mapInArrow(run, "leader long, doc_id long, known long")
+    near = wide.select(*keys, "doc_id", "settled", "n", "point").mapInArrow(tidy(run), "leader long, doc_id long, known long")
     return near.groupBy("leader", "doc_id").agg(F.max("known").alias("known"))
 
 
@@ -336,7 +336,7 @@ def only_likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["part", "bits"])
 
     whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in ids.select("doc_id").mapInArrow(bits, "part int, bits binary").repartition("part").mapInArrow(union, "part int, bits binary").collect():
+    for row in ids.select("doc_id").mapInArrow(tidy(bits), "part int, bits binary").repartition("part").mapInArrow(tidy(union), "part int, bits binary").collect():
         whole[row["part"] * part // 8 : (row["part"] + 1) * part // 8] = np.frombuffer(row["bits"], np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(whole)
 
@@ -345,7 +345,7 @@ def only_likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
             at = _filter_places(batch.column("doc_id").to_numpy())
             yield batch.filter(pa.array(((shared.value[at >> 3] << (at & 7)) & 128 > 0).all(0)))
 
-    return docs.select("doc_id", "text").mapInArrow(keep, "doc_id long, text string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(keep), "doc_id long, text string")
 
 
 def grouped_links(rows: DataFrame, docs: DataFrame, keys: list[str], shingle: int, percent: int, star: bool) -> DataFrame:
@@ -398,7 +398,7 @@ def grouped_links(rows: DataFrame, docs: DataFrame, keys: list[str], shingle: in
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     wide = docs.join(rows, "doc_id").repartition(*keys).sortWithinPartitions(*keys, F.col("lead").desc(), "doc_id")
-    return wide.select(*keys, "doc_id", "known", "lead", "text").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return wide.select(*keys, "doc_id", "known", "lead", "text").mapInArrow(tidy(run), "a long, b long").where("a <> b").distinct()
 
 
 def blocks_of(groups: DataFrame, members: int) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import LOWER, SPACE, Block, in_chunks
+from ._bytes import LOWER, SPACE, Block, in_chunks, tidy
 from ._common import columns, held_out, training_keys
 
 BITS = 16
@@ -121,7 +121,7 @@ def train(docs: DataFrame, cap: int = 500, pieces: int = 3, piece_bytes: int = 1
                         if len(found):
                             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin + i, 1), pa.array([k], pa.int32()), batch.column("y").slice(begin + i, 1), pa.array([found.astype("<u2").tobytes()], pa.binary()), pa.array([n.astype("<f4").tobytes()], pa.binary())], ["doc_id", "k", "y", "bucket", "n"])
 
-    sample = chosen.mapInArrow(run, "doc_id long, k int, y string, bucket binary, n binary").toPandas().sort_values(["doc_id", "k"])
+    sample = chosen.mapInArrow(tidy(run), "doc_id long, k int, y string, bucket binary, n binary").toPandas().sort_values(["doc_id", "k"])
     if not len(sample):
         return None
     model = Model(sorted(sample["y"].unique()))
@@ -152,7 +152,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     lang, score, sure = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), pa.array(lang, pa.string()), pa.array(score), pa.array(sure)], ["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def identify(docs: DataFrame, cap: int = 500) -> DataFrame:

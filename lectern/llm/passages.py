@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _repeats as R
-from ._bytes import Block, in_chunks
+from ._bytes import Block, in_chunks, tidy
 from ._common import columns, written
 
 RUN = "doc_id long, start int, n int"
@@ -115,7 +115,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, shard_bytes
                     ["doc_id", "n_words", "removed", "kept"],
                 )
 
-    return R.runs_by_document(docs, rows, resolved).select("doc_id", "text", "runs").mapInArrow(finish, "doc_id long, n_words long, removed array<boolean>, kept string")
+    return R.runs_by_document(docs, rows, resolved).select("doc_id", "text", "runs").mapInArrow(tidy(finish), "doc_id long, n_words long, removed array<boolean>, kept string")
 
 
 ORACLE = r"""

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._bytes import in_chunks, tidy
 from ._common import columns
 
 MARK = "▁"
@@ -84,7 +85,7 @@ class ChunkTable:
         return total[np.concatenate(([0], np.cumsum(per_text)))], ids, decoded
 
 
-def encode(docs: DataFrame, model_path: str, max_chunks: int = 400_000, batch_chars: int = 1 << 22) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, max_chunks: int = 200_000, batch_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every whole text. model_path is read on the driver and sent along."""
     with open(model_path, "rb") as f:
         model = f.read()
@@ -92,15 +93,9 @@ def encode(docs: DataFrame, model_path: str, max_chunks: int = 400_000, batch_ch
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(model, max_chunks)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            begin, chars = 0, 0
-            for i, t in enumerate(texts):
-                chars += len(t)
-                if chars < batch_chars and i + 1 < len(texts):
-                    continue
-                ends, ids, decoded = table.encode(texts[begin : i + 1])
+            for begin, data in in_chunks(batch.column("text"), batch_bytes):
+                ends, ids, decoded = table.encode([t.decode("utf-8") for t in data])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, i + 1 - begin), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
-                begin, chars = i + 1, 0
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(data)), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return columns(docs, "doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return columns(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import SPACE, Block, Powers, in_chunks
+from ._bytes import SPACE, Block, Powers, in_chunks, tidy
 from ._common import columns, held_out, training_keys, written
 from .perplexity import statistics
 
@@ -123,7 +123,7 @@ def classify(docs: DataFrame, labels: DataFrame, cap: int = 8000, threshold: flo
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_STATISTICS).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), lists], ["doc_id", "x"])
 
-    table = written(docs.mapInArrow(measure, "doc_id long, x array<double>"), "statistics")
+    table = written(docs.mapInArrow(tidy(measure), "doc_id long, x array<double>"), "statistics")
     keys = training_keys(labels.where("quality IN (0, 1)"), "quality", cap)
     sample = table.join(F.broadcast(keys), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")  # 2 * cap rows
     x = np.array(sample["x"].tolist()).reshape(len(sample), N_STATISTICS)
@@ -134,5 +134,5 @@ def classify(docs: DataFrame, labels: DataFrame, cap: int = 8000, threshold: flo
             values = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, N_STATISTICS)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.score(values))], ["doc_id", "score"])
 
-    out = table.mapInArrow(run, "doc_id long, score double")
+    out = table.mapInArrow(tidy(run), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._bytes import in_chunks, tidy
 from ._common import columns, held_out, training_keys
 from .quality import Discriminant
 
@@ -278,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 2000) -> Machine | None
                 rows.append(" ".join(sorted(units)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y").cast(pa.int32()), pa.array(rows, pa.string())], ["doc_id", "y", "units"])
 
-    chosen = docs.join(F.broadcast(keys), "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, units string")
+    chosen = docs.join(F.broadcast(keys), "doc_id").select("doc_id", "y", "text").mapInArrow(tidy(run), "doc_id long, y int, units string")
     sample = chosen.toPandas().drop_duplicates("doc_id").sort_values("doc_id")  # 2 * cap rows
     at: dict[str, int] = {}
     bags = [np.array([at.setdefault(u, len(at)) for u in row.split()], int) for row in sample["units"]]
@@ -293,16 +294,15 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 2000) -> Machine | None
     return machine
 
 
-def predict(docs: DataFrame, machine: Machine | None, cached: int = 1_000_000) -> DataFrame:
+def predict(docs: DataFrame, machine: Machine | None, cached: int = 400_000) -> DataFrame:
     """(doc_id, score) of every whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, known = shared.value, {}
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for begin in range(0, len(texts), 512):
-                part = [tokens_of(t or "") for t in texts[begin : begin + 512]]
+            for begin, texts in in_chunks(batch.column("text")):
+                part = [tokens_of(t.decode("utf-8")) for t in texts]
                 if found:
                     if len(known) > cached:
                         known.clear()
@@ -317,7 +317,7 @@ def predict(docs: DataFrame, machine: Machine | None, cached: int = 1_000_000) -
                     score = np.zeros(len(part))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(part)), pa.array(score)], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, cap: int = 2000, threshold: float = 0.7) -> DataFrame:
