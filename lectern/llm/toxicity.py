@@ -6,8 +6,9 @@ string is compared window by window of m + 2, and the best counts: else long str
 units: its words in lower case without punctuation and with common digit-for-letter swaps undone, and runs of single
 letters written apart, joined. Long units are taken in overlapping pieces, whole.
 
-Landmarks are word beginnings that occur in many toxic training texts and hardly in others, chosen greedily until the
-toxic texts are covered a few times. A unit's feature vector is its kernel values with the landmarks, divided by each landmark's
+Landmarks are word beginnings that occur in three toxic training texts of the sample at least and hardly in clean ones
+(all labelled clean texts outside the held-out fold are counted), chosen greedily until the toxic texts are covered a few
+times or have no more of them. A unit's feature vector is its kernel values with the landmarks, divided by each landmark's
 own, times the inverse root of the landmarks' kernel matrix (Nystrom); a linear SVM with squared hinge loss is
 trained on it by Newton steps. Training units come from labelled sentences: a text counts as toxic for one of its sentences at least, so
 the witnesses are its units on the right side so far, chosen anew in each round, against all units of clean sentences.
@@ -16,7 +17,8 @@ A sentence's margin is that of its worst unit and a text's that of its worst sen
 A unit shares almost no subsequence with a landmark when it lacks its letters; such pairs are set to zero by a letter
 mask (part of the kernel's definition here) and never computed. Each task scores a distinct unit once.
 
-The fit uses a bounded sample: cap labelled rows of each class, the first by a hash of doc_id.
+The fit uses a bounded sample: cap labelled rows of each class, the first by a hash of doc_id. A word beginning in fewer
+than three toxic texts of the sample, copies counted once, is no landmark.
 
 Defined cases: null, empty or white-space texts have no unit and get the score of the smallest margin; if no landmark
 can be learnt (no toxic or no clean rows, an empty table) every score is 0; repeated rows get equal scores; a null
@@ -217,44 +219,79 @@ class Machine:
             margin = x @ self.weight + self.bias
         worst, y = np.array([margin[bag].max() if len(bag) else self.bias for bag in bags]), np.array(labels)
         told = (y == 0) | (worst >= 0)  # toxic texts without a witness say nothing about the curve
-        self.curve = Discriminant._calibrate(worst[told], y[told])
+        self.curve = Discriminant._calibrate(np.minimum(worst[told], 1), y[told])
 
     def score(self, margin: np.ndarray) -> np.ndarray:
+        """Margins above the SVM's target of one say no more: they are sums over landmarks that are forms of one word."""
         a, b = self.curve
-        return 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(a * np.minimum(margin, 1) + b, -30, 30)))
 
 
-def choose_landmarks(bags: list[np.ndarray], labels: list[int], units: list[str], most: int = 48, short: int = 4, long: int = 9, support: int = 3, purity: float = 0.9, cover: int = 3) -> list[str]:
-    """Word beginnings that mark toxic texts, greedily until each text has cover of them or none is in support texts.
+def heads_of(unit: str, short: int = 4, long: int = 9) -> list[str]:
+    """The beginnings of a unit that may be landmarks."""
+    return [unit[:k] for k in range(short, min(len(unit), long) + 1)]
 
-    Texts whose six smallest unit hashes agree count as copies of one text, so that its rare words gain no weight.
-    """
+
+def without_copies(bags: list[np.ndarray], units: list[str], size: int = 24) -> list[np.ndarray]:
+    """One text of each group of near copies: those that share half of their smallest unit hashes with one kept before."""
     hashes = np.array([zlib.crc32(u.encode()) for u in units], np.int64)
-    seen: set[tuple] = set()
-    single: dict[int, list[np.ndarray]] = {0: [], 1: []}
-    for bag, y in zip(bags, labels, strict=True):
-        sketch = (y, *np.sort(hashes[bag])[:6].tolist())
-        if sketch not in seen:
-            seen.add(sketch)
-            single[y].append(bag)
-    heads = lambda bag: {units[i][:k] for i in bag.tolist() for k in range(short, min(len(units[i]), long) + 1)}
-    support = max(support, len(single[1]) // 40)
-    toxic: Counter[str] = Counter()
-    for bag in single[1]:
-        toxic.update(heads(bag))
-    toxic = Counter({h: n for h, n in toxic.items() if n >= support})
-    clean: Counter[str] = Counter()
-    for bag in single[0]:
-        clean.update(heads(bag) & toxic.keys())
-    ratio = max(1, len(single[0])) / max(1, len(single[1]))
-    good = {h for h, n in toxic.items() if n * ratio / (n * ratio + clean[h] * 4) >= purity}
+    out: list[np.ndarray] = []
+    holders: dict[int, list[int]] = {}
+    for bag in bags:
+        sketch = np.sort(hashes[bag])[:size].tolist()
+        shared = Counter(i for h in sketch for i in holders.get(h, ()))
+        if shared and 2 * max(shared.values()) >= len(sketch):
+            continue
+        for h in sketch:
+            holders.setdefault(h, []).append(len(out))
+        out.append(bag)
+    return out
+
+
+def pure(toxic: int, clean: int, ratio: float, purity: float = 0.9) -> bool:
+    """Whether toxic texts, at ratio clean texts each, hold a head so much more often than clean ones."""
+    return toxic * ratio / (toxic * ratio + clean * 4) >= purity
+
+
+def candidates(toxic: list[np.ndarray], clean: list[np.ndarray], units: list[str], support: int = 3) -> set[str]:
+    """Heads that support toxic texts hold, and hardly a clean one of the sample.
+
+    Support doesn't grow with the sample, so that a rare insult or one of a minority language counts like any other;
+    what is in so few toxic texts by chance is told by the clean texts of the whole corpus (clean_counts).
+    """
+    heads = lambda bag: {h for i in bag.tolist() for h in heads_of(units[i])}
+    found: Counter[str] = Counter()
+    for bag in toxic:
+        found.update(heads(bag))
+    found = Counter({h: n for h, n in found.items() if n >= support})
+    other: Counter[str] = Counter()
+    for bag in clean:
+        other.update(heads(bag) & found.keys())
+    ratio = max(1, len(clean)) / max(1, len(toxic))
+    return {h for h, n in found.items() if pure(n, other[h], ratio)}
+
+
+def choose_landmarks(toxic: list[np.ndarray], units: list[str], clean: dict[str, int], n_clean: int, support: int = 3, cover: int = 3) -> list[str]:
+    """Of the heads in clean (with the clean texts that hold them, of n_clean), those that mark toxic texts: greedily,
+    until each text has cover of them or its own are used up. Nothing but the sample bounds their number.
+
+    Texts that have cover already are no evidence for a further head, so it is held against the clean texts anew.
+    """
+    ratio = max(1, n_clean) / max(1, len(toxic))
+    heads = lambda bag: {h for i in bag.tolist() for h in heads_of(units[i])}
+    whole: Counter[str] = Counter(h for bag in toxic for h in heads(bag) & clean.keys())
+    good = {h for h, n in whole.items() if pure(n, clean[h], ratio)}
     found: list[str] = []
-    left = [[heads(bag) & good, cover] for bag in single[1]]
-    while len(found) < most:
+    left = [[x, cover] for bag in toxic if (x := heads(bag) & good)]
+    while left:
         tally = Counter(h for x, _ in left for h in x)
-        most_common = max(tally.values(), default=0)
-        if most_common < support:
-            break
+        tally = Counter({h: n for h, n in tally.items() if n >= support and pure(n, clean[h], ratio)})
+        if not tally:  # what is left is for texts that have none yet
+            left = [x for x in left if x[1] == cover]
+            tally = Counter(h for x, _ in left for h in x)
+            if not tally:
+                break
+        most_common = max(tally.values())
         # of those nearly as common, the longest says most
         best = max((h for h in tally if tally[h] >= 0.9 * most_common), key=lambda h: (len(h), tally[h], h))
         found.append(best)
@@ -267,6 +304,40 @@ def choose_landmarks(bags: list[np.ndarray], labels: list[int], units: list[str]
     return found
 
 
+def clean_counts(docs: DataFrame, labels: DataFrame, heads: set[str], cached: int = 400_000) -> tuple[dict[str, int], int]:
+    """How many clean training texts hold each head, and how many there are: all labelled ones, not the sample's.
+
+    Each text becomes the few heads it holds before it meets its label. Equal texts count once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(heads)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted, known = shared.value, set()
+        first = {h[:4] for h in wanted}
+        hits: dict[str, list[str]] = {}
+        for batch in batches:
+            for begin, texts in in_chunks(batch.column("text")):
+                if len(known) > cached:
+                    known.clear()
+                    hits.clear()
+                held = []
+                for tokens in (tokens_of(t.decode("utf-8")) for t in texts):
+                    new = tokens - known
+                    known |= new
+                    for t in new:
+                        own = [h for p in cut(unit_of(t)) if p[:4] in first for h in heads_of(p) if h in wanted]
+                        if own:
+                            hits[t] = own
+                    held.append(["", *{h for t in tokens & hits.keys() for h in hits[t]}])  # "" is in every text
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(begin, len(texts)) for c in ("doc_id", "copy")), pa.array(held, pa.list_(pa.string()))], ["doc_id", "copy", "heads"])
+
+    clean = labels.where("toxic = 0").select(labels["doc_id"].cast("bigint").alias("doc_id")).where(~held_out(F.col("doc_id"))).distinct()
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("copy")).mapInArrow(tidy(run), "doc_id long, copy long, heads array<string>").join(clean, "doc_id")
+    rows = texts.select("copy", F.explode("heads").alias("head")).distinct().groupBy("head").agg(F.count(F.lit(1)).alias("n")).collect()
+    found = {r["head"]: r["n"] for r in rows}
+    return {h: found.get(h, 0) for h in heads}, found.get("", 0)
+
+
 def train(docs: DataFrame, labels: DataFrame, cap: int = 2000) -> Machine | None:
     """A machine from labelled rows; cap bounds the texts of each class, and with it what reaches the driver."""
     keys = training_keys(labels.where("toxic IN (0, 1)"), "toxic", cap)
@@ -286,7 +357,11 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 2000) -> Machine | None
     labels_, units = sample["y"].tolist(), list(at)
     if len(set(labels_)) < 2:
         return None
-    landmarks = choose_landmarks(bags, labels_, units)
+    toxic, clean = (without_copies([bag for bag, y in zip(bags, labels_, strict=True) if y == k], units) for k in (1, 0))
+    heads = candidates(toxic, clean, units)
+    if not heads:
+        return None
+    landmarks = choose_landmarks(toxic, units, *clean_counts(docs, labels, heads))
     if not landmarks:
         return None
     machine = Machine(landmarks)

@@ -341,6 +341,30 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.classify(docs, none).collect()} == {0.0}
 
 
+def test_toxicity_learns_rare_insults_and_those_of_each_language(spark):
+    """Rare words and a second language's must not vanish beside common ones when the sample grows."""
+    r, tongues = random.Random(5), {"en": vocabulary(5, 300), "xx": ["ß" + w for w in vocabulary(6, 300)]}
+    common, rare, other = ["dunderhead", "nincompoop", "blatherskite"], "fopdoodle", "ßlumpenhund"
+    rows, labels, kinds = [], [], {}
+    for k in range(1800):
+        kind = "rare" if k < 24 else "xx" if k < 48 else "common" if k < 600 else "clean"
+        w = [r.choice(tongues["xx" if kind == "xx" or k % 9 == 8 else "en"]) for _ in range(r.randint(15, 60))]
+        if kind != "clean":
+            w.insert(r.randrange(len(w)), {"rare": rare, "xx": other}.get(kind) or r.choice(common))
+        kinds[k] = kind
+        # only a few of the rare ones are labelled, hence learnt from
+        labels += [(k, 1, int(kind != "clean"))] if kind in ("common", "clean") or k % 4 == 0 else []
+        rows.append((k, " ".join(w)))
+    got = {x["doc_id"]: x for x in toxicity.classify(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    learnt = {kind: sum(not got[k]["held_out"] for k, _, y in labels if y and kinds[k] == kind) for kind in ("rare", "xx", "common")}
+    assert all(3 <= learnt[x] < learnt["common"] // 40 for x in ("rare", "xx")), learnt
+    held = [k for k in got if got[k]["held_out"]]
+    for kind, least in (("rare", 1.0), ("xx", 1.0), ("common", 0.97)):
+        own = [got[k]["predicted"] for k in held if kinds[k] == kind]
+        assert len(own) >= 5 and sum(own) / len(own) >= least, kind
+    assert sum(got[k]["predicted"] for k in held if kinds[k] == "clean") <= 0.02 * len(held)
+
+
 def test_subsequence_kernel_against_definition():
     from itertools import combinations
 
