@@ -289,6 +289,16 @@ def test_perplexity_rejects_what_no_text_looks_like(spark):
     assert [i for i, k in kept.items() if not k] == [99]
 
 
+def test_perplexity_rejects_signs_after_each_word(spark):
+    r, words = random.Random(8), vocabulary(8, 200)
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.choice([40, 100, 250])))) for k in range(600)]
+    rows += [(900 + k, " ".join(w + sign for w in t.split())) for k, (sign, (_, t)) in enumerate(zip(["***", "%%%", "$$$", "###"] * 5, [x for x in rows if len(x[1]) > 600], strict=False))]
+    got = {x["doc_id"]: x for x in perplexity.judge(table(spark, rows)).collect()}
+    assert not any(x["base_failed"] for x in got.values())
+    assert not any(got[k]["kept"] for k in got if k >= 900)
+    assert sum(not got[k]["kept"] for k in got if k < 900) <= 3
+
+
 LANGUAGES = {"en": "the of and to in that is was for with as on be at by".split(), "de": "der die das und nicht ein ich sich mit auf für ist".split(), "fr": "le la les des et une est que pour dans qui élève".split()}
 
 
