@@ -324,6 +324,14 @@ def similar_nodes(spark, sf_dir):
     return A.similar_nodes(parts, 0.3).withColumn("similarity", F.round("similarity", 9))
 
 
+@query(f"""SELECT 'p' || p_partkey AS node_id, min('p' || p_partkey) OVER (PARTITION BY s) AS rep
+FROM (SELECT p_partkey, list_sort(list_distinct({SPLIT.format(LOWER.format('p_name'))})) AS s FROM part) WHERE len(s) > 0""", uses_graph=False)
+def similar_nodes_members(spark, sf_dir):
+    """Every node with the one that stands for it in similar_nodes."""
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node_id"), F.col("p_name").alias("content"))
+    return A.equal_nodes(parts)
+
+
 @query("SELECT 'o' || l_orderkey AS a, 'p' || l_partkey AS b, round(sum(l_discount), 6) AS strength FROM lineitem GROUP BY 1, 2", uses_graph=False)
 def relationship_strength(spark, sf_dir):
     edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.col("l_discount").alias("confidence"))

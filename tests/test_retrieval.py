@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text
 from lectern.operators import entities, retrieval
+from lectern.plans import catalog
 from lectern.sources import documents, papers, tables
 from lectern.streaming import edges
 
@@ -99,6 +100,21 @@ def test_many_queries(spark):
         assert [got[q, p] for p in range(1, 5)] == np.argsort(-exact[:, q])[:4].tolist()
 
 
+@pytest.mark.parametrize("name", ["similar_nodes_members"])
+def test_whole_tables_against_sql(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    for t in ("embeddings", "part", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    got = catalog.QUERIES[name](spark, folder)
+    sql = db.execute(f"SELECT {', '.join(got.columns)} FROM ({catalog.ORACLES[name]})").fetchall()
+    assert len(sql) >= 50
+    shown = lambda rows: sorted(tuple(round(v, 8) if isinstance(v, float) else v for v in r) for r in rows)
+    assert shown(tuple(r) for r in got.collect()) == shown(sql)
+
+
 def test_chain_model():
     model = entities.ChainModel().fit(rounds=30)
     assert model.predict([("WORD=John", "CAP"), ("WORD=Doe", "CAP")]) == ["AUTHOR", "AUTHOR"]
