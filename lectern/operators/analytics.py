@@ -305,6 +305,14 @@ def related_concepts(edges: DataFrame, concept: str, least: float = 0.5) -> Data
     return out.unionByName(sure.where(F.col("dst") == concept).select(F.col("src").alias("node_id"), "edge_type", "confidence"))
 
 
+def related_to_each(edges: DataFrame, concepts: DataFrame, least: float = 0.5) -> DataFrame:
+    """(concept, node_id, edge_type, confidence): related_concepts of each concept (concept)."""
+    sure = edges.where(F.col("confidence") >= least)
+    out = sure.select(F.col("src").alias("concept"), F.col("dst").alias("node_id"), "edge_type", "confidence")
+    both = out.unionByName(sure.select(F.col("dst").alias("concept"), F.col("src").alias("node_id"), "edge_type", "confidence"))
+    return both.join(concepts.select("concept").distinct(), "concept", "left_semi")
+
+
 def methodology_flow(graph: Graph, starts: DataFrame, most: int = 100) -> DataFrame:
     """(start, node_id, depth): what follows each start (node_id) over MethodologyFlow."""
     return grown(starts.select(F.col("node_id").alias("start"), "node_id"), graph.edges_of("MethodologyFlow"), ["start"], most)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -167,27 +168,51 @@ def nearest_by_index(vectors: DataFrame, query: Column, key: str = "id", index:
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
 
-def nearest_many(vectors: DataFrame, queries: np.ndarray, key: str = "id", k: int = TOP_K, vector: str = "embedding") -> DataFrame:
-    """(query, place, key, score) for a block of query vectors: one matrix product a batch, k candidates a task."""
+def nearest_many(vectors: DataFrame, queries: np.ndarray, key: str = "id", k: int = TOP_K, vector: str = "embedding", index: str | None = None, digits: int | None = None, cells: int = 1 << 20) -> DataFrame:
+    """(query, place, key, score) for a block of query vectors: matrix products of so many cells, k candidates a task.
+
+    index: a column; each query has its k nearest of each of its values, which is returned too. digits: scores are
+    rounded to so many before they are ranked, so that equal vectors tie.
+    """
     wanted = np.asarray(queries, np.float64)
     wanted = wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-12)
-    kind = dict(vectors.dtypes)[key]
+    kinds, own = dict(vectors.dtypes), [key] + ([index] if index else [])
+    by = ["query"] + own[1:]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame({"query": [], key: [], "score": []})
-        for batch in batches:
-            if len(batch):
-                matrix = np.stack(batch[vector].to_numpy()).astype(np.float64)
-                score = matrix @ wanted.T / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-                long = pd.DataFrame({"query": np.tile(np.arange(len(wanted)), len(batch)), key: np.repeat(batch[key].to_numpy(), len(wanted)), "score": score.ravel()})
-                best = pd.concat([best, long]).sort_values(["query", "score", key], ascending=[True, False, True]).groupby("query").head(k)
-        yield best.astype({"query": int})
-
-    scored = vectors.select(key, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"query int, {key} {kind}, score double")
-    place = F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), key))
+        best = None
+        step = max(1, cells // max(1, len(wanted)))
+        for batch in (b.iloc[at : at + step] for b in batches for at in range(0, len(b), step)):
+            matrix = np.stack(batch[vector].to_numpy()).astype(np.float64)
+            score = matrix @ wanted.T / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+            score = score if digits is None else np.round(score, digits)
+            long = pd.DataFrame({"query": np.tile(np.arange(len(wanted)), len(batch)), "score": score.ravel()} | {c: np.repeat(batch[c].to_numpy(), len(wanted)) for c in own})
+            best = (long if best is None else pd.concat([best, long])).sort_values([*by, "score", key], ascending=[True] * len(by) + [False, True]).groupby(by, dropna=False).head(k)
+        if best is not None:
+            yield best[["query", *own, "score"]]
+
+    scored = vectors.select(*own, vector).where(F.col(vector).isNotNull()).mapInPandas(run, f"query int, {', '.join(f'{c} {kinds[c]}' for c in own)}, score double")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("score").desc(), key))
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
 
+def nearest_in_blocks(vectors: DataFrame, queries: DataFrame, key: str = "id", k: int = TOP_K, vector: str = "embedding", index: str | None = None, digits: int | None = None, block: int = 1024) -> DataFrame:
+    """nearest_many for every row of queries, about block of them at a time; query is the row's key."""
+    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("vector")).where(F.col("vector").isNotNull())
+    blocks = -(-asked.count() // block) or 1
+    kind = dict(asked.dtypes)["query"]
+    parts = []
+    for b in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).orderBy("query").collect()
+        if not rows and (parts or b + 1 < blocks):
+            continue
+        matrix = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.zeros((0, 1))
+        names = F.array(*[F.lit(r["query"]) for r in rows]).cast(f"array<{kind}>")
+        found = nearest_many(vectors if rows else vectors.limit(0), matrix, key, k, vector, index, digits)
+        parts.append(found.withColumn("query", F.get(names, F.col("query"))))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def contexts(matches: DataFrame) -> DataFrame:
     """matches (…, metadata) with context: six lines a match, defaults for what is missing."""
     m = F.col("metadata")

@@ -344,6 +344,14 @@ def related_concepts(spark, sf_dir):
     return A.related_concepts(edges, "p1", 0.05)
 
 
+@query("""SELECT 'p' || l_partkey AS concept, 'o' || l_orderkey AS node_id, 'Citation' AS edge_type, l_discount AS confidence FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_discount >= 0.05""", uses_graph=False)
+def related_concepts_of_all(spark, sf_dir):
+    """related_concepts of every part."""
+    edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst"), F.lit("Citation").alias("edge_type"), F.col("l_discount").alias("confidence"))
+    concepts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("concept"))
+    return A.related_to_each(edges, concepts, 0.05)
+
+
 @query("""+ f AS (SELECT node_id AS start, node_id, 0 AS depth FROM nodes WHERE node_type = 'Section'
 UNION SELECT f.start, e.dst, f.depth + 1 FROM f JOIN edges e ON e.src = f.node_id AND e.edge_type = 'MethodologyFlow' WHERE f.depth < 30)
 SELECT start, node_id, min(depth)::INT AS depth FROM f GROUP BY start, node_id""", recursive=True)
@@ -445,6 +453,27 @@ def knn_top5_per_index(spark, sf_dir):
     return retrieval.nearest_by_index(vectors, wanted, "vec_id", "label").select("label", "vec_id", F.round("score", 9).alias("score"), "place")
 
 
+_COSINES = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9)"
+_SCORES = f"SELECT q.vec_id AS query, e.label, e.vec_id, {_COSINES} AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.embedding IS NOT NULL"
+
+
+def _wanted(vectors: DataFrame) -> DataFrame:
+    return vectors.where("vec_id % 50 = 0")
+
+
+@query(f"SELECT query, vec_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS place FROM ({_SCORES})) WHERE place <= 5", uses_graph=False)
+def knn_top5_of_many(spark, sf_dir):
+    """The nearest rows of every row whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return retrieval.nearest_in_blocks(vectors, _wanted(vectors), "vec_id", digits=9).select("query", "vec_id", "score", "place")
+
+
+@query(f"SELECT query, label, vec_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id)::INT AS place FROM ({_SCORES})) WHERE place <= 5", uses_graph=False)
+def knn_top5_per_index_of_many(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return retrieval.nearest_in_blocks(vectors, _wanted(vectors), "vec_id", index="label", digits=9).select("query", "label", "vec_id", "score", "place")
+
+
 _CONTEXT = "'### Source: ' || source || chr(10) || 'Section Title: No Title' || chr(10) || 'Content: ' || coalesce(text, 'No Content') || chr(10) || 'Authors: ' || coalesce(lang, '') || chr(10) || 'Affiliations: ' || chr(10) || 'References: ' || doc_id || ', ' || n_chars"
 
 

@@ -100,7 +100,7 @@ def test_many_queries(spark):
         assert [got[q, p] for p in range(1, 5)] == np.argsort(-exact[:, q])[:4].tolist()
 
 
-@pytest.mark.parametrize("name", ["similar_nodes_members"])
+@pytest.mark.parametrize("name", ["knn_top5_of_many", "knn_top5_per_index_of_many", "similar_nodes_members", "related_concepts_of_all"])
 def test_whole_tables_against_sql(spark, name):
     import duckdb
 
@@ -115,6 +115,20 @@ def test_whole_tables_against_sql(spark, name):
     assert shown(tuple(r) for r in got.collect()) == shown(sql)
 
 
+def test_many_queries_in_blocks_per_index(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(90, 6))
+    rows = spark.createDataFrame([(k, [float(x) for x in v], k % 3) for k, v in enumerate(vectors)], "id long, embedding array<double>, part int")
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    exact = unit @ unit.T
+    got = {(r["query"], r["part"], r["place"]): r["id"] for r in retrieval.nearest_in_blocks(rows.repartition(3), rows.where("id % 10 = 0"), k=4, index="part", block=2).collect()}
+    assert len(got) == 9 * 3 * 4
+    for q, i, p in got:
+        own = np.flatnonzero(np.arange(90) % 3 == i)
+        assert got[q, i, p] == own[np.argsort(-exact[own, q])][p - 1]
+    assert retrieval.nearest_in_blocks(rows, rows.where("id < 0")).count() == 0
+
+
 def test_chain_model():
     model = entities.ChainModel().fit(rounds=30)
     assert model.predict([("WORD=John", "CAP"), ("WORD=Doe", "CAP")]) == ["AUTHOR", "AUTHOR"]
