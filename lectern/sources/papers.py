@@ -23,6 +23,17 @@ def tex_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select(folder.alias("doc_id"), "path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "content")
 
 
+def all_files(spark: SparkSession, root: str) -> DataFrame:
+    """(doc_id, path, name, content) of all files below the folders right below root, at any depth: what may be included."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    depth = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(top).toUri().getPath().rstrip("/").count("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    parts = F.split(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", ""), "/")
+    files = files.select(F.get(parts, F.lit(depth + 1)).alias("doc_id"), "path", F.element_at(parts, -1).alias("name"), "content", F.size(parts).alias("n"))
+    return files.where(F.col("n") > depth + 2).drop("n")
+
+
 def main_files(files: DataFrame) -> DataFrame:
     """The main file of each paper: by name, else the first that begins a document, else the first; first by path."""
     begins = F.col("content").cast("string").contains("\\begin{document}")
@@ -123,8 +134,8 @@ def _normal(path: str) -> str:
 
 
 def papers(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
-    """(doc_id, main, text, error): each paper as one text. A paper's files meet in one row; papers run in parallel."""
-    texts = utf8_texts(tex_files(spark, root))
+    """(doc_id, main, text, error): each paper as one text. A paper's files, all below its folder, meet in one row; papers run in parallel."""
+    texts = utf8_texts(all_files(spark, root))
     gathered = texts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "text"))).alias("files"))
     joined = gathered.join(main_files(tex_files(spark, root)).select("doc_id", F.col("path").alias("main")), "doc_id")
 

@@ -157,6 +157,19 @@ def test_entities(spark):
     assert [r["value"] for r in found.orderBy("at").collect()] == ["A", "B"]
 
 
+def test_papers_include_files_of_subfolders_and_other_endings(spark, tmp_path):
+    one = tmp_path / "one"
+    (one / "sections" / "deep").mkdir(parents=True)
+    (tmp_path / "stray.tex").write_text("not a paper")
+    (one / "main.tex").write_text("\\begin{document}A \\input{sections/intro} \\input{plot.tikz} \\input{sections/gone}\\end{document}")
+    (one / "plot.tikz").write_text("PLOT")
+    (one / "sections" / "intro.tex").write_text("B \\input{deep/more}")
+    (one / "sections" / "deep" / "more.tex").write_text("C")
+    (one / "sections" / "main.tex").write_text("not the main file")
+    got = [tuple(r) for r in papers.papers(spark, str(tmp_path)).select("doc_id", "text", "error").collect()]
+    assert got == [("one", "\\begin{document}A B C PLOT \\input{sections/gone}\\end{document}", None)]
+
+
 def test_papers(spark, tmp_path):
     one, two, three = (tmp_path / x for x in ("one", "two", "three"))
     for d in (one, two, three):
