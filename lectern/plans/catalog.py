@@ -292,6 +292,18 @@ def nodes_by_importance(spark, sf_dir):
     return A.ranked(g, iterations=10, tolerance=None, digits=14).select("node_id", "place")
 
 
+@query()
+def bridging_concepts_converged(spark, sf_dir):
+    """bridging_concepts by converged scores, which unrolled SQL can't express."""
+    g = fixture.graph(spark, sf_dir)
+    return A.bridging(g, A.pagerank(g), cut=0.00000001).select("node_id", "types", "degree", "bridge")
+
+
+@query()
+def nodes_by_importance_converged(spark, sf_dir):
+    return A.ranked(fixture.graph(spark, sf_dir)).select("node_id", "score", "place")
+
+
 @query("""+ r AS (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT r.a, e.dst FROM r JOIN edges e ON e.src = r.b),
 m AS (SELECT x.a, min(x.b) AS low FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
 SELECT node_id, least(node_id, coalesce(low, node_id)) AS component FROM nodes LEFT JOIN m ON m.a = node_id""", recursive=True)

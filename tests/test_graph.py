@@ -145,6 +145,29 @@ def test_similar_nodes(spark, seed):
                     assert (value >= 0.6) == (pair in got), (a, b, value)
 
 
+def test_converged_ranking_and_bridges(spark, monkeypatch):
+    """On a cycle with a tail, where ten rounds are far from the end."""
+    from lectern.plans import catalog
+
+    nodes = [(f"n{k}", "Section" if k % 2 else "Text", "") for k in range(6)]
+    edges = [("n0", "n1"), ("n1", "n2"), ("n2", "n0"), ("n3", "n0"), ("n4", "n3"), ("n5", "n4"), ("n2", "n5")]
+    g = make(spark, nodes, [(a, b, "Citation") for a, b in edges])
+    monkeypatch.setattr(catalog.fixture, "graph", lambda *_: g)
+    out = {i: sum(a == i for a, _ in edges) for i, _, _ in nodes}
+    rounds = [{i: 1 / 6 for i in out}]
+    for _ in range(300):
+        rounds.append({i: 0.15 / 6 + 0.85 * sum(rounds[-1][a] / out[a] for a, b in edges if b == i) for i in out})
+    assert max(abs(rounds[10][i] - rounds[-1][i]) for i in out) > 1e-4
+    got = {r["node_id"]: r for r in catalog.QUERIES["nodes_by_importance_converged"](spark, "").collect()}
+    assert all(abs(got[i]["score"] - rounds[-1][i]) < 1e-5 for i in out)
+    assert sorted(got, key=lambda i: got[i]["place"]) == sorted(out, key=lambda i: (-rounds[-1][i], i))
+    bridges = {r["node_id"]: r["bridge"] for r in catalog.QUERIES["bridging_concepts_converged"](spark, "").collect()}
+    kinds = {i: t for i, t, _ in nodes}
+    for i in out:
+        around = [b if a == i else a for a, b in edges if i in (a, b)]
+        assert abs(bridges[i] - rounds[-1][i] * len({kinds[x] for x in around}) * len(around) / 6) < 1e-4
+
+
 def test_exports(spark):
     nodes = [("a", "Section", "one"), ("b", "Figure", "two"), ("c", "Section", "three")]
     g = make(spark, nodes, [("a", "b", "Definition"), ("a", "c", "CrossReference"), ("c", "a", "MethodologyFlow")])
