@@ -1,16 +1,16 @@
-"""Texts as numpy byte arrays: words, rolling hashes and sliding minima without per-character Python."""
+"""Texts as numpy byte arrays: words, hashes and sliding minima without per-character Python."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 
 U = np.uint64
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True  # the ASCII white space of the contracts
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -24,32 +24,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-BYTE_CODE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+_ODD = (U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F))  # one for each lane
+_SEED = (U(0x9E3779B97F4A7C15), U(0x2545F4914F6CDD1D))
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], U)  # the first k bytes of eight
 
 
-class Powers:
-    """Powers of the hash base and of its inverse, grown as longer texts turn up. One object per task."""
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
-    def __init__(self) -> None:
-        self.up = np.ones(1, U)
-        self.down = np.ones(1, U)
 
-    def need(self, n: int) -> None:
-        if n > len(self.up):
-            size = 1 << int(n).bit_length()
-            self.up, self.down = (np.cumprod(np.concatenate(([U(1)], np.full(size - 1, U(b & (2**64 - 1)))))) for b in (_BASE, _INVERSE))
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int = 0) -> np.ndarray:
+    """64-bit hashes of runs of bytes: eight bytes at a time go through mix(), so that strings of a pattern don't meet.
 
+    The two lanes are independent hashes.
+    """
+    eight, left, at = eights(data), ends - starts, starts
+    h = mix(left.astype(U) + _SEED[lane])
+    live = np.flatnonzero(left > 0)
+    left, at = left[live], at[live]
+    while len(live):
+        h[live] = mix(h[live] * _ODD[1 - lane] ^ (eight[at] & _HEAD[np.minimum(left, 8)]) * _ODD[lane])
+        more = left > 8
+        live, left, at = live[more], left[more] - 8, at[more] + 8
+    return h
 
-def prefix_hashes(units: np.ndarray, powers: Powers) -> np.ndarray:
-    """H with which span() gives the hash of any run of units."""
-    powers.need(len(units) + 1)
-    out = np.zeros(len(units) + 1, U)
-    np.cumsum(units * powers.up[: len(units)], out=out[1:])
-    return out
 
+def same_runs(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether the run of bytes from a to a_end is the one from b to b_end, byte by byte."""
+    eight, left = eights(data), a_end - a
+    same = left == b_end - b
+    live = np.flatnonzero(same & (left > 0))
+    a, b, left = a[live], b[live], left[live]
+    while len(live):
+        equal = (eight[a] ^ eight[b]) & _HEAD[np.minimum(left, 8)] == 0
+        same[live[~equal]] = False
+        more = equal & (left > 8)
+        live, a, b, left = live[more], a[more] + 8, b[more] + 8, left[more] - 8
+    return same
 
-def span(h: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
-    return mix((h[end] - h[start]) * powers.down[start])
+
+def window_hashes(units: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+    """Hash of units[i : i + width] for each i, unit by unit through mix()."""
+    total = len(units) - width + 1
+    if total <= 0:
+        return np.zeros(0, U)
+    h = np.full(total, _SEED[lane] + U(width))
+    for k in range(width):
+        h = mix(h * _ODD[1 - lane] ^ units[k : k + total] * _ODD[lane])
+    return h
 
 
 class Block:
@@ -73,9 +97,6 @@ class Block:
     def document(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, "right") - 1
 
-    def word_hashes(self, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-        return span(prefix_hashes(BYTE_CODE[self.data], powers), starts, ends, powers) + (ends - starts).astype(U)
-
 
 def chunks(sizes: list[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about limit bytes together; a longer document stands alone and whole."""
@@ -132,25 +153,40 @@ def tidy(run: Callable) -> Callable:
     return wrapped
 
 
-def shingle_sets(texts: list[bytes], powers: Powers, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of the distinct k-word shingles, sorted by both; with fewer words, of the whole sequence."""
+def shingles(texts: list[bytes], k: int = 5, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(document, hash) of every k-word shingle in order of place; with fewer words, of the whole sequence."""
     block = Block(texts, lower=True)
     starts, ends = block.words()
     if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, U)
-    h = prefix_hashes(block.word_hashes(starts, ends, powers), powers)
+    words = run_hashes(block.data, starts, ends, lane)
     doc = block.document(starts)
     first = np.searchsorted(doc, np.arange(block.n))
     count = np.searchsorted(doc, np.arange(block.n), "right") - first
-    last = first[doc] + count[doc]  # end of the word's document
     at = np.arange(len(doc))
-    whole = (count[doc] < k) & (at == first[doc])
-    at = at[(at + k <= last) | whole]
-    end = np.minimum(at + k, last[at])
-    keys = span(h, at, end, powers) + (end - at).astype(U)
-    owner = doc[at]
+    full = np.flatnonzero(at + k <= (first + count)[doc])
+    owner, keys = [doc[full]], [window_hashes(words, k, lane)[full]]
+    for n in range(1, k):  # texts of n words
+        short = first[count == n]
+        if len(short):
+            owner.append(doc[short])
+            keys.append(window_hashes(words, n, lane)[short])
+    owner, keys = np.concatenate(owner), np.concatenate(keys)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], keys[order]
+
+
+def shingle_sets(texts: list[bytes], k: int = 5, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles, sorted by document and hash."""
+    owner, keys = shingles(texts, k, lane)
     order = np.lexsort((keys, owner))
     owner, keys = owner[order], keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
     return owner[new], keys[new]
+
+
+def exact_shingles(text: bytes, k: int = 5) -> set[tuple[bytes, ...]]:
+    """The shingles themselves; bytes.lower() folds A-Z only."""
+    words = WORD.findall(bytes(text).lower())
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()

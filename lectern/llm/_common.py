@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pickle
+from collections.abc import Callable
+from typing import Any
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import drop_scratch, scratch_path, written
 from ..sources.tables import table as read
 
-__all__ = ["columns", "drop_scratch", "held_out", "read", "scratch_path", "training_keys", "written"]
+__all__ = ["columns", "drop_scratch", "held_out", "read", "scratch_path", "shared", "training_keys", "written"]
+
 
-MOST_CLASSES = 1000
+def shared(spark: SparkSession, thing: Any) -> Callable[[], Any]:
+    """thing, sent to all tasks with the code of its classes, so that workers need no copy of the package."""
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(sent.value)
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
@@ -24,16 +33,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def training_keys(labels: DataFrame, label: str, cap: int) -> DataFrame:
+def training_keys(labels: DataFrame, label: str, cap: int, classes: int = 1000) -> DataFrame:
     """(doc_id, y) of labelled rows outside the held-out fold: of each label at most cap, by a hash of doc_id.
 
-    cap is a documented parameter of each classifier; it bounds what reaches the driver or is broadcast, as does the
-    limit to the 1,000 commonest labels. A threshold on the hash, set by the label's count, thins the rows before they
-    meet, so that no task sees all rows of a label.
+    cap is a documented parameter of each classifier; it bounds what reaches the driver or is broadcast, as does classes,
+    the number of labels (the commonest ones) that a model tells apart. A threshold on the hash, set by the label's count,
+    thins the rows before they meet, so that no task sees all rows of a label. A doc_id with two different labels says
+    nothing and is left out; one given twice with one label counts once.
     """
     lab = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels[label].alias("y"))
-    lab = lab.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    counts = lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "y").limit(MOST_CLASSES)
+    lab = lab.where(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    lab = lab.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
+    counts = lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "y").limit(classes)
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     thinned = lab.join(F.broadcast(counts), "y").where(share * F.col("n") < 2 * cap + 100)
     place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))

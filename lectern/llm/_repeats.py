@@ -1,12 +1,18 @@
-"""Repeated windows of W units (words or bytes) without a row for every window.
+"""Repeated windows of W units (words or bytes): which texts to hold against which, without a row for every window.
 
 Each window is filed under its minimiser: the leftmost smallest hash among its k-unit grams. Consecutive windows with
 one minimiser form a segment, so every window lies in exactly one segment, and windows that are equal have equal
-minimisers at equal offsets. A row goes out per segment: g (hash of the minimiser), c (hash of the whole segment).
-Equal segments (g, c) repeat all their windows; only the first segment of each class can share single windows with
-other classes of the same g, and those alone are looked at window by window (by the operators, each in its own way).
-Rows of a class that are not its first within a task leave the shuffle's keys at once (settled), so a group of copies
-costs a task one row however large it is.
+minimisers at equal offsets. A minimiser that occurs once in all texts has no repeated window.
+
+  1 (g, row) of every segment's minimiser; those that occur once go (counted with a partial aggregation, joined back)
+  2 the segments that are left are cut out of their texts, bytes and all, and dealt out by minimiser. A task sends each
+    distinct piece once, with its first and last place, however many copies of it the task has (a form)
+  3 whole minimisers meet in a task, which finds the repeated windows on the bytes themselves (the operators, each in its
+    own way), for each form the windows and the first place of each
+  4 the places of every form take these over, and every text gets its runs of repeated windows
+
+A minimiser with more forms than a task should hold is dealt out anew, by the whole window instead: a further digit,
+after which a group is one window. Nothing is decided by the size of a group, and no group is held beyond split_rows.
 """
 
 from __future__ import annotations
@@ -16,48 +22,23 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import BYTE_CODE, U, Block, Powers, in_chunks, mix, prefix_hashes, sliding_min, span, tidy
-from ._common import written
+from ._bytes import _ODD, _SEED, U, Block, eights, in_chunks, mix, run_hashes, sliding_min, tidy, window_hashes
+from ._common import drop_scratch, scratch_path
 
-SEGMENT = "g long, c long, doc_id long, start int, n int, anchor int, settled boolean"
 _POSITION = U(31)  # bits that a position takes beside the truncated hash; fixed, so that ties fall alike everywhere
-
-
-def find_segments(h: np.ndarray, first: np.ndarray, size: np.ndarray, width: int, gram: int, powers: Powers):
-    """(g, c, document, start, n windows, anchor) arrays. h: prefix hashes of units; first, size: documents' units."""
-    total = len(h) - 1
-    none = np.zeros(0, np.int64)
-    if total < width:
-        return none.view(U), none.view(U), none, none, none, none
-    at = np.arange(total - gram + 1)
-    grams = span(h, at, at + gram, powers)
-    least = sliding_min((grams >> _POSITION << _POSITION) | at.astype(U), width - gram + 1)
-    own = size >= width
-    step = np.zeros(total + 1, np.int32)
-    np.add.at(step, first[own], 1)
-    np.add.at(step, first[own] + size[own] - width + 1, -1)
-    window = np.flatnonzero(np.cumsum(step)[: total - width + 1])
-    if not len(window):
-        return none.view(U), none.view(U), none, none, none, none
-    anchor = (least[window] & ((U(1) << _POSITION) - U(1))).astype(np.int64)
-    new = np.ones(len(window), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)
-    begin = np.flatnonzero(new)
-    n = np.diff(np.append(begin, len(window)))
-    start, anchor = window[begin], anchor[begin]
-    doc = np.searchsorted(first, start, "right") - 1
-    offset = anchor - start
-    c = span(h, start, start + n - 1 + width, powers) ^ mix(((offset + 1) << 32 | n).astype(U))
-    return mix(grams[anchor]), c, doc, start - first[doc], n, offset
+#: A form has piece; a place of a form has no piece. key, pid: minimiser and hash of the piece.
+ROWS = "key long, pid long, doc_id long, start int, row long, n int, last_doc long, last_start int, piece binary"
+#: n windows of a form from window j on, which start first in first_doc at first_start (and on, window by window).
+RUNS = "key long, pid long, j int, n int, first_doc long, first_start int"
 
 
 class Units(NamedTuple):
-    """Units of some documents: prefix hashes, first unit and number of units by document, bytes [low, high) of each."""
+    """Units of some texts: hashes of their grams, first unit and number of units by text, bytes [low, high) of each."""
 
-    h: np.ndarray
+    grams: np.ndarray
     first: np.ndarray
     size: np.ndarray
     data: np.ndarray
@@ -65,133 +46,194 @@ class Units(NamedTuple):
     high: np.ndarray
 
 
-def byte_units(texts: list[bytes], powers: Powers) -> Units:
+def byte_units(texts: list[bytes], gram: int) -> Units:
     block = Block(texts)
+    total = max(0, len(block.data) - gram + 1)
+    eight = eights(block.data)
+    grams = np.full(total, _SEED[0])
+    for k in [*range(0, gram - 8, 8), gram - 8]:
+        grams = mix(grams * _ODD[1] ^ eight[k : k + total] * _ODD[0])
     at = np.arange(len(block.data))
-    return Units(prefix_hashes(BYTE_CODE[block.data], powers), block.first, block.length, block.data, at, at + 1)
+    return Units(grams, block.first, block.length, block.data, at, at + 1)
 
 
-def word_units(texts: list[bytes], powers: Powers) -> Units:
+def word_units(texts: list[bytes], gram: int) -> Units:
+    """Words, with the white space between them turned into one space each."""
     block = Block(texts)
     starts, ends = block.words()
     doc = block.document(starts)
     first = np.searchsorted(doc, np.arange(block.n))
     size = np.searchsorted(doc, np.arange(block.n), "right") - first
-    return Units(prefix_hashes(block.word_hashes(starts, ends, powers), powers), first, size, block.data, starts, ends)
-
-
-def _settle(cols: list[np.ndarray], later_in_document: bool) -> pa.RecordBatch:
-    """Mark the rows that have an earlier equal segment among these, and scatter their keys."""
-    g, c, doc, start, n, offset = cols
-    order = np.lexsort((start, doc, c))
-    g, c, doc, start, n, offset = (x[order] for x in (g, c, doc, start, n, offset))
-    head = np.ones(len(c), bool)
-    head[1:] = (c[1:] != c[:-1]) | (g[1:] != g[:-1])
-    lead = np.maximum.accumulate(np.where(head, np.arange(len(c)), 0))
-    settled = doc != doc[lead]
-    if later_in_document:
-        settled |= start != start[lead]
-    g = np.where(settled, mix(doc.astype(U) * U(0x9E3779B97F4A7C15) + start.astype(U)), g)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(g.view(np.int64)), pa.array(c.view(np.int64)), pa.array(doc), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(offset, pa.int32()), pa.array(settled)],
-        ["g", "c", "doc_id", "start", "n", "anchor", "settled"],
-    )
-
-
-def segments(docs: DataFrame, units: Callable, width: int, gram: int, later_in_document: bool, buffer: int = 1_000_000) -> DataFrame:
-    """A row per segment of every text. later_in_document: an earlier place in the same document counts as earlier."""
+    length = ends - starts
+    high = np.cumsum(length + 1) - 1
+    data = np.full(int(high[-1]) + 1 if len(high) else 0, 32, np.uint8)
+    step = steps(length)
+    data[np.repeat(high - length, length) + step] = block.data[np.repeat(starts, length) + step]
+    return Units(window_hashes(run_hashes(block.data, starts, ends), gram), first, size, data, high - length, high)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, held, rows = Powers(), [], 0
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for begin, texts in in_chunks(batch.column("text")):
-                u = units(texts, powers)
-                g, c, doc, start, n, offset = find_segments(u.h, u.first, u.size, width, gram, powers)
-                held.append((g, c, ids[begin:][doc], start, n, offset))
-                rows += len(g)
-                if rows >= buffer:
-                    yield _settle([np.concatenate(x) for x in zip(*held, strict=True)], later_in_document)
-                    held, rows = [], 0
-        if rows:
-            yield _settle([np.concatenate(x) for x in zip(*held, strict=True)], later_in_document)
 
-    return docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).mapInArrow(tidy(run), SEGMENT)
+def steps(counts: np.ndarray) -> np.ndarray:
+    """0 .. count-1 for each count."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
 
 
-def judged(segment: DataFrame, later_in_document: bool) -> DataFrame:
-    """(doc_id, start, n, anchor, g, whole) of the segments that matter.
+def find_segments(u: Units, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(g, text, first window, number of windows) of each segment; windows are numbered by their first unit, over all texts."""
+    total = len(u.grams) + gram - 1
+    none = np.zeros(0, np.int64)
+    step = np.zeros(total + 1, np.int32)
+    own = u.size >= width
+    if total < width or not own.any():
+        return none.view(U), none, none, none
+    least = sliding_min((u.grams >> _POSITION << _POSITION) | np.arange(len(u.grams)).astype(U), width - gram + 1)
+    np.add.at(step, u.first[own], 1)
+    np.add.at(step, u.first[own] + u.size[own] - width + 1, -1)
+    window = np.flatnonzero(np.cumsum(step)[: total - width + 1])
+    anchor = (least[window] & ((U(1) << _POSITION) - U(1))).astype(np.int64)
+    new = np.ones(len(window), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (window[1:] != window[:-1] + 1)
+    begin = np.flatnonzero(new)
+    start = window[begin]
+    return mix(u.grams[anchor[begin]]), np.searchsorted(u.first, start, "right") - 1, start, np.diff(np.append(begin, len(window)))
 
-    whole: an equal segment comes earlier, so all n windows repeat. Otherwise the segment is the first of its class
-    under a minimiser with more than one class, and its windows have to be compared.
-    """
-    same = Window.partitionBy("g", "c")
-    under = Window.partitionBy("g")
-    if later_in_document:
-        place = F.struct("doc_id", "start")
-        earlier = place > F.min(place).over(same)
-    else:
-        earlier = F.col("doc_id") > F.min("doc_id").over(same)
-    marked = segment.withColumn("whole", F.col("settled") | earlier).withColumn("several", F.min("c").over(under) != F.max("c").over(under))
-    return marked.where("whole OR several").select("doc_id", "start", "n", "anchor", "g", "whole")
 
+def minimisers(docs: DataFrame, units: Callable, width: int, gram: int, buffer: int = 1_000_000) -> DataFrame:
+    """(g, row, n): how often each row (a text with its doc_id) has each minimiser."""
 
-def cover(starts: np.ndarray, lengths: np.ndarray, total: int) -> np.ndarray:
-    """Which of total units lie in one of the runs."""
-    step = np.zeros(total + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + lengths, total), -1)
-    return np.cumsum(step)[:total] > 0
+    def tally(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        g, row = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((row, g))
+        g, row = g[order], row[order]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+        at = np.flatnonzero(new)
+        return pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(row[at]), pa.array(np.diff(np.append(at, len(g))), pa.int32())], ["g", "row", "n"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            ids = batch.column("row").to_numpy()
+            for begin, texts in in_chunks(batch.column("text")):
+                g, text, _, _ = find_segments(units(texts, gram), width, gram)
+                held.append((g, ids[begin:][text]))
+                rows += len(g)
+                if rows >= buffer:
+                    yield tally(held)
+                    held, rows = [], 0
+        if rows:
+            yield tally(held)
+
+    return docs.select("row", "text").mapInArrow(tidy(run), "g long, row long, n int")
+
+
+class _Forms:
+    """Collects pieces and their places; equal pieces become one form with its first and last place."""
+
+    def __init__(self, limit: int = 16 << 20) -> None:
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[bytes, int] = {}
+        self.bytes = 0
+        self.places: list[tuple] = []
+
+    def add(self, keys, pids, docs, starts, rows, n, last, pieces: list[bytes]) -> None:
+        """last: (last_doc, last_start) of each, or None where the place given is the only one."""
+        number = np.empty(len(pieces), np.int64)
+        for i, piece in enumerate(pieces):
+            number[i] = self.at.setdefault(piece, len(self.at))
+            self.bytes += len(piece)
+        self.places.append((number, keys, pids, docs, starts, rows, n, *(last or (docs, starts))))
+
+    def unique(self) -> tuple:
+        """(keys, pids, n, doc, start, last_doc, last_start, pieces) of each form."""
+        number, keys, pids, docs, starts, _, n, last_doc, last_start = (np.concatenate(x) for x in zip(*self.places, strict=True))
+        low = np.lexsort((starts, docs, number))
+        first = low[np.flatnonzero(np.diff(number[low], prepend=-1))]
+        high = np.lexsort((last_start, last_doc, number))
+        last = high[np.flatnonzero(np.diff(number[high], append=-1))]
+        return keys[first], pids[first], n[first], docs[first], starts[first], last_doc[last], last_start[last], list(self.at)
+
+    def batches(self, with_places: bool = True) -> Iterator[pa.RecordBatch]:
+        if not self.places:
+            return
+        names = [f.split()[0] for f in ROWS.split(", ")]
+        if with_places:
+            for _, keys, pids, docs, starts, rows, *_ in self.places:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(pids), pa.array(docs), pa.array(starts, pa.int32()), pa.array(rows), *(pa.nulls(len(keys), t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names)
+        keys, pids, n, doc, start, last_doc, last_start, pieces = self.unique()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys), pa.array(pids), pa.array(doc), pa.array(start, pa.int32()), pa.nulls(len(keys), pa.int64()), pa.array(n, pa.int32()), pa.array(last_doc), pa.array(last_start, pa.int32()), pa.array(pieces, pa.binary())],
+            names,
+        )
+        self.clear()
+
+
+def merged(table: pa.Table) -> tuple:
+    """The distinct forms of a table, of which several tasks may have sent one."""
+    keys, pids, docs, starts, n, last_doc, last_start = (table.column(c).to_numpy() for c in ("key", "pid", "doc_id", "start", "n", "last_doc", "last_start"))
+    forms = _Forms()
+    forms.add(keys, pids, docs, starts, keys, n, (last_doc, last_start), table.column("piece").to_pylist())
+    return forms.unique()
+
+
+def cut_out(docs: DataFrame, units: Callable, width: int, gram: int) -> DataFrame:
+    """The forms of the segments under the minimisers in gs, and their places (ROWS)."""
 
-def _ranges(seg, width: int, gram: int) -> list[tuple[np.ndarray, ...]]:
-    """Each segment's windows in two parts: those that reach far to the right of the minimiser, and the others.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = _Forms()
+        for batch in batches:
+            ids, rows = (batch.column(c).to_numpy() for c in ("doc_id", "row"))
+            lists = batch.column("gs")
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(U)
+            for begin, texts in in_chunks(batch.column("text")):
+                u = units(texts, gram)
+                g, text, start, n = find_segments(u, width, gram)
+                own = offsets[begin : begin + len(texts) + 1]
+                tag = lambda g, text: mix(g ^ mix(text.astype(U)))  # noqa: E731 - a false hit is one segment too many
+                some = np.flatnonzero(np.isin(tag(g, text), tag(values[own[0] : own[-1]], np.repeat(np.arange(len(texts)), np.diff(own)))))
+                if not len(some):
+                    continue
+                g, text, start, n = g[some], text[some], start[some], n[some]
+                low, high = u.low[start], u.high[start + n - 2 + width]
+                data = u.data.tobytes()
+                pieces = [data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)]
+                forms.add(g.view(np.int64), run_hashes(u.data, low, high, 1).view(np.int64), ids[begin:][text], start - u.first[text], rows[begin:][text], n, None, pieces)
+                if forms.bytes >= forms.limit:
+                    yield from forms.batches()
+        yield from forms.batches()
+
+    return docs.select("doc_id", "row", "text", "gs").mapInArrow(tidy(run), ROWS)
+
+
+def windows_of(forms: DataFrame, cut: Callable) -> DataFrame:
+    """The windows of forms as forms of one window; a place names the form (doc_id: its key, row: its pid) and the window."""
 
-    For each part: first window, number of windows, and the run of units that all windows of the part hold.
-    """
-    start, n, anchor = seg
-    spare = width - gram
-    right = spare // 2
-    at = start + anchor
-    cut = np.clip(at - (spare - right), start, start + n)
-    return [(cut, start + n - cut, at, at + gram + right), (start, cut - start, at - (spare - right + 1), at + gram)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
+        out = _Forms()
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            j = steps(n)
+            key, pid, doc, start, last_doc, last_start = (np.repeat(batch.column(c).to_numpy(), n) for c in ("key", "pid", "doc_id", "start", "last_doc", "last_start"))
+            pieces = [w for p, k in zip(batch.column("piece").to_pylist(), n.tolist(), strict=True) for w in cut(p, k)]
+            wide = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, pieces)), "<i8").reshape(-1, 2)
+            names = [f.split()[0] for f in ROWS.split(", ")]
+            none = len(pieces)
+            yield pa.RecordBatch.from_arrays([pa.array(wide[:, 0].copy()), pa.array(wide[:, 1].copy()), pa.array(key), pa.array(j, pa.int32()), pa.array(pid), *(pa.nulls(none, t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], names)
+            out.add(wide[:, 0].copy(), wide[:, 1].copy(), doc, start + j, pid, np.ones(none, np.int32), (last_doc, last_start + j), pieces)
+            if out.bytes >= out.limit:
+                yield from out.batches(False)
+        yield from out.batches(False)
 
-def pieces(docs: DataFrame, judged_rows: DataFrame, units: Callable, width: int, gram: int) -> DataFrame:
-    """The text of the segments that need comparing: (key, doc_id, start, n, piece).
+    return forms.select("key", "pid", "doc_id", "start", "n", "last_doc", "last_start", "piece").mapInArrow(tidy(run), ROWS)
 
-    key is content that all n windows hold: the minimiser with about half of what a window has beside it. Windows that
-    are equal have equal keys, and far fewer different windows share one than share the bare minimiser.
-    """
-    wanted = judged_rows.where("NOT whole").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("seg"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
-        for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            lists = batch.column("seg")
-            offsets = lists.offsets.to_numpy()
-            fields = [lists.values.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)]
-            for begin, texts in in_chunks(batch.column("text")):
-                u = units(texts, powers)
-                a, b = offsets[begin], offsets[begin + len(texts)]
-                doc = np.repeat(np.arange(len(texts)), np.diff(offsets[begin : begin + len(texts) + 1]))
-                base = u.first[doc]
-                start, n, anchor = (f[a:b] for f in fields)
-                for side, (first, count, low, high) in enumerate(_ranges((start + base, n, anchor), width, gram)):
-                    some = np.flatnonzero(count > 0)
-                    first, count, low, high, own = first[some], count[some], low[some], high[some], doc[some]
-                    keys = mix(span(u.h, low, high, powers) + U(side))
-                    ends = u.high[first + count - 2 + width]
-                    data = u.data.tobytes()
-                    piece = [data[x:y] for x, y in zip(u.low[first].tolist(), ends.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[begin:][own]), pa.array(first - u.first[own], pa.int32()), pa.array(count, pa.int32()), pa.array(piece, pa.binary())], ["key", "doc_id", "start", "n", "piece"])
-
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "seg").mapInArrow(tidy(run), "key long, doc_id long, start int, n int, piece binary")
-
-
-def by_key(rows: DataFrame, work: Callable, schema: str, limit: int) -> DataFrame:
-    """work(Arrow table) on runs of whole keys, of about limit bytes of pieces each."""
+def by_key(rows: DataFrame, work: Callable, limit: int) -> DataFrame:
+    """work(Arrow table) on runs of whole keys, of about limit bytes of pieces each (RUNS)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -211,43 +253,71 @@ def by_key(rows: DataFrame, work: Callable, schema: str, limit: int) -> DataFram
         if held:
             yield from work(pa.concat_tables(held).combine_chunks())
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), schema)
+    return rows.drop("row").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), RUNS)
+
 
+def runs_batch(key, pid, j, first_doc, first_start) -> pa.RecordBatch:
+    """Windows (key, pid, j; each once, in any order) as runs: of one form, side by side, first places side by side or, without first_start, of one text."""
+    order = np.lexsort((j, pid, key))
+    key, pid, j, first_doc = key[order], pid[order], j[order], first_doc[order]
+    first_start = first_start[order] if first_start is not None else np.full(len(j), -1)
+    new = np.ones(len(j), bool)
+    side = (first_start[1:] - first_start[:-1] == 1) | (first_start[1:] < 0)
+    new[1:] = ~((key[1:] == key[:-1]) & (pid[1:] == pid[:-1]) & (j[1:] - j[:-1] == 1) & (first_doc[1:] == first_doc[:-1]) & side)
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(j)))
+    return pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(pid[at]), pa.array(j[at], pa.int32()), pa.array(n, pa.int32()), pa.array(first_doc[at]), pa.array(first_start[at], pa.int32())], [f.split()[0] for f in RUNS.split(", ")])
 
-def resolved(found: DataFrame, work: Callable, cut: Callable, later_in_document: bool, schema: str, limit: int, hot_rows: int) -> DataFrame:
-    """Windows of the pieces that start earlier elsewhere: work() on whole keys, or hashes where a key has too many rows.
 
-    work holds the pieces of a key together. Keys of more than hot_rows pieces are cut into windows (cut(piece, n)) and
-    these compared by 128-bit hashes, which Spark sums up by task first and may split; no group is ever held.
+def repeated_runs(docs: DataFrame, units: Callable, width: int, gram: int, work: Callable, cut: Callable, within: bool, limit: int, split_rows: int) -> DataFrame:
+    """(doc_id, text, runs): every row of docs (doc_id, text) with its runs (start, n) of repeated windows; null without.
+
+    work: finds the repeated windows of forms; cut(piece, n): the n windows of a piece; within: an earlier place in the
+    same document counts as well.
     """
-    rows = written(found, "pieces")
-    hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows).select("key")
-    if hot.isEmpty():
-        return by_key(rows, work, schema, limit)
-    hot = written(hot, "hot")
+    spark = docs.sparkSession
+    tables: dict[str, str] = {}
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        tables[name] = scratch_path(spark, name)
+        df.write.parquet(tables[name])
+        return spark.read.schema(df.schema).parquet(tables[name])
+
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+    grams = stored(minimisers(known, units, width, gram), "minimisers")
+    several = grams.groupBy("g").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.sum("n").alias("n"))
+    several = several.where("n > 1" if within else "low <> high").select("g")
+    lists = grams.join(several.hint("merge"), "g", "left_semi").groupBy("row").agg(F.collect_set("g").alias("gs"))
+    rows = stored(cut_out(known.join(lists, "row"), units, width, gram), "forms")
+    drop_scratch(spark, tables["minimisers"])
+
+    forms, places = rows.where("piece IS NOT NULL"), rows.where("piece IS NULL").select("key", "pid", "doc_id", "start", "row")
+    crowded = stored(forms.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > split_rows).select("key"), "crowded")
+    if crowded.isEmpty():
+        runs = by_key(forms, work, limit)
+    else:
+        single = stored(windows_of(forms.join(crowded, "key", "left_semi"), cut), "windows")
+        of_single = by_key(single.where("piece IS NOT NULL"), work, limit)
+        named = single.where("piece IS NULL").select("key", "pid", F.col("doc_id").alias("form_key"), F.col("row").alias("form"), F.col("start").alias("window"))
+        of_single = named.join(of_single, ["key", "pid"]).select(F.col("form_key").alias("key"), F.col("form").alias("pid"), F.col("window").alias("j"), "n", "first_doc", "first_start")
+        # a form that several tasks sent has its windows named by each
+        runs = by_key(forms.join(crowded, "key", "left_anti"), work, limit).unionByName(of_single.distinct())
+    earlier = F.col("first_doc") < F.col("doc_id")
+    if within:
+        earlier |= (F.col("first_doc") == F.col("doc_id")) & (F.col("first_start") < F.col("start") + F.col("j"))
+    found = places.join(runs, ["key", "pid"]).where(earlier).select("doc_id", "row", F.struct((F.col("start") + F.col("j")).alias("start"), "n").alias("run"))
+    found = found.groupBy("doc_id", "row").agg(F.collect_list("run").alias("runs"))
+    return docs.join(found, ["doc_id", "row"], "left").select("doc_id", "text", "runs")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        for batch in batches:
-            n = batch.column("n").to_numpy()
-            digests = [xxhash.xxh128_digest(w) for p, k in zip(batch.column("piece").to_pylist(), n.tolist(), strict=True) for w in cut(p, k)]
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            start = np.repeat(batch.column("start").to_numpy(), n) + step
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(np.repeat(batch.column("doc_id").to_numpy(), n)), pa.array(start, pa.int32())], ["digest", "doc_id", "start"])
-
-    windows = written(rows.join(hot, "key", "left_semi").select("doc_id", "start", "n", "piece").mapInArrow(tidy(run), "digest binary, doc_id long, start int"), "windows")
-    place = F.struct("doc_id", "start")
-    first = windows.groupBy("digest").agg(F.min(place).alias("first"))
-    later = place > F.col("first") if later_in_document else F.col("doc_id") > F.col("first.doc_id")
-    removed = windows.join(first, "digest").where(later).select("doc_id", "start", F.lit(1).alias("n"))
-    return by_key(rows.join(hot, "key", "left_anti"), work, schema, limit).unionByName(removed)
-
-
-def runs_by_document(docs: DataFrame, judged_rows: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Every document with its runs of repeated windows (start, n); null where it has none."""
-    found = judged_rows.where("whole").select("doc_id", "start", "n").unionByName(resolved)
-    return docs.join(found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "doc_id", "left")
+def cover(starts: np.ndarray, lengths: np.ndarray, total: int) -> np.ndarray:
+    """Which of total units lie in one of the runs."""
+    step = np.zeros(total + 1, np.int32)
+    np.add.at(step, starts, 1)
+    np.add.at(step, np.minimum(starts + lengths, total), -1)
+    return np.cumsum(step)[:total] > 0
 
 
 def run_arrays(column) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:

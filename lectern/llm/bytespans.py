@@ -2,14 +2,16 @@
 
 Byte strings of the threshold length that also start earlier (smaller doc_id, or the same document further left) are
 removed. Suffixes are sorted only as deep as the threshold. The first digit is the suffix's minimiser, dealt out over
-the cluster; runs of suffixes whose whole content recurs are settled by it and a hash (see _repeats). The suffixes that
-are left meet again under a longer digit of their own bytes, and there the most-significant-digit passes go over real
-bytes, eight at a time, dropping every suffix that is alone in its group. What is still together after the threshold's
-last byte are exactly the repeated windows.
+the cluster; suffixes alone under theirs go (see _repeats). In the tasks the most-significant-digit passes go over the
+bytes themselves, eight at a time, dropping every suffix that is alone in its group. What is still together after the
+threshold's last byte are exactly the repeated windows, and each takes the first place of its group.
 
-Defined cases: null text reads as empty; a text shorter than the threshold loses nothing; repeated rows (same doc_id
-and text) are one document at one place, so the result of each is that of one row; a null doc_id takes no part and
-keeps its bytes; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text reads as empty; a text shorter than the threshold loses nothing; a very long text is cut into
+pieces of its own minimisers like any other, and no task but the reading and the writing one holds it whole; repeated
+rows (same doc_id and text) are one document at one place, so the result of each is that of one row; rows that share a
+doc_id but not a text are one document, too, and keep their own bytes; of equal windows the one first by (doc_id, start)
+stays, which leaves no ties; a null doc_id takes no part and keeps its bytes; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +24,7 @@ from pyspark.sql import DataFrame
 
 from . import _repeats as R
 from ._bytes import Block, in_chunks, tidy
-from ._common import columns, written
-from .passages import RUN, _steps
+from ._common import columns
 
 
 def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,39 +51,33 @@ def radix_groups(data: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int
 
 
 def repeated(table: pa.Table, depth: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows of these pieces that also start earlier."""
-    docs, starts, n, keys = (table.column(c).to_numpy() for c in ("doc_id", "start", "n", "key"))
-    block = Block(table.column("piece").to_pylist())
-    row, step = np.repeat(np.arange(len(n)), n), _steps(n)
+    """The windows of these forms that start before the last place of their form, as runs with their first places."""
+    keys, pids, n, docs, starts, last_doc, last_start, pieces = R.merged(table)
+    block = Block(pieces)
+    row, step = np.repeat(np.arange(len(n)), n), R.steps(n)
+    first_doc, first_start = docs[row], starts[row] + step  # of a window that no other form has
     index, group = radix_groups(block.data, block.first[row] + step, np.unique(keys, return_inverse=True)[1][row], depth)
-    doc, start = docs[row][index], (starts[row] + step)[index]
-    order = np.lexsort((start, doc, group))
-    doc, start, group = doc[order], start[order], group[order]
-    head = np.ones(len(doc), bool)
+    order = np.lexsort((first_start[index], first_doc[index], group))
+    index, group = index[order], group[order]
+    head = np.ones(len(group), bool)
     head[1:] = group[1:] != group[:-1]
-    lead = np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0))
-    later = (doc != doc[lead]) | (start != start[lead])  # a repeated row stands at the same place
-    doc, start = doc[later], start[later]
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > 1)
-    first = np.flatnonzero(new)
-    if len(first):
-        last = np.append(first[1:], len(doc)) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first], pa.int32()), pa.array(start[last] - start[first] + 1, pa.int32())], ["doc_id", "start", "n"])
+    lead = index[np.maximum.accumulate(np.where(head, np.arange(len(group)), 0))]
+    first_doc[index], first_start[index] = first_doc[lead], first_start[lead]
+    earlier = (first_doc < last_doc[row]) | ((first_doc == last_doc[row]) & (first_start < last_start[row] + step))
+    row, step = row[earlier], step[earlier]
+    if len(row):
+        yield R.runs_batch(keys[row], pids[row], step, first_doc[earlier], first_start[earlier])
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 100, gram: int = 32, shard_bytes: int = 8 << 20, hot_rows: int = 100_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = 100, gram: int = 32, shard_bytes: int = 8 << 20, split_rows: int = 20_000) -> DataFrame:
     """(doc_id, n_bytes, spans array of removed (start, end) runs of bytes, kept binary).
 
-    shard_bytes: bytes that are sorted at once; hot_rows: pieces of one content beyond which windows go by hashes.
+    shard_bytes: bytes that are sorted at once; split_rows: forms of one minimiser beyond which they are dealt out by
+    whole windows.
     """
     docs = columns(docs, "doc_id", "text")
-    rows = written(R.judged(R.segments(docs, R.byte_units, threshold, gram, True), True), "bytespans")
     cut = lambda piece, n: [piece[j : j + threshold] for j in range(n)]
-    ragged = R.pieces(docs, rows, R.byte_units, threshold, gram)
-    resolved = R.resolved(ragged, lambda t: repeated(t, threshold), cut, True, RUN, shard_bytes, hot_rows)
+    judged = R.repeated_runs(docs, R.byte_units, threshold, gram, lambda t: repeated(t, threshold), cut, True, shard_bytes, split_rows)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
@@ -102,4 +97,4 @@ def remove_repeats(docs: DataFrame, threshold: int = 100, gram: int = 32, shard_
                     ["doc_id", "n_bytes", "spans", "kept"],
                 )
 
-    return R.runs_by_document(docs, rows, resolved).select("doc_id", "text", "runs").mapInArrow(tidy(finish), "doc_id long, n_bytes long, spans array<struct<start: int, end: int>>, kept binary")
+    return judged.mapInArrow(tidy(finish), "doc_id long, n_bytes long, spans array<struct<start: int, end: int>>, kept binary")

@@ -11,12 +11,11 @@ with the corpus but the matches.
 
 Defined cases: null, empty or white-space texts and items match nothing; an item with fewer than five words is one
 shingle, its whole sequence, and matches texts that consist of it; repeated rows match each on their own; rows without
-doc_id or item_id take no part; an empty table gives an empty result; other columns are ignored.
+doc_id or item_id take no part; a very long text is searched whole; containment of exactly percent counts; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,15 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import Powers, in_chunks, mix, shingle_sets, tidy
-from ._common import columns
-
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def exact_shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
-    words = WORD.findall(bytes(text).lower())  # bytes.lower() folds A-Z only
-    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+from ._bytes import exact_shingles, in_chunks, mix, shingle_sets, tidy
+from ._common import columns, shared
 
 
 class ContainmentIndex:
@@ -41,7 +33,7 @@ class ContainmentIndex:
 
     def __init__(self, item_ids: list[int], texts: list[bytes], shingle: int, percent: int) -> None:
         self.ids, self.texts, self.shingle, self.percent = item_ids, texts, shingle, percent
-        owner, tokens = shingle_sets(texts, Powers(), shingle)
+        owner, tokens = shingle_sets(texts, shingle)
         at = np.searchsorted(owner, np.arange(len(texts) + 1))
         self.sets = [tokens[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
         n = np.diff(at)
@@ -68,9 +60,9 @@ class ContainmentIndex:
             found.append(np.stack((np.repeat(own[hit], count), item[np.repeat(low[hit], count) + step]), 1))
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
-    def matches(self, texts: list[bytes], powers: Powers) -> Iterator[tuple[int, int, int, int]]:
+    def matches(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
         """(text, item_id, item's shingles, of these in the text)."""
-        owner, tokens = shingle_sets(texts, powers, self.shingle)
+        owner, tokens = shingle_sets(texts, self.shingle)
         at = np.searchsorted(owner, np.arange(len(texts) + 1))
         exact: tuple[int, set] = (-1, set())
         for i, j in self.candidates(owner, tokens, np.diff(at)).tolist():
@@ -79,9 +71,9 @@ class ContainmentIndex:
             if exact[0] != i:
                 exact = (i, exact_shingles(texts[i], self.shingle))
             item = exact_shingles(self.texts[j], self.shingle)
-            shared = len(item & exact[1])
-            if 100 * shared >= self.percent * len(item):
-                yield i, self.ids[j], len(item), shared
+            common = len(item & exact[1])
+            if 100 * common >= self.percent * len(item):
+                yield i, self.ids[j], len(item), common
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent: int = 75, block_bytes: int = 16 << 20) -> DataFrame:
@@ -93,14 +85,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, percent:
 
     def scan(block: int) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(ContainmentIndex([r["item_id"] for r in rows], [r["text"].encode() for r in rows], shingle, percent))
+        index = shared(spark, ContainmentIndex([r["item_id"] for r in rows], [r["text"].encode() for r in rows], shingle, percent))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            powers = Powers()
+            held = index()
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 for begin, texts in in_chunks(batch.column("text")):
-                    found = [(ids[begin + i], item, n, shared, shared / n) for i, item, n, shared in index.value.matches(texts, powers)]
+                    found = [(ids[begin + i], item, n, common, common / n) for i, item, n, common in held.matches(texts)]
                     if found:
                         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), kinds, strict=True)], ["doc_id", "item_id", "n_item", "n_shared", "containment"])

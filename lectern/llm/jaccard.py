@@ -15,9 +15,10 @@ affects the work only, never the result.
   3 under each leader: R-tree search over the members' points. Members that come near no other one go; the others fall
     into clusters, which stand under their smallest doc_id from now on, so that a pair that met under many leaders counts
     once
-  4 the clusters' texts meet, and the search goes on with the exact overlap of the whole sets. Only pairs between
+  4 the clusters' texts meet, and the search goes on with the overlap of the whole sets; a pair that links by its hashes
+    is confirmed on the words. Only pairs between
     components are looked at, so a group of copies is linked by a tree and not by all its pairs
-  5 components of all links; texts with equal sets join theirs through the set's hash (128 bits and the size)
+  5 components of all links; texts with equal sets join theirs through the set's two independent hashes and its size
 
 No partner is dropped. Tokens of crowded slots are salted while their leader is found. A leader with more members than
 fit a task is compared with all of them first, in salted parts; those that link are settled, and the others are compared
@@ -30,14 +31,14 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import U, Powers, in_chunks, mix, shingle_sets, tidy
+from ._bytes import U, exact_shingles, in_chunks, mix, shingle_sets, tidy
 from ._common import columns, written
 
 SLOTS = 1 << 18
@@ -73,19 +74,29 @@ def unpacked(point: bytes, n: int, groups: int) -> np.ndarray:
     return np.frombuffer(point, np.uint8 if len(point) == own else "<u4").astype(np.uint32).reshape(-1, groups).sum(0)
 
 
+def set_hash(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
+    total = np.concatenate(([U(0)], np.cumsum(mix(tokens))))
+    return total[at[1:]] - total[at[:-1]]
+
+
+def other_lane(texts: list[bytes], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sets under independent hashes, so that sets with two equal hashes are equal."""
+    owner, tokens = shingle_sets(texts, shingle, 1)
+    return tokens, _bounds(owner, len(texts))
+
+
 def profile(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, n, h1, h2, point) of each text, and rows of partial slot counts (part, point)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, slots = Powers(), np.zeros(SLOTS, np.int64)
+        slots = np.zeros(SLOTS, np.int64)
         names = ["doc_id", "n", "h1", "h2", "part", "point"]
         for batch in batches:
             for begin, texts in in_chunks(batch.column("text")):
-                owner, tokens = shingle_sets(texts, powers, shingle)
+                owner, tokens = shingle_sets(texts, shingle)
                 slots += np.bincount(slot(tokens), minlength=SLOTS)
                 at = _bounds(owner, len(texts))
-                sums = (np.concatenate(([U(0)], np.cumsum(mix(tokens ^ U(seed))))) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-                h1, h2 = (x[at[1:]] - x[at[:-1]] for x in sums)
+                h1, h2 = set_hash(tokens, at), set_hash(*other_lane(texts, shingle))
                 rows = [batch.column("doc_id").slice(begin, len(texts)), pa.array(np.diff(at), pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))]
                 points = [packed(tokens[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(texts), pa.int32()), pa.array(points, pa.binary())], names)
@@ -120,12 +131,12 @@ def token_rows(docs: DataFrame, counts: np.ndarray, shingle: int, percent: int,
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen = Powers(), set()
+        seen = set()
         load = shared.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for begin, texts in in_chunks(batch.column("text")):
-                owner, tokens = shingle_sets(texts, powers, shingle)
+                owner, tokens = shingle_sets(texts, shingle)
                 at = _bounds(owner, len(texts))
                 n = np.diff(at)
                 hashed = mix(tokens)
@@ -211,8 +222,16 @@ def points_of(tokens: np.ndarray, at: np.ndarray, groups: int) -> np.ndarray:
     return flat.reshape(-1, groups).astype(np.uint16 if flat.max(initial=0) < 65536 else np.int64)
 
 
-def spanning_links(tokens: np.ndarray, at: np.ndarray, known: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that span the components of these sets. known: sets with one number are in one component; -1 says nothing."""
+def linked(a: set, b: set, percent: int) -> bool:
+    """Whether two sets of shingles, words and all, link."""
+    return bool(a and b) and enough(len(a & b), len(a), len(b), percent)
+
+
+def spanning_links(tokens: np.ndarray, at: np.ndarray, known: np.ndarray, percent: int, confirm: Callable[[int, int], bool] = lambda i, j: True) -> list[tuple[int, int]]:
+    """Links that span the components of these sets. known: sets with one number are in one component; -1 says nothing.
+
+    confirm looks at the words of a pair that links by its hashes.
+    """
     n = np.diff(at)
     groups = 1 << int(np.clip(np.ceil(np.log2(max(1, np.median(n)))), 3, 12))
     points = points_of(tokens, at, groups)
@@ -242,7 +261,7 @@ def spanning_links(tokens: np.ndarray, at: np.ndarray, known: np.ndarray, percen
             overlap = np.add.reduceat(mine[token_id[flat]], np.cumsum(size) - size, dtype=np.int64)
             mine[own] = False
             for j in near[enough(overlap, n[i], size, percent)].tolist():
-                if label[j] != label[i]:
+                if label[j] != label[i] and confirm(int(i), j):
                     out.append((int(i), j))
                     label[label == label[i]] = label[j]
         # those passed over while another component was the main one still have to look
@@ -354,43 +373,53 @@ def grouped_links(rows: DataFrame, docs: DataFrame, keys: list[str], shingle: in
     star: compare the lead with each member and nothing else, without holding the group.
     """
 
-    def flush(ids: list[int], known: list[int | None], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    def flush(ids: list[int], known: list[int | None], sets: list[np.ndarray], words: list[bytes]) -> list[tuple[int, int]]:
         place = {d: k for k, d in reversed(list(enumerate(ids)))}  # a repeated row is one member
         pick = sorted(place.values())
-        ids, sets, component = [ids[k] for k in pick], [sets[k] for k in pick], [known[k] for k in pick]
+        ids, sets, words, component = ([x[k] for k in pick] for x in (ids, sets, words, known))
         number = {c: k for k, c in enumerate(c for c in dict.fromkeys(component) if c is not None)}
         at = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
-        return [(ids[i], ids[j]) for i, j in spanning_links(np.concatenate(sets), at, np.array([number.get(c, -1) for c in component]), percent)]
+        last: dict[int, set] = {}  # the shingles of the text whose partners are being looked for
+
+        def confirm(i: int, j: int) -> bool:
+            if i not in last:
+                last.clear()
+                last[i] = exact_shingles(words[i], shingle)
+            return linked(last[i], exact_shingles(words[j], shingle), percent)
+
+        return [(ids[i], ids[j]) for i, j in spanning_links(np.concatenate(sets), at, np.array([number.get(c, -1) for c in component]), percent, confirm)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, current = Powers(), None
-        ids, known, sets = [], [], []
+        current, led = None, set()
+        ids, known, sets, words = [], [], [], []
         for batch in batches:
             key = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
             doc, component, lead = (batch.column(c).to_pylist() for c in ("doc_id", "known", "lead"))
             out: list[tuple[int, int]] = []
             for begin, texts in in_chunks(batch.column("text")):
-                owner, tokens = shingle_sets(texts, powers, shingle)
+                owner, tokens = shingle_sets(texts, shingle)
                 at = _bounds(owner, len(texts))
                 for i in range(len(texts)):
                     k, own = begin + i, tokens[at[i] : at[i + 1]].copy()
                     if key[k] != current:
                         if not star and len(ids) > 1:
-                            out += flush(ids, known, sets)
-                        current, ids, known, sets = key[k], [], [], []
+                            out += flush(ids, known, sets, words)
+                        current, ids, known, sets, words = key[k], [], [], [], []
+                        led = exact_shingles(texts[i], shingle) if star else led
                     if star and ids:
                         if lead[k] or not len(own) or not len(sets[0]):
                             continue
                         found = np.minimum(np.searchsorted(sets[0], own), len(sets[0]) - 1)
-                        if enough(int((sets[0][found] == own).sum()), len(sets[0]), len(own), percent):
+                        if enough(int((sets[0][found] == own).sum()), len(sets[0]), len(own), percent) and linked(led, exact_shingles(texts[i], shingle), percent):
                             out.append((ids[0], doc[k]))
                         continue
                     ids.append(doc[k])
                     known.append(component[k])
                     sets.append(own)
+                    words.append(b"" if star else texts[i])
             if out:
                 yield _pairs(out)
-        if not star and len(ids) > 1 and (out := flush(ids, known, sets)):
+        if not star and len(ids) > 1 and (out := flush(ids, known, sets, words)):
             yield _pairs(out)
 
     def _pairs(out: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -434,14 +463,14 @@ def settle_large(groups: DataFrame, docs: DataFrame, shingle: int, percent: int,
     return groups.join(found, ["leader", "doc_id"], "left").select("leader", "doc_id", F.coalesce("hit", F.lit(False)).alias("settled")), star
 
 
-def components(links: DataFrame, most: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, by alternating large and small stars; nodes with links only.
 
     Each round hangs every node's neighbours on the smallest of them. A hub's minimum is pre-aggregated by task.
     """
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     before = None
-    for _ in range(most):
+    while True:  # every round brings nodes nearer to their smallest one, so this ends
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -452,8 +481,6 @@ def components(links: DataFrame, most: int = 50) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("the components didn't settle")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
 

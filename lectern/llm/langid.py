@@ -2,13 +2,14 @@
 
 Subwords are byte n-grams of letters and spaces, hashed into buckets; a text is the mean of its subwords' vectors, and
 the softmax over it gives the languages. As both layers are linear, scoring needs one row of class scores per bucket and
-sums those over the whole text. A tenth of the training rows sets the temperature and the score below which an answer is
+sums those over the whole text. A tenth of the training documents, which the fit never sees, sets the temperature and the score below which an answer is
 rejected (accepted = false); the best guess is still named.
 
 The fit uses a bounded sample: cap texts of each language, the first by a hash of doc_id, whole and in a few pieces.
 
 Defined cases: text that is null, empty or without a letter is `und` with score 0; so is every text if nothing can be
-learnt from (an empty table, no language known); ties go to the language first in the alphabet; repeated rows get equal
+learnt from (an empty table, no language known); a doc_id with two languages is not learnt from; a very long text is
+summed whole; ties go to the language first in the alphabet; repeated rows get equal
 results; a null doc_id is predicted but not learnt from; other columns are ignored.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import LOWER, SPACE, Block, in_chunks, tidy
-from ._common import columns, held_out, training_keys
+from ._common import columns, held_out, shared, training_keys
 
 BITS = 16
 ORDERS = (2, 3, 4)
@@ -63,9 +64,12 @@ class Model:
         mean = share @ self.vectors[bucket]
         return mean, mean @ self.weights + self.bias
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 6, rate: float = 0.5) -> None:
-        rows = [rows[i] for i in self.rng.permutation(len(rows))]
-        check, learn = (rows[: len(rows) // 10], rows[len(rows) // 10 :]) if len(rows) >= 50 else (rows, rows)
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray, int]], owner: list[int], epochs: int = 6, rate: float = 0.5) -> None:
+        """owner: the document of each row; a tenth of the documents, pieces and all, are for the calibration only."""
+        documents = self.rng.permutation(sorted(set(owner)))
+        apart = set(documents[: len(documents) // 10].tolist()) if len(documents) >= 50 else None
+        check = [r for r, d in zip(rows, owner, strict=True) if apart is None or d in apart]
+        learn = [r for r, d in zip(rows, owner, strict=True) if apart is None or d not in apart]
         for epoch in range(epochs):
             step = rate * (1 - epoch / epochs)
             for i in self.rng.permutation(len(learn)):
@@ -106,9 +110,10 @@ class Model:
         return self._softmax(total / np.maximum(n, 1)[:, None] + self.bias)
 
 
-def train(docs: DataFrame, cap: int = 500, pieces: int = 3, piece_bytes: int = 160) -> Model | None:
-    """A model from (doc_id, text, lang); cap bounds the texts of each language, and with it what reaches the driver."""
-    keys = training_keys(docs.where("text IS NOT NULL"), "lang", cap)
+def train(docs: DataFrame, cap: int = 500, classes: int = 1000, pieces: int = 3, piece_bytes: int = 160) -> Model | None:
+    """A model from (doc_id, text, lang); cap bounds the texts of each language, classes the languages (the commonest),
+    and both what reaches the driver."""
+    keys = training_keys(docs.where("text IS NOT NULL"), "lang", cap, classes)
     chosen = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id")  # cap rows a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,16 +135,16 @@ def train(docs: DataFrame, cap: int = 500, pieces: int = 3, piece_bytes: int = 1
     for y, bucket, n in zip(sample["y"], sample["bucket"], sample["n"], strict=True):
         n = np.frombuffer(n, "<f4")
         rows.append((np.frombuffer(bucket, "<u2").astype(np.int64), n / n.sum(), place[y]))
-    model.fit(rows)
+    model.fit(rows, sample["doc_id"].tolist())
     return model
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang_pred, score, accepted) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent = shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = shared.value
+        found = sent()
         for batch in batches:
             for begin, texts in in_chunks(batch.column("text")):
                 letters = [any(c.isalpha() for c in t.decode("utf-8", "replace")) for t in texts]
@@ -155,8 +160,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
-def identify(docs: DataFrame, cap: int = 500) -> DataFrame:
+def identify(docs: DataFrame, cap: int = 500, classes: int = 1000) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, accepted): learnt outside the held-out fold, predicted for every text."""
     docs = columns(docs, "doc_id", "text", "lang")
-    out = predict(docs, train(docs, cap))
+    out = predict(docs, train(docs, cap, classes))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "accepted")

@@ -1,15 +1,17 @@
 """Substring dedup by repeated-phrase automata.
 
-Windows of consecutive words that also start in a document with a smaller doc_id are removed. Segments of texts whose
-whole content recurs are settled by their hashes (see _repeats). Where passages only partly agree, their texts are dealt
-out by content to shards; each shard confirms the windows that occur in more than one document, compiles them into an
-Aho-Corasick automaton, and streams every piece of every document that could match through it to locate all
-occurrences. A document is sent to the shards of its own content only, so the work grows with the corpus and not with
-shards times documents.
+Windows of consecutive words that also start in a document with a smaller doc_id are removed. Passages that may recur
+are dealt out by content to shards (see _repeats). Each shard confirms the phrases, a window's words each, that occur in
+more than one document, compiles them into an Aho-Corasick automaton over words, and streams every distinct passage that
+any document has there through it, which locates all occurrences. A document meets the automata of its own content only,
+so the work grows with the corpus and not with shards times documents.
 
 Defined cases: null or empty text has no words, nothing is removed and the kept text is empty; a text shorter than the
-window keeps all its words; repeated rows (same doc_id and text) get the same result each and don't count as earlier;
-a null doc_id takes no part and keeps its words; an empty table gives an empty result; other columns are ignored.
+window keeps all its words; a very long text is cut into pieces of its own minimisers like any other, and no task but
+the reading and the writing one holds it whole; repeated rows (same doc_id and text) get the same result each and don't
+count as earlier, nor do other rows of the same doc_id, which are judged each on its own text; ties can't occur, as only
+the smallest doc_id with a phrase matters; a null doc_id takes no part and keeps its words; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,76 +24,57 @@ from pyspark.sql import DataFrame
 
 from . import _repeats as R
 from ._bytes import Block, in_chunks, tidy
-from ._common import columns, written
-
-RUN = "doc_id long, start int, n int"
+from ._common import columns
 
 
 def locate(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
-    """One shard: confirm, compile, stream; yields windows that also start in a document with a smaller doc_id."""
+    """One shard: confirm, compile, stream; the windows that start first in a document before the last that has the form."""
     import ahocorasick
 
-    docs, starts, counts = (table.column(c).to_pylist() for c in ("doc_id", "start", "n"))
-    texts = [b.decode("utf-8").split(" ") for b in table.column("piece").to_pylist()]
-    least: dict[str, int] = {}
-    shared: set[str] = set()
-    for doc, words, n in zip(docs, texts, counts, strict=True):
+    keys, pids, counts, docs, _, last, _, pieces = R.merged(table)
+    number: dict[bytes, int] = {}
+    texts = [tuple([number.setdefault(w, len(number)) for w in p.split(b" ")]) for p in pieces]
+    first: dict[tuple, int] = {}
+    final: dict[tuple, int] = {}
+    for words, n, low, high in zip(texts, counts.tolist(), docs.tolist(), last.tolist(), strict=True):
         for j in range(n):
-            phrase = " ".join(words[j : j + window])
-            other = least.setdefault(phrase, doc)
-            if other != doc:
-                shared.add(phrase)
-                least[phrase] = min(other, doc)
-    if not shared:
+            phrase = words[j : j + window]
+            if first.setdefault(phrase, low) > low:
+                first[phrase] = low
+            if final.setdefault(phrase, high) < high:
+                final[phrase] = high
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    least = []
+    for phrase, low in first.items():
+        if low < final[phrase]:
+            automaton.add_word(phrase, len(least))
+            least.append(low)
+    if not least:
         return
-    automaton = ahocorasick.Automaton()
-    for phrase in shared:
-        automaton.add_word(f" {phrase} ", least[phrase])
+    del first, final
     automaton.make_automaton()
-    out: list[tuple[int, int]] = []
-    for doc, start, words in zip(docs, starts, texts, strict=True):
-        ends = None
-        for end, first in automaton.iter(f" {' '.join(words)} "):
-            if first < doc:
-                if ends is None:  # the place of the space after each word
-                    ends = dict(zip(np.cumsum([len(w) + 1 for w in words]).tolist(), range(len(words)), strict=True))
-                out.append((doc, start + ends[end] - window + 1))
-    if out:
-        d, s = zip(*out, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int32()), pa.array(np.ones(len(s)), pa.int32())], ["doc_id", "start", "n"])
-
-
-def _word_pieces(texts: list[bytes], powers) -> R.Units:
-    """Words as units, with the white space between them turned into one space each."""
-    u = R.word_units(texts, powers)
-    words = u.high - u.low
-    high = np.cumsum(words + 1) - 1
-    data = np.full(int(high[-1]) + 1 if len(high) else 0, 32, np.uint8)
-    inside = np.repeat(high - words - u.low, words) + np.repeat(u.low, words) + _steps(words)
-    data[inside] = u.data[np.repeat(u.low, words) + _steps(words)]
-    return u._replace(data=data, low=high - words, high=high)
-
-
-def _steps(counts: np.ndarray) -> np.ndarray:
-    """0 .. count-1 for each count."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
-
-
-def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, shard_bytes: int = 8 << 20, hot_rows: int = 100_000) -> DataFrame:
+    found = [(i, end, k) for i, words in enumerate(texts) for end, k in automaton.iter(words)]
+    form, end, phrase = np.array(found, np.int64).reshape(-1, 3).T
+    early = np.array(least, np.int64)[phrase]
+    some = early < last[form]
+    form = form[some]
+    if len(form):
+        yield R.runs_batch(keys[form], pids[form], end[some] - window + 1, early[some], None)
+
+
+def cut(piece: bytes, n: int, window: int) -> list[bytes]:
+    words = piece.split(b" ")
+    return [b" ".join(words[j : j + window]) for j in range(n)]
+
+
+def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, shard_bytes: int = 4 << 20, split_rows: int = 20_000) -> DataFrame:
     """(doc_id, n_words, removed array<boolean> or null where nothing goes, kept string).
 
-    shard_bytes: texts in an automaton's shard; hot_rows: pieces of one content beyond which windows go by hashes.
+    shard_bytes: passages in an automaton's shard; split_rows: forms of one minimiser beyond which they are dealt out by
+    whole windows.
     """
     docs = columns(docs, "doc_id", "text")
-    rows = written(R.judged(R.segments(docs, R.word_units, window, gram, False), False), "passages")
-    ragged = R.pieces(docs, rows, _word_pieces, window, gram)
-
-    def cut(piece: bytes, n: int) -> list[bytes]:
-        words = piece.split(b" ")
-        return [b" ".join(words[j : j + window]) for j in range(n)]
-
-    resolved = R.resolved(ragged, lambda t: locate(t, window), cut, False, RUN, shard_bytes, hot_rows)
+    judged = R.repeated_runs(docs, R.word_units, window, gram, lambda t: locate(t, window), lambda p, n: cut(p, n, window), False, shard_bytes, split_rows)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +98,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, shard_bytes
                     ["doc_id", "n_words", "removed", "kept"],
                 )
 
-    return R.runs_by_document(docs, rows, resolved).select("doc_id", "text", "runs").mapInArrow(tidy(finish), "doc_id long, n_words long, removed array<boolean>, kept string")
+    return judged.mapInArrow(tidy(finish), "doc_id long, n_words long, removed array<boolean>, kept string")
 
 
 ORACLE = r"""

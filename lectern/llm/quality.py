@@ -8,7 +8,8 @@ pass over all whole texts; learning joins labels to them, so no text is shuffled
 The fit uses a bounded sample: cap labelled rows of each class, the first by a hash of doc_id.
 
 Defined cases: null, empty or white-space texts have all their counts zero and are scored like any other; if only one
-class is known the score is its label (0.5 if none is known); repeated rows get equal scores; a null doc_id is scored
+class is known the score is its label (0.5 if none is known); a doc_id with two labels is not learnt from; a very long
+text is counted whole; equal texts have equal scores, so ties are ties; repeated rows get equal scores; a null doc_id is scored
 but not learnt from; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,16 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import SPACE, Block, Powers, in_chunks, tidy
-from ._common import columns, held_out, training_keys, written
+from ._bytes import SPACE, Block, in_chunks, tidy
+from ._common import columns, held_out, shared, training_keys, written
 from .perplexity import statistics
 
 PUNCTUATION = b".,;:?'\"-()"
 
 
-def document_statistics(texts: list[bytes], powers: Powers) -> np.ndarray:
+def document_statistics(texts: list[bytes]) -> np.ndarray:
     """A row of transformed statistics for each text."""
-    n_words, chars, symbols, dup_lines, repeat = (x.astype(float) for x in statistics(texts, powers))
+    n_words, chars, symbols, dup_lines, repeat = (x.astype(float) for x in statistics(texts))
     block = Block(texts)
     data, first, last = block.data, block.first, block.first + block.length
     total = lambda flags: (c := np.concatenate(([0], np.cumsum(flags))))[last] - c[first]
@@ -85,13 +86,13 @@ class Discriminant:
             a = max(shrink, x.shape[1] / (x.shape[1] + len(g)))  # few rows: lean on the pooled covariance
             cov = (1 - a) * own + a * (0.5 * pooled + 0.5 * np.diag(np.diag(pooled))) + ridge * np.eye(x.shape[1])
             self.mean.append(g.mean(0))
-            self.factor.append(np.linalg.inv(np.linalg.cholesky(cov)))
+            self.factor.append(np.linalg.cholesky(cov))
             self.log_det.append(np.linalg.slogdet(cov)[1])
         self.slope, self.offset = self._calibrate(self._difference(x), y)
 
     def _difference(self, x: np.ndarray) -> np.ndarray:
         """log density of class 1 less that of class 0, flattened far out, where Gaussians mean little."""
-        log = [-0.5 * (((x - m) @ f.T) ** 2).sum(1) - 0.5 * d for m, f, d in zip(self.mean, self.factor, self.log_det, strict=True)]
+        log = [-0.5 * (np.linalg.solve(f, (x - m).T) ** 2).sum(0) - 0.5 * d for m, f, d in zip(self.mean, self.factor, self.log_det, strict=True)]
         return np.arcsinh((log[1] - log[0]) / 4)
 
     @staticmethod
@@ -116,10 +117,9 @@ def classify(docs: DataFrame, labels: DataFrame, cap: int = 8000, threshold: flo
     docs = columns(docs, "doc_id", "text")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in batches:
             for begin, texts in in_chunks(batch.column("text")):
-                x = document_statistics(texts, powers)
+                x = document_statistics(texts)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_STATISTICS).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), lists], ["doc_id", "x"])
 
@@ -127,12 +127,13 @@ def classify(docs: DataFrame, labels: DataFrame, cap: int = 8000, threshold: flo
     keys = training_keys(labels.where("quality IN (0, 1)"), "quality", cap)
     sample = table.join(F.broadcast(keys), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")  # 2 * cap rows
     x = np.array(sample["x"].tolist()).reshape(len(sample), N_STATISTICS)
-    model = docs.sparkSession.sparkContext.broadcast(Discriminant(x, sample["y"].to_numpy().astype(int)))
+    model = shared(docs.sparkSession, Discriminant(x, sample["y"].to_numpy().astype(int)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = model()
         for batch in batches:
             values = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, N_STATISTICS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.value.score(values))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fitted.score(values))], ["doc_id", "score"])
 
     out = table.mapInArrow(tidy(run), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))

@@ -1,106 +1,251 @@
 """Toxicity: a subsequence string-kernel support vector machine with Nystrom landmarks.
 
-The kernel counts common subsequences, of three characters and of a landmark's full length in equal parts, each weighted
-by a decay to the power of its spans in both strings, so an insult still matches with letters between its own or with an ending of its own. With a landmark of m characters a
-string is compared window by window of m + 2, and the best counts: else long strings would gather many faint matches. Strings are a sentence's
-units: its words in lower case without punctuation and with common digit-for-letter swaps undone, and runs of single
-letters written apart, joined. Long units are taken in overlapping pieces, whole.
-
-Landmarks are word beginnings that occur in three toxic training texts of the sample at least and hardly in clean ones
-(all labelled clean texts outside the held-out fold are counted), chosen greedily until the toxic texts are covered a few
-times or have no more of them. A unit's feature vector is its kernel values with the landmarks, divided by each landmark's
-own, times the inverse root of the landmarks' kernel matrix (Nystrom); a linear SVM with squared hinge loss is
-trained on it by Newton steps. Training units come from labelled sentences: a text counts as toxic for one of its sentences at least, so
-the witnesses are its units on the right side so far, chosen anew in each round, against all units of clean sentences.
-A sentence's margin is that of its worst unit and a text's that of its worst sentence; a logistic curve makes it a score.
-
-A unit shares almost no subsequence with a landmark when it lacks its letters; such pairs are set to zero by a letter
-mask (part of the kernel's definition here) and never computed. Each task scores a distinct unit once.
-
-The fit uses a bounded sample: cap labelled rows of each class, the first by a hash of doc_id. A word beginning in fewer
-than three toxic texts of the sample, copies counted once, is no landmark.
-
-Defined cases: null, empty or white-space texts have no unit and get the score of the smallest margin; if no landmark
-can be learnt (no toxic or no clean rows, an empty table) every score is 0; repeated rows get equal scores; a null
-doc_id is scored but not learnt from; other columns are ignored.
+Strings are the gapped windows of a sentence, in lower case and with common digit-for-letter swaps undone: letters from
+the beginning of a word on, in that word, or on to the end of a later one over what stands between them (spaces, hyphens,
+dots). The kernel of two strings counts the occurrences of the shorter one as a subsequence of the longer one, from its
+first letter on, each weighted by decay for every letter in between (spare(m) of them at most), and by apart where the
+window goes over more than one word. It comes twice, with that decay and with none (no letters in between, one word only),
+so that the machine can tell what holds an insult from what is merely like one. So an insult matches with an ending, with letters put in, or spelt with gaps; a word that only looks like it lacks a letter
+or its beginning, and doesn't.
+
+Landmarks are windows of labelled sentences: beginnings of words that three toxic training texts of the sample have at
+least and hardly a clean one (all labelled clean texts outside the held-out fold are counted), taken greedily until the
+toxic texts are covered a few times or have no more of them, however many that takes. A sentence's features are its best
+windows' kernel values with the landmarks, times the inverse root of the landmarks' kernel matrix (Nystrom). A linear SVM
+with squared hinge loss is trained on labelled sentences by Newton steps: all sentences of clean texts are negative; a
+toxic text is toxic for one of its sentences at least, so its worst sentence so far stands for it, chosen anew in each
+round. A text's margin is that of its worst sentence, and a logistic curve makes it a score.
+
+A landmark's windows are found for all texts of a piece at once: from every word with its first letter on, the next
+letter within the gaps that are left, letter by letter. That finds every window that holds the landmark, and those that
+don't have the value 0 by definition; nothing is filtered out.
+
+The fit uses a bounded sample: cap labelled rows of each class, the first by a hash of doc_id, and of these as many as
+sample_bytes hold. A beginning in fewer than three toxic texts of the sample, copies counted once, is no landmark.
+
+Defined cases: null, empty or white-space texts have no window and get the score of the bare bias; very long texts are
+scored whole, sentence by sentence; if no landmark can be learnt (no toxic or no clean rows, an empty table) every score
+is 0; equal texts, repeated rows among them, have equal scores, and rows that share a doc_id are scored each on its own
+text; a doc_id with two labels is not learnt from; a null doc_id is scored but not learnt from; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._bytes import in_chunks, tidy
-from ._common import columns, held_out, training_keys
+from ._common import columns, held_out, shared, training_keys
 from .quality import Discriminant
 
-LENGTH = 24  # characters of a piece of a unit
-SENTENCE = re.compile(r"[.!?\n]+\s")
-OUTSIDE = re.compile(r"[\W_]+")
-#: Digits and signs that stand for letters.
-SWAPS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "$": "s", "@": "a", "!": "i"})
-
-
-def unit_of(token: str) -> str:
-    """Lower-case letters of a token; trailing signs are punctuation, inner ones may stand for letters."""
-    token = token.strip(".,;:!?\"'()[]{}*-_#%&|<>~`/\\+=")
-    if not token.isalpha():
-        token = OUTSIDE.sub("", token.translate(SWAPS)) if any(c.isalpha() for c in token) else ""
-    return token
-
-
-def tokens_of(text: str) -> set[str]:
-    """Distinct tokens, and the runs of single letters as one token each."""
-    words = text.lower().split()
-    out = set(words)
-    if len({w for w in out if len(w) == 1}) > 2:
-        run: list[str] = []
-        for w in [*words, ""]:
-            bare = w.strip(".,-_*")
-            if len(bare) == 1 and bare.isalnum():
-                run.append(bare)
-                continue
-            if len(run) > 2:
-                out.add("".join(run))
-            run = []
-    return out
+SHORT, LONG = 3, 12  # letters of a landmark
+_PLANE = 0x3000  # code points looked up; those beyond are letters
+_LETTER = np.array([chr(c).isalpha() for c in range(_PLANE)])
+_SWAP = np.zeros(128, np.uint32)
+for _sign, _meant in zip("01345 7$@".replace(" ", ""), "oieastsa", strict=True):  # digits and signs that stand for letters
+    _SWAP[ord(_sign)] = ord(_meant)
+
+
+def spare(m: int) -> int:
+    """Letters that may stand between those of a landmark of m letters."""
+    return 1 if m < 6 else 2
+
+
+class Letters(NamedTuple):
+    """The letters of some texts: code points, whether a word begins there, the sentence; each sentence's text."""
+
+    code: np.ndarray
+    begins: np.ndarray
+    sentence: np.ndarray
+    text: np.ndarray
+
+
+def letters_of(texts: list[bytes]) -> Letters:
+    low = [t.decode("utf-8").lower() for t in texts]
+    joined = "\n".join([*low, ""])
+    data = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = np.where(data < _PLANE, _LETTER[np.minimum(data, _PLANE - 1)], True)
+    swap = np.where(data < 128, _SWAP[np.minimum(data, 127)], 0)
+    for _ in range(2):  # a sign before a letter, or two of them
+        told = (swap[:-1] > 0) & letter[1:] & ~letter[:-1]
+        letter = letter.copy()
+        letter[:-1] |= told
+    data = np.where(letter & (swap > 0), swap, data)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    stop = (data == 46) | (data == 33) | (data == 63)
+    ends = data == 10
+    ends[:-1] |= stop[:-1] & space[1:]
+    at = np.flatnonzero(letter)
+    sentence = np.concatenate(([0], np.cumsum(ends)))  # of each place
+    size = np.fromiter(map(len, low), np.int64, len(low)) + 1
+    first = sentence[np.cumsum(size) - size]
+    text = np.searchsorted(first, np.arange(sentence[-1] + 1), "right") - 1
+    before = np.concatenate(([False], letter[:-1]))
+    return Letters(data[at], ~before[at], sentence[at], text)
+
+
+def kernel(window: np.ndarray, begins: np.ndarray, mark: np.ndarray, decay: float, apart: float) -> np.ndarray:
+    """Of each row of windows (code points, 0 beyond the end), the value with the landmark.
+
+    begins: where words begin, a column more than window. Occurrences within the first word count whole; those that go on
+    and end with a word count times apart.
+    """
 
+    def occurrences(w: np.ndarray) -> np.ndarray:
+        """Of each place, the occurrences that end there."""
+        here = np.zeros(w.shape)
+        here[:, 0] = w[:, 0] == mark[0]
+        for c in mark[1:]:
+            reach, after = np.zeros(len(w)), np.zeros_like(here)
+            for i in range(1, w.shape[1]):
+                reach = reach * decay + here[:, i - 1]  # all ends before i, by the letters between
+                after[:, i] = reach * (w[:, i] == c)
+            here = after
+        return here
 
-def cut(unit: str) -> list[str]:
-    return [unit] if len(unit) <= LENGTH else [unit[k : k + LENGTH] for k in range(0, len(unit) - LENGTH // 2, LENGTH // 2)]
+    first_word = np.concatenate((np.ones((len(window), 1), bool), np.cumsum(begins[:, 1:-1], 1) == 0), 1)
+    return occurrences(np.where(first_word, window, 0)).sum(1) + apart * (occurrences(window) * (~first_word & begins[:, 1:])).sum(1)
 
 
-def codes(strings: list[str]) -> np.ndarray:
-    """Characters as integers, 0 after the end."""
-    width = max(map(len, strings), default=1) or 1
-    return np.array(strings, f"<U{width}").view(np.uint32).reshape(len(strings), width)
+def codes(word: str) -> np.ndarray:
+    return np.array([ord(c) for c in word], np.uint32)
 
 
-def letter_mask(code: np.ndarray) -> np.ndarray:
-    bit = np.where((code >= 97) & (code <= 122), code - 97, 26 + code % 6).astype(np.uint32)
-    return np.bitwise_or.reduce(np.where(code > 0, np.uint32(1) << bit, np.uint32(0)), axis=1)
+class Machine:
+    """Landmarks, Nystrom maps of both kernels and a linear SVM."""
+
+    def __init__(self, landmarks: list[str], decay: float = 0.9, apart: float = 0.9) -> None:
+        self.landmarks = landmarks
+        self.kernels = ((0.0, 0.0), (decay, apart))  # (decay, apart): without letters in between, and with
+        self.marks = [codes(x) for x in landmarks]
+        self.roots = [self.inverse_root(self.gram(*k)) for k in self.kernels]
+        self.weight, self.bias = np.zeros(2 * len(landmarks)), -1.0
+        self.curve = (1.0, 0.0)
 
+    def gram(self, decay: float, apart: float) -> np.ndarray:
+        """The kernel of the landmarks with each other."""
+        out = np.zeros((len(self.marks), len(self.marks)))
+        for j, mark in enumerate(self.marks):
+            longer = [i for i, x in enumerate(self.marks) if len(x) >= len(mark) and x[0] == mark[0]]
+            width = len(mark) + spare(len(mark))
+            window = np.zeros((len(longer), width), np.uint32)
+            for row, i in enumerate(longer):
+                window[row, : min(width, len(self.marks[i]))] = self.marks[i][:width]
+            out[longer, j] = kernel(window, np.zeros((len(longer), width + 1), bool), mark, decay, apart)
+        return np.maximum(out, out.T)
+
+    @staticmethod
+    def inverse_root(gram: np.ndarray, least: float = 1e-2) -> np.ndarray:
+        value, vector = np.linalg.eigh(gram)
+        return vector @ np.diag(np.maximum(value, least) ** -0.5) @ vector.T
+
+    def windows(self, letters: Letters) -> Iterator[tuple[int, np.ndarray]]:
+        """(landmark, places in letters) of the windows that hold a landmark."""
+        code = np.concatenate((letters.code, np.zeros(LONG + 8, np.uint32)))
+        starts = np.flatnonzero(letters.begins)
+        by = np.argsort(letters.code[starts], kind="stable")
+        starts, heads = starts[by], letters.code[starts][by]
+        for j, mark in enumerate(self.marks):
+            start = starts[np.searchsorted(heads, mark[0]) : np.searchsorted(heads, mark[0], "right")]
+            place, gaps = start, spare(len(mark))
+            for k in range(1, len(mark)):
+                limit = start + k + gaps
+                found = np.full(len(start), -1)
+                for d in range(gaps + 1, 0, -1):  # the nearest one is set last
+                    hit = (code[place + d] == mark[k]) & (place + d <= limit)
+                    found[hit] = place[hit] + d
+                some = found >= 0
+                start, place = start[some], found[some]
+                if not len(start):
+                    break
+            if len(start):
+                some = letters.sentence[place] == letters.sentence[start]
+                if some.any():
+                    yield j, start[some]
+
+    def features(self, letters: Letters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sentence, landmark, best windows' kernel values, a row for each kernel), each pair once; all others are 0."""
+        sentence, landmark, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((2, 0))]
+        last = len(letters.code) - 1
+        for j, start in self.windows(letters):
+            mark = self.marks[j]
+            at = start[:, None] + np.arange(len(mark) + spare(len(mark)) + 1)
+            inside = np.minimum(at, last)
+            same = (at <= last) & (letters.sentence[inside] == letters.sentence[start][:, None])
+            window, begins = np.where(same, letters.code[inside], 0)[:, :-1], letters.begins[inside] | ~same
+            own, place = np.unique(letters.sentence[start], return_inverse=True)
+            best = np.zeros((2, len(own)))
+            for k, (decay, apart) in enumerate(self.kernels):
+                np.maximum.at(best[k], place, kernel(window, begins, mark, decay, apart))
+            sentence.append(own)
+            landmark.append(np.full(len(own), j))
+            value.append(best)
+        return np.concatenate(sentence), np.concatenate(landmark), np.concatenate(value, 1)
+
+    def nystrom(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sentence, feature rows) of the sentences with a landmark in them, and the text of every sentence."""
+        letters = letters_of(texts)
+        sentence, landmark, value = self.features(letters)
+        own, place = np.unique(sentence, return_inverse=True)
+        parts = []
+        for x, root in zip(value, self.roots, strict=True):
+            rows = np.zeros((len(own), len(self.marks)))
+            rows[place, landmark] = x
+            parts.append(rows @ root)
+        return own, np.concatenate(parts, 1), letters.text
+
+    def margins(self, texts: list[bytes]) -> np.ndarray:
+        """The margin of each text's worst sentence."""
+        letters = letters_of(texts)
+        sentence, landmark, value = self.features(letters)
+        own = np.zeros(len(letters.text))
+        for x, root, weight in zip(value, self.roots, np.split(self.weight, 2), strict=True):
+            np.add.at(own, sentence, x * (root @ weight)[landmark])
+        out = np.full(len(texts), -np.inf)
+        of_text = letters.text < len(texts)
+        np.maximum.at(out, letters.text[of_text], own[of_text])
+        return np.where(np.isfinite(out), out, 0) + self.bias
+
+    def fit(self, texts: list[bytes], labels: list[int], rounds: int = 4, inserted: float = 0.6) -> None:
+        """inserted: the weight of the landmarks with a letter put in, and in two parts, beside the witnesses' weight of one."""
+        y = np.array(labels)
+        own, x, text = self.nystrom(texts)
+        of = text[own]
+        negative = x[y[of] == 0]
+        spoilt = [h[:k] + c + h[k:] for h in self.landmarks for k in range(1, len(h)) for c in ("x", "q", " ") if c not in h]
+        extra_row, extra, _ = self.nystrom([s.encode() for s in spoilt])
+        extra_cost = np.full(len(extra), inserted / max(1, len(extra)))
+        margin = np.linalg.norm(x, axis=1)
+        nothing = np.zeros((1, x.shape[1]))  # all sentences without a landmark are one negative example
+        for _ in range(rounds):
+            best: dict[int, int] = {}
+            for i in np.flatnonzero(y[of] == 1).tolist():
+                t = int(of[i])
+                if t not in best or margin[i] > margin[best[t]]:
+                    best[t] = i
+            witness = np.array(sorted(best.values()), int)
+            if not len(witness):
+                return
+            cost = np.concatenate((np.full(len(witness), 1 / len(witness)), extra_cost, np.full(len(negative), 1 / max(1, len(negative))), [0.3]))
+            sign = np.repeat((1.0, -1.0), (len(witness) + len(extra), len(negative) + 1))
+            self.weight, self.bias = train_svm(np.concatenate((x[witness], extra, negative, nothing)), sign, cost)
+            margin = x @ self.weight + self.bias
+        worst = np.full(len(texts), self.bias)
+        np.maximum.at(worst, of, margin)
+        told = (y == 0) | (worst >= 0)  # toxic texts without a witness say nothing about the curve
+        self.curve = Discriminant._calibrate(np.minimum(worst[told], 1), y[told])
 
-def subsequence_kernel(s: np.ndarray, t: np.ndarray, decay: float, length: int = 3) -> np.ndarray:
-    """The kernel of rows of s with rows of t: common subsequences of length characters, weighted by their spans."""
-    equal = ((s[:, :, None] == t[:, None, :]) & (s[:, :, None] > 0)).astype(np.float32) * np.float32(decay**2)
-    here = equal
-    for _ in range(length - 1):
-        total = np.zeros_like(here)  # of all ends before (i, j), weighted by the distance
-        for i in range(1, here.shape[1]):
-            total[:, i] = decay * total[:, i - 1] + here[:, i - 1]
-        shifted = np.zeros_like(total)
-        for j in range(1, here.shape[2]):
-            shifted[:, :, j] = decay * shifted[:, :, j - 1] + total[:, :, j - 1]
-        here = equal * shifted
-    return here.sum((1, 2))
+    def score(self, margin: np.ndarray) -> np.ndarray:
+        """Margins above the SVM's target of one say no more: they are sums over landmarks that are forms of one word."""
+        a, b = self.curve
+        return 1 / (1 + np.exp(-np.clip(a * np.minimum(margin, 1) + b, -30, 30)))
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, steps: int = 30) -> tuple[np.ndarray, float]:
@@ -119,128 +264,32 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-
     return w[:-1], float(w[-1])
 
 
-class Machine:
-    """Landmarks, Nystrom map and linear SVM."""
-
-    def __init__(self, landmarks: list[str], decay: float = 0.5, full_decay: float = 0.85, share: float = 0.8) -> None:
-        self.landmarks, self.decay, self.full_decay = landmarks, decay, full_decay
-        self.code = codes(landmarks)
-        self.mask = letter_mask(self.code)
-        self.need = np.ceil(share * np.bitwise_count(self.mask)).astype(int)
-        self.own = np.array([subsequence_kernel(c[None], c[None], decay)[0] for c in self.code])
-        pad = np.zeros((len(landmarks), LENGTH), np.uint32)
-        pad[:, : self.code.shape[1]] = self.code
-        gram = np.stack([subsequence_kernel(pad, np.broadcast_to(c, (len(pad), len(c))), decay) for c in self.code], 1)
-        gram = gram / np.sqrt(np.outer(self.own, self.own))
-        value, vector = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(gram)))
-        self.root = vector @ np.diag(np.maximum(value, 1e-3) ** -0.5) @ vector.T
-        self.weight, self.bias = np.zeros(len(landmarks)), -1.0
-        self.curve = (1.0, 0.0)
-
-    def features(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(index, kernel values with the landmarks) of the units that come near one; the others' values are zero."""
-        code = codes(units)
-        mask = letter_mask(code)
-        size = (code > 0).sum(1)
-        near = np.bitwise_count(mask[:, None] & self.mask) >= self.need
-        rows, cols = np.nonzero(near)
-        if not len(rows):
-            return rows, np.zeros((0, len(self.landmarks)))
-        by = np.argsort(size[rows], kind="stable")  # short units together, so that arrays stay narrow
-        rows, cols = rows[by], cols[by]
-        value = np.empty(len(rows), np.float32)
-        for k in range(0, len(rows), 4096):
-            r, c = rows[k : k + 4096], cols[k : k + 4096]
-            width = int(size[r].max())
-            value[k : k + 4096] = subsequence_kernel(code[r, :width], self.code[c], self.decay)
-        index, place = np.unique(rows, return_inverse=True)
-        out = np.zeros((len(index), len(self.landmarks)))
-        out[place, cols] = self._with_full_length(code, size, rows, cols, np.minimum(value / self.own[cols], 1.0))
-        return index, out
-
-    def _with_full_length(self, code: np.ndarray, size: np.ndarray, rows: np.ndarray, cols: np.ndarray, whole: np.ndarray, least: float = 0.4) -> np.ndarray:
-        """Kernel values of the best windows, both lengths; the whole string's value bounds them and stands where small."""
-        out = whole / 2
-        strong = np.flatnonzero(whole >= least)
-        if not len(strong):
-            return out
-        long = (self.code > 0).sum(1)[cols]
-        reach = long + 2
-        windows = np.maximum(size[rows[strong]] - reach[strong], 0) + 1
-        first = np.cumsum(windows) - windows
-        pair = np.repeat(strong, windows)
-        at = (np.arange(len(pair)) - np.repeat(first, windows))[:, None] + np.arange(int(reach.max()))
-        padded = np.pad(code, ((0, 0), (0, at.shape[1] + LENGTH)))
-        text = np.where(np.arange(at.shape[1]) < reach[pair][:, None], padded[rows[pair][:, None], at], 0)
-        value = np.zeros(len(pair))
-        for m in np.unique(long[pair]):
-            of_m = np.flatnonzero(long[pair] == m)
-            for part in np.array_split(of_m, len(of_m) // 4096 + 1):
-                mark = cols[pair[part]]
-                three = subsequence_kernel(text[part, : m + 2], self.code[mark, :m], self.decay) / self.own[mark]
-                full = subsequence_kernel(text[part, : m + 2], self.code[mark, :m], self.full_decay, int(m)) / self.full_decay ** (2.0 * m)
-                value[part] = (np.minimum(three, 1) + np.minimum(full, 1)) / 2
-        out[strong] = np.maximum.reduceat(value, first)
-        return out
-
-    def margins(self, units: list[str]) -> np.ndarray:
-        out = np.full(len(units), self.bias)
-        for k in range(0, len(units), 1 << 16):
-            index, x = self.features(units[k : k + (1 << 16)])
-            out[k + index] += x @ (self.root @ self.weight)
-        return out
-
-    def fit(self, bags: list[np.ndarray], labels: list[int], units: list[str], rounds: int = 4, certain: float = 0.8, inserted: float = 0.6) -> None:
-        """bags: the units (by index) of each text's sentences. certain: the kernel value of a first witness;
-        inserted: the weight of landmarks with a character put in, beside the witnesses' weight of one."""
-        index, near = self.features(units)
-        x = np.zeros((len(units), near.shape[1]))
-        x[index] = near @ self.root
-        margin = np.full(len(units), -1.0)
-        margin[index] = near.max(1) - certain if len(index) else 0
-        clean = np.unique(np.concatenate([np.zeros(0, int), *(b for b, y in zip(bags, labels, strict=True) if not y)]))
-        toxic = [np.setdiff1d(b, clean) for b, y in zip(bags, labels, strict=True) if y]
-        hard = clean[np.abs(x[clean]).sum(1) > 0]
-        spoilt = [h[:k] + c + h[k:] for h in self.landmarks for k in range(1, len(h)) for c in "xq." if c not in h]
-        _, value = self.features([unit_of(w) for w in spoilt])
-        extra = value @ self.root
-        extra_cost = np.full(len(extra), inserted / max(1, len(extra)))
-        for _ in range(rounds):
-            weight = np.zeros(len(units))  # each toxic text shares out one among its witnesses
-            for own in (b[margin[b] >= 0] for b in toxic):
-                weight[own] += 1 / max(1, len(own))
-            witness = np.flatnonzero(weight)
-            if not len(witness):
-                break
-            # all units far from every landmark are one negative example, at zero
-            cost = np.concatenate((weight[witness] / weight.sum(), extra_cost, np.full(len(hard), 1 / max(1, len(hard))), [0.3]))
-            sign = np.repeat((1.0, -1.0), (len(witness) + len(extra), len(hard) + 1))
-            self.weight, self.bias = train_svm(np.concatenate((x[witness], extra, x[hard], np.zeros((1, x.shape[1])))), sign, cost)
-            margin = x @ self.weight + self.bias
-        worst, y = np.array([margin[bag].max() if len(bag) else self.bias for bag in bags]), np.array(labels)
-        told = (y == 0) | (worst >= 0)  # toxic texts without a witness say nothing about the curve
-        self.curve = Discriminant._calibrate(np.minimum(worst[told], 1), y[told])
-
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        """Margins above the SVM's target of one say no more: they are sums over landmarks that are forms of one word."""
-        a, b = self.curve
-        return 1 / (1 + np.exp(-np.clip(a * np.minimum(margin, 1) + b, -30, 30)))
+def words_of(texts: list[bytes]) -> list[set[str]]:
+    """The distinct words of each text as the windows see them, first LONG letters only: what a landmark can be."""
+    letters = letters_of(texts)
+    edge = np.append(np.flatnonzero(letters.begins), len(letters.code))
+    word = letters.code.tobytes().decode("utf-32-le", "surrogatepass")
+    own = letters.text[letters.sentence[edge[:-1]]] if len(letters.code) else []
+    out: list[set[str]] = [set() for _ in texts]
+    for a, b, t in zip(edge[:-1].tolist(), edge[1:].tolist(), np.asarray(own).tolist(), strict=True):
+        if b - a >= SHORT:
+            out[t].add(word[a : min(b, a + LONG)])
+    return out
 
 
-def heads_of(unit: str, short: int = 4, long: int = 9) -> list[str]:
-    """The beginnings of a unit that may be landmarks."""
-    return [unit[:k] for k in range(short, min(len(unit), long) + 1)]
+def heads_of(word: str) -> list[str]:
+    """The windows of one word that may be landmarks."""
+    return [word[:k] for k in range(SHORT, min(len(word), LONG) + 1)]
 
 
-def without_copies(bags: list[np.ndarray], units: list[str], size: int = 24) -> list[np.ndarray]:
-    """One text of each group of near copies: those that share half of their smallest unit hashes with one kept before."""
-    hashes = np.array([zlib.crc32(u.encode()) for u in units], np.int64)
-    out: list[np.ndarray] = []
+def without_copies(bags: list[set[str]], size: int = 24) -> list[set[str]]:
+    """One text of each group of near copies: those that share half of their smallest word hashes with one kept before."""
+    out: list[set[str]] = []
     holders: dict[int, list[int]] = {}
     for bag in bags:
-        sketch = np.sort(hashes[bag])[:size].tolist()
-        shared = Counter(i for h in sketch for i in holders.get(h, ()))
-        if shared and 2 * max(shared.values()) >= len(sketch):
+        sketch = sorted(zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in bag)[:size]
+        near = Counter(i for h in sketch for i in holders.get(h, ()))
+        if near and 2 * max(near.values()) >= len(sketch):
             continue
         for h in sketch:
             holders.setdefault(h, []).append(len(out))
@@ -253,13 +302,13 @@ def pure(toxic: int, clean: int, ratio: float, purity: float = 0.9) -> bool:
     return toxic * ratio / (toxic * ratio + clean * 4) >= purity
 
 
-def candidates(toxic: list[np.ndarray], clean: list[np.ndarray], units: list[str], support: int = 3) -> set[str]:
+def candidates(toxic: list[set[str]], clean: list[set[str]], support: int = 3) -> set[str]:
     """Heads that support toxic texts hold, and hardly a clean one of the sample.
 
     Support doesn't grow with the sample, so that a rare insult or one of a minority language counts like any other;
     what is in so few toxic texts by chance is told by the clean texts of the whole corpus (clean_counts).
     """
-    heads = lambda bag: {h for i in bag.tolist() for h in heads_of(units[i])}
+    heads = lambda bag: {h for w in bag for h in heads_of(w)}
     found: Counter[str] = Counter()
     for bag in toxic:
         found.update(heads(bag))
@@ -271,14 +320,14 @@ def candidates(toxic: list[np.ndarray], clean: list[np.ndarray], units: list[str
     return {h for h, n in found.items() if pure(n, other[h], ratio)}
 
 
-def choose_landmarks(toxic: list[np.ndarray], units: list[str], clean: dict[str, int], n_clean: int, support: int = 3, cover: int = 3) -> list[str]:
+def choose_landmarks(toxic: list[set[str]], clean: dict[str, int], n_clean: int, support: int = 3, cover: int = 3) -> list[str]:
     """Of the heads in clean (with the clean texts that hold them, of n_clean), those that mark toxic texts: greedily,
     until each text has cover of them or its own are used up. Nothing but the sample bounds their number.
 
     Texts that have cover already are no evidence for a further head, so it is held against the clean texts anew.
     """
     ratio = max(1, n_clean) / max(1, len(toxic))
-    heads = lambda bag: {h for i in bag.tolist() for h in heads_of(units[i])}
+    heads = lambda bag: {h for w in bag for h in heads_of(w)}
     whole: Counter[str] = Counter(h for bag in toxic for h in heads(bag) & clean.keys())
     good = {h for h, n in whole.items() if pure(n, clean[h], ratio)}
     found: list[str] = []
@@ -304,93 +353,72 @@ def choose_landmarks(toxic: list[np.ndarray], units: list[str], clean: dict[str,
     return found
 
 
-def clean_counts(docs: DataFrame, labels: DataFrame, heads: set[str], cached: int = 400_000) -> tuple[dict[str, int], int]:
+def clean_counts(docs: DataFrame, labels: DataFrame, heads: set[str]) -> tuple[dict[str, int], int]:
     """How many clean training texts hold each head, and how many there are: all labelled ones, not the sample's.
 
     Each text becomes the few heads it holds before it meets its label. Equal texts count once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(heads)
+    sent = shared(docs.sparkSession, heads)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, known = shared.value, set()
-        first = {h[:4] for h in wanted}
+        wanted = sent()
+        stems = {h[:SHORT] for h in wanted}
         hits: dict[str, list[str]] = {}
         for batch in batches:
             for begin, texts in in_chunks(batch.column("text")):
-                if len(known) > cached:
-                    known.clear()
-                    hits.clear()
                 held = []
-                for tokens in (tokens_of(t.decode("utf-8")) for t in texts):
-                    new = tokens - known
-                    known |= new
-                    for t in new:
-                        own = [h for p in cut(unit_of(t)) if p[:4] in first for h in heads_of(p) if h in wanted]
-                        if own:
-                            hits[t] = own
-                    held.append(["", *{h for t in tokens & hits.keys() for h in hits[t]}])  # "" is in every text
+                for bag in words_of(texts):
+                    own = {""}  # "" is in every text
+                    for w in bag:
+                        if w[:SHORT] in stems:
+                            if w not in hits:
+                                hits[w] = [h for h in heads_of(w) if h in wanted]
+                            own.update(hits[w])
+                    held.append(list(own))
+                if len(hits) > 400_000:
+                    hits.clear()
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(begin, len(texts)) for c in ("doc_id", "copy")), pa.array(held, pa.list_(pa.string()))], ["doc_id", "copy", "heads"])
 
     clean = labels.where("toxic = 0").select(labels["doc_id"].cast("bigint").alias("doc_id")).where(~held_out(F.col("doc_id"))).distinct()
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("copy")).mapInArrow(tidy(run), "doc_id long, copy long, heads array<string>").join(clean, "doc_id")
-    rows = texts.select("copy", F.explode("heads").alias("head")).distinct().groupBy("head").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = texts.select("copy", F.explode("heads").alias("head")).distinct().groupBy("head").agg(F.count(F.lit(1)).alias("n")).collect()  # candidates only
     found = {r["head"]: r["n"] for r in rows}
     return {h: found.get(h, 0) for h in heads}, found.get("", 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, cap: int = 2000) -> Machine | None:
-    """A machine from labelled rows; cap bounds the texts of each class, and with it what reaches the driver."""
+def train(docs: DataFrame, labels: DataFrame, cap: int = 2000, sample_bytes: int = 24 << 20) -> Machine | None:
+    """A machine from labelled rows; cap bounds the texts of each class and sample_bytes their size, and with them what
+    reaches the driver."""
     keys = training_keys(labels.where("toxic IN (0, 1)"), "toxic", cap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                units = {p for s in SENTENCE.split(text or "") for t in tokens_of(s) for p in cut(unit_of(t)) if len(p) > 2}
-                rows.append(" ".join(sorted(units)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y").cast(pa.int32()), pa.array(rows, pa.string())], ["doc_id", "y", "units"])
-
-    chosen = docs.join(F.broadcast(keys), "doc_id").select("doc_id", "y", "text").mapInArrow(tidy(run), "doc_id long, y int, units string")
-    sample = chosen.toPandas().drop_duplicates("doc_id").sort_values("doc_id")  # 2 * cap rows
-    at: dict[str, int] = {}
-    bags = [np.array([at.setdefault(u, len(at)) for u in row.split()], int) for row in sample["units"]]
-    labels_, units = sample["y"].tolist(), list(at)
-    if len(set(labels_)) < 2:
+    chosen = docs.join(F.broadcast(keys), "doc_id").where("text IS NOT NULL").select("doc_id", "y", "text")  # 2 * cap rows
+    chosen = chosen.dropDuplicates(["doc_id"]).withColumn("so_far", F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    sample = chosen.where(F.col("so_far") <= sample_bytes).select("doc_id", "y", "text").orderBy("doc_id").collect()
+    texts, y = [r["text"].encode() for r in sample], [r["y"] for r in sample]
+    if len(set(y)) < 2:
         return None
-    toxic, clean = (without_copies([bag for bag, y in zip(bags, labels_, strict=True) if y == k], units) for k in (1, 0))
-    heads = candidates(toxic, clean, units)
+    bags = words_of(texts)
+    toxic, clean = (without_copies([bag for bag, label in zip(bags, y, strict=True) if label == k]) for k in (1, 0))
+    heads = candidates(toxic, clean)
     if not heads:
         return None
-    landmarks = choose_landmarks(toxic, units, *clean_counts(docs, labels, heads))
+    landmarks = choose_landmarks(toxic, *clean_counts(docs, labels, heads))
     if not landmarks:
         return None
     machine = Machine(landmarks)
-    machine.fit(bags, labels_, units)
+    machine.fit(texts, y)
     return machine
 
 
-def predict(docs: DataFrame, machine: Machine | None, cached: int = 400_000) -> DataFrame:
+def predict(docs: DataFrame, machine: Machine | None) -> DataFrame:
     """(doc_id, score) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    sent = shared(docs.sparkSession, machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, known = shared.value, {}
+        found = sent()
         for batch in batches:
             for begin, texts in in_chunks(batch.column("text")):
-                part = [tokens_of(t.decode("utf-8")) for t in texts]
-                if found:
-                    if len(known) > cached:
-                        known.clear()
-                    new = list(set().union(*part).difference(known))
-                    pieces = [cut(unit_of(t)) for t in new]
-                    distinct = sorted({p for x in pieces for p in x if len(p) > 2})
-                    margin = dict(zip(distinct, found.margins(distinct).tolist(), strict=True)) if distinct else {}
-                    for t, x in zip(new, pieces, strict=True):
-                        known[t] = max((margin.get(p, found.bias) for p in x), default=found.bias)
-                    score = found.score(np.array([max(map(known.__getitem__, x), default=found.bias) for x in part]))
-                else:
-                    score = np.zeros(len(part))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(part)), pa.array(score)], ["doc_id", "score"])
+                score = found.score(found.margins(texts)) if found else np.zeros(len(texts))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), pa.array(score)], ["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, score double")
 

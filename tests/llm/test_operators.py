@@ -79,7 +79,7 @@ def test_passages_against_brute_force(spark, seed, hot):
             if first[tuple(w[k : k + 13])] < i:
                 mark(gone, k, 13)
         want[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g))
-    out = passages.remove_repeats(table(spark, rows), shard_bytes=400, hot_rows=hot)
+    out = passages.remove_repeats(table(spark, rows), shard_bytes=400, split_rows=hot)
     n, got = by_doc(out.select("doc_id", "n_words", F.expr("coalesce(size(filter(removed, x -> x)), 0)").alias("n"), "kept"))
     got = {i: (a, max(b, 0), c) for i, (a, b, c) in got.items()}
     assert n == len(rows)
@@ -101,7 +101,7 @@ def test_bytespans_against_brute_force(spark, seed, hot):
             seen.add(t[k : k + 100])
         spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
         want[i] = (len(t), sum(gone), spans, bytes(b for b, g in zip(t, gone) if not g))
-    out = bytespans.remove_repeats(table(spark, rows), shard_bytes=1000, hot_rows=hot)
+    out = bytespans.remove_repeats(table(spark, rows), shard_bytes=1000, split_rows=hot)
     n, got = by_doc(out.select("doc_id", "n_bytes", F.expr("n_bytes - length(kept)").alias("n"), F.size("spans"), "kept"))
     assert n == len(rows)
     assert got.pop(None)[1] == 0
@@ -174,31 +174,45 @@ def test_components_of_a_long_path(spark):
     assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100}
 
 
-def test_line_dedup_against_brute_force(spark):
-    key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-    rows = [r for r in dict.fromkeys(corpus(1)) if r[0] is not None]
+def line_key(s):
+    return s.strip(" \t\n\x0b\x0c\r").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+def line_dedup(rows):
+    """What is left of each row, in a list of (doc_id, n_lines, n_dropped, kept)."""
     holders = defaultdict(set)
     for i, t in rows:
         for s in (t or "").split("\n"):
-            if len(key(s)) >= 20:
-                holders[key(s)].add(i)
-    want = {}
+            if len(line_key(s)) >= 20 and i is not None:
+                holders[line_key(s)].add(i)
+    out = []
     for i, t in rows:
         split = (t or "").split("\n")
-        kept = [s for s in split if not (len(holders.get(key(s), ())) >= 3 and i != max(holders[key(s)]))]
-        want[i] = (len(split), len(split) - len(kept), "\n".join(kept))
+        kept = [s for s in split if i is None or not (len(holders.get(line_key(s), ())) >= 3 and i != max(holders[line_key(s)]))]
+        out.append((i, len(split), len(split) - len(kept), "\n".join(kept)))
+    return out
+
+
+def shared_ids(rows):
+    """The rows with some given twice and some doc_ids given to a second text."""
+    line = "a line of more than twenty characters"
+    return rows + [rows[2], rows[3], (rows[4][0], rows[7][1]), (rows[8][0], line), (rows[8][0], "BBBB keep me\n" + line), (7001, line), (7001, line), (7002, line), (None, line)]
+
+
+def test_line_dedup_against_brute_force(spark):
+    rows = shared_ids(corpus(1))
+    want = sorted(line_dedup(rows), key=str)
     for batches, fanout in ((1, 2), (5, 2), (4, 3)):
-        n, got = by_doc(lines.drop_common(table(spark, rows), batches=batches, fanout=fanout))
-        assert n == len(rows)
-        assert got == want
-    assert sum(v[1] for v in want.values()) > 3
+        out = lines.drop_common(table(spark, rows), batches=batches, fanout=fanout).drop("row")
+        assert sorted(map(tuple, out.collect()), key=str) == want
+    assert sum(v[2] for v in want) > 3
 
 
-def test_line_dedup_counts_rows_and_keeps_lines_without_doc_id(spark):
+def test_line_dedup_counts_documents_not_rows(spark):
     line = "a line of more than twenty characters"
-    n, got = by_doc(lines.drop_common(table(spark, [(1, line), (1, line), (None, line), (2, line)])))
-    assert n == 4
-    assert got == {1: (1, 1, ""), 2: (1, 0, line), None: (1, 0, line)}
+    rows = [(1, line), (1, line), (2, line), (None, line), (5, "AAAA"), (5, "BBBB keep me")]
+    got = sorted((r["doc_id"] or 0, r["kept"]) for r in lines.drop_common(table(spark, rows)).collect())
+    assert got == sorted((i or 0, t) for i, t in rows)
 
 
 def test_levelled_runs(spark):
@@ -208,11 +222,22 @@ def test_levelled_runs(spark):
     assert fresh == [1, 1, 1]
     assert [len(x) for x in runs.levels] == [1, 1]
     assert sorted((r["n_docs"], r["last_doc"]) for r in runs.counts().collect()) == [(1, 2), (2, 2), (3, 2)]
-    run = spark.read.parquet(runs.levels[1][0])
+    run = spark.table(runs.levels[1][0])
+    assert run.count() == 2  # every key stands in the run of the batch that it was first seen in
     for part in run.rdd.glom().collect():
         assert part == sorted(part, key=lambda r: (r["h1"], r["h2"]))
 
 
+def test_runs_are_joined_where_they_lie(spark):
+    """The anti-join with a run moves no row: the run is bucketed and sorted by key."""
+    runs = lines.LineRuns(spark)
+    keys = lines.line_places(table(spark, corpus(1)), 20)
+    runs.add(keys)
+    batch = spark.table(runs._write(spark.table(runs.levels[0][0])))
+    plan = runs.unseen(batch)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_sentencepiece_is_the_library(spark):
     import sentencepiece
 
@@ -266,19 +291,92 @@ def test_base_rules_against_brute_force(spark):
         assert not (failed and got[i][6])
 
 
-def test_kneser_ney_is_a_distribution():
+def kneser_ney(texts):
+    """P(c | a b) by the textbook, for any three bytes."""
+    grams = {3: defaultdict(int), 2: defaultdict(int), 1: defaultdict(int)}
+    for t in texts:
+        t = b"  " + t
+        for k in range(2, len(t)):
+            grams[3][t[k - 2 : k + 1]] += 1
+    for k in (2, 1):
+        for g in grams[k + 1]:
+            grams[k][g[1:]] += 1
+    cuts = {}
+    for k, of in grams.items():
+        n1, n2, n3, n4 = (sum(v == j for v in of.values()) for j in (1, 2, 3, 4))
+        if not (n1 and n2):
+            cuts[k] = lambda n: min(n, 0.5)
+            continue
+        y = n1 / (n1 + 2 * n2)
+        d = [1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.0]
+        d = [min(max(x, 0.05), j + 1) for j, x in enumerate(d)]
+        cuts[k] = lambda n, d=d: d[min(n, 3) - 1]
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / 256
+        own = {g: n for g, n in grams[k].items() if g[:-1] == gram[:-1]}
+        total = sum(own.values())
+        if not total:
+            return p(gram[1:])
+        n = own.get(gram, 0)
+        return (n - cuts[k](n) if n else 0) / total + sum(map(cuts[k], own.values())) / total * p(gram[1:])
+
+    return p
+
+
+def test_kneser_ney_against_the_textbook():
+    import numpy as np
+
+    texts = [b"the cat sat on the mat and the dog sat on the cat", b"a cat and a dog ***", "été".encode()] * 2
+    code, used, _ = perplexity.dense_codes(texts)
+    found, n = np.unique(perplexity.trigrams(code, used), return_counts=True)
+    model = perplexity.fit(found.astype(np.int64), n)
+    assert (np.diff(model["keys"].astype(object)) > 0).all()  # sorted, and no two n-grams under one hash
+    want = kneser_ney(texts)
+    for context in (b"at", b"th", b"  ", b" t", b"zz", b"tz", b"q ", b"\xc3\xa9"):
+        every = np.array([context[0] << 16 | context[1] << 8 | c for c in range(256)])
+        p = perplexity.probabilities(model, every)
+        assert abs(p.sum() - 1) < 1e-5, context
+        assert np.allclose(p, [want(context + bytes([c])) for c in range(256)], rtol=1e-4), context
+    surprise, size = perplexity.log_perplexity(model, [b"the cat", b"", b"zebra"])
+    for x, s, t in zip(surprise, size, [b"the cat", b"", b"zebra"], strict=True):
+        wide = b"  " + t
+        logs = [-np.log(want(wide[k - 2 : k + 1])) for k in range(2, len(wide))]
+        assert s == len(t) and abs(x - (np.mean(logs) if logs else 0)) < 1e-4
+
+
+def thue_morse():
+    """Two words of 1,024 letters that no polynomial modulo a power of two tells apart."""
+    bits = [bin(k).count("1") % 2 for k in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_patterned_words_are_told_apart(spark):
+    a, b = thue_morse()
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(table(spark, [(1, a), (2, b)])).collect()}
+    assert got == {1: 1, 2: 2}
+    fill = " ".join("word%d" % k for k in range(12))
+    rows = [(1, f"{a} {fill}"), (2, f"{b} {fill}")]
+    assert all(r["removed"] is None for r in passages.remove_repeats(table(spark, rows)).collect())
+    got = perplexity.judge(table(spark, [(1, f"{a}\n{b}\n"), (2, f"{a} {fill} {b} {fill}")])).collect()
+    assert [r["n_dup_lines"] for r in sorted(got)] == [0, 0]
+    assert sorted(got)[1]["n_repeat_words"] == 24  # the words between, both times
+
+
+def test_equal_hashes_are_confirmed_on_the_words(monkeypatch):
+    """With a hash that tells nothing apart, links and repeated words still come out right."""
     import numpy as np
 
-    texts = [b"the cat sat on the mat and the dog sat on the cat", b"a cat and a dog"] * 3
-    code = perplexity.codes(texts, perplexity.byte_classes())[0]
-    found, n = np.unique(code, return_counts=True)
-    model = perplexity.KneserNey(found.astype(np.int64), n)
-    context = np.unique(found // perplexity.CLASSES)
-    total = np.exp(model.table().reshape(-1, perplexity.CLASSES))[context]
-    seen = np.zeros((perplexity.CLASSES ** 3, perplexity.CLASSES), bool)
-    seen.ravel()[found] = True
-    assert (np.where(seen[context], total, 0).sum(1) <= 1 + 1e-9).all()
-    assert (np.where(seen[context], total, 0).sum(1) > 0.3).all()
+    weak = lambda data, starts, ends, lane=0: np.ones(len(starts), np.uint64)
+    monkeypatch.setattr(perplexity, "run_hashes", weak)
+    texts = [b"a b c d e f g h", b"a b c d e x a b c d e", b""]
+    assert perplexity.statistics(texts)[4].tolist() == [0, 10, 0]
+    tokens, at = np.ones(3, np.uint64), np.arange(4)
+    sets = [jaccard.exact_shingles(t) for t in (b"a b", b"c d", b"a  b")]
+    links = jaccard.spanning_links(tokens, at, np.full(3, -1), 75, lambda i, j: jaccard.linked(sets[i], sets[j], 75))
+    assert [set(x) for x in links] == [{0, 2}]
 
 
 def test_perplexity_rejects_what_no_text_looks_like(spark):
@@ -339,14 +437,14 @@ def labelled(seed, n=500):
 
 def test_toxicity(spark):
     rows, labels = labelled(2)
-    rows += [(901, None), (902, ""), (None, "you dunderhead"), (903, "a d u n d e r h e a d b"), (904, "quite nincoxmpoop of you"), (905, "word " * 50_000 + "blatherskite")]
+    rows += [(901, None), (902, ""), (None, "you dunderhead"), (903, "a d u n d e r h e a d b"), (904, "quite nincoxmpoop of you"), (906, "what a blather skite"), (907, "underhead of all"), (905, "word " * 50_000 + "blatherskite")]
     docs, lab = table(spark, rows), spark.createDataFrame(labels + [(None, 1, 1, "x"), (3, None, None, "x")], "doc_id long, quality int, toxic int, text string")
     n, got = by_doc(toxicity.classify(docs, lab).select("doc_id", "held_out", "score", "predicted"))
     assert n == len(rows)
     held = [(got[k][2], y) for k, _, y, _ in labels if got[k][0]]
     assert len(held) > 100
     assert sum(a == b for a, b in held) / len(held) > 0.97
-    assert [got[k][2] for k in (901, 902, None, 903, 904, 905)] == [0, 0, 1, 1, 1, 1]
+    assert [got[k][2] for k in (901, 902, None, 903, 904, 905, 906, 907)] == [0, 0, 1, 1, 1, 1, 1, 0]
     none = spark.createDataFrame([], lab.schema)
     assert {r["score"] for r in toxicity.classify(docs, none).collect()} == {0.0}
 
@@ -375,20 +473,49 @@ def test_toxicity_learns_rare_insults_and_those_of_each_language(spark):
     assert sum(got[k]["predicted"] for k in held if kinds[k] == "clean") <= 0.02 * len(held)
 
 
-def test_subsequence_kernel_against_definition():
+def windows_of(sentence, length):
+    """(letters, word of each letter, whether each ends its word) from the beginning of every word on."""
+    words = re.findall(r"[^\W\d_]+", sentence.lower())
+    letters = [(c, k, i == len(w) - 1) for k, w in enumerate(words) for i, c in enumerate(w)]
+    first = [sum(map(len, words[:k])) for k in range(len(words))]
+    return [letters[a : a + length] for a in first]
+
+
+def kernel_by_definition(window, mark, decay, apart):
+    """All places of mark in window, from its first letter on; those that leave the first word must end one."""
     from itertools import combinations
 
-    def direct(s, t, p, d):
-        total = 0.0
-        for i in combinations(range(len(s)), p):
-            for j in combinations(range(len(t)), p):
-                if all(s[a] == t[b] for a, b in zip(i, j)):
-                    total += d ** (i[-1] - i[0] + 1 + j[-1] - j[0] + 1)
-        return total
+    total = 0.0
+    for at in combinations(range(len(window)), len(mark)):
+        if at[0] or any(window[i][0] != c for i, c in zip(at, mark)):
+            continue
+        between = at[-1] + 1 - len(mark)
+        if window[at[-1]][1] == window[0][1]:
+            total += decay**between
+        elif window[at[-1]][2]:
+            total += apart * decay**between
+    return total
 
-    for s, t, p in (("idixot", "idiot", 3), ("moron", "oronmo", 3), ("clown", "cxlown", 4), ("ab", "abc", 3)):
-        a, b = toxicity.codes([s]), toxicity.codes([t])
-        assert abs(toxicity.subsequence_kernel(a, b, 0.5, p)[0] - direct(s, t, p, 0.5)) < 1e-5
+
+def test_nystrom_features_against_definition():
+    import numpy as np
+
+    marks = ["idiot", "idiots", "scum", "stupid", "clown"]
+    machine = toxicity.Machine(marks)
+    texts = ["an idixot. You sc um\nscxum, scum", "closer to the crown", "", "st-upixd stuxpid i d i o t s", "IDIIOT scuum clown s"]
+    sentences = [(k, s) for k, t in enumerate(texts) for s in re.split(r"\n|[.!?]\s", t)]
+    raw = np.array([[[max([kernel_by_definition(w, m, *k) for w in windows_of(s, len(m) + toxicity.spare(len(m)))], default=0.0) for m in marks] for _, s in sentences] for k in machine.kernels])
+    grams = []
+    for kernel in machine.kernels:
+        g = np.array([[kernel_by_definition([(c, 0, False) for c in max(a, b, key=len)][: min(len(a), len(b)) + toxicity.spare(min(len(a), len(b)))], min(a, b, key=len), *kernel) if a[0] == b[0] else 0 for b in marks] for a in marks])
+        value, vector = np.linalg.eigh(g)
+        grams.append(vector @ np.diag(np.maximum(value, 1e-2) ** -0.5) @ vector.T)
+    want = np.concatenate([x @ g for x, g in zip(raw, grams)], 1)
+    own, got, text = machine.nystrom([t.encode() for t in texts])
+    assert [k for k, _ in sentences] == text[: len(sentences)].tolist()
+    assert own.tolist() == np.flatnonzero(raw.sum((0, 2))).tolist()
+    assert np.allclose(got, want[own])
+    assert (raw[0] > 0).any() and (raw[1] > raw[0]).any()
 
 
 def test_quality(spark):
@@ -404,6 +531,29 @@ def test_quality(spark):
     assert {r["score"] for r in quality.classify(table(spark, rows[:3]), none).collect()} == {0.5}
 
 
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """All ten operators in a Python that finds the package only on the driver."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    program = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "c")!r}).config("spark.sql.warehouse.dir", {str(tmp_path / "w")!r}).getOrCreate()
+from lectern.llm.queries import QUERIES
+for name, query in QUERIES.items():
+    print(name, query(spark, "/root/testdata/sf0.001").count(), flush=True)
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "SPARK_HOME_PYTHONPATH")}
+    done = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert len(done.stdout.split("\n")) == 11, done.stdout
+
+
 def test_empty_tables(spark):
     docs = table(spark, [])
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
