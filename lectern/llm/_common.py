@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Callable
 from typing import Any
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import drop_scratch, scratch_path, written
 from ..sources.tables import table as read
 
-__all__ = ["columns", "drop_scratch", "held_out", "read", "scratch_path", "shared", "training_keys", "written"]
+__all__ = ["columns", "drop_scratch", "held_out", "read", "release", "scratch_path", "shared", "training_keys", "written"]
 
 
 def shared(spark: SparkSession, thing: Any) -> Callable[[], Any]:
@@ -22,6 +23,12 @@ def shared(spark: SparkSession, thing: Any) -> Callable[[], Any]:
     return lambda: pickle.loads(sent.value)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written and that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """The named columns only, doc_id as long and text as string; extra columns of any name are left out."""
     kinds = {"doc_id": "bigint", "item_id": "bigint", "text": "string", "lang": "string"}

@@ -22,11 +22,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import _ODD, _SEED, U, Block, eights, in_chunks, mix, run_hashes, sliding_min, tidy, window_hashes
-from ._common import drop_scratch, scratch_path
+from ._common import drop_scratch, release, scratch_path
 
 _POSITION = U(31)  # bits that a position takes beside the truncated hash; fixed, so that ties fall alike everywhere
 #: A form has piece; a place of a form has no piece. key, pid: minimiser and hash of the piece.
@@ -232,8 +233,21 @@ def windows_of(forms: DataFrame, cut: Callable) -> DataFrame:
     return forms.select("key", "pid", "doc_id", "start", "n", "last_doc", "last_start", "piece").mapInArrow(tidy(run), ROWS)
 
 
-def by_key(rows: DataFrame, work: Callable, limit: int) -> DataFrame:
-    """work(Arrow table) on runs of whole keys, of about limit bytes of pieces each (RUNS)."""
+def shards(table: pa.Table, limit: int) -> Iterator[pa.Table]:
+    """Whole keys of a table sorted by key, of about limit bytes of pieces together: what fits a processor's cache is
+    worked on many times faster."""
+    keys = table.column("key").to_numpy()
+    size = np.cumsum(pc.binary_length(table.column("piece")).to_numpy())
+    change = np.flatnonzero(np.diff(keys)) + 1
+    wanted = np.searchsorted(size, np.arange(limit, int(size[-1]), limit))
+    after = np.searchsorted(change, wanted)
+    edge = [0, *np.unique(change[after[after < len(change)]]).tolist(), len(keys)]
+    for a, b in zip(edge[:-1], edge[1:], strict=True):
+        yield table.slice(a, b - a).combine_chunks()
+
+
+def by_key(rows: DataFrame, work: Callable, limit: int, held_bytes: int = 4 << 20) -> DataFrame:
+    """work(Arrow table) on shards of whole keys, of about limit bytes of pieces each (RUNS)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
@@ -241,17 +255,17 @@ def by_key(rows: DataFrame, work: Callable, limit: int) -> DataFrame:
         for batch in batches:
             held.append(pa.Table.from_batches([batch]))
             size += batch.nbytes
-            if size < limit:
+            if size < held_bytes:
                 continue
             table = pa.concat_tables(held).combine_chunks()
             keys = table.column("key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # rows are sorted by key; the last key may go on
-            if cut:
-                yield from work(table.slice(0, cut))
+            for shard in shards(table.slice(0, cut), limit) if cut else ():
+                yield from work(shard)
             held = [table.slice(cut)]
             size = held[0].nbytes if cut else size
-        if held:
-            yield from work(pa.concat_tables(held).combine_chunks())
+        for shard in shards(pa.concat_tables(held).combine_chunks(), limit) if held else ():
+            yield from work(shard)
 
     return rows.drop("row").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), RUNS)
 
@@ -280,7 +294,7 @@ def repeated_runs(docs: DataFrame, units: Callable, width: int, gram: int, work:
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         tables[name] = scratch_path(spark, name)
-        df.write.parquet(tables[name])
+        df.write.option("compression", "zstd").parquet(tables[name])
         return spark.read.schema(df.schema).parquet(tables[name])
 
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
@@ -292,6 +306,8 @@ def repeated_runs(docs: DataFrame, units: Callable, width: int, gram: int, work:
     lists = grams.join(several.hint("merge"), "g", "left_semi").groupBy("row").agg(F.collect_set("g").alias("gs"))
     rows = stored(cut_out(known.join(lists, "row"), units, width, gram), "forms")
     drop_scratch(spark, tables["minimisers"])
+    del grams, several, lists
+    release(spark)
 
     forms, places = rows.where("piece IS NOT NULL"), rows.where("piece IS NULL").select("key", "pid", "doc_id", "start", "row")
     crowded = stored(forms.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > split_rows).select("key"), "crowded")

@@ -69,7 +69,7 @@ def repeated(table: pa.Table, depth: int) -> Iterator[pa.RecordBatch]:
         yield R.runs_batch(keys[row], pids[row], step, first_doc[earlier], first_start[earlier])
 
 
-def remove_repeats(docs: DataFrame, threshold: int = 100, gram: int = 32, shard_bytes: int = 8 << 20, split_rows: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, threshold: int = 100, gram: int = 32, shard_bytes: int = 64 << 10, split_rows: int = 20_000) -> DataFrame:
     """(doc_id, n_bytes, spans array of removed (start, end) runs of bytes, kept binary).
 
     shard_bytes: bytes that are sorted at once; split_rows: forms of one minimiser beyond which they are dealt out by

@@ -32,30 +32,32 @@ def locate(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     import ahocorasick
 
     keys, pids, counts, docs, _, last, _, pieces = R.merged(table)
+    joined = b"\n".join([*pieces, b""])
+    data = np.frombuffer(joined, np.uint8)
+    ends = np.flatnonzero((data == 32) | (data == 10))  # of words; passages have single spaces between them
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    edge = np.concatenate(([0], np.flatnonzero(data[ends] == 10) + 1))  # words of each passage
+    row = np.repeat(np.arange(len(counts)), counts)
+    at = edge[:-1][row] + R.steps(counts)
     number: dict[bytes, int] = {}
-    texts = [tuple([number.setdefault(w, len(number)) for w in p.split(b" ")]) for p in pieces]
-    first: dict[tuple, int] = {}
-    final: dict[tuple, int] = {}
-    for words, n, low, high in zip(texts, counts.tolist(), docs.tolist(), last.tolist(), strict=True):
-        for j in range(n):
-            phrase = words[j : j + window]
-            if first.setdefault(phrase, low) > low:
-                first[phrase] = low
-            if final.setdefault(phrase, high) < high:
-                final[phrase] = high
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    least = []
-    for phrase, low in first.items():
-        if low < final[phrase]:
-            automaton.add_word(phrase, len(least))
-            least.append(low)
-    if not least:
+    phrase = np.array([number.setdefault(joined[a:b], len(number)) for a, b in zip(starts[at].tolist(), ends[at + window - 1].tolist(), strict=True)], np.int64)
+    first, final = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
+    np.minimum.at(first, phrase, docs[row])
+    np.maximum.at(final, phrase, last[row])
+    confirmed = np.flatnonzero(first < final)
+    if not len(confirmed):
         return
-    del first, final
+    words: dict[bytes, int] = {}
+    ids = tuple([words.setdefault(w, len(words)) for w in joined.split()])
+    place = np.empty(len(number), np.int64)
+    place[phrase] = at
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    for k, a in zip(confirmed.tolist(), place[confirmed].tolist(), strict=True):
+        automaton.add_word(ids[a : a + window], k)
     automaton.make_automaton()
-    found = [(i, end, k) for i, words in enumerate(texts) for end, k in automaton.iter(words)]
+    found = [(i, end, k) for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) for end, k in automaton.iter(ids[a:b])]
     form, end, phrase = np.array(found, np.int64).reshape(-1, 3).T
-    early = np.array(least, np.int64)[phrase]
+    early = first[phrase]
     some = early < last[form]
     form = form[some]
     if len(form):
@@ -67,7 +69,7 @@ def cut(piece: bytes, n: int, window: int) -> list[bytes]:
     return [b" ".join(words[j : j + window]) for j in range(n)]
 
 
-def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, shard_bytes: int = 4 << 20, split_rows: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 13, gram: int = 5, shard_bytes: int = 64 << 10, split_rows: int = 20_000) -> DataFrame:
     """(doc_id, n_words, removed array<boolean> or null where nothing goes, kept string).
 
     shard_bytes: passages in an automaton's shard; split_rows: forms of one minimiser beyond which they are dealt out by
