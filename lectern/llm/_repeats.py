@@ -4,7 +4,7 @@ Each window is filed under its minimiser: the leftmost smallest hash among its k
 one minimiser form a segment, so every window lies in exactly one segment, and windows that are equal have equal
 minimisers at equal offsets. A minimiser that occurs once in all texts has no repeated window.
 
-  1 (g, row) of every segment's minimiser; those that occur once go (counted with a partial aggregation, joined back)
+  1 (g, doc_id) of every segment's minimiser; those that occur once go (counted with a partial aggregation, joined back)
   2 the segments that are left are cut out of their texts, bytes and all, and dealt out by minimiser. A task sends each
     distinct piece once, with its first and last place, however many copies of it the task has (a form)
   3 whole minimisers meet in a task, which finds the repeated windows on the bytes themselves (the operators, each in its
@@ -100,32 +100,33 @@ def find_segments(u: Units, width: int, gram: int) -> tuple[np.ndarray, np.ndarr
 
 
 def minimisers(docs: DataFrame, units: Callable, width: int, gram: int, buffer: int = 1_000_000) -> DataFrame:
-    """(g, row, n): how often each row (a text with its doc_id) has each minimiser."""
+    """(g, doc_id, n): how often each text has each minimiser, a row for each text."""
 
-    def tally(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        g, row = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((row, g))
-        g, row = g[order], row[order]
+    def tally(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        g, text, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((text, g))
+        g, text = g[order], text[order]
         new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+        new[1:] = (g[1:] != g[:-1]) | (text[1:] != text[:-1])
         at = np.flatnonzero(new)
-        return pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(row[at]), pa.array(np.diff(np.append(at, len(g))), pa.int32())], ["g", "row", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[order][at]), pa.array(np.diff(np.append(at, len(g))), pa.int32())], ["g", "doc_id", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held, rows, texts_before = [], 0, 0
         for batch in batches:
-            ids = batch.column("row").to_numpy()
+            ids = batch.column("doc_id").to_numpy()
             for begin, texts in in_chunks(batch.column("text")):
                 g, text, _, _ = find_segments(units(texts, gram), width, gram)
-                held.append((g, ids[begin:][text]))
+                held.append((g, text + texts_before, ids[begin:][text]))
                 rows += len(g)
+                texts_before += len(texts)
                 if rows >= buffer:
                     yield tally(held)
                     held, rows = [], 0
         if rows:
             yield tally(held)
 
-    return docs.select("row", "text").mapInArrow(tidy(run), "g long, row long, n int")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "g long, doc_id long, n int")
 
 
 class _Forms:
@@ -301,12 +302,15 @@ def repeated_runs(docs: DataFrame, units: Callable, width: int, gram: int, work:
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
 
     grams = stored(minimisers(known, units, width, gram), "minimisers")
-    several = grams.groupBy("g").agg(F.min("row").alias("low"), F.max("row").alias("high"), F.sum("n").alias("n"))
-    several = several.where("n > 1" if within else "low <> high").select("g")
-    lists = grams.join(several.hint("merge"), "g", "left_semi").groupBy("row").agg(F.collect_set("g").alias("gs"))
-    rows = stored(cut_out(known.join(lists, "row"), units, width, gram), "forms")
+    several = grams.groupBy("g").agg((F.sum("n") if within else F.count(F.lit(1))).alias("n")).where("n > 1").select("g")
+    lists = grams.join(several.hint("merge"), "g", "left_semi").groupBy("doc_id").agg(F.collect_set("g").alias("gs"))
+    lists = stored(lists, "lists")
     drop_scratch(spark, tables["minimisers"])
-    del grams, several, lists
+    del grams, several
+    release(spark)
+    rows = stored(cut_out(known.join(lists, "doc_id"), units, width, gram), "forms")
+    drop_scratch(spark, tables["lists"])
+    del lists
     release(spark)
 
     forms, places = rows.where("piece IS NOT NULL"), rows.where("piece IS NULL").select("key", "pid", "doc_id", "start", "row")
@@ -324,7 +328,12 @@ def repeated_runs(docs: DataFrame, units: Callable, width: int, gram: int, work:
     if within:
         earlier |= (F.col("first_doc") == F.col("doc_id")) & (F.col("first_start") < F.col("start") + F.col("j"))
     found = places.join(runs, ["key", "pid"]).where(earlier).select("doc_id", "row", F.struct((F.col("start") + F.col("j")).alias("start"), "n").alias("run"))
-    found = found.groupBy("doc_id", "row").agg(F.collect_list("run").alias("runs"))
+    found = stored(found.groupBy("doc_id", "row").agg(F.collect_list("run").alias("runs")), "runs")
+    for name in tables.keys() - {"runs"}:
+        if name not in ("minimisers", "lists"):
+            drop_scratch(spark, tables[name])
+    del rows, forms, places, runs
+    release(spark)
     return docs.join(found, ["doc_id", "row"], "left").select("doc_id", "text", "runs")
 
 
