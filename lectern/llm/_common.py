@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import pickle
+import time
 from collections.abc import Callable
 from typing import Any
 
@@ -24,9 +25,14 @@ def shared(spark: SparkSession, thing: Any) -> Callable[[], Any]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written and that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of steps whose results are written and that nothing refers to any more.
+
+    The second round finds what the first one's clean-up let go of.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:

@@ -25,7 +25,9 @@ fit a task is compared with all of them first, in salted parts; those that link
 with everything in blocks of bounded size.
 
 Defined cases: null, empty or white-space texts have an empty set, link with nothing and are their own component;
-repeated rows have equal sets and so one component; a null doc_id takes no part and has a null component; an empty table
+repeated rows have equal sets and so one component; rows that share a doc_id but not a text are one document, linked by
+each of its texts, with the set size of each row's own; a very long text is one set in one task, and weighs by its size in a
+block; pairs at exactly 75 per cent link; a null doc_id takes no part and has a null component; an empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -492,7 +494,8 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 75, salt_rows: int =
     text counting once for each thousand shingles.
     """
     docs = columns(docs, "doc_id", "text")
-    known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    given = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
+    known, several = own_nodes(given)
     table = written(profile(known, shingle), "profiles")
     counts = slot_counts(table)
     profiles = table.where("part IS NULL").drop("part")
@@ -512,13 +515,43 @@ def join(docs: DataFrame, shingle: int = 5, percent: int = 75, salt_rows: int =
     links = grouped_links(met, only_likely(known, near), ["leader", "kind", "i", "j"], shingle, percent, False)
     links = written(links.unionByName(stars).distinct() if stars else links, "links")
 
-    labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("root")).groupBy("root").agg(F.count(F.lit(1)).alias("n_links"))
+    if several is not None:  # the texts of a doc_id are one document
+        of_doc = roots.join(several.withColumnRenamed("node", "doc_id"), "doc_id").select("owner", "root")
+        links = links.unionByName(of_doc.groupBy("owner").agg(F.min("root").alias("a")).join(of_doc, "owner").select("a", F.col("root").alias("b")))
+    labels = components(links)
     per_doc = roots.join(labels.withColumnRenamed("node", "root"), "root", "left").join(degree, "root", "left")
     per_doc = per_doc.select("doc_id", F.coalesce("component", "root").alias("linked"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     sizes = profiles.select("doc_id", "n").distinct()
-    out = docs.select("doc_id").join(sizes, "doc_id", "left").join(per_doc, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("linked", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    if several is None:
+        out = docs.select("doc_id", F.col("text").isNull().alias("bare")).join(sizes, "doc_id", "left").join(per_doc, "doc_id", "left")
+        return _result(out)
+    named = per_doc.join(several.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("owner", F.coalesce("owner", "doc_id"))
+    least = named.groupBy("linked").agg(F.min("owner").alias("least"))
+    named = named.join(least, "linked").select("doc_id", F.col("least").alias("linked"), "n_links")
+    rest = docs.where("doc_id IS NULL OR text IS NULL").select("doc_id", F.lit(None).cast("long").alias("owner"), F.lit(True).alias("bare"))
+    rows = known.select("doc_id").join(several.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("bare", F.lit(False)).unionByName(rest)
+    out = rows.join(sizes, "doc_id", "left").join(named, "doc_id", "left")
+    return _result(out.withColumn("doc_id", F.coalesce("owner", "doc_id")))
+
+
+def own_nodes(given: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(doc_id, text) where each text has an id of its own, and (node, owner) of the ids that aren't the doc_id, if any.
+
+    A doc_id with one text keeps it. One with several, which is rare, gets a hash of doc_id and text for each.
+    """
+    several = given.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high")).where("low <> high").select("doc_id")
+    several = written(several, "several")
+    if several.isEmpty():
+        return given, None
+    marked = given.join(several.withColumn("owner", F.col("doc_id")), "doc_id", "left")
+    marked = written(marked.withColumn("doc_id", F.when(F.col("owner").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "text"))), "texts")
+    return marked.select("doc_id", "text"), marked.where("owner IS NOT NULL").select(F.col("doc_id").alias("node"), "owner").distinct()
+
+
+def _result(out: DataFrame) -> DataFrame:
+    n = F.when(F.col("bare") | F.col("n").isNull(), 0).otherwise(F.col("n"))
+    return out.select("doc_id", n.cast("long").alias("n_shingles"), F.coalesce("linked", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 ORACLE = r"""

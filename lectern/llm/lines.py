@@ -44,9 +44,14 @@ def hashed(keys: DataFrame) -> DataFrame:
     return keys.withColumns({"h1": F.xxhash64("key"), "h2": F.xxhash64(F.lit(7), "key")}).drop("key")
 
 
+def row_of(doc_id: str, text: str) -> Column:
+    """What tells texts of one doc_id apart."""
+    return F.xxhash64(doc_id, text)
+
+
 def line_places(docs: DataFrame, min_chars: int) -> DataFrame:
     """(doc_id, row, at, h1, h2) of every line of min_chars code points or more; row tells texts of one doc_id apart."""
-    placed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.posexplode(F.transform(split_lines(F.col("text")), line_key)).alias("at", "key"))
+    placed = docs.select("doc_id", row_of("doc_id", "text").alias("row"), F.posexplode(F.transform(split_lines(F.col("text")), line_key)).alias("at", "key"))
     return hashed(placed.where(F.char_length("key") >= min_chars))
 
 
@@ -140,7 +145,7 @@ def drop_common(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     dropped = placed.join(common, ["h1", "h2"]).where(F.col("doc_id") != F.col("last_doc"))
     dropped = dropped.groupBy("doc_id", "row").agg(F.collect_set("at").alias("dropped"))
     # the lines are cut before the join, so that the lambda below reads a column and doesn't split anew for each line
-    joined = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), split_lines(F.col("text")).alias("lines")).join(dropped, ["doc_id", "row"], "left")
+    joined = docs.select("doc_id", row_of("doc_id", "text").alias("row"), split_lines(F.col("text")).alias("lines")).join(dropped, ["doc_id", "row"], "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "dropped")
     kept = F.when(F.col("dropped").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
     return joined.select("doc_id", "row", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept"))

@@ -155,6 +155,25 @@ def test_jaccard_against_brute_force(spark, rows, members, salt):
     assert got == components_of(distinct_docs(rows))
 
 
+def test_jaccard_of_rows_that_share_a_doc_id(spark):
+    """Such rows are one document, linked by each of its texts."""
+    r, words = random.Random(3), vocabulary(3, 300)
+    a, b, c = (" ".join(r.choice(words) for _ in range(80)) for _ in range(3))
+    rows = [(9, a), (9, b), (4, a + " end"), (7, b + " end"), (7, b + " end"), (5, c), (5, None), (11, c), (12, "alone")]
+    got = sorted(map(tuple, jaccard.join(table(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == sorted((i, len(shingles(t)) if t else 0, {9: 4, 4: 4, 7: 4, 5: 5, 11: 5, 12: 12}[i]) for i, t in rows)
+
+
+def test_passages_and_bytes_of_rows_that_share_a_doc_id(spark):
+    r, words = random.Random(4), vocabulary(4, 300)
+    a, b, c = (" ".join(r.choice(words) for _ in range(60)) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (3, b + " x"), (3, c), (2, a)]
+    kept = sorted((x["doc_id"], x["kept"]) for x in passages.remove_repeats(table(spark, rows)).collect())
+    assert kept == sorted([(1, a), (2, ""), (2, ""), (2, b), (3, "x"), (3, c)])
+    kept = sorted((x["doc_id"], bytes(x["kept"]).decode()) for x in bytespans.remove_repeats(table(spark, rows)).collect())
+    assert kept == sorted([(1, a), (2, ""), (2, ""), (2, b), (3, " x"), (3, c)])
+
+
 def test_count_tree_bound_never_loses_a_pair():
     import numpy as np
 

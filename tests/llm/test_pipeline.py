@@ -57,3 +57,22 @@ def test_run(spark, tables):
     out = corpus_pipeline.run(spark, tables[0])
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert 0 < out.count() < 340
+
+
+def test_rows_that_share_a_doc_id_and_clashing_columns(spark, tmp_path):
+    """Each row loses its own lines; of equal rows one stays; columns named like the operators' own stay as they are."""
+    line = "a line of more than twenty characters"
+    rows = [(1, line), (2, line), (3, line), (3, "BBBB keep me"), (3, "BBBB keep me"), (4, None), (None, line)]
+    spark.createDataFrame([(i, t, "en", "s", len(t or ""), "r", "k") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, row string, kept string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.drop_lines(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "-", r["n_chars"], r["row"], r["kept"]) for r in out.collect()) == sorted((i or 0, "-" if i in (1, 2) else t or "-", 0 if i in (1, 2) else len(t or ""), "r", "k") for i, t in rows)
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path))
+    assert sorted((r["doc_id"] or 0, r["text"] or "-") for r in out.collect()) == [(0, line), (1, line), (4, "-")]
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    for name, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
+        spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
