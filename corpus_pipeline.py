@@ -7,7 +7,9 @@
   sentencepiece      what is left is encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256
 
 Each stage works on all that the one before kept. All but the last return the columns of documents; where a stage changes
-a text, n_chars follows it. Null texts stay null, and documents without doc_id pass the stages that need one.
+a text, n_chars follows it. Null texts stay null, and documents without doc_id pass the stages that need one. Rows that
+share a doc_id are one document: one toxic or leaking text takes all of them out, each loses the lines of its own text, and
+of rows equal in doc_id and text one stays. Empty tables give empty results; without labels nothing is toxic.
 """
 
 from __future__ import annotations
@@ -32,17 +34,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    shorter = lines.drop_common(docs).where("n_dropped > 0").select("doc_id", "kept").dropDuplicates(["doc_id"])
-    out = docs.join(shorter, "doc_id", "left")
-    text = F.coalesce("kept", "text")
-    n_chars = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.char_length("kept"))
-    return out.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).withColumn("text", text).select(*docs.columns)
+    shorter = lines.drop_common(docs).where("n_dropped > 0").select("doc_id", "row", "kept").dropDuplicates(["doc_id", "row"])
+    own, kept = ("_".join([name, *docs.columns]) for name in ("row", "kept"))  # names that docs doesn't have
+    shorter = shorter.withColumnsRenamed({"row": own, "kept": kept})
+    out = docs.withColumn(own, lines.row_of("doc_id", "text")).join(shorter, ["doc_id", own], "left")
+    n_chars = F.when(F.col(kept).isNull(), F.col("n_chars")).otherwise(F.char_length(kept))
+    out = out.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType)).withColumn("text", F.coalesce(kept, "text"))
+    return out.select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = _only(docs, jaccard.join(docs).where("component_id <> doc_id"), "left_anti")
-    # repeated rows have one doc_id and are one document
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    # repeated rows are one document and one stays; other texts of its doc_id belong to it and stay with it
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
