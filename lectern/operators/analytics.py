@@ -71,7 +71,7 @@ def bridging(graph: Graph, scores: DataFrame, cut: float = 0.5) -> DataFrame:
 # --- components -------------------------------------------------------------------------------------------------------
 
 
-def strongly_connected(graph: Graph, most: int = 100) -> DataFrame:
+def strongly_connected(graph: Graph) -> DataFrame:
     """(node_id, component): the smallest node of the strongly connected component.
 
     Colouring: each open node takes the largest id that reaches it; a colour's own node, and what it is reached from
@@ -80,7 +80,7 @@ def strongly_connected(graph: Graph, most: int = 100) -> DataFrame:
     edges = written(graph.edges.select("src", "dst").where("src <> dst").distinct(), "scc")
     open_ = written(graph.nodes.select("node_id").distinct(), "scc")
     parts: list[DataFrame] = []
-    for _ in range(most):
+    while True:  # every round settles a component or sheds nodes
         inner = edges.join(open_.withColumnRenamed("node_id", "src"), "src", "left_semi").join(open_.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
         inner = written(inner, "scc")
         live = open_.join(inner.select(F.col("src").alias("node_id")), "node_id", "left_semi").join(inner.select(F.col("dst").alias("node_id")), "node_id", "left_semi")
@@ -102,12 +102,10 @@ def strongly_connected(graph: Graph, most: int = 100) -> DataFrame:
         same = inner.join(colour.select(F.col("node_id").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node_id").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b")
         back = same.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         heads = colour.where("node_id = colour").select(F.col("colour"), "node_id")
-        found = written(grown(heads, back, ["colour"], 10_000).select("node_id", "colour"), "scc")
+        found = written(grown(heads, back, ["colour"]).select("node_id", "colour"), "scc")
         smallest = found.groupBy("colour").agg(F.min("node_id").alias("component"))
         parts.append(found.join(smallest, "colour").select("node_id", "component"))
         open_, edges = written(live.join(found, "node_id", "left_anti"), "scc"), inner
-    else:
-        raise RuntimeError("components are still open")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -131,9 +129,16 @@ def key_themes(graph: Graph) -> DataFrame:
     its context is all its targets' contents. The heaviest word scores 1 before contexts.
     """
     factor = fixed.lookup(fixed.THEME_EDGE_WEIGHTS, F.col("edge_type"), F.lit(1.0))
-    target = graph.nodes.select(F.col("node_id").alias("dst"), F.col("content").alias("said"))
-    around = graph.edges.join(target, "dst").groupBy("src").agg(F.exp(F.sum(F.log(factor))).alias("factor"), F.sort_array(F.collect_list(F.struct("ord", "dst", "said"))).alias("targets"))
-    around = around.select(F.col("src").alias("node_id"), "factor", F.xxhash64(F.array_join(F.transform("targets", lambda t: F.concat(F.lit(" "), t["said"])), "")).alias("context"))
+    target = graph.nodes.select(F.col("node_id").alias("dst"), F.split(F.col("content"), " ", -1).alias("said"))
+    # a context is all targets' words in order; two are equal if every place has the same word, so that the hashes of
+    # (place, word) can be folded one by one and no source's contents ever stand in one row
+    before = Window.partitionBy("src").orderBy("ord", "dst", "said").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.when(F.col("said").isNull(), 0).otherwise(F.size("said"))
+    placed = graph.edges.join(target, "dst").withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")))
+    fold = lambda seed: F.aggregate(F.transform("said", lambda w, i: F.xxhash64(F.lit(seed), F.col("at") + i, w)), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    around = placed.select("src", factor.alias("factor"), fold(1).alias("h1"), fold(2).alias("h2")).groupBy("src")
+    around = around.agg(F.exp(F.sum(F.log("factor"))).alias("factor"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"))
+    around = around.select(F.col("src").alias("node_id"), "factor", F.when(F.col("h1").isNotNull(), F.xxhash64("h1", "h2")).alias("context"))
     weight = fixed.lookup(fixed.THEME_NODE_WEIGHTS, F.col("node_type"), F.lit(1.0))
     said = graph.nodes.where(~F.col("node_type").isin("Math", "Command")).join(around, "node_id", "left")
     said = said.select((weight * F.coalesce("factor", F.lit(1.0))).alias("weight"), F.coalesce("context", F.lit(0).cast("long")).alias("context"), F.explode(F.array_distinct(text.long_words(text.ascii_lower(F.col("content"))))).alias("word"))
@@ -262,7 +267,7 @@ def methodology_completeness(graph: Graph) -> DataFrame:
     return section.join(kinds, "node_id", "left").select("node_id", F.explode_outer(missing).alias("missing"))
 
 
-def evidence_chains(graph: Graph, most: int = 100) -> DataFrame:
+def evidence_chains(graph: Graph) -> DataFrame:
     """(claim, evidence, results, validation, linked): whether what a claim leads to holds each kind of evidence edge.
 
     linked: everything in the claim's closure can be reached from it by EvidenceSupport alone.
@@ -270,8 +275,8 @@ def evidence_chains(graph: Graph, most: int = 100) -> DataFrame:
     chain = graph.edges_of(*fixed.EVIDENCE_EDGES)
     claims = graph.edges_of(*fixed.CLAIM_EDGES).select(F.col("src").alias("node_id")).distinct()
     start = claims.select(F.col("node_id").alias("claim"), "node_id")
-    closure = grown(start, chain, ["claim"], most)
-    direct = grown(start, graph.edges_of("EvidenceSupport"), ["claim"], most).select("claim", "node_id", F.lit(True).alias("direct"))
+    closure = grown(start, chain, ["claim"])
+    direct = grown(start, graph.edges_of("EvidenceSupport"), ["claim"]).select("claim", "node_id", F.lit(True).alias("direct"))
     kinds = chain.select(F.col("src").alias("node_id"), "edge_type").distinct().groupBy("node_id").agg(F.collect_set("edge_type").alias("kinds"))
     seen = closure.join(direct, ["claim", "node_id"], "left").join(kinds, "node_id", "left")
     has = lambda kind: F.bool_or(F.coalesce(F.array_contains("kinds", kind), F.lit(False)))
@@ -313,14 +318,14 @@ def related_to_each(edges: DataFrame, concepts: DataFrame, least: float = 0.5) -
     return both.join(concepts.select("concept").distinct(), "concept", "left_semi")
 
 
-def methodology_flow(graph: Graph, starts: DataFrame, most: int = 100) -> DataFrame:
+def methodology_flow(graph: Graph, starts: DataFrame) -> DataFrame:
     """(start, node_id, depth): what follows each start (node_id) over MethodologyFlow."""
-    return grown(starts.select(F.col("node_id").alias("start"), "node_id"), graph.edges_of("MethodologyFlow"), ["start"], most)
+    return grown(starts.select(F.col("node_id").alias("start"), "node_id"), graph.edges_of("MethodologyFlow"), ["start"])
 
 
-def supporting_nodes(graph: Graph, claims: DataFrame, most: int = 100) -> DataFrame:
+def supporting_nodes(graph: Graph, claims: DataFrame) -> DataFrame:
     """(claim, node_id, depth, strength): evidence a claim (node_id) leads to; strength halves with each step."""
-    found = grown(claims.select(F.col("node_id").alias("claim"), "node_id"), graph.edges_of(*fixed.EVIDENCE_EDGES), ["claim"], most)
+    found = grown(claims.select(F.col("node_id").alias("claim"), "node_id"), graph.edges_of(*fixed.EVIDENCE_EDGES), ["claim"])
     return found.where("depth > 0").withColumn("strength", F.pow(F.lit(0.5), F.col("depth")))
 
 

@@ -96,21 +96,25 @@ def degrees(graph: Graph) -> DataFrame:
     return graph.nodes.select("node_id").join(counted, "node_id", "left").select("node_id", F.coalesce("o", zero).alias("out_degree"), F.coalesce("i", zero).alias("in_degree"))
 
 
-def grown(start: DataFrame, edges: DataFrame, keys: list[str], most: int = 100) -> DataFrame:
+def grown(start: DataFrame, edges: DataFrame, keys: list[str], gather: int = 8) -> DataFrame:
     """(keys, node_id, depth): what can be reached from start (keys, node_id) along edges (src, dst), with the least depth.
 
-    One join a round against what the last round added; each round is written to the shared folder, which cuts the
-    lineage, and only its row count comes to the driver.
+    One join a round against what the last round added, until a round adds nothing, however many that takes; each round
+    is written to the shared folder, which cuts the lineage, and only whether it is empty comes to the driver. Every
+    gather rounds what was found is written as one table, so that a round reads few files.
     """
-    steps = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("to")).distinct()
+    steps = written(edges.select(F.col("src").alias("node_id"), F.col("dst").alias("to")).distinct(), "steps")
     found = fresh = written(start.select(*keys, "node_id").distinct().withColumn("depth", F.lit(0)), "grown")
-    for depth in range(1, most + 1):
+    depth = 0
+    while True:
+        depth += 1
         ahead = fresh.join(steps, "node_id").select(*keys, F.col("to").alias("node_id")).distinct()
         fresh = written(ahead.join(found, [*keys, "node_id"], "left_anti").withColumn("depth", F.lit(depth)), "grown")
         if fresh.isEmpty():
             return found
         found = found.unionByName(fresh)
-    raise RuntimeError(f"still growing after {most} rounds")
+        if depth % gather == 0:
+            found = written(found, "grown")
 
 
 def roots(graph: Graph) -> DataFrame:
@@ -118,18 +122,18 @@ def roots(graph: Graph) -> DataFrame:
     return graph.nodes.join(graph.edges.select(F.col("dst").alias("node_id")), "node_id", "left_anti")
 
 
-def reachable(graph: Graph, most: int = 100) -> DataFrame:
+def reachable(graph: Graph) -> DataFrame:
     """(node_id, depth) over all edges from all roots."""
-    return grown(roots(graph), graph.edges, [], most)
+    return grown(roots(graph), graph.edges, [])
 
 
-def unreached(graph: Graph, most: int = 100) -> DataFrame:
-    return graph.nodes.join(reachable(graph, most), "node_id", "left_anti")
+def unreached(graph: Graph) -> DataFrame:
+    return graph.nodes.join(reachable(graph), "node_id", "left_anti")
 
 
-def validated(graph: Graph, most: int = 100) -> DataFrame:
+def validated(graph: Graph) -> DataFrame:
     """(problem, n): empty contents (a warning), dangling edges, unreached nodes. Valid: the last two are 0."""
-    counts = [("empty_content", empty_nodes(graph)), ("dangling_edge", dangling(graph)), ("unreached_node", unreached(graph, most))]
+    counts = [("empty_content", empty_nodes(graph)), ("dangling_edge", dangling(graph)), ("unreached_node", unreached(graph))]
     out = None
     for name, df in counts:
         row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("problem"), "n")
@@ -137,20 +141,60 @@ def validated(graph: Graph, most: int = 100) -> DataFrame:
     return out
 
 
-def cyclic_edges(edges: DataFrame, most: int = 100) -> DataFrame:
-    """Hierarchical edges that lie on a cycle, self-loops included: whose target reaches their source."""
+def _with_component(tree: DataFrame) -> DataFrame:
+    """tree's edges between nodes of one strongly connected component, self-loops included, with the component."""
+    from .analytics import strongly_connected
+
+    ends = tree.select(F.col("src").alias("node_id")).unionByName(tree.select(F.col("dst").alias("node_id"))).distinct()
+    parts = written(strongly_connected(Graph(ends, tree)), "cycles")
+    inside = tree.join(parts.select(F.col("node_id").alias("src"), "component"), "src").join(parts.select(F.col("node_id").alias("dst"), F.col("component").alias("other")), "dst")
+    return inside.where("component = other").drop("other")
+
+
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """Hierarchical edges that lie on a cycle, self-loops included: whose ends are in one strongly connected component."""
     tree = edges.where("edge_type = 'Hierarchical'")
-    from_targets = grown(tree.select(F.col("dst").alias("origin"), F.col("dst").alias("node_id")), tree, ["origin"], most)
-    back = from_targets.select(F.col("origin").alias("dst"), F.col("node_id").alias("src"))
-    return tree.join(back, ["src", "dst"], "left_semi")
+    return _with_component(tree).select(*edges.columns)
+
 
+def closing_edges(edges: DataFrame) -> DataFrame:
+    """Hierarchical edges that close a cycle when edges are added by (ord, src, dst): each is refused, and so closes no
+    further cycle.
 
-def accepted_edges(graph: Graph, rules: bool = True, most: int = 100) -> DataFrame:
-    """The edges that may be added: ends known, pair allowed, no Hierarchical cycle, first of its kind."""
+    Only edges within a strongly connected component can close one. What is refused depends on what was taken before, so
+    a component is worked through in one task; components of a document graph lie within a document.
+    """
+    tree = edges.where("edge_type = 'Hierarchical'")
+
+    def refused(rows):
+        rows = rows.sort_values(["ord", "src", "dst"], kind="stable")
+        ahead: dict[str, list[str]] = {}
+        out = []
+        for src, dst in zip(rows["src"], rows["dst"], strict=True):
+            seen, todo = {dst}, [dst]
+            while todo and src not in seen:
+                for to in ahead.get(todo.pop(), ()):
+                    if to not in seen:
+                        seen.add(to)
+                        todo.append(to)
+            out.append(src in seen)
+            if not out[-1]:
+                ahead.setdefault(src, []).append(dst)
+        return rows[out][["src", "dst", "edge_type"]]
+
+    return _with_component(tree).groupBy("component").applyInPandas(refused, "src string, dst string, edge_type string")
+
+
+def accepted_edges(graph: Graph, rules: bool = True, ordered: bool = True) -> DataFrame:
+    """The edges that may be added: ends known, pair allowed, no Hierarchical cycle, first of its kind.
+
+    ordered: edges come in by ord and the one that would close a cycle is refused; without, every edge of a cycle is.
+    """
     known = judged_edges(graph)
     kept = known.where("allowed").select(*graph.edges.columns) if rules else known.select(*graph.edges.columns)
-    kept = deduplicated(kept)
-    return kept.join(cyclic_edges(kept, most).select("src", "dst", "edge_type"), ["src", "dst", "edge_type"], "left_anti").select(*graph.edges.columns)
+    kept = written(deduplicated(kept), "kept")
+    bad = closing_edges(kept) if ordered else cyclic_edges(kept).select("src", "dst", "edge_type")
+    return kept.join(bad, ["src", "dst", "edge_type"], "left_anti").select(*graph.edges.columns)
 
 
 def latest_relationships(changes: DataFrame) -> DataFrame:
@@ -180,8 +224,8 @@ def methodology_components(graph: Graph) -> DataFrame:
     return graph.nodes.join(flow, "node_id", "left").where(named | F.col("flows")).drop("flows")
 
 
-def methodology_phases(graph: Graph, most: int = 100) -> DataFrame:
+def methodology_phases(graph: Graph) -> DataFrame:
     """(node_id, phase): least number of MethodologyFlow edges from a component that none points to."""
     flow = graph.edges_of("MethodologyFlow")
     starts = methodology_components(graph).join(flow.select(F.col("dst").alias("node_id")), "node_id", "left_anti")
-    return grown(starts, flow, [], most).withColumnRenamed("depth", "phase")
+    return grown(starts, flow, []).withColumnRenamed("depth", "phase")

@@ -112,7 +112,8 @@ def test_edge_rules(spark):
     nodes = [("a", "Author", "x"), ("f", "Affiliation", "y"), ("s", "Section", "z"), ("u", "Section", "w"), ("t", "Text", "v")]
     edges = [("a", "f", "Hierarchical"), ("a", "f", "AuthorAffiliation"), ("a", "f", "AuthorAffiliation"), ("s", "u", "CrossReference"), ("s", "t", "Hierarchical"), ("t", "s", "Hierarchical"), ("t", "t", "Hierarchical"), ("t", "a", "Citation"), ("s", "gone", "Hierarchical")]
     g = make(spark, nodes, edges)
-    assert {(r["src"], r["dst"], r["edge_type"]) for r in graph.accepted_edges(g).collect()} == {("a", "f", "AuthorAffiliation"), ("s", "u", "CrossReference")}
+    assert {(r["src"], r["dst"], r["edge_type"]) for r in graph.accepted_edges(g).collect()} == {("a", "f", "AuthorAffiliation"), ("s", "u", "CrossReference"), ("s", "t", "Hierarchical")}
+    assert {(r["src"], r["dst"], r["edge_type"]) for r in graph.accepted_edges(g, ordered=False).collect()} == {("a", "f", "AuthorAffiliation"), ("s", "u", "CrossReference")}
     assert [(r["dst"], r["missing"]) for r in graph.dangling(g).collect()] == [("gone", "dst")]
     assert {r["problem"]: r["n"] for r in graph.validated(g).collect()}["dangling_edge"] == 1
 
@@ -202,3 +203,22 @@ def test_paths_and_relations(spark):
 def test_fixed_values():
     assert len(fixed.EDGE_TYPES) == 49 and fixed.EDGE_TYPES[48] == "QualityMetric" and fixed.EDGE_TYPES.index("EvidenceSupport") == 38
     assert len(fixed.NODE_TYPES) == 15 and len(fixed.AST_TYPES) == 14
+
+
+def test_only_the_closing_edge_is_refused(spark):
+    """Of a 3-cycle two edges stay; what a refused edge would have closed stays as well."""
+    nodes = spark.createDataFrame([(n, "Section", n) for n in "abcdef"], "node_id string, node_type string, content string")
+    pairs = ["ab", "bc", "ca", "cd", "dc", "ad", "ee", "ef"]
+    edges = spark.createDataFrame([(p[0], p[1], "Hierarchical", "", k) for k, p in enumerate(pairs)], "src string, dst string, edge_type string, label string, ord long")
+    g = graph.Graph(nodes, edges)
+    kept = {r["src"] + r["dst"] for r in graph.accepted_edges(g, rules=False).collect()}
+    assert kept == {"ab", "bc", "cd", "ad", "ef"}
+    assert {r["src"] + r["dst"] for r in graph.accepted_edges(g, rules=False, ordered=False).collect()} == {"ef"}
+
+
+def test_long_paths_have_no_round_limit(spark):
+    n = 131
+    nodes = spark.createDataFrame([(f"n{k:03}", "Section", "x") for k in range(n)], "node_id string, node_type string, content string")
+    edges = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}", "Hierarchical", "", k) for k in range(n - 1)], "src string, dst string, edge_type string, label string, ord long")
+    got = {r["node_id"]: r["depth"] for r in graph.reachable(graph.Graph(nodes, edges)).collect()}
+    assert got == {f"n{k:03}": k for k in range(n)}
