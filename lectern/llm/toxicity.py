@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import in_chunks, tidy
+from ._bytes import chunks, in_chunks, tidy
 from ._common import columns, held_out, shared, training_keys
 from .quality import Discriminant
 
@@ -216,8 +216,12 @@ class Machine:
     def fit(self, texts: list[bytes], labels: list[int], rounds: int = 4, inserted: float = 0.6) -> None:
         """inserted: the weight of the landmarks with a letter put in, and in two parts, beside the witnesses' weight of one."""
         y = np.array(labels)
-        own, x, text = self.nystrom(texts)
-        of = text[own]
+        of, x = [np.zeros(0, np.int64)], [np.zeros((0, len(self.weight)))]
+        for a, b in chunks(list(map(len, texts))):  # the text of each sentence with a landmark, and its features
+            own, rows, text = self.nystrom(texts[a:b])
+            of.append(text[own] + a)
+            x.append(rows)
+        of, x = np.concatenate(of), np.concatenate(x)
         negative = x[y[of] == 0]
         spoilt = [h[:k] + c + h[k:] for h in self.landmarks for k in range(1, len(h)) for c in ("x", "q", " ") if c not in h]
         extra_row, extra, _ = self.nystrom([s.encode() for s in spoilt])
@@ -386,7 +390,7 @@ def clean_counts(docs: DataFrame, labels: DataFrame, heads: set[str]) -> tuple[d
     return {h: found.get(h, 0) for h in heads}, found.get("", 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, cap: int = 2000, sample_bytes: int = 24 << 20) -> Machine | None:
+def train(docs: DataFrame, labels: DataFrame, cap: int = 2000, sample_bytes: int = 8 << 20) -> Machine | None:
     """A machine from labelled rows; cap bounds the texts of each class and sample_bytes their size, and with them what
     reaches the driver."""
     keys = training_keys(labels.where("toxic IN (0, 1)"), "toxic", cap)
@@ -396,7 +400,7 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 2000, sample_bytes: int
     texts, y = [r["text"].encode() for r in sample], [r["y"] for r in sample]
     if len(set(y)) < 2:
         return None
-    bags = words_of(texts)
+    bags = [bag for a, b in chunks(list(map(len, texts))) for bag in words_of(texts[a:b])]
     toxic, clean = (without_copies([bag for bag, label in zip(bags, y, strict=True) if label == k]) for k in (1, 0))
     heads = candidates(toxic, clean)
     if not heads:
@@ -404,6 +408,7 @@ def train(docs: DataFrame, labels: DataFrame, cap: int = 2000, sample_bytes: int
     landmarks = choose_landmarks(toxic, *clean_counts(docs, labels, heads))
     if not landmarks:
         return None
+    del bags, toxic, clean, heads
     machine = Machine(landmarks)
     machine.fit(texts, y)
     return machine
