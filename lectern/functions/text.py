@@ -90,8 +90,16 @@ def author_struct(piece: Column, strict: bool = False) -> Column:
 
 
 def argument(value: Column, command: str) -> Column:
-    """The contents of the first brace after a command, braces inside it allowed one level deep; '' if there is none."""
-    return F.regexp_extract(value, f"\\\\{command}\\*?\\s*(?:\\[[^\\]]*\\])?\\s*\\{{((?:[^{{}}]|\\{{[^{{}}]*\\}})*)\\}}", 1)
+    """The contents of the first brace after a command, with braces inside it at any depth; '' if there is none, and up to
+    the end of the text if it never closes."""
+    rest = F.regexp_extract(value, f"\\\\{command}\\*?\\s*(?:\\[[^\\]]*\\])?\\s*\\{{([\\s\\S]*)", 1)
+    # the text up to each closing brace; the first that leaves as many closed as opened, but for the outer one, ends it
+    parts = F.split(rest, "\\}", -1)
+    opened = lambda p: F.length(p) - F.length(F.replace(p, F.lit("{"), F.lit("")))
+    start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+    step = lambda s, p: F.when(s["depth"] == 0, s).otherwise(F.struct((s["depth"] + opened(p) - 1).cast("int").alias("depth"), (s["n"] + 1).alias("n")))
+    taken = F.aggregate(parts, start, step)["n"]
+    return F.array_join(F.slice(parts, F.lit(1), taken), "}")
 
 
 def author_names(value: Column) -> Column:

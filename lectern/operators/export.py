@@ -140,9 +140,9 @@ def knowledge_json(graph: Graph) -> DataFrame:
     return head.unionByName(nodes).unionByName(edges)
 
 
-def structure_lines(graph: Graph, most: int = 100) -> DataFrame:
+def structure_lines(graph: Graph) -> DataFrame:
     """(node_id, depth, line): every node under its roots along Hierarchical, indented by the least depth."""
-    placed = grown(roots(graph), graph.edges_of("Hierarchical"), [], most).join(graph.nodes, "node_id")
+    placed = grown(roots(graph), graph.edges_of("Hierarchical"), []).join(graph.nodes, "node_id")
     out = graph.edges.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("n"))
     line = F.concat(F.repeat(F.lit(" "), 2 * F.col("depth")), F.format_string("Node: %s Type: %s Content: %s Outgoing edges: %d", "node_id", fixed.ordinal(fixed.NODE_TYPES, F.col("node_type")).cast("string"), "content", F.coalesce("n", F.lit(0))))
     return placed.join(out, "node_id", "left").select("node_id", "depth", line.alias("line"))

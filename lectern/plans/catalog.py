@@ -436,10 +436,12 @@ def knowledge_graph_json(spark, sf_dir):
     return export.knowledge_json(fixture.graph(spark, sf_dir))
 
 
-@query("""+ d AS (SELECT node_id, 0 AS depth FROM nodes WHERE node_id NOT IN (SELECT dst FROM edges) UNION SELECT e.dst, d.depth + 1 FROM d JOIN edges e ON e.src = d.node_id AND e.edge_type = 'Hierarchical')
-SELECT node_id, min(depth)::INT AS depth FROM d GROUP BY node_id""", recursive=True)
+@query(f"""+ d AS (SELECT node_id, 0 AS depth FROM nodes WHERE node_id NOT IN (SELECT dst FROM edges) UNION SELECT e.dst, d.depth + 1 FROM d JOIN edges e ON e.src = d.node_id AND e.edge_type = 'Hierarchical'),
+p AS (SELECT node_id, min(depth)::INT AS depth FROM d GROUP BY node_id), k AS (SELECT src, count(*) AS n FROM edges GROUP BY src)
+SELECT p.node_id, depth, repeat(' ', 2 * depth) || 'Node: ' || p.node_id || ' Type: ' || (list_position([{_types(tuple(fixed.NODE_TYPES))}], node_type) - 1) || ' Content: ' || coalesce(content, 'null') || ' Outgoing edges: ' || coalesce(n, 0) AS line
+FROM p JOIN nodes ON nodes.node_id = p.node_id LEFT JOIN k ON k.src = p.node_id""", recursive=True)
 def structure_dump(spark, sf_dir):
-    return export.structure_lines(fixture.graph(spark, sf_dir)).select("node_id", "depth")
+    return export.structure_lines(fixture.graph(spark, sf_dir)).select("node_id", "depth", "line")
 
 
 # --- retrieval --------------------------------------------------------------------------------------------------------
@@ -506,16 +508,21 @@ def index_names(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(name.alias("name"), text.index_name(name).alias("index_name")).distinct()
 
 
-@query("""SELECT source AS source_file, 'Title not listed.' AS document_title, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INT AS place, lang AS section_title,
-trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || 'Figure Caption: ' || doc_id AS content FROM documents""", uses_graph=False)
+@query("""SELECT doc_id::VARCHAR AS source_file, 'Title not listed.' AS document_title, lang || '|' AS authors, source AS affiliations, i::INT AS place, CASE WHEN i = 1 THEN 'Section 1' ELSE 'L' || i END AS section_title,
+trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || 'Figure Caption: ' || doc_id AS content
+FROM (SELECT doc_id, coalesce(lang, '') AS lang, source, l, generate_subscripts(l, 1) AS i FROM (SELECT *, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))""", uses_graph=False)
 def flatten_sections(spark, sf_dir):
+    """Every document with its lines as sections, the first without a title, and two authors, one without a name."""
     none = F.lit(None).cast("string")
-    section = F.struct(F.col("lang").alias("section"), none.alias("type"), F.col("text").alias("content"), F.array().cast("array<struct<label:string>>").alias("references"), F.col("doc_id").cast("string").alias("figure_caption"), none.alias("image_file"))
-    content = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", section.alias("s")))), lambda x: x["s"])
-    people_ = F.array().cast("array<struct<name:string,affiliations:array<string>>>")
-    docs = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("source_file")).agg(content.alias("content"))
-    docs = docs.select("source_file", F.struct(none.alias("title"), F.struct(people_.alias("authors")).alias("metadata"), "content").alias("document"))
-    return retrieval.flattened(docs).select("source_file", "document_title", "place", "section_title", "content")
+    title = lambda i: F.when(i > 0, F.concat(F.lit("L"), (i + 1).cast("string")))
+    caption = F.col("doc_id").cast("string")
+    section = lambda t, i: F.struct(title(i).alias("section"), none.alias("type"), t.alias("content"), F.array().cast("array<struct<label:string>>").alias("references"), caption.alias("figure_caption"), none.alias("image_file"))
+    author = lambda name: F.struct(name.alias("name"), F.array("source").alias("affiliations"))
+    people_ = F.array(author(F.col("lang")), author(none))
+    content = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), section)
+    docs = table(spark, sf_dir, "documents").select(caption.alias("source_file"), F.struct(none.alias("title"), F.struct(people_.alias("authors")).alias("metadata"), content.alias("content")).alias("document"))
+    out = retrieval.flattened(docs)
+    return out.select("source_file", "document_title", F.array_join("authors", "|").alias("authors"), F.array_join("affiliations", "|").alias("affiliations"), "place", "section_title", "content")
 
 
 @query("SELECT doc_id, translate(source || '/' || coalesce(lang, '') || '\\' || doc_id, '/\\', '__') AS name FROM documents", uses_graph=False)
