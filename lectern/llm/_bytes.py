@@ -131,24 +131,29 @@ def in_chunks(column, limit: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]
         yield a, [t or b"" for t in data.slice(a, b - a).to_pylist()]
 
 
-def tidy(run: Callable) -> Callable:
-    """run, and afterwards give back the memory that a reused Python worker would hold on to."""
+def give_back() -> None:
+    """Give the system back the memory that this process holds on to and doesn't use."""
+    import ctypes
+    import gc
 
-    def wrapped(batches: Iterator) -> Iterator:
-        import ctypes
-        import gc
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
-        import pyarrow as pa
 
+def tidy(run: Callable) -> Callable:
+    """run, and afterwards give_back(), as Python workers are used again."""
+
+    def wrapped(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (AttributeError, OSError):
-                pass  # another C library
+            give_back()
 
     return wrapped
 

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._bytes import chunks, in_chunks, tidy
+from ._bytes import chunks, give_back, in_chunks, tidy
 from ._common import columns, held_out, shared, training_keys
 from .quality import Discriminant
 
@@ -275,9 +275,11 @@ def words_of(texts: list[bytes]) -> list[set[str]]:
     word = letters.code.tobytes().decode("utf-32-le", "surrogatepass")
     own = letters.text[letters.sentence[edge[:-1]]] if len(letters.code) else []
     out: list[set[str]] = [set() for _ in texts]
+    one: dict[str, str] = {}  # a word of many texts is held once
     for a, b, t in zip(edge[:-1].tolist(), edge[1:].tolist(), np.asarray(own).tolist(), strict=True):
         if b - a >= SHORT:
-            out[t].add(word[a : min(b, a + LONG)])
+            head = word[a : min(b, a + LONG)]
+            out[t].add(one.setdefault(head, head))
     return out
 
 
@@ -393,11 +395,19 @@ def clean_counts(docs: DataFrame, labels: DataFrame, heads: set[str]) -> tuple[d
 def train(docs: DataFrame, labels: DataFrame, cap: int = 2000, sample_bytes: int = 8 << 20) -> Machine | None:
     """A machine from labelled rows; cap bounds the texts of each class and sample_bytes their size, and with them what
     reaches the driver."""
+    try:
+        return _trained(docs, labels, cap, sample_bytes)
+    finally:
+        give_back()
+
+
+def _trained(docs: DataFrame, labels: DataFrame, cap: int, sample_bytes: int) -> Machine | None:
     keys = training_keys(labels.where("toxic IN (0, 1)"), "toxic", cap)
     chosen = docs.join(F.broadcast(keys), "doc_id").where("text IS NOT NULL").select("doc_id", "y", "text")  # 2 * cap rows
     chosen = chosen.dropDuplicates(["doc_id"]).withColumn("so_far", F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")))
     sample = chosen.where(F.col("so_far") <= sample_bytes).select("doc_id", "y", "text").orderBy("doc_id").collect()
     texts, y = [r["text"].encode() for r in sample], [r["y"] for r in sample]
+    del sample
     if len(set(y)) < 2:
         return None
     bags = [bag for a, b in chunks(list(map(len, texts))) for bag in words_of(texts[a:b])]
