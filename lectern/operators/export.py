@@ -100,9 +100,9 @@ def semantic_map_lines(graph: Graph, semantics: DataFrame | None = None) -> Data
     return out.unionByName(_literal(graph.nodes, 3, ("}",)))
 
 
-def methodology_flow_lines(graph: Graph, most: int = 100) -> DataFrame:
+def methodology_flow_lines(graph: Graph) -> DataFrame:
     """(part, at, line): methodology components by phase, with all flow and data edges."""
-    placed = methodology_phases(graph, most).join(graph.nodes, "node_id")
+    placed = methodology_phases(graph).join(graph.nodes, "node_id")
     node = _quoted('    "', F.col("node_id"), '" [label="', F.col("content"), '"];')
     cluster = F.concat(F.lit("phase"), F.col("phase").cast("string"))
     clusters = _clusters(placed, cluster, F.concat(F.lit("Phase "), (F.col("phase") + 1).cast("string")), ("    color=lightgrey;",), node, 1, True)
