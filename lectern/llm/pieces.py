@@ -1,34 +1,65 @@
 """SentencePiece encoding and decoding over a table of distinct chunks.
 
 No piece of such a vocabulary holds a space marker after another character, so no merge crosses from one marked
-word into the next: a text may be cut before each run of markers and every chunk segmented alone. Each task keeps a
-table of the distinct chunks it has met, segments a chunk when it first occurs, and joins ids back by position with
-array gathers. The table lives in the task, since a table over the whole corpus would need every chunk of every text
-shuffled to it and back, several times the input. It is emptied between batches when it outgrows max_chunks.
+word into the next: a text may be cut before each run of markers and every chunk segmented alone.
 
-Defined cases: null text reads as empty and gives no ids and an empty decoding; repeated rows give repeated results;
-U+2581 in a text reads as a space, as in the library; an empty table gives an empty result; other columns are ignored.
+  packs   some megabytes of texts each: the pack's distinct chunks, and for each text the places of its chunks among them
+  table   each pack's chunks go to shards by their hash; a shard's task holds the distinct ones and segments each once
+  join    a shard answers every pack in the order it was asked, and the pack's places turn the answers into ids
+
+So every distinct chunk of the corpus is segmented once, and asked for once a pack, however often it occurs: no chunk is
+frequent enough to make a shard hot. Packs are a table bucketed by their name, which a task gives at random: what is
+written stays as it is when executors are lost, and the answers come to the packs without moving the texts again. The
+number of shards follows the bytes asked for, so that a shard's table is bounded by shard_bytes.
+
+Defined cases: null text reads as empty and gives no ids and an empty decoding; repeated rows give repeated results, so
+there are no ties; a very long text is a pack of its own; U+2581 in a text reads as a space, as in the library; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
+from array import array
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._bytes import in_chunks, tidy
-from ._common import columns
+from ._bytes import chunks, in_chunks, tidy
+from ._common import columns, scratch_path
 
 MARK = "▁"
+PACKS = "pack string, doc_id array<long>, n_chunks array<int>, at binary, words string, word_bytes long"
+ASKED = "pack string, shard int, words string"
+ANSWERS = "pack string, shard int, ids binary, sizes binary, odd array<int>, said array<string>"
 
 
-class ChunkTable:
-    """Distinct chunks with their ids, one after another, and their decoded texts."""
+def gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of values that begin and size name, one after another."""
+    total = np.concatenate(([0], np.cumsum(size)))
+    return values[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+
+
+def record(schema: str, **values) -> pa.RecordBatch:
+    """A batch of one row, its columns as the schema (name type, ...) has them."""
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+    fields = [field.split(" ") for field in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([values[name]], kinds[kind]) for name, kind in fields], [name for name, _ in fields])
+
+
+def shard_of(words: list[str], shards: int) -> np.ndarray:
+    return np.fromiter((crc32(w.encode("utf-8")) for w in words), np.int64, len(words)) % shards
+
 
-    def __init__(self, model: bytes, max_chunks: int) -> None:
+class Model:
+    """A SentencePiece model whose chunks can be segmented alone."""
+
+    def __init__(self, model: bytes) -> None:
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as proto
 
@@ -41,61 +72,143 @@ class ChunkTable:
             raise ValueError("a piece crosses a white-space marker; chunks can't be segmented alone")
         self.prefix = " " if norm.add_dummy_prefix else ""
         norm.add_dummy_prefix = False  # a chunk brings its own marker
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
-        self.max_chunks = max_chunks
-        self.clear()
-
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.decoded: list[str] = []
-        self.ids, self.end = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def add(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.at]
-        if not new:
-            return
-        ids = self.processor.encode(new, num_threads=1)
-        self.decoded += self.processor.decode(ids, num_threads=1)
-        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
-        flat = np.fromiter((i for x in ids for i in x), np.int32)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.ids = np.concatenate((self.ids, flat))
-        self.end = np.concatenate((self.end, self.end[-1] + np.cumsum(lengths)))
+        self.model, self.kind = spec.SerializeToString(), "H" if len(spec.pieces) <= 1 << 16 else "i"
+        self.library = sentencepiece.SentencePieceProcessor
 
     def split(self, text: str) -> list[str]:
         """Each run of spaces with what follows it."""
         text = text.replace(MARK, " ")
         return re.findall(" +[^ ]*|[^ ]+", self.prefix + text) if text else []
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """(end of each text's ids, ids, decoded texts)."""
-        if len(self.at) > self.max_chunks:
-            self.clear()
-        cut = [self.split(t) for t in texts]
-        self.add(set().union(*cut))
-        at = np.fromiter((self.at[c] for x in cut for c in x), np.int64)
-        per_text = np.fromiter(map(len, cut), np.int64, len(cut))
-        size = self.end[at + 1] - self.end[at]
-        total = np.concatenate(([0], np.cumsum(size)))
-        ids = self.ids[np.repeat(self.end[at] - total[:-1], size) + np.arange(total[-1])]
-        decoded, k, drop = [], 0, len(self.prefix)
-        for x in cut:
-            decoded.append("".join([self.decoded[i] for i in at[k : k + len(x)].tolist()])[drop:])
-            k += len(x)
-        return total[np.concatenate(([0], np.cumsum(per_text)))], ids, decoded
-
-
-def encode(docs: DataFrame, model_path: str, max_chunks: int = 200_000, batch_bytes: int = 1 << 20) -> DataFrame:
-    """(doc_id, ids array<int>, decoded string) of every whole text. model_path is read on the driver and sent along."""
-    with open(model_path, "rb") as f:
-        model = f.read()
+
+class ChunkTable:
+    """A shard's distinct chunks with their ids, one after another, and the decoded texts that differ from the chunk."""
+
+    def __init__(self, model: Model) -> None:
+        self.processor, self.kind = model.library(model_proto=model.model), model.kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.odd: dict[int, str] = {}
+        self.ids, self.end = array(self.kind), array("q", [0])
+
+    def answer(self, words: list[str]) -> dict:
+        """ids and sizes for words in their order, and the places of those that decode to something else."""
+        new = [w for w in words if w not in self.at]
+        if new:
+            ids = self.processor.encode(new, num_threads=1)
+            for word, own, said in zip(new, ids, self.processor.decode(ids, num_threads=1), strict=True):
+                if said != word:
+                    self.odd[len(self.at)] = said
+                self.at[word] = len(self.at)
+                self.ids.extend(own)
+                self.end.append(len(self.ids))
+        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        end = np.frombuffer(self.end, np.int64)
+        size = end[at + 1] - end[at]
+        found = gather(np.frombuffer(self.ids, self.kind), end[at], size)
+        odd = [k for k, i in enumerate(at.tolist()) if i in self.odd] if self.odd else []
+        return {"ids": found.tobytes(), "sizes": size.astype(np.int32).tobytes(), "odd": odd, "said": [self.odd[at[k]] for k in odd]}
+
+
+def packed(docs: DataFrame, model: Model, pack_bytes: int, batch_bytes: int) -> DataFrame:
+    """The packs, as a table bucketed by pack."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(model, max_chunks)
+        at, places, doc_ids, counts, held = {}, array("I"), [], [], 0
+
+        def pack() -> pa.RecordBatch:
+            words = MARK.join(at)  # no chunk holds the marker, as split() reads it as a space
+            return record(PACKS, pack=uuid.uuid4().hex, doc_id=doc_ids, n_chunks=counts, at=places.tobytes(), words=words, word_bytes=len(words.encode("utf-8")))
+
         for batch in batches:
             for begin, data in in_chunks(batch.column("text"), batch_bytes):
-                ends, ids, decoded = table.encode([t.decode("utf-8") for t in data])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(data)), lists, pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])
+                doc_ids += batch.column("doc_id").slice(begin, len(data)).to_pylist()
+                for text in data:
+                    cut = model.split(text.decode("utf-8"))
+                    for word in set(cut).difference(at):
+                        at[word] = len(at)
+                    places.extend(map(at.__getitem__, cut))
+                    counts.append(len(cut))
+                held += sum(map(len, data))
+                if held >= pack_bytes:
+                    yield pack()
+                    at, places, doc_ids, counts, held = {}, array("I"), [], [], 0
+        if doc_ids:
+            yield pack()
+
+    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "packs")
+    name, buckets = path.rsplit("/", 1)[-1].replace("-", "_"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made = docs.mapInArrow(tidy(run), PACKS)
+    made.write.bucketBy(buckets, "pack").sortBy("pack").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
+def answered(packs: DataFrame, model: Model, shard_bytes: int) -> tuple[DataFrame, int]:
+    """(pack, shard, ids, sizes, odd, said) for the chunks of every pack in every shard, and the number of shards."""
+    asked = packs.agg(F.sum("word_bytes")).first()[0] or 0
+    shards = -(-asked // shard_bytes) or 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack, words in zip(batch.column(0), batch.column(1), strict=True):
+                name, own = pack.as_py(), np.array(words.as_py().split(MARK), object) if words.as_py() else np.zeros(0, object)
+                shard = shard_of(own.tolist(), shards)
+                order = np.argsort(shard, kind="stable")
+                found, first = np.unique(shard[order], return_index=True)
+                parts = [MARK.join(x) for x in np.split(own[order], first[1:])] if len(found) else []
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(found, pa.int32()), pa.array(parts, pa.string())], ["pack", "shard", "words"])
+
+    def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, last = ChunkTable(model), None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                pack, shard, words = (c[row].as_py() for c in batch.columns)
+                if shard != last:
+                    table.clear()
+                    last = shard
+                yield record(ANSWERS, pack=pack, shard=shard, **table.answer(words.split(MARK)))
+
+    dealt = packs.select("pack", "words").mapInArrow(tidy(deal), ASKED)
+    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(tidy(segment), ANSWERS), shards
+
 
-    return columns(docs, "doc_id", "text").mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string")
+def encode(docs: DataFrame, model_path: str, pack_bytes: int = 8 << 20, shard_bytes: int = 8 << 20, batch_bytes: int = 1 << 20) -> DataFrame:
+    """(doc_id, ids array<int>, decoded string) of every whole text. model_path is read on the driver and sent along."""
+    with open(model_path, "rb") as f:
+        model = Model(f.read())
+    packs = packed(columns(docs, "doc_id", "text"), model, pack_bytes, batch_bytes)
+    answers, shards = answered(packs, model, shard_bytes)
+    answers = answers.groupBy("pack").agg(F.collect_list(F.struct("shard", "ids", "sizes", "odd", "said")).alias("answers"))
+    joined = packs.drop("word_bytes").join(answers, "pack", "left")
+
+    def unpack(words: list[str], answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """ids with the begin and size of each word's, and the decoded words; answers stand in the order of the shards."""
+        answers = sorted(answers, key=lambda a: a["shard"])
+        order = np.argsort(shard_of(words, shards), kind="stable")
+        sizes = np.frombuffer(b"".join([a["sizes"] for a in answers]), np.int32).astype(np.int64)
+        begin, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        begin[order], size[order] = np.cumsum(sizes) - sizes, sizes
+        decoded, k = list(words), 0
+        for a in answers:
+            for place, said in zip(a["odd"], a["said"], strict=True):
+                decoded[order[k + place]] = said
+            k += len(a["sizes"]) // 4
+        return np.frombuffer(b"".join([a["ids"] for a in answers]), model.kind), begin, size, decoded
+
+    def join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop = len(model.prefix)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                doc_ids, counts, at, words, answers = (batch.column(name)[row].as_py() for name in ("doc_id", "n_chunks", "at", "words", "answers"))
+                ids, begin, size, decoded = unpack(words.split(MARK) if words else [], answers or [])
+                at, end = np.frombuffer(at, np.uint32), np.concatenate(([0], np.cumsum(counts)))
+                for a, b in chunks(counts, batch_bytes // 8):
+                    own = at[end[a] : end[b]]
+                    stop = np.concatenate(([0], np.cumsum(size[own])))[end[a : b + 1] - end[a]]
+                    lists = pa.ListArray.from_arrays(pa.array(stop, pa.int32()), pa.array(gather(ids, begin[own], size[own]).astype(np.int32)))
+                    texts = ["".join([decoded[i] for i in at[end[k] : end[k + 1]].tolist()])[drop:] for k in range(a, b)]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[a:b], pa.int64()), lists, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+
+    return joined.mapInArrow(tidy(join_back), "doc_id long, ids array<int>, decoded string")

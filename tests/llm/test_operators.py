@@ -262,7 +262,7 @@ def test_sentencepiece_is_the_library(spark):
 
     rows = [r for r in corpus(1) if r[0] is not None] + [(900 + k, t) for k, t in enumerate(["▁x ▁▁y", "a▁b", "  lead", "trail  ", "\x00a", "日本語 と ﬁ １２", "👍 ok　go", " ", "\n \n"])]
     model = sentencepiece.SentencePieceProcessor(model_file=queries.piece_model())
-    out = pieces.encode(table(spark, rows), queries.piece_model(), max_chunks=50, batch_bytes=500)
+    out = pieces.encode(table(spark, rows), queries.piece_model(), pack_bytes=3000, shard_bytes=500, batch_bytes=500)
     n, got = by_doc(out.select("doc_id", F.col("ids").cast("string"), "decoded"))
     assert n == len(rows)
     for i, t in distinct_docs(rows).items():
