@@ -27,6 +27,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ from ._common import columns, scratch_path
 
 MARK = "▁"
 PACKS = "pack string, doc_id array<long>, n_chunks array<int>, at binary, words string, word_bytes long"
-ASKED = "pack string, shard int, words string"
+ASKED = "pack string, shard int, words binary"
 ANSWERS = "pack string, shard int, ids binary, sizes binary, odd array<int>, said array<string>"
 
 
@@ -45,6 +46,24 @@ def gather(values: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarra
     return values[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: the high ones are nearly all alike."""
+    return values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def small(data: bytes) -> bytes:
+    """Compressed more than a shuffle would."""
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def whole(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def record(schema: str, **values) -> pa.RecordBatch:
     """A batch of one row, its columns as the schema (name type, ...) has them."""
     kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
@@ -109,7 +128,7 @@ class ChunkTable:
         size = end[at + 1] - end[at]
         found = gather(np.frombuffer(self.ids, self.kind), end[at], size)
         odd = [k for k, i in enumerate(at.tolist()) if i in self.odd] if self.odd else []
-        return {"ids": found.tobytes(), "sizes": size.astype(np.int32).tobytes(), "odd": odd, "said": [self.odd[at[k]] for k in odd]}
+        return {"ids": small(found.tobytes()), "sizes": small(planes(size.astype(np.int32))), "odd": odd, "said": [self.odd[at[k]] for k in odd]}
 
 
 def packed(docs: DataFrame, model: Model, pack_bytes: int, batch_bytes: int) -> DataFrame:
@@ -120,7 +139,7 @@ def packed(docs: DataFrame, model: Model, pack_bytes: int, batch_bytes: int) ->
 
         def pack() -> pa.RecordBatch:
             words = MARK.join(at)  # no chunk holds the marker, as split() reads it as a space
-            return record(PACKS, pack=uuid.uuid4().hex, doc_id=doc_ids, n_chunks=counts, at=places.tobytes(), words=words, word_bytes=len(words.encode("utf-8")))
+            return record(PACKS, pack=uuid.uuid4().hex, doc_id=doc_ids, n_chunks=counts, at=planes(np.frombuffer(places, np.uint32)), words=words, word_bytes=len(words.encode("utf-8")))
 
         for batch in batches:
             for begin, data in in_chunks(batch.column("text"), batch_bytes):
@@ -157,8 +176,8 @@ def answered(packs: DataFrame, model: Model, shard_bytes: int) -> tuple[DataFram
                 shard = shard_of(own.tolist(), shards)
                 order = np.argsort(shard, kind="stable")
                 found, first = np.unique(shard[order], return_index=True)
-                parts = [MARK.join(x) for x in np.split(own[order], first[1:])] if len(found) else []
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(found, pa.int32()), pa.array(parts, pa.string())], ["pack", "shard", "words"])
+                parts = [small(MARK.join(x).encode("utf-8")) for x in np.split(own[order], first[1:])] if len(found) else []
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(found, pa.int32()), pa.array(parts, pa.binary())], ["pack", "shard", "words"])
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, last = ChunkTable(model), None
@@ -168,7 +187,7 @@ def answered(packs: DataFrame, model: Model, shard_bytes: int) -> tuple[DataFram
                 if shard != last:
                     table.clear()
                     last = shard
-                yield record(ANSWERS, pack=pack, shard=shard, **table.answer(words.split(MARK)))
+                yield record(ANSWERS, pack=pack, shard=shard, **table.answer(whole(words).decode("utf-8").split(MARK)))
 
     dealt = packs.select("pack", "words").mapInArrow(tidy(deal), ASKED)
     return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(tidy(segment), ANSWERS), shards
@@ -187,15 +206,16 @@ def encode(docs: DataFrame, model_path: str, pack_bytes: int = 8 << 20, shard_by
         """ids with the begin and size of each word's, and the decoded words; answers stand in the order of the shards."""
         answers = sorted(answers, key=lambda a: a["shard"])
         order = np.argsort(shard_of(words, shards), kind="stable")
-        sizes = np.frombuffer(b"".join([a["sizes"] for a in answers]), np.int32).astype(np.int64)
+        own = [from_planes(whole(a["sizes"]), np.int32) for a in answers]
+        sizes = np.concatenate([np.zeros(0, np.int64), *own])
         begin, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         begin[order], size[order] = np.cumsum(sizes) - sizes, sizes
         decoded, k = list(words), 0
-        for a in answers:
+        for a, asked in zip(answers, own, strict=True):
             for place, said in zip(a["odd"], a["said"], strict=True):
                 decoded[order[k + place]] = said
-            k += len(a["sizes"]) // 4
-        return np.frombuffer(b"".join([a["ids"] for a in answers]), model.kind), begin, size, decoded
+            k += len(asked)
+        return np.frombuffer(b"".join([whole(a["ids"]) for a in answers]), model.kind), begin, size, decoded
 
     def join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop = len(model.prefix)
@@ -203,7 +223,7 @@ def encode(docs: DataFrame, model_path: str, pack_bytes: int = 8 << 20, shard_by
             for row in range(batch.num_rows):
                 doc_ids, counts, at, words, answers = (batch.column(name)[row].as_py() for name in ("doc_id", "n_chunks", "at", "words", "answers"))
                 ids, begin, size, decoded = unpack(words.split(MARK) if words else [], answers or [])
-                at, end = np.frombuffer(at, np.uint32), np.concatenate(([0], np.cumsum(counts)))
+                at, end = from_planes(at, np.uint32), np.concatenate(([0], np.cumsum(counts)))
                 for a, b in chunks(counts, batch_bytes // 8):
                     own = at[end[a] : end[b]]
                     stop = np.concatenate(([0], np.cumsum(size[own])))[end[a : b + 1] - end[a]]
