@@ -270,6 +270,32 @@ def test_sentencepiece_is_the_library(spark):
         assert got[i] == (f"[{', '.join(map(str, ids))}]", model.decode(ids)), t
 
 
+def test_sentencepiece_segments_each_chunk_once(spark):
+    with open(queries.piece_model(), "rb") as f:
+        table_ = pieces.ChunkTable(pieces.Model(f.read()))
+    asked = [[" the", " of", " x"], [" of", " the"], [" x", " new", " the"]]
+    met, library = [], table_.processor
+
+    class Counting:
+        def encode(self, words, num_threads):
+            met.extend(words)
+            return library.encode(words, num_threads=num_threads)
+
+        decode = library.decode
+
+    table_.processor = Counting()
+    for words in asked:
+        answer = table_.answer(words)
+        ids = [i for own in library.encode(words) for i in own]
+        assert list(pieces.np.frombuffer(pieces.whole(answer["ids"]), table_.kind)) == ids
+    assert sorted(met) == sorted({w for words in asked for w in words})
+
+
+def test_sentencepiece_of_texts_without_chunks(spark):
+    out = pieces.encode(table(spark, [(1, ""), (2, None), (2, None)]), queries.piece_model())
+    assert sorted(tuple(r) for r in out.collect()) == [(1, [], ""), (2, [], ""), (2, [], "")]
+
+
 def test_containment_against_brute_force(spark):
     rows = corpus(3)
     docs = distinct_docs(rows)
