@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytespans, decontam, jaccard, langid, lines, passages, perplexity, pieces, quality, toxicity
+from . import bytespans, decontam, jaccard, langid, lines, merkle, passages, perplexity, pieces, quality, toxicity
 from ._common import read
 
 
@@ -67,6 +67,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.manifest(read(spark, sf_dir, "documents"), merkle.tampered_text(F.col("doc_id"), F.col("text")))
+    return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
+
+
 OPERATORS = (
     op1_toxicity,
     op2_sentencepiece,
@@ -78,6 +83,7 @@ OPERATORS = (
     op8_quality,
     op9_perplexity,
     op10_decontamination,
+    op13_merkle_manifest,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
 #: The learnt operators, the tokenizer, the byte-wise windows and the model's verdicts are beyond SQL; tests hold them.
@@ -86,4 +92,5 @@ ORACLES: dict[str, str] = {
     "op4_ngram_jaccard": jaccard.ORACLE,
     "op6_substring_dedup": passages.ORACLE,
     "op10_decontamination": decontam.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
