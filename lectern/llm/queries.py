@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytespans, decontam, jaccard, langid, lines, merkle, passages, perplexity, pieces, quality, toxicity
+from . import alignment, bytespans, decontam, jaccard, langid, lines, merkle, passages, perplexity, pieces, quality, toxicity
 from ._common import read
 
 
@@ -67,6 +67,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def vocabularies() -> alignment.Vocabularies:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(piece_model(), "rb") as b:
+        return alignment.Vocabularies(a.read(), b.read())
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.judge(read(spark, sf_dir, "documents"), vocabularies())
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merkle.manifest(read(spark, sf_dir, "documents"), merkle.tampered_text(F.col("doc_id"), F.col("text")))
     return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
@@ -83,6 +94,7 @@ OPERATORS = (
     op8_quality,
     op9_perplexity,
     op10_decontamination,
+    op11_token_alignment,
     op13_merkle_manifest,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
