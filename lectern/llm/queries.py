@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bytespans, decontam, jaccard, langid, lines, merkle, passages, perplexity, pieces, quality, toxicity
+from . import alignment, bytespans, decontam, jaccard, langid, lines, merkle, neighbours, passages, perplexity, pieces, quality, toxicity
 from ._common import read
 
 
@@ -78,6 +78,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.judge(read(spark, sf_dir, "documents"), vocabularies())
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merkle.manifest(read(spark, sf_dir, "documents"), merkle.tampered_text(F.col("doc_id"), F.col("text")))
     return out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root", "verified")
@@ -95,6 +99,7 @@ OPERATORS = (
     op9_perplexity,
     op10_decontamination,
     op11_token_alignment,
+    op12_nearest_neighbours,
     op13_merkle_manifest,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in OPERATORS}
