@@ -5,7 +5,10 @@ the softmax over it gives the languages. As both layers are linear, scoring need
 sums those over the whole text. A tenth of the training documents, which the fit never sees, sets the temperature and the score below which an answer is
 rejected (accepted = false); the best guess is still named.
 
-The fit uses a bounded sample: cap texts of each language, the first by a hash of doc_id, whole and in a few pieces.
+The fit uses a bounded sample: cap texts of each language and total in all, the first by a hash of doc_id, whole and in a
+few pieces; of a text longer than text_bytes as many stretches over its whole length as come to that.
+
+A text's subwords are its own: none reaches over its ends, in the fit as in scoring, so a score depends on the text alone.
 
 Defined cases: text that is null, empty or without a letter is `und` with score 0; so is every text if nothing can be
 learnt from (an empty table, no language known); a doc_id with two languages is not learnt from; a very long text is
@@ -34,6 +37,7 @@ def subwords(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     block = Block(texts)
     data = LOWER[np.where(SPACE[block.data], np.uint8(32), block.data)]
     good = (data >= 128) | ((data >= 97) & (data <= 122)) | (data == 32)
+    good[block.first + block.length] = False  # what stands between two texts
     wide = data.astype(np.uint32)
     code, own = wide, good
     for n in range(2, max(ORDERS) + 1):
@@ -44,10 +48,12 @@ def subwords(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield at, ((code[at] + np.uint32(n)) * np.uint32(0x85EBCA6B) >> np.uint32(32 - BITS)).astype(np.int64)
 
 
-def pieces_of(text: bytes, pieces: int, size: int) -> list[bytes]:
-    """The text, and some pieces of about size bytes spread over it, so that short texts are learnt too."""
-    steps = np.linspace(0, max(0, len(text) - size), pieces).astype(int) if len(text) > 2 * size else []
-    return [text, *(text[s : s + size] for s in steps)]
+def pieces_of(text: bytes, pieces: int, size: int, limit: int) -> list[bytes]:
+    """The text, and some pieces of about size bytes spread over it, so that short texts are learnt too; of a text longer
+    than limit, stretches of it with a gap (no letter) between them."""
+    spread = lambda n, size: [text[s : s + size] for s in np.linspace(0, max(0, len(text) - size), n).astype(int)]
+    whole = text if len(text) <= limit else b"\x00".join(spread(16, limit // 16))
+    return [whole, *(spread(pieces, size) if len(text) > 2 * size else [])]
 
 
 class Model:
@@ -110,17 +116,19 @@ class Model:
         return self._softmax(total / np.maximum(n, 1)[:, None] + self.bias)
 
 
-def train(docs: DataFrame, cap: int = 500, classes: int = 1000, pieces: int = 3, piece_bytes: int = 160) -> Model | None:
-    """A model from (doc_id, text, lang); cap bounds the texts of each language, classes the languages (the commonest),
-    and both what reaches the driver."""
-    keys = training_keys(docs.where("text IS NOT NULL"), "lang", cap, classes)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id")  # cap rows a language
+def train(docs: DataFrame, cap: int = 500, classes: int = 1000, total: int = 4000, text_bytes: int = 16 << 10, pieces: int = 3, piece_bytes: int = 160) -> Model | None:
+    """A model from (doc_id, text, lang). cap bounds the texts of each language, classes the languages (the commonest),
+    total the texts of all of them and text_bytes what one text brings: total * text_bytes is what can reach the driver."""
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL")
+    n_langs = min(classes, known.where(~held_out(F.col("doc_id"))).select("lang").distinct().count())
+    keys = training_keys(known, "lang", max(2, min(cap, total // max(1, n_langs))), classes)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id")  # total rows, whatever the number of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, texts in in_chunks(batch.column("text")):
                 for i, text in enumerate(texts):
-                    for k, piece in enumerate(pieces_of(text, pieces, piece_bytes)):
+                    for k, piece in enumerate(pieces_of(text, pieces, piece_bytes, text_bytes)):
                         bucket = np.concatenate([b for _, b in subwords([piece])])
                         found, n = np.unique(bucket, return_counts=True)
                         if len(found):

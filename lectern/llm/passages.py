@@ -23,12 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import _repeats as R
-from ._bytes import Block, in_chunks, tidy
+from ._bytes import Block, in_chunks, run_hashes, tidy, window_hashes
 from ._common import columns
 
 
 def locate(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
-    """One shard: confirm, compile, stream; the windows that start first in a document before the last that has the form."""
+    """One shard: confirm, compile, stream; the windows that start first in a document before the last that has the form.
+
+    A phrase is confirmed by the hashes of its words, of which the shard has two windows at least, or one in a passage of
+    several documents. Where phrases occur, and in which document first, is what the automaton finds in the passages.
+    """
     import ahocorasick
 
     keys, pids, counts, docs, _, last, _, pieces = R.merged(table)
@@ -39,24 +43,21 @@ def locate(table: pa.Table, window: int) -> Iterator[pa.RecordBatch]:
     edge = np.concatenate(([0], np.flatnonzero(data[ends] == 10) + 1))  # words of each passage
     row = np.repeat(np.arange(len(counts)), counts)
     at = edge[:-1][row] + R.steps(counts)
-    number: dict[bytes, int] = {}
-    phrase = np.array([number.setdefault(joined[a:b], len(number)) for a, b in zip(starts[at].tolist(), ends[at + window - 1].tolist(), strict=True)], np.int64)
-    first, final = np.full(len(number), np.iinfo(np.int64).max), np.full(len(number), np.iinfo(np.int64).min)
-    np.minimum.at(first, phrase, docs[row])
-    np.maximum.at(final, phrase, last[row])
-    confirmed = np.flatnonzero(first < final)
+    hashes = window_hashes(run_hashes(data, starts, ends), window)[at]
+    _, phrase, several = np.unique(hashes, return_inverse=True, return_counts=True)
+    confirmed = at[(several[phrase] > 1) | (docs < last)[row]]
     if not len(confirmed):
         return
     words: dict[bytes, int] = {}
     ids = tuple([words.setdefault(w, len(words)) for w in joined.split()])
-    place = np.empty(len(number), np.int64)
-    place[phrase] = at
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for k, a in zip(confirmed.tolist(), place[confirmed].tolist(), strict=True):
-        automaton.add_word(ids[a : a + window], k)
+    for k, a in enumerate(confirmed.tolist()):
+        automaton.add_word(ids[a : a + window], k)  # equal phrases are one, with the number that comes last
     automaton.make_automaton()
     found = [(i, end, k) for i, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) for end, k in automaton.iter(ids[a:b])]
     form, end, phrase = np.array(found, np.int64).reshape(-1, 3).T
+    first = np.full(len(confirmed), np.iinfo(np.int64).max)
+    np.minimum.at(first, phrase, docs[form])
     early = first[phrase]
     some = early < last[form]
     form = form[some]

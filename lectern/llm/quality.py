@@ -125,7 +125,7 @@ def classify(docs: DataFrame, labels: DataFrame, cap: int = 8000, threshold: flo
 
     table = written(docs.mapInArrow(tidy(measure), "doc_id long, x array<double>"), "statistics")
     keys = training_keys(labels.where("quality IN (0, 1)"), "quality", cap)
-    sample = table.join(F.broadcast(keys), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")  # 2 * cap rows
+    sample = table.join(F.broadcast(keys), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")  # 2 * cap rows
     x = np.array(sample["x"].tolist()).reshape(len(sample), N_STATISTICS)
     model = shared(docs.sparkSession, Discriminant(x, sample["y"].to_numpy().astype(int)))
 

@@ -11,7 +11,9 @@ or its beginning, and doesn't.
 Landmarks are windows of labelled sentences: beginnings of words that three toxic training texts of the sample have at
 least and hardly a clean one (all labelled clean texts outside the held-out fold are counted), taken greedily until the
 toxic texts are covered a few times or have no more of them, however many that takes. A sentence's features are its best
-windows' kernel values with the landmarks, times the inverse root of the landmarks' kernel matrix (Nystrom). A linear SVM
+windows' kernel values with the landmarks, times the inverse root of the landmarks' kernel matrix (Nystrom). The kernel of two
+windows is the inner product of their counts of subsequences, over those that are landmarks, so its matrix has no negative
+eigenvalue. A linear SVM
 with squared hinge loss is trained on labelled sentences by Newton steps: all sentences of clean texts are negative; a
 toxic text is toxic for one of its sentences at least, so its worst sentence so far stands for it, chosen anew in each
 round. A text's margin is that of its worst sentence, and a logistic curve makes it a score.
@@ -20,13 +22,15 @@ A landmark's windows are found for all texts of a piece at once: from every word
 letter within the gaps that are left, letter by letter. That finds every window that holds the landmark, and those that
 don't have the value 0 by definition; nothing is filtered out.
 
-The fit uses a bounded sample: cap labelled rows of each class, the first by a hash of doc_id, and of these as many as
-sample_bytes hold. A beginning in fewer than three toxic texts of the sample, copies counted once, is no landmark.
+The fit uses a bounded sample: cap labelled rows of each class, the first by a hash of doc_id, of each text the first
+text_chars characters, and as many of these as sample_bytes hold; so no text takes another's place, however long it is. A
+beginning in fewer than three toxic texts of the sample is no landmark. Equal and nearly equal texts count once; a longer
+text that shares half its words with one before counts for the words that are new in it.
 
 Defined cases: null, empty or white-space texts have no window and get the score of the bare bias; very long texts are
 scored whole, sentence by sentence; if no landmark can be learnt (no toxic or no clean rows, an empty table) every score
 is 0; equal texts, repeated rows among them, have equal scores, and rows that share a doc_id are scored each on its own
-text; a doc_id with two labels is not learnt from; a null doc_id is scored but not learnt from; other columns are ignored.
+text; a doc_id with two labels is not learnt from, of one with two texts the smaller is; a null doc_id is scored but not learnt from; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,12 +129,13 @@ class Machine:
         self.landmarks = landmarks
         self.kernels = ((0.0, 0.0), (decay, apart))  # (decay, apart): without letters in between, and with
         self.marks = [codes(x) for x in landmarks]
-        self.roots = [self.inverse_root(self.gram(*k)) for k in self.kernels]
+        counts = [self.counts(*k) for k in self.kernels]
+        self.roots = [c.T @ self.inverse_root(c @ c.T) for c in counts]  # from a window's own counts to its features
         self.weight, self.bias = np.zeros(2 * len(landmarks)), -1.0
         self.curve = (1.0, 0.0)
 
-    def gram(self, decay: float, apart: float) -> np.ndarray:
-        """The kernel of the landmarks with each other."""
+    def counts(self, decay: float, apart: float) -> np.ndarray:
+        """How often each landmark (rows) holds each one (columns); times its own transpose, the kernel of the landmarks."""
         out = np.zeros((len(self.marks), len(self.marks)))
         for j, mark in enumerate(self.marks):
             longer = [i for i, x in enumerate(self.marks) if len(x) >= len(mark) and x[0] == mark[0]]
@@ -139,10 +144,10 @@ class Machine:
             for row, i in enumerate(longer):
                 window[row, : min(width, len(self.marks[i]))] = self.marks[i][:width]
             out[longer, j] = kernel(window, np.zeros((len(longer), width + 1), bool), mark, decay, apart)
-        return np.maximum(out, out.T)
+        return out
 
     @staticmethod
-    def inverse_root(gram: np.ndarray, least: float = 1e-2) -> np.ndarray:
+    def inverse_root(gram: np.ndarray, least: float = 1e-6) -> np.ndarray:
         value, vector = np.linalg.eigh(gram)
         return vector @ np.diag(np.maximum(value, least) ** -0.5) @ vector.T
 
@@ -288,17 +293,31 @@ def heads_of(word: str) -> list[str]:
     return [word[:k] for k in range(SHORT, min(len(word), LONG) + 1)]
 
 
-def without_copies(bags: list[set[str]], size: int = 24) -> list[set[str]]:
-    """One text of each group of near copies: those that share half of their smallest word hashes with one kept before."""
+def without_copies(bags: list[set[str]], size: int = 24, short: int = 40) -> list[set[str]]:
+    """The words that each text brings, copies counted once.
+
+    A text of few words (short) is a copy only if nine tenths of all words of both are common to it and one before: what
+    tells short texts of one pattern apart may be the insult. A longer one is a near copy if it shares half of its
+    smallest word hashes with one before, and counts for the words that the other one lacks.
+    """
     out: list[set[str]] = []
+    kept: list[set[str]] = []
     holders: dict[int, list[int]] = {}
     for bag in bags:
         sketch = sorted(zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in bag)[:size]
         near = Counter(i for h in sketch for i in holders.get(h, ()))
-        if near and 2 * max(near.values()) >= len(sketch):
+        alike = [i for i, n in near.items() if 2 * n >= len(sketch)]
+        if len(bag) <= short:
+            if any(len(bag & kept[i]) >= 0.9 * len(bag | kept[i]) for i in alike):
+                continue
+        elif alike:
+            new = bag - kept[max(alike, key=lambda i: (near[i], -i))]
+            if new:
+                out.append(new)
             continue
         for h in sketch:
-            holders.setdefault(h, []).append(len(out))
+            holders.setdefault(h, []).append(len(kept))
+        kept.append(bag)
         out.append(bag)
     return out
 
@@ -392,19 +411,20 @@ def clean_counts(docs: DataFrame, labels: DataFrame, heads: set[str]) -> tuple[d
     return {h: found.get(h, 0) for h in heads}, found.get("", 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, cap: int = 2000, sample_bytes: int = 8 << 20) -> Machine | None:
-    """A machine from labelled rows; cap bounds the texts of each class and sample_bytes their size, and with them what
-    reaches the driver."""
+def train(docs: DataFrame, labels: DataFrame, cap: int = 2000, sample_bytes: int = 8 << 20, text_chars: int = 16 << 10) -> Machine | None:
+    """A machine from labelled rows; cap bounds the texts of each class, text_chars what one text brings and sample_bytes
+    what they bring together, and with them what reaches the driver."""
     try:
-        return _trained(docs, labels, cap, sample_bytes)
+        return _trained(docs, labels, cap, sample_bytes, text_chars)
     finally:
         give_back()
 
 
-def _trained(docs: DataFrame, labels: DataFrame, cap: int, sample_bytes: int) -> Machine | None:
+def _trained(docs: DataFrame, labels: DataFrame, cap: int, sample_bytes: int, text_chars: int) -> Machine | None:
     keys = training_keys(labels.where("toxic IN (0, 1)"), "toxic", cap)
-    chosen = docs.join(F.broadcast(keys), "doc_id").where("text IS NOT NULL").select("doc_id", "y", "text")  # 2 * cap rows
-    chosen = chosen.dropDuplicates(["doc_id"]).withColumn("so_far", F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")))
+    chosen = docs.join(F.broadcast(keys), "doc_id").where("text IS NOT NULL").select("doc_id", "y", F.substring("text", 1, text_chars).alias("text"))  # 2 * cap rows
+    chosen = chosen.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # of a doc_id's texts, the same one in every run
+    chosen = chosen.withColumn("so_far", F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")))
     sample = chosen.where(F.col("so_far") <= sample_bytes).select("doc_id", "y", "text").orderBy("doc_id").collect()
     texts, y = [r["text"].encode() for r in sample], [r["y"] for r in sample]
     del sample

@@ -552,9 +552,9 @@ def test_nystrom_features_against_definition():
     raw = np.array([[[max([kernel_by_definition(w, m, *k) for w in windows_of(s, len(m) + toxicity.spare(len(m)))], default=0.0) for m in marks] for _, s in sentences] for k in machine.kernels])
     grams = []
     for kernel in machine.kernels:
-        g = np.array([[kernel_by_definition([(c, 0, False) for c in max(a, b, key=len)][: min(len(a), len(b)) + toxicity.spare(min(len(a), len(b)))], min(a, b, key=len), *kernel) if a[0] == b[0] else 0 for b in marks] for a in marks])
-        value, vector = np.linalg.eigh(g)
-        grams.append(vector @ np.diag(np.maximum(value, 1e-2) ** -0.5) @ vector.T)
+        held = np.array([[kernel_by_definition([(c, 0, False) for c in a[: len(b) + toxicity.spare(len(b))]], b, *kernel) if len(a) >= len(b) and a[0] == b[0] else 0 for b in marks] for a in marks])
+        value, vector = np.linalg.eigh(held @ held.T)
+        grams.append(held.T @ vector @ np.diag(np.maximum(value, 1e-6) ** -0.5) @ vector.T)
     want = np.concatenate([x @ g for x, g in zip(raw, grams)], 1)
     own, got, text = machine.nystrom([t.encode() for t in texts])
     assert [k for k, _ in sentences] == text[: len(sentences)].tolist()
@@ -563,6 +563,55 @@ def test_nystrom_features_against_definition():
     assert (raw[0] > 0).any() and (raw[1] > raw[0]).any()
 
 
+def test_the_kernel_matrix_has_no_negative_eigenvalue():
+    import numpy as np
+
+    for marks in (["abc", "abcd", "abce"], ["idi", "idiot", "idiots", "scum"], ["aaa", "aaaa", "aaaaaa", "aab"]):
+        machine = toxicity.Machine(marks)
+        for kernel in machine.kernels:
+            counts = machine.counts(*kernel)
+            assert np.linalg.eigvalsh(counts @ counts.T).min() > -1e-9
+
+
+def test_toxicity_with_a_long_labelled_text(spark):
+    """One text, however long and wherever it stands by hash, takes no other text's place in the sample."""
+    rows, labels = labelled(2)
+    docs, lab = table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
+    short = {r["doc_id"]: r["score"] for r in toxicity.classify(docs, lab).collect()}
+    for toxic in (0, 1):
+        long = [(k, 1, toxic, "x") for k in range(1000, 1060)]  # some of them come first by hash
+        texts = [(k, "plain words of no kind. " * 450_000 if k == 1007 else "plain words. ") for k, *_ in long]
+        found = toxicity.classify(table(spark, rows + texts), spark.createDataFrame(labels + (long if toxic == 0 else long[7:8]), lab.schema))
+        got = {r["doc_id"]: r["score"] for r in found.collect()}
+        assert sum((got[k] >= 0.7) != (short[k] >= 0.7) for k in short) <= 0.01 * len(short), toxic
+
+
+def test_toxicity_of_short_texts_of_one_pattern(spark):
+    """What tells the texts of a pattern apart is the insult: they are no copies."""
+    r = random.Random(3)
+    names, insults = vocabulary(4, 200), ["moron", "dunderhead", "nincompoop", "fopdoodle", "blatherskite"]
+    said = lambda x: f"You are such a {x}, really {r.choice(names).title()}."
+    rows = [(k, said(insults[k % 5])) for k in range(60)] + [(k, said(r.choice(["friend", "treasure", "help", "star"]))) for k in range(60, 400)]
+    labels = [(k, 1, int(k < 60)) for k in range(400)]
+    got = {x["doc_id"]: x for x in toxicity.classify(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(got[k]["predicted"] == 1 for k in range(60)) and not any(got[k]["predicted"] for k in range(60, 400))
+    assert len(toxicity.without_copies([{"a", "b", x} for x in ("c", "d")])) == 2 and len(toxicity.without_copies([{"a", "b", "c"}] * 3)) == 1
+
+
+def test_language_scores_depend_on_the_text_alone(spark):
+    r = random.Random(4)
+    rows = [(k, " ".join(r.choice(LANGUAGES[c]) for _ in range(r.randint(1, 40))), c) for k in range(300) for c in [r.choice(list(LANGUAGES))]]
+    rows += [(1000 + k, "no", None) for k in range(40)] + [(2000 + k, "der the\n la ", None) for k in range(20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    results = []
+    for seed, parts in ((1, 1), (2, 7), (3, 3)):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+        results.append({x["doc_id"]: (x["lang_pred"], x["score"]) for x in langid.predict(docs, model).collect()})
+    assert results[0] == results[1] == results[2]
+    assert len({results[0][1000 + k] for k in range(40)}) == len({results[0][2000 + k] for k in range(20)}) == 1
+
+
 def test_quality(spark):
     rows, labels = labelled(7)
     rows += [(901, None), (902, ""), (None, "x y z")]
