@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import analytics as A
-from ..operators import entities, export, graph, latex, people, rendering, retrieval, syntax
+from ..operators import entities, export, graph, latex, people, rendering, retrieval, syntax, vector_index
 from ..sources.tables import table
 from . import fixture
 
@@ -488,6 +488,32 @@ def knn_top5_per_index_of_many(spark, sf_dir):
     return retrieval.nearest_in_blocks(vectors, _wanted(vectors), "vec_id", index="label", digits=9).select("query", "label", "vec_id", "score", "place")
 
 
+@query(f"SELECT query, vec_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INT AS place FROM ({_SCORES})) WHERE place <= 5", uses_graph=False)
+def knn_index_top5(spark, sf_dir):
+    """knn_top5_of_many through the inverted file: two passes, the second to the cells that may hold something better."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = vector_index.InvertedFile.build(vectors, "vec_id")
+    return found.search(_wanted(vectors), exact=True).select("query", "vec_id", "score", "place")
+
+
+@query(f"SELECT query, label, vec_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query, label ORDER BY score DESC, vec_id)::INT AS place FROM ({_SCORES})) WHERE place <= 5", uses_graph=False)
+def knn_index_top5_per_index(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    found = vector_index.InvertedFile.build(vectors, "vec_id", index="label")
+    return found.search(_wanted(vectors), exact=True).select("query", "label", "vec_id", "score", "place")
+
+
+@query("SELECT count(*)::BIGINT AS queries, count(*)::BIGINT * least(5, (SELECT count(*) FROM embeddings))::BIGINT AS neighbours, true AS enough FROM embeddings WHERE vec_id % 50 = 0", uses_graph=False)
+def knn_index_recall(spark, sf_dir):
+    """Whether the calibrated number of probes finds nine tenths of the exact neighbours of all queries."""
+    vectors = table(spark, sf_dir, "embeddings")
+    wanted, found = _wanted(vectors), vector_index.InvertedFile.build(vectors, "vec_id")
+    near = found.search(wanted, probes=found.probes_for(wanted))
+    exact = retrieval.nearest_in_blocks(vectors, wanted, "vec_id", digits=9)
+    hits = vector_index.recall(near, exact, "vec_id")
+    return hits.agg(F.count(F.lit(1)).alias("queries"), F.sum("n").alias("neighbours"), (F.sum("hits") >= 0.9 * F.sum("n")).alias("enough"))
+
+
 _CONTEXT = "'### Source: ' || source || chr(10) || 'Section Title: No Title' || chr(10) || 'Content: ' || coalesce(text, 'No Content') || chr(10) || 'Authors: ' || coalesce(lang, '') || chr(10) || 'Affiliations: ' || chr(10) || 'References: ' || doc_id || ', ' || n_chars"
 
 

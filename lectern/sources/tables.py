@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: list[str] = []
+_TABLES: dict[str, str] = {}  # names in the catalogue, and their paths
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +46,28 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
         _SCRATCH.remove(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, by: list[str]) -> str:
+    """df as a table in the shared folder, bucketed and sorted by columns, under a name of its own in the catalogue, which
+    goes when Python ends or by drop_table."""
+    path = scratch_path(df.sparkSession, name)
+    own = path.rsplit("/", 1)[-1].replace("-", "_")
+    df.write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(own)
+    _TABLES[own] = path
+    return own
+
+
+def drop_table(spark: SparkSession, name: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    if name in _TABLES:
+        drop_scratch(spark, _TABLES.pop(name))
+
+
 @atexit.register
 def _release() -> None:
-    spark = SparkSession.getActiveSession() if _SCRATCH else None
+    spark = SparkSession.getActiveSession() if _SCRATCH or _TABLES else None
     try:
+        for name in list(_TABLES) if spark else ():
+            drop_table(spark, name)
         for path in _SCRATCH if spark else ():
             delete(spark, path)
     except Exception:  # noqa: BLE001 - the session may be gone, and with it the way to the folder
