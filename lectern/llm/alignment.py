@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -105,7 +106,8 @@ def bounds(sizes: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """The chunks that a task has met, with their alignment."""
+    """The chunks that a task has met, numbered, with their alignment: n_a (-1 where the bytes differ), n_b and n_groups of
+    each, its groups, and its pairs, one chunk's after another's."""
 
     def __init__(self, vocabularies: Vocabularies, table_bytes: int) -> None:
         from tokenizers import Tokenizer
@@ -114,37 +116,45 @@ class Table:
         self.byte_level = Tokenizer.from_str(vocabularies.byte_json)
         self.byte_level.encode_special_tokens = True  # their strings in a text are ordinary text
         self.processor = vocabularies.library(model_proto=vocabularies.piece_model)
-        self.a, self.b = vocabularies.a, vocabularies.b
-        self.size_a, self.size_b = (np.array([len(t.get(i, b"")) for i in range(max(t) + 1)], np.int64) for t in (self.a, self.b))
+        self.a, self.b = ([t.get(i, b"") for i in range(max(t) + 1)] for t in (vocabularies.a, vocabularies.b))
+        self.size_a, self.size_b = (np.fromiter(map(len, t), np.int64, len(t)) for t in (self.a, self.b))
         self.width = int(vocabularies.pair_b.max()) + 1
         self.key = vocabularies.pair_a * self.width + vocabularies.pair_b
         self.clear()
 
     def clear(self) -> None:
-        self.at: dict[str, tuple | None] = {}
+        self.at: dict[str, int] = {}
+        self.n_a, self.n_b, self.n_groups, self.pairs, self.end = array("i"), array("i"), array("i"), array("i"), array("q", [0])
+        self.groups: list[str] = []
         self.bytes = 0
 
-    def learn(self, chunks: list[str]) -> None:
-        """Align chunks that aren't in the table: (n_a, n_b, number of groups, groups, pairs), None where bytes differ."""
+    def learn(self, texts: list[list[str]]) -> None:
+        """Align the chunks that aren't in the table yet."""
         if self.bytes > self.limit:
             self.clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.at]
+        new = list({c for own in texts for c in set(own).difference(self.at)})
         if not new:
             return
         ids_a = [e.ids for e in self.byte_level.encode_batch_fast(new, add_special_tokens=False)]
         ids_b = self.processor.encode(new, num_threads=1)
-        good = []
-        for chunk, own_a, own_b in zip(new, ids_a, ids_b, strict=True):
-            data = chunk.encode("utf-8")
-            if b"".join([self.a.get(i, b"") for i in own_a]) == data and b"".join([self.b.get(i, b"") for i in own_b]) == data:
-                good.append((chunk, own_a, own_b))
-            else:
-                self.at[chunk] = None
-        if good:
-            self._align(*map(list, zip(*good, strict=True)))
-        self.bytes += sum(2 * len(c) + 200 for c in new)
-
-    def _align(self, chunks: list[str], ids_a: list[list[int]], ids_b: list[list[int]]) -> None:
+        data = [c.encode("utf-8") for c in new]
+        good = self._sound(data, ids_a, ids_b)
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new)), strict=True))
+        self._align([x if ok else [] for x, ok in zip(ids_a, good, strict=True)], [x if ok else [] for x, ok in zip(ids_b, good, strict=True)], good)
+        self.bytes += sum(map(len, data)) + 300 * len(new)
+
+    def _sound(self, data: list[bytes], ids_a: list[list[int]], ids_b: list[list[int]]) -> list[bool]:
+        """Whether the tokens of both have each chunk's bytes; all at once, as nearly every chunk's do."""
+        joined = b"".join(data)
+        sizes = np.fromiter(map(len, data), np.int64, len(data))
+        for tokens, size, ids in ((self.a, self.size_a, ids_a), (self.b, self.size_b, ids_b)):
+            flat = [i for x in ids for i in x]
+            own = np.diff(bounds(size[flat])[bounds(np.fromiter(map(len, ids), np.int64, len(ids)))])
+            if (own != sizes).any() or b"".join([tokens[i] for i in flat]) != joined:
+                return [b"".join([self.a[i] for i in a]) == d == b"".join([self.b[i] for i in b]) for d, a, b in zip(data, ids_a, ids_b, strict=True)]
+        return [True] * len(data)
+
+    def _align(self, ids_a: list[list[int]], ids_b: list[list[int]], good: list[bool]) -> None:
         count_a, count_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (ids_a, ids_b))
         a, b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((ids_a, count_a), (ids_b, count_b)))
         end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])  # chunks one after another
@@ -157,21 +167,41 @@ class Table:
         root = joined_groups((edge_a, len(a) + edge_b), len(a) + len(b))
         together = end_a[edge_a] == end_b[edge_b]
         link_a, link_b = edge_a[together], edge_b[together]
-        pair = np.searchsorted(self.key, a[link_a] * self.width + b[link_b])
         # a component's smallest node is its first A token, and components lie one after another
-        head_a, group_a = np.unique(root[: len(a)], return_index=True)
-        group_b = np.searchsorted(root[len(a) :], head_a)
+        head = np.flatnonzero(root[: len(a)] == np.arange(len(a)))
         text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        cut_a, cut_b = [*group_a.tolist(), len(a)], [*group_b.tolist(), len(b)]
-        said = [f"{','.join(text_a[cut_a[g]:cut_a[g + 1]])}|{','.join(text_b[cut_b[g]:cut_b[g + 1]])}" for g in range(len(head_a))]
+        cut_a, cut_b = [*head.tolist(), len(a)], [*np.searchsorted(root[len(a) :], head).tolist(), len(b)]
+        said = [f"{','.join(text_a[cut_a[g]:cut_a[g + 1]])}|{','.join(text_b[cut_b[g]:cut_b[g + 1]])}" for g in range(len(head))]
         edge = bounds(count_a)
-        group_of, link_of = np.searchsorted(group_a, edge).tolist(), np.searchsorted(link_a, edge).tolist()
-        for k, (chunk, m, o) in enumerate(zip(chunks, count_a.tolist(), count_b.tolist(), strict=True)):
-            g0, g1 = group_of[k], group_of[k + 1]
-            self.at[chunk] = (m, o, g1 - g0, ";".join(said[g0:g1]), pair[link_of[k] : link_of[k + 1]].tolist())
-
-
-def align(docs: DataFrame, vocabularies: Vocabularies, table_bytes: int = 64 << 20) -> DataFrame:
+        group, link = np.searchsorted(head, edge), np.searchsorted(link_a, edge)
+        cut = group.tolist()
+        self.groups += [said[x] if y == x + 1 else ";".join(said[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        for own, values in ((self.n_a, np.where(good, count_a, -1)), (self.n_b, count_b), (self.n_groups, np.diff(group)), (self.pairs, np.searchsorted(self.key, a[link_a] * self.width + b[link_b]))):
+            own.frombytes(values.astype(np.int32).tobytes())
+        self.end.frombytes((self.end[-1] + link[1:]).astype(np.int64).tobytes())
+
+    def rows(self, texts: list[list[str]]) -> tuple[np.ndarray, list[str | None], np.ndarray, np.ndarray, np.ndarray]:
+        """(n_a, n_b, n_groups) and the groups of each text, and the pairs of each, each once and counted: numbers, times
+        and where each text's begin."""
+        count = np.fromiter(map(len, texts), np.int64, len(texts))
+        numbers = [list(map(self.at.__getitem__, own)) for own in texts]
+        row = np.fromiter((i for own in numbers for i in own), np.int64, int(count.sum()))
+        edge, owner = bounds(count), np.repeat(np.arange(len(texts)), count)
+        n_a, n_b, n_groups = (np.frombuffer(x, np.int32).astype(np.int64)[row] if len(x) else row for x in (self.n_a, self.n_b, self.n_groups))
+        whole = np.bincount(owner[n_a < 0], minlength=len(texts)) == 0 if len(row) else np.ones(len(texts), bool)
+        whole &= count > 0
+        sums = np.stack([np.diff(bounds(x)[edge]) for x in (n_a, n_b, n_groups)], 1) * whole[:, None]
+        said = [";".join(map(self.groups.__getitem__, own)) if ok else None for own, ok in zip(numbers, whole.tolist(), strict=True)]
+        some = row[whole[owner]]
+        end = np.frombuffer(self.end, np.int64)
+        size = end[some + 1] - end[some]
+        at = np.repeat(end[some] - bounds(size)[:-1], size) + np.arange(int(size.sum()))
+        pair = np.frombuffer(self.pairs, np.int32)[at].astype(np.int64)
+        key, times = np.unique(np.repeat(owner[whole[owner]], size) * len(self.key) + pair, return_counts=True)
+        return sums, said, key % len(self.key), times, np.searchsorted(key, np.arange(len(texts) + 1) * len(self.key))
+
+
+def align(docs: DataFrame, vocabularies: Vocabularies, table_bytes: int = 192 << 20) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, groups, pair, times) of every row: groups as "a1,a2|b1;a3|b2,b3", null without tokens;
     pair: the numbers of the linked pairs, each once, and how often the text has each."""
     sent = shared(docs.sparkSession, vocabularies)
@@ -184,26 +214,10 @@ def align(docs: DataFrame, vocabularies: Vocabularies, table_bytes: int = 64 <<
         for batch in batches:
             for begin, texts in in_chunks(batch.column("text")):
                 cut = [CHUNK.split(" " + t.decode("utf-8")) if t else [] for t in texts]
-                table.learn([c for x in cut for c in x])
-                counts, groups, pairs, times = [], [], [], []
-                for own in cut:
-                    found = [table.at[c] for c in own]
-                    if not found or None in found:
-                        counts.append((0, 0, 0))
-                        groups.append(None)
-                        pairs.append(np.zeros(0, np.int64))
-                        times.append(np.zeros(0, np.int64))
-                        continue
-                    n_a, n_b, n_groups, said, links = zip(*found, strict=True)
-                    counts.append((sum(n_a), sum(n_b), sum(n_groups)))
-                    groups.append(";".join(said))
-                    pair, n = np.unique(np.array([p for x in links for p in x], np.int64), return_counts=True)
-                    pairs.append(pair)
-                    times.append(n)
-                offset = pa.array(bounds(np.array(list(map(len, pairs)), np.int64)), pa.int32())
-                lists = [pa.ListArray.from_arrays(offset, pa.array(np.concatenate(x), pa.int32())) for x in (pairs, times)]
-                n_a, n_b, n_groups = (pa.array(x, pa.int64()) for x in zip(*counts, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), n_a, n_b, n_groups, pa.array(groups, pa.string()), *lists], ["doc_id", "n_a", "n_b", "n_groups", "groups", "pair", "times"])
+                table.learn(cut)
+                sums, groups, pair, times, edge = table.rows(cut)
+                lists = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(x, pa.int32())) for x in (pair, times)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(begin, len(texts)), *map(pa.array, sums.T.copy()), pa.array(groups, pa.string()), *lists], ["doc_id", "n_a", "n_b", "n_groups", "groups", "pair", "times"])
 
     return columns(docs, "doc_id", "text").mapInArrow(tidy(run), ALIGNED)
 
@@ -223,7 +237,7 @@ def pair_counts(aligned: DataFrame, vocabularies: Vocabularies) -> DataFrame:
     return aligned.select("pair", "times").mapInArrow(tidy(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
-def judge(docs: DataFrame, vocabularies: Vocabularies, table_bytes: int = 64 << 20) -> DataFrame:
+def judge(docs: DataFrame, vocabularies: Vocabularies, table_bytes: int = 192 << 20) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row."""
     spark = docs.sparkSession
     aligned = align(docs, vocabularies, table_bytes)
