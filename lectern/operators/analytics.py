@@ -9,6 +9,7 @@ from ..functions import fixed, text
 from ..sources.tables import written
 from .graph import Graph, grown
 from .numbering import numbered
+from .propagation import reach_max
 
 
 def _without(graph: Graph, nodes: DataFrame, *types: str) -> DataFrame:
@@ -267,20 +268,42 @@ def methodology_completeness(graph: Graph) -> DataFrame:
     return section.join(kinds, "node_id", "left").select("node_id", F.explode_outer(missing).alias("missing"))
 
 
-def evidence_chains(graph: Graph) -> DataFrame:
+def evidence_chains(graph: Graph, labels: int = 4) -> DataFrame:
     """(claim, evidence, results, validation, linked): whether what a claim leads to holds each kind of evidence edge.
 
     linked: everything in the claim's closure can be reached from it by EvidenceSupport alone.
+
+    Flags are pushed from node to node, a row a node, whatever the number of claims (reach_max). So are the largest of
+    some random labels, over all evidence edges and over EvidenceSupport alone: where two of a claim's differ, its
+    closures do, and it isn't linked. A claim that meets no other edge than EvidenceSupport on its way is linked. Only
+    the claims that neither decides are followed one by one.
     """
-    chain = graph.edges_of(*fixed.EVIDENCE_EDGES)
+    chain = written(graph.edges_of(*fixed.EVIDENCE_EDGES).select("src", "dst", "edge_type").distinct(), "evidence")
+    direct = chain.where("edge_type = 'EvidenceSupport'")
     claims = graph.edges_of(*fixed.CLAIM_EDGES).select(F.col("src").alias("node_id")).distinct()
-    start = claims.select(F.col("node_id").alias("claim"), "node_id")
-    closure = grown(start, chain, ["claim"])
-    direct = grown(start, graph.edges_of("EvidenceSupport"), ["claim"]).select("claim", "node_id", F.lit(True).alias("direct"))
-    kinds = chain.select(F.col("src").alias("node_id"), "edge_type").distinct().groupBy("node_id").agg(F.collect_set("edge_type").alias("kinds"))
-    seen = closure.join(direct, ["claim", "node_id"], "left").join(kinds, "node_id", "left")
-    has = lambda kind: F.bool_or(F.coalesce(F.array_contains("kinds", kind), F.lit(False)))
-    return seen.groupBy("claim").agg(has("EvidenceSupport").alias("evidence"), has("ResultSupports").alias("results"), has("ValidationMethod").alias("validation"), F.bool_and(F.coalesce("direct", F.lit(False))).alias("linked"))
+    named = claims.unionByName(chain.select(F.col("src").alias("node_id"))).unionByName(chain.select(F.col("dst").alias("node_id"))).distinct()
+    hashes = [f"label{i}" for i in range(labels)]
+    held = named.select("node_id", *[F.xxhash64("node_id", F.lit(i)).alias(h) for i, h in enumerate(hashes)])
+    flags = {kind: F.max((F.col("edge_type") == kind).cast("int")).alias(kind) for kind in fixed.EVIDENCE_EDGES}
+    kinds = chain.groupBy(F.col("src").alias("node_id")).agg(*flags.values())
+    all_of = reach_max(held.join(kinds, "node_id", "left"), chain, [*fixed.EVIDENCE_EDGES, *hashes])
+    beside = chain.where("edge_type <> 'EvidenceSupport' AND src <> dst").join(direct.select("src", "dst"), ["src", "dst"], "left_anti")
+    beside = beside.select(F.col("src").alias("node_id"), F.lit(1).alias("beside")).distinct()
+    some_of = reach_max(held.join(beside, "node_id", "left"), direct, ["beside", *hashes])
+    some_of = some_of.select("node_id", F.col("beside"), *[F.col(h).alias(f"own_{h}") for h in hashes])
+    differ = F.lit(False)
+    for h in hashes:
+        differ |= F.col(h) != F.col(f"own_{h}")
+    linked = F.when(F.col("beside").isNull(), True).when(differ, False)
+    has = lambda kind: (F.coalesce(F.col(kind), F.lit(0)) == 1).alias
+    judged = claims.join(all_of, "node_id").join(some_of, "node_id")
+    judged = written(judged.select(F.col("node_id").alias("claim"), has("EvidenceSupport")("evidence"), has("ResultSupports")("results"), has("ValidationMethod")("validation"), linked.alias("linked")), "judged")
+    open_ = judged.where("linked IS NULL").select("claim", F.col("claim").alias("node_id"))
+    if open_.isEmpty():
+        return judged
+    closure = grown(open_, chain, ["claim"]).select("claim", "node_id")
+    lost = closure.join(grown(open_, direct, ["claim"]).select("claim", "node_id"), ["claim", "node_id"], "left_anti").select("claim", F.lit(True).alias("lost")).distinct()
+    return judged.join(lost, "claim", "left").select("claim", "evidence", "results", "validation", F.coalesce("linked", F.col("lost").isNull()).alias("linked"))
 
 
 # --- relations that follow from the edges -----------------------------------------------------------------------------
