@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..sources.tables import written
+from .online_order import refused
 
 
 @dataclass(frozen=True)
@@ -162,27 +163,16 @@ def closing_edges(edges: DataFrame) -> DataFrame:
     further cycle.
 
     Only edges within a strongly connected component can close one. What is refused depends on what was taken before, so
-    a component is worked through in one task; components of a document graph lie within a document.
+    a component is worked through in one task, in the order of its edges; it keeps a topological order as edges come in,
+    which each edge changes between its ends' places at most (OnlineOrder).
     """
     tree = edges.where("edge_type = 'Hierarchical'")
 
-    def refused(rows):
+    def worked(rows):
         rows = rows.sort_values(["ord", "src", "dst"], kind="stable")
-        ahead: dict[str, list[str]] = {}
-        out = []
-        for src, dst in zip(rows["src"], rows["dst"], strict=True):
-            seen, todo = {dst}, [dst]
-            while todo and src not in seen:
-                for to in ahead.get(todo.pop(), ()):
-                    if to not in seen:
-                        seen.add(to)
-                        todo.append(to)
-            out.append(src in seen)
-            if not out[-1]:
-                ahead.setdefault(src, []).append(dst)
-        return rows[out][["src", "dst", "edge_type"]]
-
-    return _with_component(tree).groupBy("component").applyInPandas(refused, "src string, dst string, edge_type string")
+        return rows[refused(rows["src"].to_numpy(), rows["dst"].to_numpy())][["src", "dst", "edge_type"]]
+
+    return _with_component(tree).groupBy("component").applyInPandas(worked, "src string, dst string, edge_type string")
 
 
 def accepted_edges(graph: Graph, rules: bool = True, ordered: bool = True) -> DataFrame:
