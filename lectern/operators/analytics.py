@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
@@ -278,31 +280,32 @@ def evidence_chains(graph: Graph, labels: int = 4) -> DataFrame:
     closures do, and it isn't linked. A claim that meets no other edge than EvidenceSupport on its way is linked. Only
     the claims that neither decides are followed one by one.
     """
-    chain = written(graph.edges_of(*fixed.EVIDENCE_EDGES).select("src", "dst", "edge_type").distinct(), "evidence")
-    direct = chain.where("edge_type = 'EvidenceSupport'")
-    claims = graph.edges_of(*fixed.CLAIM_EDGES).select(F.col("src").alias("node_id")).distinct()
-    named = claims.unionByName(chain.select(F.col("src").alias("node_id"))).unionByName(chain.select(F.col("dst").alias("node_id"))).distinct()
-    hashes = [f"label{i}" for i in range(labels)]
-    held = named.select("node_id", *[F.xxhash64("node_id", F.lit(i)).alias(h) for i, h in enumerate(hashes)])
-    flags = {kind: F.max((F.col("edge_type") == kind).cast("int")).alias(kind) for kind in fixed.EVIDENCE_EDGES}
-    kinds = chain.groupBy(F.col("src").alias("node_id")).agg(*flags.values())
-    all_of = reach_max(held.join(kinds, "node_id", "left"), chain, [*fixed.EVIDENCE_EDGES, *hashes])
-    beside = chain.where("edge_type <> 'EvidenceSupport' AND src <> dst").join(direct.select("src", "dst"), ["src", "dst"], "left_anti")
-    beside = beside.select(F.col("src").alias("node_id"), F.lit(1).alias("beside")).distinct()
-    some_of = reach_max(held.join(beside, "node_id", "left"), direct, ["beside", *hashes])
-    some_of = some_of.select("node_id", F.col("beside"), *[F.col(h).alias(f"own_{h}") for h in hashes])
-    differ = F.lit(False)
-    for h in hashes:
-        differ |= F.col(h) != F.col(f"own_{h}")
+    evidence, hashes = fixed.EVIDENCE_EDGES, [f"label{i}" for i in range(labels)]
+    flags = [F.max((F.col("edge_type") == kind).cast("int")).alias(kind) for kind in evidence]
+    pairs = written(graph.edges_of(*evidence).groupBy("src", "dst").agg(*flags), "evidence")
+    claims = graph.edges_of(*fixed.CLAIM_EDGES).select(F.col("src").alias("claim")).distinct()
+    # both graphs in one go, their nodes told apart by a letter: all edges, and EvidenceSupport alone
+    none = lambda *names: [F.lit(None).cast("int").alias(c) for c in names]
+    node = lambda tag, end, *values: F.struct(F.concat(F.lit(tag), end).alias("node_id"), *values, *[F.xxhash64(end, F.lit(i)).alias(h) for i, h in enumerate(hashes)])
+    beside = F.when((F.col("EvidenceSupport") == 0) & (F.col("src") != F.col("dst")), 1).alias("beside")
+    of_all, of_direct = [F.col(k) for k in evidence] + none("beside"), none(*evidence) + [beside]
+    both = F.array(node("a", "src", *of_all), node("d", "src", *of_direct), *[node(tag, "dst", *none(*evidence, "beside")) for tag in "ad"])
+    link = lambda tag: F.struct(F.concat(F.lit(tag), "src").alias("src"), F.concat(F.lit(tag), "dst").alias("dst"))
+    links = pairs.select(F.explode(F.array_compact(F.array(link("a"), F.when(F.col("EvidenceSupport") == 1, link("d"))))).alias("link")).select("link.*")
+    reached = reach_max(pairs.select(F.explode(both).alias("node")).select("node.*"), links, [*evidence, "beside", *hashes])
+    of = lambda tag: reached.where(F.col("node_id").startswith(tag)).withColumn("claim", F.substring("node_id", 2, 1 << 30))
+    some_of = of("d").select("claim", "beside", *[F.col(h).alias(f"own_{h}") for h in hashes])
+    differ = reduce(Column.__or__, [F.col(h) != F.col(f"own_{h}") for h in hashes])
     linked = F.when(F.col("beside").isNull(), True).when(differ, False)
-    has = lambda kind: (F.coalesce(F.col(kind), F.lit(0)) == 1).alias
-    judged = claims.join(all_of, "node_id").join(some_of, "node_id")
-    judged = written(judged.select(F.col("node_id").alias("claim"), has("EvidenceSupport")("evidence"), has("ResultSupports")("results"), has("ValidationMethod")("validation"), linked.alias("linked")), "judged")
+    has = lambda kind: F.coalesce(F.col(kind) == 1, F.lit(False))
+    judged = claims.join(of("a").drop("beside", "node_id"), "claim", "left").join(some_of, "claim", "left")
+    judged = written(judged.select("claim", has("EvidenceSupport").alias("evidence"), has("ResultSupports").alias("results"), has("ValidationMethod").alias("validation"), linked.alias("linked")), "judged")
     open_ = judged.where("linked IS NULL").select("claim", F.col("claim").alias("node_id"))
     if open_.isEmpty():
         return judged
-    closure = grown(open_, chain, ["claim"]).select("claim", "node_id")
-    lost = closure.join(grown(open_, direct, ["claim"]).select("claim", "node_id"), ["claim", "node_id"], "left_anti").select("claim", F.lit(True).alias("lost")).distinct()
+    closure = grown(open_, pairs, ["claim"]).select("claim", "node_id")
+    direct = grown(open_, pairs.where("EvidenceSupport = 1"), ["claim"]).select("claim", "node_id")
+    lost = closure.join(direct, ["claim", "node_id"], "left_anti").select("claim", F.lit(True).alias("lost")).distinct()
     return judged.join(lost, "claim", "left").select("claim", "evidence", "results", "validation", F.coalesce("linked", F.col("lost").isNull()).alias("linked"))
 
 
