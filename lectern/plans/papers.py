@@ -253,12 +253,20 @@ PIECES = [
     ("InEnvironment", _tagged("theorem", "theorem", "  <content>If @</content>\n")),
     ("InEnvironment", _tagged("float", "figure")),
     ("InText", _tagged("display_math", "equation", "  <math_content>E @</math_content>\n")),
+    ("InCommand", "<command name=\"newcommand\">\n  <arg1>a</arg1>\n</command>\n"),
+    ("InText", "<text_content>b</text_content>\n"),
+    ("InCommand", _tagged("reference", "equation")),
+    ("InCommand", _tagged("citation", "citep")),
+    ("InText", "<text_content>word </text_content>\n"),
+    ("InText", "<text_content>loose </text_content>\n"),
+    ("InSection", _header(3, "U @")),
+    ("InText", "<text_content>end</text_content>\n"),
 ]
 
 
 @query(stated("ord state piece", [(k, *p) for k, p in enumerate(PIECES)]), uses_graph=False)
 def flat_pieces(spark, sf_dir):
-    return rendering.strict_pieces(flat(spark, sf_dir)).where(F.col("ord") < len(PIECES)).select("doc_id", "ord", "state", "piece")
+    return rendering.strict_pieces(flat(spark, sf_dir)).select("doc_id", "ord", "state", "piece")
 
 
 # --- parts of a graph -------------------------------------------------------------------------------------------------
