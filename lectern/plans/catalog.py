@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import analytics as A
-from ..operators import chain_training, entities, export, graph, latex, people, rendering, retrieval, syntax, vector_index
+from ..operators import chain_training, entities, export, graph, latex, paths, people, rendering, retrieval, syntax, vector_index
 from ..sources.tables import table
 from . import fixture
 
@@ -381,6 +381,40 @@ def supporting_nodes(spark, sf_dir):
     return A.supporting_nodes(g, claims)
 
 
+_SURE = f"SELECT src, dst, max((ord % 90 + 10)::DOUBLE / 100) AS step FROM edges WHERE edge_type IN ({_types(fixed.EVIDENCE_EDGES)}) GROUP BY src, dst"
+
+
+@query(f"""+ s AS ({_SURE}), f AS (SELECT DISTINCT src AS start, src AS node_id, 1.0::DOUBLE AS strength, 0 AS hops, [src] AS path FROM edges WHERE edge_type IN ({_types(fixed.CLAIM_EDGES)})
+UNION ALL SELECT f.start, s.dst, f.strength * s.step, f.hops + 1, list_append(f.path, s.dst) FROM f JOIN s ON s.src = f.node_id WHERE NOT list_contains(f.path, s.dst))
+SELECT start AS claim, node_id, round(max(strength), 12) AS strength FROM f WHERE hops > 0 GROUP BY start, node_id""", recursive=True)
+def strongest_support(spark, sf_dir):
+    """How sure the surest chain of evidence from each claim to each node is."""
+    g = fixture.graph(spark, sf_dir)
+    edges = g.edges_of(*fixed.EVIDENCE_EDGES).withColumn("confidence", (F.col("ord") % 90 + 10).cast("double") / 100)
+    claims = g.edges_of(*fixed.CLAIM_EDGES).select(F.col("src").alias("node_id")).distinct()
+    return paths.strongest_paths(edges, claims).select(F.col("start").alias("claim"), "node_id", F.round("strength", 12).alias("strength"))
+
+
+@query("""+ e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
+f AS (SELECT 'r' || n_regionkey AS start, 'c' || c_custkey AS target, ['r' || n_regionkey] AS path FROM customer JOIN nation ON c_nationkey = n_nationkey
+UNION ALL SELECT f.start, f.target, list_append(f.path, e.dst) FROM f JOIN e ON e.src = f.path[-1] WHERE len(f.path) <= 3 AND f.path[-1] <> f.target AND NOT list_contains(f.path, e.dst))
+SELECT start, target, array_to_string(path, '>') AS path FROM f WHERE path[-1] = target""", recursive=True)
+def paths_to_target(spark, sf_dir):
+    """The paths of at most three edges from every customer's region to the customer."""
+    customers = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    pairs = customers.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("start"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("target"))
+    found = paths.paths_between(fixture.graph(spark, sf_dir).edges, pairs, 3)
+    return found.select("start", "target", F.array_join("path", ">").alias("path"))
+
+
+@query(f"""+ f AS (SELECT node_id, [{{'ord': 0::BIGINT, 'dst': node_id}}] AS walk FROM nodes WHERE {_COMPONENT} AND node_id NOT IN (SELECT dst FROM edges WHERE edge_type = 'MethodologyFlow')
+UNION ALL SELECT e.dst, list_append(f.walk, {{'ord': e.ord, 'dst': e.dst}}) FROM f JOIN edges e ON e.src = f.node_id AND e.edge_type = 'MethodologyFlow' WHERE NOT list_contains(list_transform(f.walk, lambda w: w.dst), e.dst))
+SELECT node_id, arg_min((len(walk) - 1)::INT, walk) AS phase FROM f GROUP BY node_id""", recursive=True)
+def first_visit_phases(spark, sf_dir):
+    """methodology_phases as a depth-first walk meets them: by the first of a node's simple paths, not by the shortest."""
+    return paths.first_visit_phases(fixture.graph(spark, sf_dir))
+
+
 # --- exports ----------------------------------------------------------------------------------------------------------
 
 _NAME = "CASE node_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.NODE_TYPE_NAMES.items()) + " ELSE 'Unknown_' || " + "(list_position([" + _types(tuple(fixed.NODE_TYPES)) + "], node_type) - 1) END"
