@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from .charsets import Charsets
 
 #: Names that TeX has for encodings, and Python's for the same.
 ENCODING_NAMES = {"ansinew": "cp1252", "applemac": "mac_roman", "latin9": "iso8859-15", "utf8x": "utf-8", "UNKNOWN": ""}
@@ -72,17 +73,20 @@ def converted(data: bytes, encoding: str) -> str:
         return ""
 
 
-def utf8_texts(files: DataFrame) -> DataFrame:
-    """files with encoding_declared, encoding_detected and text. Valid UTF-8 stays as it is, whatever is declared."""
+def utf8_texts(files: DataFrame, model: Charsets | None = None) -> DataFrame:
+    """files with encoding_declared, encoding_detected and text. Valid UTF-8 stays as it is, whatever is declared.
+
+    model: tells charsets by their bytes (charsets.trained); without one, what isn't UTF-8 is taken for a one-byte charset.
+    """
 
     @F.pandas_udf("encoding string, text string")
     def decode(content: pd.Series, declared: pd.Series) -> pd.DataFrame:
         rows = []
         for data, name in zip(content, declared, strict=True):
-            found = sniffed(data)
+            found = model.detect(data)[0] if model else sniffed(data)
             use = found if name == "UTF-8" and found != "UNKNOWN" else name
             try:
-                rows.append((found, data.decode("utf-8")))
+                rows.append((found, converted(data, found) if found == "iso2022_jp" else data.decode("utf-8")))
             except UnicodeDecodeError:
                 rows.append((found, converted(data, use)))
         return pd.DataFrame(rows, columns=["encoding", "text"])
