@@ -73,6 +73,15 @@ def converted(data: bytes, encoding: str) -> str:
         return ""
 
 
+def read_text(data: bytes, declared: str, model: Charsets | None = None) -> tuple[str, str]:
+    """(encoding that was detected, text)."""
+    found = model.detect(data)[0] if model else sniffed(data)
+    try:
+        return found, converted(data, found) if found == "iso2022_jp" else data.decode("utf-8")
+    except UnicodeDecodeError:
+        return found, converted(data, found if declared == "UTF-8" and found != "UNKNOWN" else declared)
+
+
 def utf8_texts(files: DataFrame, model: Charsets | None = None) -> DataFrame:
     """files with encoding_declared, encoding_detected and text. Valid UTF-8 stays as it is, whatever is declared.
 
@@ -81,15 +90,7 @@ def utf8_texts(files: DataFrame, model: Charsets | None = None) -> DataFrame:
 
     @F.pandas_udf("encoding string, text string")
     def decode(content: pd.Series, declared: pd.Series) -> pd.DataFrame:
-        rows = []
-        for data, name in zip(content, declared, strict=True):
-            found = model.detect(data)[0] if model else sniffed(data)
-            use = found if name == "UTF-8" and found != "UNKNOWN" else name
-            try:
-                rows.append((found, converted(data, found) if found == "iso2022_jp" else data.decode("utf-8")))
-            except UnicodeDecodeError:
-                rows.append((found, converted(data, use)))
-        return pd.DataFrame(rows, columns=["encoding", "text"])
+        return pd.DataFrame([read_text(data, name, model) for data, name in zip(content, declared, strict=True)], columns=["encoding", "text"])
 
     named = files.withColumn("encoding_declared", declared_encoding(F.decode(F.col("content"), "ISO-8859-1")))
     out = named.withColumn("d", decode("content", "encoding_declared"))
