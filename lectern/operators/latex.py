@@ -194,21 +194,23 @@ def _batch(rows: list[tuple], target: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), target, strict=True)], schema=target)
 
 
+def token_rows(text: str, strict: bool) -> list[tuple]:
+    return [(k, *t) for k, t in enumerate(lex(text, strict))]
+
+
+def node_rows(text: str, strict: bool) -> list[tuple]:
+    try:
+        nodes = (parse_flat if strict else parse_nested)(lex(text, strict))
+        return [(k, n.parent if k else None, k, *n[1:], None) for k, n in enumerate(nodes)]
+    except Exception as error:  # noqa: BLE001 - one bad text must not end the job
+        return [(0, None, 0, *ROOT[1:], str(error))]
+
+
 def tokens(docs: DataFrame, mode: str = "intended") -> DataFrame:
     """(doc_id, ord, type, value, position, cmd, opt, req) of (doc_id, text)."""
-    strict = mode == "strict"
-    return _rows(docs, lambda text: [(k, *t) for k, t in enumerate(lex(text, strict))], TOKEN_SCHEMA)
+    return _rows(docs, lambda text: token_rows(text, mode == "strict"), TOKEN_SCHEMA)
 
 
 def ast_nodes(docs: DataFrame, mode: str = "intended") -> DataFrame:
     """Syntax nodes of (doc_id, text) in reading order; node 0 is the root."""
-    strict = mode == "strict"
-
-    def make(text: str) -> list[tuple]:
-        try:
-            nodes = (parse_flat if strict else parse_nested)(lex(text, strict))
-            return [(k, n.parent if k else None, k, *n[1:], None) for k, n in enumerate(nodes)]
-        except Exception as error:  # noqa: BLE001 - one bad text must not end the job
-            return [(0, None, 0, *ROOT[1:], str(error))]
-
-    return _rows(docs, make, NODE_SCHEMA)
+    return _rows(docs, lambda text: node_rows(text, mode == "strict"), NODE_SCHEMA)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import analytics as A
-from ..operators import chain_training, entities, export, graph, latex, paths, people, rendering, retrieval, syntax, vector_index
+from ..operators import chain_training, entities, export, graph, latex, paths, people, rendering, retrieval, syntax, table_functions, vector_index
+from ..sources import documents
 from ..sources.tables import table
 from . import fixture
 
@@ -562,6 +563,22 @@ def split_text_chunks(spark, sf_dir):
     return retrieval.chunked(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content")), 2000)
 
 
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(f"""SELECT doc_id::VARCHAR AS source_file, i::INT AS place, CASE i WHEN 1 THEN trim(coalesce(text, ''), {_BLANK})
+  WHEN 2 THEN trim(coalesce(text, '') || '$x_' || doc_id || '$' || '{{"content":"' || coalesce(lang, '') || '","type":"note"}}', {_BLANK}) ELSE n_chars::VARCHAR END AS content
+FROM documents, range(1, 4) AS t(i)""", uses_graph=False)
+def mixed_sections(spark, sf_dir):
+    """Every document's text as JSON with three sections: a string, a list of a string and objects, and a number."""
+    d = table(spark, sf_dir, "documents")
+    said, lang = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t"))), F.coalesce("lang", F.lit(""))
+    string = F.expr("substring(j, 6, length(j) - 6)")  # the text as a JSON string
+    body = F.concat(F.lit('{"document":{"content":[{"content":'), string, F.lit('},{"content":['), string, F.lit(',{"type":"inline_math","content":"x_'), "doc_id", F.lit('"},{"type":"note","content":"'), lang, F.lit('"}]},{"content":'), "n_chars", F.lit("}]}}"))
+    rows = d.withColumn("j", said).select(F.col("doc_id").cast("string").alias("source_file"), body.alias("json"))
+    return retrieval.flattened(documents.from_json_text(rows)).select("source_file", "place", "content")
+
+
 @query("SELECT DISTINCT source || ' _' || coalesce(lang, '') AS name, coalesce(nullif(trim(regexp_replace(lower(source || ' _' || coalesce(lang, '')), '[^a-z0-9-]+', '-', 'g'), '-'), ''), 'default-index') AS index_name FROM documents", uses_graph=False)
 def index_names(spark, sf_dir):
     name = F.concat("source", F.lit(" _"), F.coalesce("lang", F.lit("")))
@@ -616,6 +633,13 @@ def ast_nodes(spark, sf_dir):
     return latex.ast_nodes(fixture.latex(spark, sf_dir), "strict").select("doc_id", "ord", "type", "content")
 
 
+@query(_FLAT, uses_graph=False)
+def ast_nodes_by_sql(spark, sf_dir):
+    """ast_nodes as a table function in a lateral join."""
+    table_functions.register(spark)
+    return spark.sql("SELECT d.doc_id, n.ord, n.type, n.content FROM {docs} d, LATERAL tex_nodes(d.text, 'strict') n", docs=fixture.latex(spark, sf_dir))
+
+
 _NL = " || chr(10) || "
 _CHUNK = _NL.join(
     [
