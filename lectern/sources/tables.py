@@ -46,12 +46,12 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
         _SCRATCH.remove(path)
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, by: list[str]) -> str:
+def bucketed(df: DataFrame, name: str, buckets: int, by: list[str], compression: str = "snappy") -> str:
     """df as a table in the shared folder, bucketed and sorted by columns, under a name of its own in the catalogue, which
     goes when Python ends or by drop_table."""
     path = scratch_path(df.sparkSession, name)
     own = path.rsplit("/", 1)[-1].replace("-", "_")
-    df.write.bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(own)
+    df.write.bucketBy(buckets, *by).sortBy(*by).option("path", path).option("compression", compression).saveAsTable(own)
     _TABLES[own] = path
     return own
 
