@@ -12,10 +12,10 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import drop_scratch, scratch_path, written
+from ..sources.tables import bucketed, drop_scratch, drop_table, scratch_path, written
 from ..sources.tables import table as read
 
-__all__ = ["columns", "drop_scratch", "held_out", "read", "release", "scratch_path", "shared", "training_keys", "written"]
+__all__ = ["bucketed", "columns", "drop_scratch", "drop_table", "held_out", "read", "release", "scratch_path", "shared", "training_keys", "written"]
 
 
 def shared(spark: SparkSession, thing: Any) -> Callable[[], Any]:

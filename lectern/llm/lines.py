@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import columns, drop_scratch, scratch_path
+from ._common import bucketed, columns, drop_table, scratch_path
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -66,16 +66,11 @@ class LineRuns:
 
     def _write(self, run: DataFrame) -> str:
         """run as a table of buckets sorted by key; its name."""
-        path = scratch_path(self.spark, "lines")
-        name = path.rsplit("/", 1)[-1].replace("-", "_")
         dealt = run.repartition(self.buckets, "h1", "h2").sortWithinPartitions("h1", "h2")
-        dealt.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
-        return name
+        return bucketed(dealt, "lines", self.buckets, ["h1", "h2"])
 
     def _drop(self, name: str) -> None:
-        path = self.spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
-        self.spark.sql(f"DROP TABLE {name}")
-        drop_scratch(self.spark, path.removeprefix("file:") if path.startswith("file:/") else path)
+        drop_table(self.spark, name)
 
     def _tables(self) -> list[DataFrame]:
         return [self.spark.table(name) for level in self.levels for name in level]

@@ -9,8 +9,11 @@ word into the next: a text may be cut before each run of markers and every chunk
 
 So every distinct chunk of the corpus is segmented once, and asked for once a pack, however often it occurs: no chunk is
 frequent enough to make a shard hot. Packs are a table bucketed by their name, which a task gives at random: what is
-written stays as it is when executors are lost, and the answers come to the packs without moving the texts again. The
-number of shards follows the bytes asked for, so that a shard's table is bounded by shard_bytes.
+written stays as it is when executors are lost, and the answers come to the packs without moving the texts again.
+
+The number of shards follows the distinct chunks of the corpus, of which the packs' smallest hashes give an estimate, and
+is a few thousand at most: packs times shards questions are asked, so shards mustn't grow with what is asked. A shard's
+table is bounded by table_bytes; beyond that it is begun anew, and a chunk is segmented once more.
 
 Defined cases: null text reads as empty and gives no ids and an empty decoding; repeated rows give repeated results, so
 there are no ties; a very long text is a pack of its own; U+2581 in a text reads as a space, as in the library; an empty
@@ -32,10 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import chunks, in_chunks, tidy
-from ._common import columns, scratch_path
+from ._common import bucketed, columns
 
 MARK = "▁"
-PACKS = "pack string, doc_id array<long>, n_chunks array<int>, at binary, words string, word_bytes long"
+SKETCH = 512  # smallest hashes kept of each pack's chunks
+PACKS = "pack string, doc_id array<long>, n_chunks array<int>, at binary, words string, n_words long, word_bytes long, least array<long>"
 ASKED = "pack string, shard int, words binary"
 ANSWERS = "pack string, shard int, ids binary, sizes binary, odd array<int>, said array<string>"
 
@@ -71,8 +75,12 @@ def record(schema: str, **values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([values[name]], kinds[kind]) for name, kind in fields], [name for name, _ in fields])
 
 
+def hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter((crc32(w.encode("utf-8")) for w in words), np.int64, len(words))
+
+
 def shard_of(words: list[str], shards: int) -> np.ndarray:
-    return np.fromiter((crc32(w.encode("utf-8")) for w in words), np.int64, len(words)) % shards
+    return hashes(words) % shards
 
 
 class Model:
@@ -103,17 +111,20 @@ class Model:
 class ChunkTable:
     """A shard's distinct chunks with their ids, one after another, and the decoded texts that differ from the chunk."""
 
-    def __init__(self, model: Model) -> None:
+    def __init__(self, model: Model, table_bytes: int = 64 << 20) -> None:
+        self.limit = table_bytes
         self.processor, self.kind = model.library(model_proto=model.model), model.kind
         self.clear()
 
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.odd: dict[int, str] = {}
-        self.ids, self.end = array(self.kind), array("q", [0])
+        self.ids, self.end, self.bytes = array(self.kind), array("q", [0]), 0
 
     def answer(self, words: list[str]) -> dict:
         """ids and sizes for words in their order, and the places of those that decode to something else."""
+        if self.bytes > self.limit:
+            self.clear()
         new = [w for w in words if w not in self.at]
         if new:
             ids = self.processor.encode(new, num_threads=1)
@@ -123,6 +134,7 @@ class ChunkTable:
                 self.at[word] = len(self.at)
                 self.ids.extend(own)
                 self.end.append(len(self.ids))
+                self.bytes += len(word) + 100
         at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
         end = np.frombuffer(self.end, np.int64)
         size = end[at + 1] - end[at]
@@ -139,7 +151,8 @@ def packed(docs: DataFrame, model: Model, pack_bytes: int, batch_bytes: int) ->
 
         def pack() -> pa.RecordBatch:
             words = MARK.join(at)  # no chunk holds the marker, as split() reads it as a space
-            return record(PACKS, pack=uuid.uuid4().hex, doc_id=doc_ids, n_chunks=counts, at=planes(np.frombuffer(places, np.uint32)), words=words, word_bytes=len(words.encode("utf-8")))
+            least = np.unique(hashes(list(at)))[:SKETCH]
+            return record(PACKS, pack=uuid.uuid4().hex, doc_id=doc_ids, n_chunks=counts, at=planes(np.frombuffer(places, np.uint32)), words=words, n_words=len(at), word_bytes=len(words.encode("utf-8")), least=least)
 
         for batch in batches:
             for begin, data in in_chunks(batch.column("text"), batch_bytes):
@@ -157,17 +170,24 @@ def packed(docs: DataFrame, model: Model, pack_bytes: int, batch_bytes: int) ->
         if doc_ids:
             yield pack()
 
-    spark, path = docs.sparkSession, scratch_path(docs.sparkSession, "packs")
-    name, buckets = path.rsplit("/", 1)[-1].replace("-", "_"), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    made = docs.mapInArrow(tidy(run), PACKS)
-    made.write.bucketBy(buckets, "pack").sortBy("pack").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.table(bucketed(docs.mapInArrow(tidy(run), PACKS), "packs", buckets, ["pack"], "zstd"))
+
+
+def distinct_bytes(packs: DataFrame) -> int:
+    """About how many bytes the corpus's distinct chunks have, by the smallest hashes of all packs."""
+    asked = packs.agg(F.sum("word_bytes").alias("bytes"), F.sum("n_words").alias("n")).first()
+    if not asked["n"]:
+        return 0
+    least = [r["h"] for r in packs.select(F.explode("least").alias("h")).distinct().orderBy("h").limit(SKETCH).collect()]
+    n = len(least) if len(least) < SKETCH else (SKETCH - 1) / (least[-1] / (1 << 32))
+    return int(n * asked["bytes"] / asked["n"]) + 1
 
 
-def answered(packs: DataFrame, model: Model, shard_bytes: int) -> tuple[DataFrame, int]:
+def answered(packs: DataFrame, model: Model, shard_bytes: int, most: int) -> tuple[DataFrame, int]:
     """(pack, shard, ids, sizes, odd, said) for the chunks of every pack in every shard, and the number of shards."""
-    asked = packs.agg(F.sum("word_bytes")).first()[0] or 0
-    shards = -(-asked // shard_bytes) or 1
+    shards = max(1, min(most, -(-distinct_bytes(packs) // shard_bytes)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,14 +213,14 @@ def answered(packs: DataFrame, model: Model, shard_bytes: int) -> tuple[DataFram
     return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(tidy(segment), ANSWERS), shards
 
 
-def encode(docs: DataFrame, model_path: str, pack_bytes: int = 8 << 20, shard_bytes: int = 8 << 20, batch_bytes: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, model_path: str, pack_bytes: int = 8 << 20, shard_bytes: int = 1 << 20, batch_bytes: int = 1 << 20, most_shards: int = 4096) -> DataFrame:
     """(doc_id, ids array<int>, decoded string) of every whole text. model_path is read on the driver and sent along."""
     with open(model_path, "rb") as f:
         model = Model(f.read())
     packs = packed(columns(docs, "doc_id", "text"), model, pack_bytes, batch_bytes)
-    answers, shards = answered(packs, model, shard_bytes)
+    answers, shards = answered(packs, model, shard_bytes, most_shards)
     answers = answers.groupBy("pack").agg(F.collect_list(F.struct("shard", "ids", "sizes", "odd", "said")).alias("answers"))
-    joined = packs.drop("word_bytes").join(answers, "pack", "left")
+    joined = packs.drop("n_words", "word_bytes", "least").join(answers, "pack", "left")
 
     def unpack(words: list[str], answers: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """ids with the begin and size of each word's, and the decoded words; answers stand in the order of the shards."""

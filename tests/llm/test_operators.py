@@ -291,6 +291,36 @@ def test_sentencepiece_segments_each_chunk_once(spark):
     assert sorted(met) == sorted({w for words in asked for w in words})
 
 
+def test_sentencepiece_shards_follow_the_distinct_chunks(spark):
+    """Ten times the texts with the same words ask for no more shards; a table that is begun anew gives the same ids."""
+    r = random.Random(9)
+    words = [f"w{k}x" for k in range(3000)]
+    said = [" ".join(r.sample(words, 400)) for _ in range(300)]
+    with open(queries.piece_model(), "rb") as f:
+        model = pieces.Model(f.read())
+    sizes = []
+    for texts in (said[:30], said):
+        packs = pieces.packed(table(spark, list(enumerate(texts))), model, 4000, 4000)
+        sizes.append(pieces.distinct_bytes(packs))
+    exact = sum(len(w) + 4 for w in words)  # the space before, and three bytes between chunks
+    assert all(0.8 * exact < x < 1.2 * exact for x in sizes), (sizes, exact)
+    assert pieces.distinct_bytes(pieces.packed(table(spark, [(1, None)]), model, 4000, 4000)) == 0
+    small = pieces.ChunkTable(model, table_bytes=1)
+    answers = [small.answer([" the", " of"]), small.answer([" of", " the"]), pieces.ChunkTable(model).answer([" of", " the"])]
+    assert answers[1] == answers[2] and answers[0] != answers[1]
+
+
+def test_no_table_is_left_in_the_catalogue(spark):
+    from lectern.sources import tables
+
+    lines.drop_common(table(spark, corpus(2))).count()
+    before = {t.name for t in spark.catalog.listTables()}
+    assert {name for name in before if name.startswith("lectern_lines")} <= set(tables._TABLES)
+    for name in list(tables._TABLES):
+        tables.drop_table(spark, name)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lectern_")]
+
+
 def test_sentencepiece_of_texts_without_chunks(spark):
     out = pieces.encode(table(spark, [(1, ""), (2, None), (2, None)]), queries.piece_model())
     assert sorted(tuple(r) for r in out.collect()) == [(1, [], ""), (2, [], ""), (2, [], "")]
