@@ -422,6 +422,17 @@ def test_kneser_ney_against_the_textbook():
         assert s == len(t) and abs(x - (np.mean(logs) if logs else 0)) < 1e-4
 
 
+def test_a_text_counts_a_trigram_once(spark):
+    rows = [(1, "abcabcabc"), (2, "xabc" * 500), (3, "abd"), (4, None), (5, ""), (3, "abd")]
+    got = {r["code"].to_bytes(3, "big"): r["n"] for r in perplexity.count(table(spark, rows).repartition(2)).collect()}
+    want = {}
+    for _, t in rows:
+        wide = b"  " + (t or "").encode()
+        for gram in {wide[k : k + 3] for k in range(len(wide) - 2)}:
+            want[gram] = want.get(gram, 0) + 1
+    assert got == want and got[b"abc"] == 2
+
+
 def thue_morse():
     """Two words of 1,024 letters that no polynomial modulo a power of two tells apart."""
     bits = [bin(k).count("1") % 2 for k in range(1024)]
