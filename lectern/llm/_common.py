@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import pickle
-import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 from pyspark import cloudpickle
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import bucketed, drop_scratch, drop_table, scratch_path, written
 from ..sources.tables import table as read
 
-__all__ = ["bucketed", "columns", "drop_scratch", "drop_table", "held_out", "read", "release", "scratch_path", "shared", "training_keys", "written"]
+__all__ = ["bucketed", "columns", "drop_scratch", "drop_table", "held_out", "read", "scratch_path", "shared", "shuffles_freed", "training_keys", "written"]
 
 
 def shared(spark: SparkSession, thing: Any) -> Callable[[], Any]:
@@ -24,15 +23,16 @@ def shared(spark: SparkSession, thing: Any) -> Callable[[], Any]:
     return lambda: pickle.loads(sent.value)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written and that nothing refers to any more.
-
-    The second round finds what the first one's clean-up let go of.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What is run inside leaves no shuffle files: Spark deletes each run's own when it ends. For what is run once only."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:

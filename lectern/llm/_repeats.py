@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bytes import _ODD, _SEED, U, Block, eights, in_chunks, mix, run_hashes, sliding_min, tidy, window_hashes
-from ._common import drop_scratch, release, scratch_path
+from ._common import drop_scratch, scratch_path, shuffles_freed
 
 _POSITION = U(31)  # bits that a position takes beside the truncated hash; fixed, so that ties fall alike everywhere
 #: A form has piece; a place of a form has no piece. key, pid: minimiser and hash of the piece.
@@ -295,7 +295,8 @@ def repeated_runs(docs: DataFrame, units: Callable, width: int, gram: int, work:
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         tables[name] = scratch_path(spark, name)
-        df.write.option("compression", "zstd").parquet(tables[name])
+        with shuffles_freed(spark):
+            df.write.option("compression", "zstd").parquet(tables[name])
         return spark.read.schema(df.schema).parquet(tables[name])
 
     docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
@@ -306,12 +307,8 @@ def repeated_runs(docs: DataFrame, units: Callable, width: int, gram: int, work:
     lists = grams.join(several.hint("merge"), "g", "left_semi").groupBy("doc_id").agg(F.collect_set("g").alias("gs"))
     lists = stored(lists, "lists")
     drop_scratch(spark, tables["minimisers"])
-    del grams, several
-    release(spark)
     rows = stored(cut_out(known.join(lists, "doc_id"), units, width, gram), "forms")
     drop_scratch(spark, tables["lists"])
-    del lists
-    release(spark)
 
     forms, places = rows.where("piece IS NOT NULL"), rows.where("piece IS NULL").select("key", "pid", "doc_id", "start", "row")
     crowded = stored(forms.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > split_rows).select("key"), "crowded")
@@ -332,8 +329,6 @@ def repeated_runs(docs: DataFrame, units: Callable, width: int, gram: int, work:
     for name in tables.keys() - {"runs"}:
         if name not in ("minimisers", "lists"):
             drop_scratch(spark, tables[name])
-    del rows, forms, places, runs
-    release(spark)
     return docs.join(found, ["doc_id", "row"], "left").select("doc_id", "text", "runs")
 
 
