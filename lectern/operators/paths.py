@@ -46,23 +46,29 @@ def strongest_paths(edges: DataFrame, starts: DataFrame, default: float = 0.5, w
 def paths_between(edges: DataFrame, pairs: DataFrame, longest: int = 4) -> DataFrame:
     """(start, target, path array): the simple paths of 1 to longest edges from start to target, for each of the pairs.
 
-    Searched from both ends: first back from the targets, for the least distance of each node to each, then ahead from the
-    starts, where a path is grown by a node only if it can still get to its target with the edges that are left. So no
-    path is held that comes to nothing but by meeting itself.
+    Searched from both ends: first back from the targets, for the edges that each target can be reached by and how far from
+    it they end, then ahead from the starts, over these edges of the path's own target, as long as it can still get there
+    with the edges that are left. So no path is held that comes to nothing but by meeting itself, and a node that many
+    targets lie behind gives a path only the edges to its own.
     """
     steps = written(edges.select("src", "dst").where("src <> dst").distinct(), "steps")
     pairs = written(pairs.select("start", "target").where("start <> target").distinct(), "pairs")
-    near = fresh = written(pairs.select("target", F.col("target").alias("node_id"), F.lit(0).alias("away")).distinct(), "near")
-    for away in range(1, longest):  # the start itself needs no label
-        back = fresh.join(steps, F.col("node_id") == F.col("dst")).select("target", F.col("src").alias("node_id")).distinct()
-        fresh = written(back.join(near, ["target", "node_id"], "left_anti").withColumn("away", F.lit(away)), "near")
-        near = near.unionByName(fresh)
-    near = written(near, "near")
+    near = fresh = written(pairs.select("target", F.col("target").alias("node_id")).distinct(), "near")
+    ways = None
+    for away in range(longest):
+        last = away == longest - 1  # an edge this far off is a path's first one
+        used = steps.join(pairs.select(F.col("start").alias("src")).distinct(), "src", "left_semi") if last else steps
+        back = fresh.join(used, F.col("node_id") == F.col("dst")).where("src <> target").select("target", "src", "dst", F.lit(away).alias("away"))
+        back = written(back.join(pairs.withColumnRenamed("start", "src"), ["target", "src"], "left_semi") if last else back, "ways")
+        ways = back if ways is None else ways.unionByName(back)
+        if not last:
+            fresh = written(back.select("target", F.col("src").alias("node_id")).distinct().join(near, ["target", "node_id"], "left_anti"), "near")
+            near = near.unionByName(fresh)
     ahead = pairs.select("start", "target", F.array("start").alias("path"))
     out = None
     for n in range(1, longest + 1):
-        grown = ahead.join(steps, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
-        grown = grown.join(near.withColumnRenamed("node_id", "dst"), ["target", "dst"]).where(F.col("away") <= longest - n)
+        left = ways.where(F.col("away") <= longest - n)
+        grown = ahead.withColumn("src", F.element_at("path", -1)).join(left, ["target", "src"]).where(~F.array_contains("path", F.col("dst")))
         grown = written(grown.select("start", "target", F.concat("path", F.array("dst")).alias("path"), (F.col("away") == 0).alias("there")), "paths")
         there = grown.where("there").drop("there")
         out = there if out is None else out.unionByName(there)

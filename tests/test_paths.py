@@ -65,6 +65,45 @@ def test_paths_that_lead_nowhere_are_not_grown(spark, monkeypatch):
     assert max(n for name, n in sizes if name == "paths") == 1
 
 
+def joined_rows(spark, run):
+    """run's result, and how many rows the largest join of its queries made."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    before = store.executionsCount()
+    out, most = run(), 0
+    bus.waitUntilEmpty(30_000)
+    executions = store.executionsList()
+    for k in range(before, executions.size()):
+        at = executions.apply(k).executionId()
+        values, nodes = store.executionMetrics(at), store.planGraph(at).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name():
+                for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        most = max(most, int(values.apply(metric.accumulatorId()).replace(",", "")))
+    return out, most
+
+
+def test_paths_through_a_hub_take_only_the_edges_to_their_target(spark):
+    """Many targets behind one node: the joins make a few rows a target, not targets times targets."""
+    edges = [("s", "hub"), ("z", "hub"), ("z", "s")] + [("hub", f"t{k}") for k in range(300)]
+    pairs = [("s", f"t{k}") for k in range(300)] + [("z", "t7")]
+    table, wanted = spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(pairs, "start string, target string")
+    got, most = joined_rows(spark, lambda: paths.paths_between(table, wanted, 3).collect())
+    assert {(x["start"], x["target"], *x["path"]) for x in got} == {("s", t, "s", "hub", t) for _, t in pairs} | {("z", "t7", "z", "hub", "t7"), ("z", "t7", "z", "s", "hub", "t7")}
+    assert 0 < most < 3000
+
+
+@pytest.mark.parametrize(("seed", "longest"), [(9, 1), (10, 2), (11, 3), (12, 5)])
+def test_paths_between_of_other_lengths(spark, seed, longest):
+    r = random.Random(seed)
+    edges = list({(f"n{r.randrange(7)}", f"n{r.randrange(7)}") for _ in range(22)})
+    pairs = [(f"n{a}", f"n{b}") for a in range(7) for b in range(7) if a != b and r.random() < 0.4]
+    got = paths.paths_between(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(pairs, "start string, target string"), longest).collect()
+    want = {(a, b, tuple(p)) for a, b in pairs for p in simple_paths(edges, a, longest, b)}
+    assert {(x["start"], x["target"], tuple(x["path"])) for x in got} == want and len(got) == len(want) > 0
+
+
 def walk(edges, starts):
     met = {}
 
