@@ -7,9 +7,13 @@
             is above 127, against counts of such pairs in texts of known languages written in that charset
   answer    encoding and confidence, the share of the likeliest one's weight; UNKNOWN where no candidate is left
 
-The counts are learnt in Spark: tasks write texts in every charset that has their characters and count pairs of bytes,
-and the counts of a charset and language are added up. Their number is charsets times languages, each a table of fixed
-size, so that the model has a proven bound; whatever the corpus, it is what is sent to tasks.
+The counts are learnt in Spark: tasks write texts in every charset and count pairs of bytes, and the counts of a charset
+and language are added up. A character that the charset lacks counts as one that no byte stands for: left out, or its
+text left out, a charset would be judged by the few texts that happen to do without, and look likelier for those than the
+one that has all of the language. A charset that lacks half of a language's characters above 127 or more isn't one of
+its. Texts are learnt as they are and in capitals, and a language is as likely beforehand as it is common among them. The
+number of counts is charsets times languages, each a table of fixed size, so that the model has a proven bound; whatever
+the corpus, it is what is sent to tasks.
 
 Defined cases: empty bytes are UNKNOWN with confidence 0; ASCII alone is utf-8 with confidence 1; a text cut within a
 character isn't valid in its multibyte charset but for UTF-8, which may lack the end of its last character; null stays null.
@@ -66,9 +70,17 @@ _CLASS = np.zeros(256, np.int64)  # bytes told apart: those above 127, letters w
 _CLASS[128:] = np.arange(1, 129)
 for _c in range(26):
     _CLASS[65 + _c] = _CLASS[97 + _c] = 129 + _c
-_N = 155
+_LACKING, _N = 155, 156  # the class of characters that a charset lacks, and how many classes there are
 _HIGH = np.zeros(_N, bool)
-_HIGH[1:129] = True
+_HIGH[1:129] = _HIGH[_LACKING] = True
+
+
+def classes(char: str, charset: str) -> list[int]:
+    """Of the bytes that a charset writes for a character."""
+    try:
+        return [int(_CLASS[b]) for b in char.encode(charset)]
+    except UnicodeEncodeError:
+        return [_LACKING]
 
 
 def pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -79,15 +91,16 @@ def pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Charsets:
-    """Log-probabilities of byte pairs for each (charset, language)."""
+    """Log-probabilities of byte pairs for each (charset, language), and of the language. counts: of pairs, then of texts."""
 
     def __init__(self, counts: dict[tuple[str, str], np.ndarray]) -> None:
         self.keys = sorted(counts)
         self.log = np.zeros((len(self.keys), _N * _N), np.float32)
         for row, key in enumerate(self.keys):
-            n = counts[key].reshape(_N, _N).astype(np.float64)
+            n = counts[key][:-1].reshape(_N, _N).astype(np.float64)
             single = (n.sum(0) + 0.05) / (n.sum() + 0.05 * _N)  # of a pair that was never seen, the second byte alone says something
             self.log[row] = np.log((n + 4 * single) / (n.sum(1, keepdims=True) + 4)).ravel()
+        self.before = np.log(np.array([counts[key][-1] for key in self.keys], np.float64))
 
     def detect(self, data: bytes) -> tuple[str, float]:
         if not data:
@@ -110,11 +123,11 @@ class Charsets:
         if not rows:
             return "UNKNOWN", 0.0
         # a text's pairs depend on one another: beyond some hundred of them more say little more
-        score = (self.log[np.ix_(rows, pair)] @ times) * min(1.0, 200 / times.sum())
+        score = (self.log[np.ix_(rows, pair)] @ times) * min(1.0, 200 / times.sum()) + self.before[rows]
         best: dict[str, float] = {}
         for k, s in zip(rows, score.tolist(), strict=True):
             best[self.keys[k][0]] = max(best.get(self.keys[k][0], -np.inf), s)
-        top = max(best, key=best.__getitem__)
+        top = max((name for name in VALID if name in best), key=best.__getitem__)
         said = {name: data.decode(name, "replace") for name, s in best.items() if best[top] - s < 30}
         others = [best[name] - best[top] for name, text in said.items() if text != said[top]]
         same = [name for name in VALID if said.get(name) == said[top]]  # charsets that read the same are one answer
@@ -134,22 +147,45 @@ def _is_utf8(data: bytes) -> bool:
 
 
 def counted(texts: DataFrame) -> dict[tuple[str, str], np.ndarray]:
-    """Pairs of bytes of texts (lang, text) in every charset that has all of a text's characters."""
+    """Pairs of bytes of texts (lang, text), as they are and in capitals, in every charset that has more than half of the
+    language's characters above 127; then the number of texts that have any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[tuple[str, str], np.ndarray] = {}
+
+        def add(lang: str, texts: list[str]) -> None:
+            as_is = " ".join(texts)  # an end reads as a blank anyway
+            code = np.frombuffer(f" {as_is} {as_is.upper()} ".encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+            some = (code[:-1] > 127) | (code[1:] > 127)
+            both, times = np.unique((code[:-1] << 32 | code[1:])[some], return_counts=True)
+            chars = np.unique(np.concatenate((both >> 32, both & 0xFFFFFFFF)))
+            a, b = np.searchsorted(chars, both >> 32), np.searchsorted(chars, both & 0xFFFFFFFF)
+            each = np.where(chars > 127, np.bincount(a, times, len(chars)), 0).astype(np.int64)
+            for charset in VALID:
+                written = [classes(c, charset) for c in map(chr, chars.tolist())]
+                n = own.setdefault((charset, lang), np.zeros(_N * _N + 3, np.int64))
+                first, last = np.array([w[0] for w in written]), np.array([w[-1] for w in written])
+                joint = _HIGH[last[a]] | _HIGH[first[b]]
+                np.add.at(n, (last[a] * _N + first[b])[joint], times[joint])
+                for w, k in zip(written, each.tolist(), strict=True):
+                    for x, y in zip(w[:-1], w[1:], strict=True):  # within a character
+                        n[x * _N + y] += k * bool(_HIGH[x] | _HIGH[y])
+                n[-3:] += (len(texts), each.sum(), each[first == _LACKING].sum())
+
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            held: dict[str, list[str]] = {}
+            size: dict[str, int] = {}
+            for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
+                lang, text = lang.as_py(), text.as_py()
                 if text.isascii():
                     continue
-                for charset in VALID:
-                    try:
-                        pair, times = pairs(text.encode(charset))
-                    except UnicodeEncodeError:
-                        continue
-                    if (charset, lang) not in own:
-                        own[charset, lang] = np.zeros(_N * _N, np.int64)
-                    own[charset, lang][pair] += times
+                held.setdefault(lang, []).append(text)
+                size[lang] = size.get(lang, 0) + len(text)
+                if size[lang] > 1 << 20:
+                    add(lang, held.pop(lang))
+                    size[lang] = 0
+            for lang, texts in held.items():
+                add(lang, texts)
         for (charset, lang), n in own.items():
             some = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([charset] * len(some)), pa.array([lang] * len(some)), pa.array(some, pa.int32()), pa.array(n[some])], ["charset", "lang", "pair", "n"])
@@ -157,9 +193,12 @@ def counted(texts: DataFrame) -> dict[tuple[str, str], np.ndarray]:
     rows = texts.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(run, "charset string, lang string, pair int, n long")
     out: dict[tuple[str, str], np.ndarray] = {}
     found = rows.groupBy("charset", "lang", "pair").agg(F.sum("n").alias("n")).toPandas()  # charsets x languages x pairs of classes at most
-    for (charset, lang), part in found.groupby(["charset", "lang"]):
-        out[charset, lang] = np.zeros(_N * _N, np.int64)
-        out[charset, lang][part["pair"].to_numpy()] = part["n"].to_numpy()
+    for key, part in found.groupby(["charset", "lang"]):
+        n = np.zeros(_N * _N + 3, np.int64)
+        n[part["pair"].to_numpy()] = part["n"].to_numpy()
+        above, lacking = n[-2:].tolist()
+        if 2 * lacking < above:
+            out[key] = n[:-2]
     return out
 
 

@@ -84,3 +84,13 @@ def test_more_texts_of_a_language_take_the_samples_place(spark):
     counts = charsets.counted(own)
     assert {k[1] for k in counts} == {"ru"} and ("cp1252", "ru") not in counts
     assert charsets.trained(spark, own).detect("Она читала новую книгу, которую ей дали".encode("koi8_r"))[0] == "koi8_r"
+
+
+def test_a_charset_is_not_judged_by_the_few_texts_that_it_can_write(spark):
+    """Odd texts whose letters two charsets share don't make the poorer one likelier; nor do capitals, nor one letter."""
+    plain = [("fr", charsets.SAMPLES["fr"] + " très près de là, à l'été même")] * 40
+    odd = [("fr", "ééç ééç éouéeau éanéque " * 5)] * 4
+    german = [("de", "größe ähnlich schön für später müssen hören erä ärm enchöü einö keitä")] * 40
+    model = charsets.trained(spark, spark.createDataFrame(plain + odd + german, "lang string, text string"))
+    for text in ("ééç ééç très éouéeau éanéque " * 9, "ERÄ!! ENCHÖÜ!! EINÖ!! UND!! KEITÄ,!! KEITTEÖ!! " * 9, "etaion modèl ou", "HÖREN SPÄTER FÜR für"):
+        assert papers.converted(text.encode("cp1252"), model.detect(text.encode("cp1252"))[0]) == text, text
