@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 
 LABELS = ("O", "AUTHOR", "AFFILIATION")
+CELLS = 1 << 16  # tokens that are labelled together
 STAY = 0.1  # score of two equal labels in a row; different ones score 0
 
 #: The sequences that the default model learns, five rounds at a rate of 0.1.
@@ -89,20 +90,62 @@ class ChainModel:
             path.append(int(b[path[-1]]))
         return [LABELS[k] for k in reversed(path)]
 
+    def scored(self, features: pa.ListArray) -> np.ndarray:
+        """emissions of many tokens, each distinct feature looked up once."""
+        size = np.asarray(features.value_lengths().fill_null(0))
+        coded = features.flatten().dictionary_encode()
+        token = np.repeat(np.arange(len(size)), size)
+        out = np.zeros((len(size), len(LABELS)))
+        for k in range(len(LABELS)):
+            weight = np.array([self.weights.get((k, f), 0.0) for f in coded.dictionary.to_pylist()] + [0.0])  # a null has none
+            place = coded.indices.fill_null(len(weight) - 1).to_numpy()
+            out[:, k] = np.bincount(token, weight[place], len(size))  # added one after another, as emissions does
+        return out
+
+    def best(self, emit: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """predict for sequences of these sizes, one after another in emit: label numbers, a step of all at a time."""
+        out, begin = np.zeros(len(emit), np.int64), np.cumsum(size) - size
+        order = np.argsort(-size, kind="stable")
+        longest_first, at = size[order], begin[order]
+        alive = int((longest_first > 0).sum())
+        best, back = emit[at[:alive]], np.zeros((len(emit), len(LABELS)), np.int8)
+        last = np.zeros(len(size), np.int64)
+        for t in range(1, int(longest_first[0]) + 1 if alive else 0):
+            going = int((longest_first > t).sum())
+            last[going:alive] = best[going:].argmax(1)  # of equal ones the first
+            alive, total = going, best[:going, :, None] + self.between
+            back[at[:alive] + t] = total.argmax(1)
+            best = total.max(1) + emit[at[:alive] + t]
+        for t in range(int(longest_first[0]) - 1 if len(size) else -1, -1, -1):
+            alive = int((longest_first > t).sum())
+            out[at[:alive] + t] = last[:alive]
+            if t:
+                last[:alive] = back[at[:alive] + t, last[:alive]]
+        return out
+
 
 def labelled(featured: DataFrame, model: ChainModel) -> DataFrame:
-    """(doc_id, ord, value, label): the best labels of each document's tokens (doc_id, ord, value, features)."""
+    """(doc_id, ord, value, label): the best labels of each document's tokens (doc_id, ord, value, features).
+
+    Documents come in Arrow batches and are worked through as columns, so many at a time as hold some 65,000 tokens; a
+    document is a sequence and stays whole.
+    """
     rows = featured.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", "value", "features"))).alias("tokens"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, tokens in zip(batch["doc_id"], batch["tokens"], strict=True):
-                labels = model.predict([t["features"] for t in tokens])
-                out += [(doc, t["ord"], t["value"], x) for t, x in zip(tokens, labels, strict=True)]
-            yield pd.DataFrame(out, columns=["doc_id", "ord", "value", "label"])
-
-    return rows.mapInPandas(run, "doc_id string, ord int, value string, label string")
+            size = np.asarray(batch.column("tokens").value_lengths())
+            begin = 0
+            while begin < len(size):
+                count = max(1, int(np.searchsorted(np.cumsum(size[begin : begin + CELLS]), CELLS, "right")))
+                part, own = batch.slice(begin, count), size[begin : begin + count]
+                ord_, value, features = part.column("tokens").flatten().flatten()
+                doc = part.column("doc_id").take(pa.array(np.repeat(np.arange(len(own)), own)))
+                found = model.best(model.scored(features), own)
+                yield pa.RecordBatch.from_arrays([doc, ord_, value, pa.array(LABELS).take(pa.array(found))], ["doc_id", "ord", "value", "label"])
+                begin += count
+
+    return rows.mapInArrow(run, "doc_id string, ord int, value string, label string")
 
 
 def runs(labels: DataFrame) -> DataFrame:

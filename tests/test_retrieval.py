@@ -157,6 +157,31 @@ def test_entities(spark):
     assert [r["value"] for r in found.orderBy("at").collect()] == ["A", "B"]
 
 
+def test_documents_are_labelled_in_bounded_parts(spark, monkeypatch):
+    """The labels of predict, however documents fall into parts; no part has more tokens than it should."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(3)
+    words = ["\\author", "John", "Doe", "\\affiliation", "SomeUniversity", "x", "\\institute", "AnotherInstitute", "Ann"]
+    docs = [[[f"WORD={r.choice(words)}", r.choice(["CAP", "NOT_CAP", None])][: r.randint(0, 2)] for _ in range(n)] for n in [1, 7, 40, 3, 3, 0, 90, 2]]
+    model = entities.ChainModel().fit()
+    flat = pa.array([f for d in docs for f in d], pa.list_(pa.string()))
+    found = [entities.LABELS[k] for k in model.best(model.scored(flat), entities.np.array([len(d) for d in docs]))]
+    assert found == [x for d in docs for x in model.predict(d)] and len(set(found)) > 1
+    parts, scored = [], entities.ChainModel.scored
+    monkeypatch.setattr(entities.ChainModel, "scored", lambda self, features: parts.append(len(features)) or scored(self, features))
+    monkeypatch.setattr(entities, "CELLS", 20)
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(docs))]), pa.array([[{"ord": k, "value": "v", "features": f} for k, f in enumerate(d)] for d in docs], pa.list_(pa.struct({"ord": pa.int32(), "value": pa.string(), "features": pa.list_(pa.string())})))], ["doc_id", "tokens"])
+    runs = []
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, run, schema: runs.append(run))
+    entities.labelled(spark.createDataFrame([], "doc_id string, ord int, value string, features array<string>"), model)
+    out = pa.Table.from_batches(runs[0](iter([batch]))).to_pylist()
+    assert [(x["doc_id"], x["ord"], x["label"]) for x in out] == [(str(i), k, y) for i, d in enumerate(docs) for k, y in enumerate(model.predict(d))]
+    assert parts == [8, 40, 6, 90, 2]
+
+
 def test_papers_include_files_of_subfolders_and_other_endings(spark, tmp_path):
     one = tmp_path / "one"
     (one / "sections" / "deep").mkdir(parents=True)
