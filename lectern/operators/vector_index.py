@@ -55,6 +55,11 @@ def angles(vectors: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(vectors @ centroids.T, -1, 1))
 
 
+def at_once(others: int, cells: int = 1 << 20) -> int:
+    """How many rows meet so many others at a time, in matrices of so many cells: what a task holds doesn't grow with either."""
+    return max(1, cells // max(1, others))
+
+
 @dataclass
 class InvertedFile:
     """centroids (unit rows), radius and parts of each cell, and the stored table (key, vector, unit, cell, part)."""
@@ -100,8 +105,12 @@ class InvertedFile:
 
         @F.pandas_udf("cell int, angle double")
         def nearest_cell(found: pd.Series) -> pd.DataFrame:
-            angle = angles(stacked(found), centroids) if len(found) else np.zeros((0, 1))
-            return pd.DataFrame({"cell": angle.argmin(1).astype(np.int32), "angle": angle.min(1) if len(found) else []})
+            rows, step = stacked(found) if len(found) else np.zeros((0, 1)), at_once(len(centroids))
+            cell, least = np.zeros(len(rows), np.int32), np.zeros(len(rows))
+            for a in range(0, len(rows), step):
+                angle = angles(rows[a : a + step], centroids)
+                cell[a : a + step], least[a : a + step] = angle.argmin(1), angle.min(1)
+            return pd.DataFrame({"cell": cell, "angle": least})
 
         placed = written(rows.withColumn("_at", nearest_cell("unit")).select(*rows.columns, F.col("_at.cell").alias("cell"), F.col("_at.angle").alias("angle")), "cells")
         stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).toPandas()  # a row a cell
@@ -138,8 +147,9 @@ class InvertedFile:
         kind = dict(asked.dtypes)["query"]
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch) or not parts.any():
+            step = at_once(len(centroids))
+            for batch in (b.iloc[a : a + step] for b in batches for a in range(0, len(b), step)):
+                if not parts.any():
                     continue
                 angle = angles(stacked(batch["vector"]), centroids)
                 angle[:, parts == 0] = np.inf  # nothing there
@@ -161,7 +171,7 @@ class InvertedFile:
 
         return asked.mapInPandas(run, f"cell int, part int, query {kind}, vector array<double>")
 
-    def _met(self, sent: DataFrame, k: int, digits: int, query_rows: int = 100_000, step: int = 2048) -> DataFrame:
+    def _met(self, sent: DataFrame, k: int, digits: int, query_rows: int = 100_000) -> DataFrame:
         """(query, index, key, score): the k best of each part for the queries that were sent there.
 
         Where more than query_rows queries go to a cell they are split by a hash, and the cell's vectors meet each share.
@@ -173,25 +183,31 @@ class InvertedFile:
             kind = vectors.column(index).combine_chunks() if index else None
             group = kind.dictionary_encode(null_encoding="encode").indices.to_numpy() if index else np.zeros(len(keys), np.int64)
             by_key = pc.rank(keys, tiebreaker="dense").to_numpy()
-            rows, places, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            none = np.zeros(0, np.int64)
+            rows, places, scores = [none], [none], [np.zeros(0)]
+            step = at_once(len(keys))
             for a in range(0, queries.num_rows if len(keys) else 0, step):
                 score = np.round(flat(queries.column("vector").slice(a, step), size) @ matrix.T, digits)
+                some: list[tuple[np.ndarray, np.ndarray]] = []
                 for g in np.unique(group):
                     own = np.flatnonzero(group == g)
                     near = score[:, own]
                     least = np.partition(near, max(0, len(own) - k), axis=1)[:, max(0, len(own) - k)]
                     row, at = np.nonzero(near >= least[:, None])  # what ties with the k-th stays until keys are held against each other
-                    rows.append(row + a)
-                    places.append(own[at])
-                    scores.append(near[row, at])
+                    some.append((row, own[at]))
+                row, at = (np.concatenate(x) for x in zip(*some, strict=True))
+                order = np.lexsort((by_key[at], -score[row, at], group[at], row))
+                row, at = row[order], at[order]
+                owner = row * (len(keys) + 1) + group[at]
+                begin = np.flatnonzero(np.diff(owner, prepend=-1))
+                kept = np.arange(len(owner)) - np.repeat(begin, np.diff(np.append(begin, len(owner)))) < k
+                rows.append(row[kept] + a)
+                places.append(at[kept])
+                scores.append(score[row[kept], at[kept]])
             row, at, score = map(np.concatenate, (rows, places, scores))
-            order = np.lexsort((by_key[at], -score, group[at], row))
-            owner = (row * (len(keys) + 1) + group[at])[order]
-            begin = np.flatnonzero(np.diff(owner, prepend=-1))
-            kept = order[np.arange(len(owner)) - np.repeat(begin, np.diff(np.append(begin, len(owner)))) < k]
-            found = {"query": queries.column("query").combine_chunks().take(pa.array(row[kept])), key: keys.take(pa.array(at[kept])), "score": pa.array(score[kept])}
+            found = {"query": queries.column("query").combine_chunks().take(pa.array(row)), key: keys.take(pa.array(at)), "score": pa.array(score)}
             if index:
-                found[index] = kind.take(pa.array(at[kept]))
+                found[index] = kind.take(pa.array(at))
             return pa.table({c: found[c] for c in (["query", index] if index else ["query"]) + [key, "score"]})
 
         schema = f"query {self.kind}, {f'{index} {self.index_kind}, ' if index else ''}{key} {self.kind}, score double"

@@ -82,3 +82,42 @@ def test_few_rows_and_none(spark):
     none = frame(spark, AWKWARD[:3])
     assert InvertedFile.build(none).search(table, exact=True).collect() == []
     assert InvertedFile.build(table).search(none, exact=True).collect() == []
+
+
+def peak_mb(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        out = run()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_bounded_matrices(spark):
+    """What queries meet in a part, or cells, is worked through in matrices of a fixed size; the results are those of all at once."""
+    from unittest.mock import MagicMock
+
+    import pandas as pd
+    import pyarrow as pa
+
+    rng, file = np.random.default_rng(5), MagicMock(key="id", index=None, size=4, kind="long")
+    x, q = rng.normal(size=(12_000, 4)), rng.normal(size=(900, 4))
+    sent, caught = MagicMock(), []
+    sent.where.return_value.groupBy.return_value.agg.return_value.where.return_value.isEmpty.return_value = True
+    file.table.groupBy.return_value.cogroup.return_value.applyInArrow.side_effect = lambda run, schema: caught.append(run)
+    InvertedFile._met(file, sent, 5, 9)
+    stored = pa.table({"id": pa.array(range(len(x))), "unit": pa.array(x.tolist(), pa.list_(pa.float64()))})
+    asked = pa.table({"query": pa.array(range(len(q))), "vector": pa.array(q.tolist(), pa.list_(pa.float64()))})
+    found, peak = peak_mb(lambda: caught[0](stored, asked))
+    score = np.round(q @ x.T, 9)
+    assert [(r["query"], r["id"]) for r in found.to_pylist()] == [(i, int(j)) for i in range(len(q)) for j in np.lexsort((np.arange(len(x)), -score[i]))[:5]]
+    assert peak < 60
+    many = MagicMock(centroids=rng.normal(size=(2000, 4)), radius=np.full(2000, 0.1), parts=np.ones(2000, np.int64))
+    rows = MagicMock(dtypes=[("query", "long")])
+    rows.mapInPandas.side_effect = lambda run, schema: caught.append(run)
+    InvertedFile._sent(many, rows, 3, True)
+    batch = pd.DataFrame({"query": range(3000), "vector": list(rng.normal(size=(3000, 4))), "least": 0.999})
+    n, peak = peak_mb(lambda: sum(len(b) for b in caught[1](iter([batch]))))
+    assert n > 0 and peak < 150
