@@ -168,6 +168,17 @@ def nearest_by_index(vectors: DataFrame, query: Column, key: str = "id", index:
     return scored.withColumn("place", place).where(F.col("place") <= k)
 
 
+def among_best(score: np.ndarray, group: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the scores [row, query] that are no less than a query's k-th of the row's group; a NaN is least."""
+    found = [(np.zeros(0, int), np.zeros(0, int))]
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        near = np.where(np.isnan(score[own]), -np.inf, score[own])
+        row, query = np.nonzero(near >= np.partition(near, max(0, len(own) - k), axis=0)[max(0, len(own) - k)])
+        found.append((own[row], query))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
 def nearest_many(vectors: DataFrame, queries: np.ndarray, key: str = "id", k: int = TOP_K, vector: str = "embedding", index: str | None = None, digits: int | None = None, cells: int = 1 << 20) -> DataFrame:
     """(query, place, key, score) for a block of query vectors: matrix products of so many cells, k candidates a task.
 
@@ -186,7 +197,8 @@ def nearest_many(vectors: DataFrame, queries: np.ndarray, key: str = "id", k: in
             matrix = np.stack(batch[vector].to_numpy()).astype(np.float64)
             score = matrix @ wanted.T / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
             score = score if digits is None else np.round(score, digits)
-            long = pd.DataFrame({"query": np.tile(np.arange(len(wanted)), len(batch)), "score": score.ravel()} | {c: np.repeat(batch[c].to_numpy(), len(wanted)) for c in own})
+            row, query = among_best(score, pd.factorize(batch[index], use_na_sentinel=False)[0] if index else np.zeros(len(batch), int), k)
+            long = pd.DataFrame({"query": query, "score": score[row, query]} | {c: batch[c].to_numpy()[row] for c in own})
             best = (long if best is None else pd.concat([best, long])).sort_values([*by, "score", key], ascending=[True] * len(by) + [False, True]).groupby(by, dropna=False).head(k)
         if best is not None:
             yield best[["query", *own, "score"]]

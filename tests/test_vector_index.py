@@ -121,3 +121,15 @@ def test_a_task_holds_bounded_matrices(spark):
     batch = pd.DataFrame({"query": range(3000), "vector": list(rng.normal(size=(3000, 4))), "least": 0.999})
     n, peak = peak_mb(lambda: sum(len(b) for b in caught[1](iter([batch]))))
     assert n > 0 and peak < 150
+
+
+def test_blocks_of_queries_keep_few_candidates():
+    """Of each matrix only what may be among a query's best is kept, ties too, before rows of a table are made of it."""
+    from lectern.operators.retrieval import among_best
+
+    score = np.array([[3.0, np.nan], [1.0, np.nan], [3.0, 1.0], [2.0, 0.5], [0.0, 7.0]])
+    row, query = among_best(score, np.zeros(5, int), 1)
+    assert sorted(zip(row.tolist(), query.tolist(), strict=True)) == [(0, 0), (2, 0), (4, 1)]
+    row, query = among_best(score, np.array([0, 0, 1, 1, 1]), 1)
+    assert sorted(zip(row.tolist(), query.tolist(), strict=True)) == [(0, 0), (0, 1), (1, 1), (2, 0), (4, 1)]
+    assert [len(x) for x in among_best(np.zeros((0, 2)), np.zeros(0, int), 3)] == [0, 0]
