@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.tables import written
 
 
 def author_block(content):
@@ -70,6 +71,7 @@ def resolve_people(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     Returns (doc_id, ord, name, email, orcid, affiliations array) and (doc_id, id, details).
     """
     people = nodes.where(F.col("type").isin("Author", "Affiliation")).select("doc_id", "ord", "type", "cmd", "opt", F.regexp_replace(F.coalesce("req", F.lit("")), "(?m)(?<!\\\\)%.*$", "").alias("req"))
+    people = written(people, "people")  # read by each branch below, for which papers would be parsed again
     marked = F.col("req").contains("\\inst") | F.col("req").contains("\\and")
 
     alone = people.where((F.col("type") == "Author") & ~marked)

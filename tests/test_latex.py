@@ -208,3 +208,19 @@ def test_extractors(spark):
     s = F.col("s")
     got = row.select(T.author_names(s), T.affiliations(s), T.section_name(s), T.graphics_file(s), T.figure_caption(s), T.citation_keys(F.lit(" a, ,b ")), T.without_newlines(F.lit("a\r\nb")), T.year(F.lit("x1999 in 2001,")), T.valid_utf8(F.lit("ok"))).first()
     assert list(got) == [["Ann Lee", "Bo Ng"], ["U {of", "B"], "Deep {er}", "a.png", "C", ["a", "b"], "ab", "2001", "ok"]
+
+
+def test_people_are_resolved_from_one_reading_of_the_nodes(spark):
+    """Several branches need the authors and affiliations; what makes the nodes runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    schema = "doc_id string, ord int, type string, cmd string, opt string, req string"
+    rows = [("d", 0, "Author", "author", None, "Ann\\inst{\\ref{u}} \\and Bob\\inst{\\ref{u},\\ref{v}}"), ("d", 1, "Affiliation", "institute", None, "Univ \\label{u} \\and Lab \\label{v}"), ("d", 2, "Text", None, None, "x")]
+    authors, places = people.resolve_people(spark.createDataFrame(rows, schema).mapInPandas(counted, schema))
+    assert [(r["name"], r["affiliations"]) for r in authors.orderBy("ord").collect()] == [("Ann", ["Univ"]), ("Bob", ["Univ", "Lab"])]
+    assert [r["details"] for r in places.orderBy("id").collect()] == ["Univ", "Lab"] and seen.value == len(rows)
