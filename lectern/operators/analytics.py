@@ -25,33 +25,56 @@ def _without(graph: Graph, nodes: DataFrame, *types: str) -> DataFrame:
 def pagerank(graph: Graph, damping: float = 0.85, iterations: int = 100, tolerance: float | None = 1e-6, each: int = 5) -> DataFrame:
     """(node_id, score): every edge counts, parallel ones too; what reaches a node without outgoing edges is lost.
 
-    The weighted edges are dealt out by source once and kept, so a round shuffles only the flows, summed by task first; a
-    lost part is read again from the written table. Every few rounds the scores are written to the shared folder; then,
-    and only then, the L1 change is looked at (tolerance None: never).
+    A node that no edge points to has one score after every round, so what it gives is summed once (fed, a row a node). A
+    node without outgoing edges gives nothing, so its score is worked out once, after the last round. The rounds go over
+    the rest, the core. Edges from it are dealt out by source once and kept, so a round shuffles only the flows, summed by
+    task first; a lost part is read again from the written table. Every few rounds the core's scores are written to the
+    shared folder; then, and only then, the L1 change of all nodes' scores is looked at (tolerance None: never), from
+    round 3 on, when only the core's scores move.
     """
     n = graph.nodes.count()
     parts = int(graph.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    degree = graph.edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    weighted = graph.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(degree, "src")
-    weighted = written(weighted.select("src", "dst", (F.col("k") / F.col("degree")).alias("share")), "shares")
-    weighted = weighted.repartition(parts, "src").persist()
-    ids = written(graph.nodes.select("node_id"), "ids").repartition(parts, "node_id").persist()
-    scores = ids.withColumn("score", F.lit(1.0 / n if n else 0.0))
-    before = scores
-    for k in range(1, iterations + 1):
-        flow = weighted.join(scores, weighted["src"] == scores["node_id"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
-        scores = ids.join(flow, ids["node_id"] == flow["dst"], "left").select(ids["node_id"], (F.lit((1 - damping) / n if n else 0.0) + damping * F.coalesce("flow", F.lit(0.0))).alias("score"))
-        if k % each == each - 1 and tolerance is not None:
-            before = scores = written(scores, "scores")
-        elif k % each == 0 or k == iterations:
+    first, rest = (1.0 / n, (1 - damping) / n) if n else (0.0, 0.0)
+    ids = graph.nodes.select("node_id")
+    if not iterations:
+        return ids.withColumn("score", F.lit(first))
+    pointed = graph.edges.select(F.col("dst").alias("pointed")).distinct()
+    marked = ids.join(pointed, F.col("node_id") == F.col("pointed"), "left").select(F.col("node_id").alias("src"), F.col("pointed").isNotNull().alias("live"))
+    weighted = graph.edges.select("src", "dst").repartition("src").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k"))
+    weighted = weighted.withColumn("share", F.col("k") / F.sum("k").over(Window.partitionBy("src")))
+    weighted = written(weighted.join(marked, "src").select("src", "dst", "share", "live"), "shares")
+    fed = written(weighted.where("NOT live").groupBy("dst").agg(F.sum("share").alias("fed")), "fed")
+    core = weighted.where("live").select(F.col("src").alias("node_id")).distinct()
+    core = written(core.join(fed, F.col("node_id") == F.col("dst"), "left").select("node_id", F.coalesce("fed", F.lit(0.0)).alias("fed")), "core")
+    inner = core.select(F.col("node_id").alias("end"))
+    live = weighted.where("live").join(inner, F.col("dst") == F.col("end"), "left").select("src", "dst", "share", F.col("end").isNotNull().alias("inner"))
+    live = live.repartition(parts, "src").persist()
+    core = core.repartition(parts, "node_id").persist()
+
+    def flow(edges: DataFrame, scores: DataFrame) -> DataFrame:
+        return edges.join(scores, edges["src"] == scores["node_id"]).groupBy("dst").agg(F.sum(F.col("score") * F.col("share")).alias("flow"))
+
+    def score(fed: Column, given: float) -> Column:
+        return F.lit(rest) + damping * (F.coalesce(fed, F.lit(0.0)) * given + F.coalesce("flow", F.lit(0.0)))
+
+    before = scores = core.select("node_id", F.lit(first).alias("score"))
+    alone = core.isEmpty()
+    k = min(iterations, 2) if alone else 1  # without a core nothing moves after round 2
+    while k < iterations and not alone:  # round k of all nodes goes by the core's scores of the round before
+        if tolerance is not None and k >= 3 and k % each == 0:
+            moved = scores.join(before.withColumnRenamed("score", "old"), "node_id").select("node_id", (F.col("score") - F.col("old")).alias("score"))
+            if damping * (flow(live, moved).agg(F.sum(F.abs("flow"))).first()[0] or 0.0) < tolerance:
+                break
+        along = flow(live.where("inner"), scores)
+        before, scores = scores, core.join(along, core["node_id"] == along["dst"], "left").select(core["node_id"], score(core["fed"], first if k == 1 else rest).alias("score"))
+        k += 1
+        if k % each == 0 or k == iterations or (tolerance is not None and (k + 1) % each == 0):
             scores = written(scores, "scores")
-            if tolerance is not None:
-                change = scores.join(before.withColumnRenamed("score", "old"), "node_id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-                if change is not None and change < tolerance:
-                    break
-    weighted.unpersist()
-    ids.unpersist()
-    return scores
+    along = written(flow(live, scores), "flow")
+    live.unpersist()
+    core.unpersist()
+    whole = ids.join(fed, ids["node_id"] == fed["dst"], "left").join(along, ids["node_id"] == along["dst"], "left")
+    return whole.select(ids["node_id"], score(fed["fed"], first if k == 1 else rest).alias("score"))
 
 
 def ranked(graph: Graph, digits: int = 12, **options) -> DataFrame:

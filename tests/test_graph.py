@@ -61,6 +61,37 @@ def test_pagerank_and_places(spark, seed):
     assert [round(got[i], 6) for i in places] == sorted((round(x, 6) for x in got.values()), reverse=True)
 
 
+@pytest.mark.parametrize("iterations", [1, 2, 3, 10])
+def test_pagerank_rounds_go_over_the_core(spark, monkeypatch, iterations):
+    """Nodes without edges in or out take no part in the rounds, and have the scores of a plain power iteration."""
+    r = random.Random(iterations)
+    names = [f"n{k:02}" for k in range(40)]
+    pairs = [(r.choice(names[:30]), r.choice(names[10:])) for _ in range(60)] + [("n00", "n10"), ("n00", "n10"), ("n12", "n12"), ("n12", "lost"), ("lost", "n13"), ("n11", "n12"), ("n12", "n11")]
+    pairs = [(a, b) for a, b in pairs if b != "n00"]
+    g = make(spark, [(x, "Text", "") for x in names], [(a, b, "Citation") for a, b in pairs])
+    rounds = []
+    real = analytics.written
+    monkeypatch.setattr(analytics, "written", lambda df, name: (rounds.append((name, out := real(df, name))), out)[1])
+    got = {x["node_id"]: x["score"] for x in analytics.pagerank(g, iterations=iterations, tolerance=None).collect()}
+    out = {x: sum(a == x for a, _ in pairs) for x in names}
+    want = {x: 1 / 40 for x in names}
+    for _ in range(iterations):
+        want = {x: 0.15 / 40 + 0.85 * sum(want[a] / out[a] for a, b in pairs if b == x and a in want) for x in names}
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-12 for x in names)
+    core = {a for a, _ in pairs} & {b for _, b in pairs} & set(names)
+    for name, table in rounds:
+        if name == "scores":
+            assert {x["node_id"] for x in table.collect()} == core
+    spread = {x["node_id"]: x["score"] for x in analytics.pagerank(g, iterations=iterations, tolerance=1e-12, each=2).collect()}
+    assert iterations < 10 or all(abs(spread[x] - want[x]) < 1e-9 for x in names)
+
+
+def test_pagerank_without_a_core(spark):
+    g = make(spark, [(x, "Text", "") for x in "abc"], [("a", "b", "Citation"), ("a", "c", "Citation")])
+    got = {x["node_id"]: x["score"] for x in analytics.pagerank(g).collect()}
+    assert abs(got["a"] - 0.05) < 1e-12 and abs(got["b"] - 0.05 * 1.425) < 1e-12 and abs(got["c"] - got["b"]) < 1e-12
+
+
 def test_pagerank_of_one_edge(spark):
     g = make(spark, [("a", "Text", "x"), ("b", "Text", "y")], [("a", "b", "Hierarchical")])
     got = {r["node_id"]: round(r["score"], 6) for r in analytics.pagerank(g).collect()}
