@@ -123,9 +123,12 @@ def knowledge_nodes(graph: Graph) -> DataFrame:
     return numbered(graph.nodes, "node_id").select("index", F.col("node_id").alias("id"), type_name(F.col("node_type")).alias("type"), "content")
 
 
-def knowledge_edges(graph: Graph, metadata: DataFrame | None = None) -> DataFrame:
-    """(source, target, type, label): ends as indices, the type as its ordinal; with metadata also that, as a struct."""
-    index = knowledge_nodes(graph).select("id", "index")
+def knowledge_edges(graph: Graph, metadata: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """(source, target, type, label): ends as indices, the type as its ordinal; with metadata also that, as a struct.
+
+    index: (id, index) of the nodes, where they have been numbered already."""
+    if index is None:
+        index = numbered(graph.nodes.select(F.col("node_id").alias("id")), "id")
     edges = graph.edges if metadata is None else graph.edges.join(metadata, ["src", "dst", "edge_type"], "left")
     source, target = index.select(F.col("id").alias("src"), F.col("index").alias("source")), index.select(F.col("id").alias("dst"), F.col("index").alias("target"))
     extra = [] if metadata is None else [F.when(F.col("confidence").isNotNull(), F.struct("confidence", "evidence", "context")).alias("metadata")]
@@ -135,8 +138,9 @@ def knowledge_edges(graph: Graph, metadata: DataFrame | None = None) -> DataFram
 def knowledge_json(graph: Graph) -> DataFrame:
     """(part, at, json): a JSON object a row, the head (part 0), nodes (1) and edges (2); as lines it is NDJSON."""
     head = graph.nodes.agg(F.count(F.lit(1)).alias("nodes")).select(F.lit(0).alias("part"), F.lit(0).cast("long").alias("at"), F.to_json(F.struct(F.lit("ResearchPaperKnowledgeGraph").alias("type"), "nodes")).alias("json"))
-    nodes = knowledge_nodes(graph).select(F.lit(1).alias("part"), F.col("index").alias("at"), F.to_json(F.struct("id", "type", "content")).alias("json"))
-    edges = knowledge_edges(graph).select(F.lit(2).alias("part"), F.col("source").alias("at"), F.to_json(F.struct("source", "target", "type", "label")).alias("json"))
+    numbers = knowledge_nodes(graph)  # each with its content goes to its range once
+    nodes = numbers.select(F.lit(1).alias("part"), F.col("index").alias("at"), F.to_json(F.struct("id", "type", "content")).alias("json"))
+    edges = knowledge_edges(graph, index=numbers.select("id", "index")).select(F.lit(2).alias("part"), F.col("source").alias("at"), F.to_json(F.struct("source", "target", "type", "label")).alias("json"))
     return head.unionByName(nodes).unionByName(edges)
 
 
