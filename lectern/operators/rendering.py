@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, text
+from ..sources.tables import written
 
 PIECE_SCHEMA = "doc_id string, ord int, state string, piece string"
 
@@ -265,6 +266,7 @@ def graph_nodes(nodes: DataFrame, strict: bool = True) -> DataFrame:
     """
     made = lambda kind, c: F.struct(F.lit(kind).alias("node_type"), c.alias("of"))
     if strict:
+        nodes = written(nodes.select("doc_id", "ord", "type", "content"), "flat")  # parsed once, read by each branch
         shown = classified(nodes).join(strict_pieces(nodes).select("doc_id", "ord", "piece"), ["doc_id", "ord"])
         first = F.coalesce(F.get("arguments", F.lit(0)), F.lit(""))
         none = F.array().cast("array<struct<node_type:string,of:string>>")
