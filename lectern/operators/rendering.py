@@ -309,15 +309,18 @@ def environment_pieces(nodes: DataFrame) -> DataFrame:
     Figures and tables show captions and labels among their children, abstracts their texts.
     """
     name = F.when(F.col("type") == "Abstract", F.lit("abstract")).otherwise(F.col("content"))
-    opened = nodes.where(F.col("type").isin("Environment", "Abstract")).select("doc_id", "node_id", name.alias("name"))
+    own = F.when(F.col("type").isin("Environment", "Abstract"), F.struct("node_id", F.lit(True).alias("opens"), "ord", name.alias("name"), F.lit(None).cast("string").alias("said"), F.lit(None).cast("string").alias("line")))
     line = (
-        F.when(F.col("name").isin("figure", "table") & (F.col("cmd") == "caption"), _tag("caption", F.coalesce("req", F.lit(""))))
-        .when(F.col("name").isin("figure", "table") & (F.col("type") == "Label"), _tag("label", F.col("content")))
-        .when((F.col("name") == "abstract") & (F.col("type") == "Text"), _tag("abstract_text", F.col("content")))
+        F.when(F.col("cmd") == "caption", F.struct(F.lit("float").alias("said"), _tag("caption", F.coalesce("req", F.lit(""))).alias("line")))
+        .when(F.col("type") == "Label", F.struct(F.lit("float").alias("said"), _tag("label", F.col("content")).alias("line")))
+        .when(F.col("type") == "Text", F.struct(F.lit("abstract").alias("said"), _tag("abstract_text", F.col("content")).alias("line")))
     )
-    below = nodes.select("doc_id", F.col("parent_id").alias("node_id"), "ord", "type", "content", "cmd", "req").join(opened, ["doc_id", "node_id"])
-    said = below.withColumn("line", line).where("line IS NOT NULL").groupBy("doc_id", "node_id").agg(_joined("line").alias("inner"))
-    whole = opened.join(said, ["doc_id", "node_id"], "left")
+    below = F.when(line.isNotNull() & F.col("parent_id").isNotNull(), F.struct(F.col("parent_id").alias("node_id"), F.lit(False).alias("opens"), "ord", F.lit(None).cast("string").alias("name"), line["said"].alias("said"), line["line"].alias("line")))
+    # a node as what it opens and as a line of its parent, in one pass over the nodes
+    each = nodes.select("doc_id", F.explode(F.array_compact(F.array(own, below))).alias("x")).select("doc_id", "x.*")
+    whole = each.groupBy("doc_id", "node_id").agg(F.bool_or("opens").alias("opens"), F.max("name").alias("name"), F.sort_array(F.collect_list(F.when(~F.col("opens"), F.struct("ord", "line", "said")))).alias("lines")).where("opens")
+    wanted = F.when(F.col("name") == "abstract", "abstract").when(F.col("name").isin("figure", "table"), "float")
+    whole = whole.withColumn("inner", F.array_join(F.transform(F.filter("lines", lambda x: x["said"] == wanted), lambda x: x["line"]), ""))
     kind = F.when(F.col("name") == "abstract", "abstract").when(F.col("name").isin("figure", "table"), "float")
     inner = F.coalesce("inner", F.lit(""))
     body = F.when(kind == "abstract", F.concat(F.lit("<abstract>\n"), inner, F.lit("</abstract>\n"))).when(kind == "float", _wrap("float", F.col("name"), inner)).otherwise("")
