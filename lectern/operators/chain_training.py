@@ -75,8 +75,8 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
 
 
-def passes(emit: np.ndarray, length: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward and backward scores [sequence, step, label] and log Z; sequences end where their length says."""
+def _log_passes(emit: np.ndarray, length: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """passes in log space."""
     n, steps, _ = emit.shape
     ahead, behind = np.zeros_like(emit), np.zeros_like(emit)
     ahead[:, 0] = emit[:, 0]
@@ -88,6 +88,39 @@ def passes(emit: np.ndarray, length: np.ndarray, between: np.ndarray) -> tuple[n
     return ahead, behind, log_sum(ahead[np.arange(n), length - 1], 1)
 
 
+def passes(emit: np.ndarray, length: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward scores [sequence, step, label] and log Z; sequences end where their length says.
+
+    Worked out as products that are scaled to 1 at each step, one exponential and one logarithm a score. Scores between
+    labels that are too far apart for that are summed in log space.
+    """
+    if np.ptp(between) > 300:
+        return _log_passes(emit, length, between)
+    n, steps, labels = emit.shape
+    rows, top = np.arange(n), between.max()
+    high = emit.max(2, keepdims=True)
+    chance, move = np.exp(emit - high).transpose(1, 2, 0).copy(), np.exp(between - top)  # [step, label, sequence]
+    ahead, behind = np.empty_like(chance), np.ones_like(chance)
+    scale = np.empty((steps, n))
+    value = chance[0]
+    for t in range(steps):
+        if t:
+            value = (move.T @ ahead[t - 1]) * chance[t]
+        scale[t] = value.sum(0)
+        ahead[t] = value / scale[t]
+    back = np.zeros((steps, n))  # log of what behind was divided by
+    for t in range(steps - 2, -1, -1):
+        value = move @ (behind[t + 1] * chance[t + 1])
+        whole = value.sum(0)
+        inside = t + 1 < length
+        behind[t] = np.where(inside, value / whole, 1)
+        back[t] = np.where(inside, back[t + 1] + np.log(whole) + high[:, t + 1, 0] + top, 0)
+    along = np.cumsum(np.log(scale) + high[:, :, 0].T, 0) + top * np.arange(steps)[:, None]
+    with np.errstate(divide="ignore"):  # what is too small for a double is 0
+        ahead, behind = np.log(ahead) + along[:, None], np.log(behind) + back[:, None]
+    return ahead.transpose(2, 0, 1).copy(), behind.transpose(2, 0, 1).copy(), along[length - 1, rows]
+
+
 def gradient(block: Block, w: Weights) -> tuple[float, np.ndarray]:
     """Log-likelihood of a block's labels, and its derivatives as one vector (observed less expected counts)."""
     labels = w.score.shape[1]
