@@ -60,7 +60,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = perplexity.judge(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity", "log_perplexity_long")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
