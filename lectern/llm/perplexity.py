@@ -437,7 +437,7 @@ def banded(out: DataFrame, scored: DataFrame, column: str, reach: float, least:
     return out.select(*kept, F.coalesce(F.col(column).between(low, high), F.lit(False)).alias(f"in_{column}"))
 
 
-def judge(docs: DataFrame, reach: float = 6.5, least: int = 30, certain: float = 0.25, floor: float = 0.1, slack: float = 3.0, step: float = 0.001, order: int = 5, pack_bytes: int = 8 << 20) -> DataFrame:
+def judge(docs: DataFrame, reach: float = 6.5, least: int = 30, certain: float = 0.25, floor: float = 0.1, slack: float = 3.0, step: float = 0.001, order: int = 5, pack_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity, log_perplexity_long, lang).
 
     reach: how many quartile distances the band goes beyond the median (six and a half are more than four standard deviations of a Gaussian);
